@@ -204,6 +204,10 @@ FX_SQL: dict[str, str] = {
     "fx_recap": """SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE '' END AS caption FROM labels""",
     "fx_pairs": """SELECT o_orderkey AS id, -(o_totalprice / 100000) AS pc,
   -((o_custkey % 97) / 20.0) AS pr, -((o_orderkey % 89) / 25.0) AS rc, -((o_custkey % 61) / 15.0) AS rr FROM orders""",
+    "fx_convimg": """SELECT conv_id, sum(len(string_split(value, '<image>')) - 1) AS n_tags,
+  CASE WHEN conv_id % 5 = 0 THEN sum(len(string_split(value, '<image>')) - 1) - 1
+       ELSE sum(len(string_split(value, '<image>')) - 1) END AS n_img
+  FROM fx_turns GROUP BY conv_id""",
     "fx_hash": """SELECT doc_id, substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 8) AS hex8 FROM documents""",
 }
 
@@ -226,3 +230,40 @@ def with_fx(sql: str) -> str:
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
+
+
+def conv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_turns regrouped into canonical samples (one row per conversation).
+
+    Images: one path per tag (``<conv>_<i>.jpg``), one short for every fifth
+    conversation so count checks have failures to find. A conversation is a bounded
+    group (its turns), so ``collect_list`` here never gathers an unbounded group.
+    """
+    t = fx_turns(spark, sf_dir)
+    tags = F.size(F.split(F.col("value"), "<image>", -1)) - 1
+    g = t.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("from"), "value"))).alias("_t"),
+        F.sum(tags).alias("_n"),
+    )
+    n_img = F.when(F.col("conv_id") % 5 == 0, F.col("_n") - 1).otherwise(F.col("_n"))
+    images = F.transform(
+        F.sequence(F.lit(1), F.greatest(n_img, F.lit(1))),
+        lambda i: F.concat(F.col("conv_id").cast("string"), F.lit("_"), i.cast("string"), F.lit(".jpg")),
+    )
+    return g.select(
+        F.col("conv_id").cast("string").alias("sample_id"),
+        "conv_id",
+        F.lit("conv").alias("dataset"),
+        F.col("conv_id").alias("row_id"),
+        F.when(n_img > 0, images).otherwise(F.array().cast("array<string>")).alias("images"),
+        F.lit(None).cast("string").alias("video"),
+        F.transform("_t", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("turns"),
+        F.create_map().cast("map<string,string>").alias("extras"),
+    )
+
+
+def explode_turns(df: DataFrame, turns: str = "turns", key: str = "conv_id") -> DataFrame:
+    """One row per turn: (key, turn, role, value)."""
+    return df.select(key, F.posexplode(turns).alias("turn", "_t")).select(
+        key, F.col("turn").cast("bigint").alias("turn"), F.col("_t.from").alias("role"), F.col("_t.value").alias("value")
+    )
