@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from weft.catalog import core, messages  # noqa: F401
+    from weft.catalog import core, filters, messages  # noqa: F401

@@ -170,7 +170,7 @@ def media_first(df: DataFrame, images: str = "images", video: str = "video", max
             ),
         ),
     )
-    err = F.when(F.col("turns")[0]["from"] != "human", F.lit("first message is not from human"))
+    err = F.when(F.coalesce(F.get(F.col("turns"), 0)["from"] != "human", F.lit(True)), F.lit("first message is not from human"))
     return df.withColumn("messages", parts).withColumn("error", err)
 
 
