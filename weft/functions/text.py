@@ -36,3 +36,22 @@ def upper_first(c: Column | str) -> Column:
 def lower_first(c: Column | str) -> Column:
     x = col(c)
     return F.concat(F.lower(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+
+
+def question_from_prompt(prompt: Column | str) -> Column:
+    """the question inside an evaluation prompt (4 layouts), lower-cased.
+
+    ``OCR tokens: ... Question: <q> Short answer:``; a 3-line prompt with
+    ``Reference OCR token: `` takes line 1 when it starts with that marker, else line 0;
+    a 2-line prompt takes line 0; anything else is null.
+    """
+    p = col(prompt)
+    lines = F.split(p, "\n", -1)
+    n = F.size(lines)
+    q = (
+        F.when(p.startswith("OCR tokens: "), F.regexp_extract(p, r"(?s)Question: (.*?) Short answer:", 1))
+        .when(p.contains("Reference OCR token: ") & (n == 3),
+              F.when(p.startswith("Reference OCR token:"), F.get(lines, 1)).otherwise(F.get(lines, 0)))
+        .when(n == 2, F.get(lines, 0))
+    )
+    return F.lower(q)
