@@ -133,3 +133,46 @@ def group_counts(df: DataFrame, partition: Sequence[str], name: str = "n") -> Da
     return df.withColumn("_wf_one", F.lit(1)).join(F.broadcast(counts.withColumn("_wf_one", F.lit(1))), "_wf_one").drop(
         "_wf_one"
     )
+
+
+def prefix_sum(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    value: Column | str,
+    partition: Sequence[str] = (),
+    name: str = "cum",
+    inclusive: bool = True,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Running sum of ``value`` in ``order`` (within ``partition`` groups), skew-safe.
+
+    Same plan as :func:`positions`: range exchange on the full key, a local running
+    sum inside each task (a window over the task id, which is already co-located), then
+    the totals of earlier tasks added from a small per-(group, task) table.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    part = list(partition)
+    keys = [F.col(p) for p in part] + _order_cols(order)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col(value) if isinstance(value, str) else value
+    local = (
+        df.withColumn("_wf_v", v)
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_wf_mid", F.monotonically_increasing_id())
+        .withColumn("_wf_task", F.shiftright("_wf_mid", _LOCAL_BITS))
+    ).checkpoint(eager=True)
+    grp = part + ["_wf_task"]
+    # rows of one task are co-located, so this window's partition is local to the task
+    wl = Window.partitionBy(*grp).orderBy("_wf_mid").rowsBetween(Window.unboundedPreceding, 0)
+    local = local.withColumn("_wf_lcum", F.sum("_wf_v").over(wl))
+    totals = local.groupBy(*grp).agg(F.sum("_wf_v").alias("_wf_t"))
+    w = Window.partitionBy(*part).orderBy("_wf_task") if part else Window.orderBy("_wf_task")
+    offsets = totals.select(*grp, F.coalesce(F.sum("_wf_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_wf_off"))
+    offsets = broadcast_if_small(offsets)
+    out = local.join(offsets, grp)
+    cum = F.col("_wf_off") + F.col("_wf_lcum")
+    if not inclusive:
+        cum = cum - F.col("_wf_v")
+    return out.withColumn(name, cum).drop("_wf_v", "_wf_mid", "_wf_task", "_wf_lcum", "_wf_off")
