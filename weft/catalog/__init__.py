@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from weft.catalog import core, filters, joins, messages, metrics, windows  # noqa: F401
+    from weft.catalog import core, filters, joins, messages, metrics, ngram, windows  # noqa: F401
