@@ -23,21 +23,20 @@ def words(text: Column) -> Column:
 
 
 def ngrams(ws: Column, n: int) -> Column:
-    """n-grams of a word array (empty when shorter than n)."""
+    """n-grams of a word array (empty when shorter than n), built by element access."""
     size = F.size(ws)
-    idx = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.array_join(F.slice(ws, i + 1, n), " "))
+    idx = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda i: F.concat_ws(" ", *[F.element_at(ws, i + k) for k in range(n)]))
 
 
 def gram_counts(df: DataFrame, key: Sequence[str], ws: str, max_n: int) -> DataFrame:
-    """(key..., n, gram, cnt) for n = 1..max_n."""
+    """(key..., n, gram, cnt) for n = 1..max_n, from one explode per row."""
     k = list(key)
-    parts = [
-        df.select(*k, F.lit(n).alias("n"), F.explode(ngrams(F.col(ws), n)).alias("gram")) for n in range(1, max_n + 1)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    def tagged(n: int) -> Column:
+        return F.transform(ngrams(F.col(ws), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    all_grams = F.flatten(F.array(*[tagged(n) for n in range(1, max_n + 1)]))
+    out = df.select(*k, F.explode(all_grams).alias("_g")).select(*k, "_g.n", "_g.gram")
     return out.groupBy(*k, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
