@@ -23,3 +23,193 @@ def caption_samples(df: DataFrame, dataset: str, text: str = "text", image: Colu
     turns = F.array(turn("human", F.lit(IMAGE_TOKEN + "\n")), turn("gpt", escape_image_tag(F.col(text))))
     images = F.array(image) if image is not None else F.array(F.concat(F.col(id_col).cast("string"), F.lit(".jpg")))
     return df.select(*to_sample(dataset, F.col(id_col), row_id, turns, images=images))
+
+
+def _pairs_to_turns(pairs: Column, q: str, a: str) -> Column:
+    """[{q, a}, ...] -> [human q, gpt a, ...]."""
+    return F.flatten(F.transform(pairs, lambda p: F.array(turn("human", p[q]), turn("gpt", p[a].cast("string")))))
+
+
+def _tag_first(turns: Column, tag: Column | str = IMAGE_TOKEN + "\n") -> Column:
+    t = F.lit(tag) if isinstance(tag, str) else tag
+    return F.transform(turns, lambda x, i: F.struct(x["from"].alias("from"), F.when(i == 0, F.concat(t, x["value"])).otherwise(x["value"]).alias("value")))
+
+
+def messages_samples(df: DataFrame, dataset: str, id_col: str, messages: str = "messages", images: str = "image") -> DataFrame:
+    """role/content messages; ``user`` -> human, anything else -> gpt; the
+    ``<|image|>`` marker becomes ``<image>\\n``; only the first image is kept."""
+    turns = F.transform(
+        F.col(messages),
+        lambda m: turn(F.when(m["role"] == "user", F.lit("human")).otherwise(F.lit("gpt")), F.replace(m["content"], F.lit("<|image|>"), F.lit(IMAGE_TOKEN + "\n"))),
+    )
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=F.slice(F.col(images), 1, 1)))
+
+
+def query_response_samples(df: DataFrame, dataset: str, id_col: str, query: str = "query", response: str = "response", kind: str = "type") -> DataFrame:
+    """query/response rows with a question type kept in ``extras``."""
+    turns = F.array(turn("human", F.col(query)), turn("gpt", F.col(response)))
+    extras = F.create_map(F.lit("question_type"), F.col(kind).cast("string"))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, extras=extras))
+
+
+def parallel_qa_samples(df: DataFrame, dataset: str, id_col: str, questions: str = "Questions", answers: str = "Answers",
+                        image: str | None = None) -> DataFrame:
+    """Parallel question/answer lists (equal length required), answers as strings,
+    the image tag on the first question."""
+    pairs = F.arrays_zip(F.col(questions).alias("q"), F.col(answers).cast("array<string>").alias("a"))
+    ok = F.size(questions) == F.size(answers)
+    turns = _tag_first(_pairs_to_turns(pairs, "q", "a"))
+    checked = F.when(ok, turns).otherwise(F.raise_error(F.lit("questions and answers differ in length")).cast(turns_type()))
+    imgs = F.array(F.col(image)) if image else None
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), checked, images=imgs))
+
+
+def turns_type():
+    from weft.schema import TURNS
+
+    return TURNS
+
+
+def instruction_samples(df: DataFrame, dataset: str, id_col: str) -> DataFrame:
+    """Instruction + inputs -> question, outputs -> answer."""
+    turns = F.array(turn("human", F.concat("instruction", "inputs")), turn("gpt", F.col("outputs")))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns))
+
+
+def chart_query_samples(df: DataFrame, dataset: str) -> DataFrame:
+    """Strip ``<opencqa>`` and white space from the query; the id is the image name
+    without its 4-character extension."""
+    q = F.trim(F.replace(F.col("query"), F.lit("<opencqa>"), F.lit("")))
+    sid = F.expr("substring(imgname, 1, length(imgname) - 4)")
+    turns = F.array(turn("human", F.concat(F.lit(IMAGE_TOKEN + "\n "), q)), turn("gpt", F.col("label")))
+    return df.select(*to_sample(dataset, sid, F.lit(None), turns, images=F.array("imgname")))
+
+
+def multi_image_texts_samples(df: DataFrame, dataset: str, id_col: str, texts: str = "texts", n_images: str = "n_images") -> DataFrame:
+    """Texts [{user, assistant}]: N image tags before the first user text; an
+    assistant text starting with ``Answer: `` has every ``Answer: `` removed."""
+    tags = F.repeat(F.lit(IMAGE_TOKEN + "\n"), F.col(n_images))
+
+    def one(p: Column, i: Column) -> Column:
+        user = F.when(i == 0, F.concat(tags, p["user"])).otherwise(p["user"])
+        a = p["assistant"]
+        a = F.when(a.startswith("Answer: "), F.replace(a, F.lit("Answer: "), F.lit(""))).otherwise(a)
+        return F.concat(
+            F.when(p["user"].isNotNull(), F.array(turn("human", user))).otherwise(F.array().cast(turns_type())),
+            F.when(p["assistant"].isNotNull(), F.array(turn("gpt", a))).otherwise(F.array().cast(turns_type())),
+        )
+
+    turns = F.flatten(F.transform(F.col(texts), one))
+    images = F.transform(F.sequence(F.lit(0), F.col(n_images) - 1), lambda k: F.concat(F.col(id_col).cast("string"), F.lit("_"), k.cast("string"), F.lit(".png")))
+    images = F.when(F.col(n_images) > 0, images).otherwise(F.array().cast("array<string>"))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=images))
+
+
+ART_FIRST = "<image>\nYou are given an image of an artwork. Please answer the following questions briefly. What is the name of the painting?"
+ART_QUESTIONS = [("author", "Who is the author of the painting?"), ("genre", "What is the genre of the painting?"),
+                 ("style", "What is the style of the painting?")]
+
+
+def artwork_samples(df: DataFrame, dataset: str, id_col: str) -> DataFrame:
+    """A10: up to 4 templated QA pairs, only for non-empty fields; rows without a
+    painting name are skipped."""
+    empty = F.array().cast(turns_type())
+    turns = F.array(turn("human", F.lit(ART_FIRST)), turn("gpt", F.concat("painting_name", F.lit("."))))
+    for field, q in ART_QUESTIONS:
+        turns = F.concat(
+            turns,
+            F.when(F.length(field) > 0, F.array(turn("human", F.lit(q)), turn("gpt", F.concat(field, F.lit("."))))).otherwise(empty),
+        )
+    return df.filter(F.length("painting_name") > 0).select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=F.array("path")))
+
+
+# Nutrition entity codes and their names.
+ENTITY_NAMES = {
+    "SS": "Serving Size", "CE-PS": "Calories/Energy of per serving", "CE-P1": "Calories/Energy of per 100g/ml",
+    "CE-D": "Calories/Energy of % Daily Value", "CE-PP": "Calories/Energy of per package", "TF-PS": "Total Fat of per serving",
+    "TF-P1": "Total Fat of per 100g/ml", "TF-D": "Total Fat of % Daily Value", "TF-PP": "Total Fat of per package",
+    "SO-PS": "Sodium of per serving", "SO-P1": "Sodium of per 100g/ml", "SO-D": "Sodium of % Daily Value",
+    "SO-PP": "Sodium of per package", "CAR-PS": "Total Carbohydrate of per serving",
+    "CAR-P1": "Total Carbohydrate of per 100g/ml", "CAR-D": "Total Carbohydrate of % Daily Value",
+    "CAR-PP": "Total Carbohydrate of per package", "PRO-PS": "Protein of per serving", "PRO-P1": "Protein of per 100g/ml",
+    "PRO-D": "Protein of % Daily Value", "PRO-PP": "Protein of per package",
+}
+
+
+def entity_samples(df: DataFrame, dataset: str, entities: str = "entity_dict", file_name: str = "file_name") -> DataFrame:
+    """Entity dictionary (code -> value) -> one QA pair per entry via the code
+    name lookup; image tag on the first question; rows without entries are skipped."""
+    names = F.create_map(*[F.lit(x) for kv in ENTITY_NAMES.items() for x in kv])
+    q = lambda e: F.concat(F.lit("what is the value for "), F.element_at(names, e["key"]), F.lit("? Answer this question using the text in the image directly."))
+    turns = _tag_first(F.flatten(F.transform(F.map_entries(entities), lambda e: F.array(turn("human", q(e)), turn("gpt", e["value"])))))
+    sid = F.element_at(F.split(F.element_at(F.split(F.col(file_name), "/"), -1), r"\."), 1)
+    return df.filter(F.size(entities) > 0).select(*to_sample(dataset, sid, F.lit(None), turns, images=F.array(file_name)))
+
+
+# Receipt field questions.
+RECEIPT_QUESTIONS = {
+    "company": "what is the name of the company that issued this receipt? Answer this question using the text in the image directly.",
+    "address": "where was this receipt issued? Answer this question using the text in the image directly.",
+    "date": "when was this receipt issued? Answer this question using the text in the image directly.",
+    "total": "what is the total amount of this receipt? Answer this question using the text in the image directly.",
+}
+
+
+def receipt_samples(df: DataFrame, dataset: str, fields: str = "fields", image: str = "image") -> DataFrame:
+    """One sample per receipt field; id = image name without its 3-character
+    extension + field."""
+    qs = F.create_map(*[F.lit(x) for kv in RECEIPT_QUESTIONS.items() for x in kv])
+    ex = df.select(image, F.explode(fields).alias("k", "v"))
+    turns = F.array(turn("human", F.concat(F.lit(IMAGE_TOKEN + "\n"), F.element_at(qs, F.col("k")))), turn("gpt", F.col("v")))
+    sid = F.concat(F.expr(f"substring({image}, 1, length({image}) - 3)"), F.col("k"))
+    return ex.select(*to_sample(dataset, sid, F.lit(None), turns, images=F.array(image)))
+
+
+def flan_samples(df: DataFrame, dataset: str, question: str, answer: str, sample_idx: str = "sample_idx") -> DataFrame:
+    """Evenly sampled text rows (W04 gives ``sample_idx``), ids ``text_flan_%08d``."""
+    turns = F.array(turn("human", F.col(question)), turn("gpt", F.col(answer)))
+    sid = F.format_string("text_flan_%08d", F.col(sample_idx))
+    return df.select(*to_sample(dataset, sid, F.col(sample_idx), turns))
+
+
+def generic_samples(df: DataFrame, dataset: str, id_col: str, media_key: str = "media") -> DataFrame:
+    """Media from ``media_key`` else ``image`` else ``video`` (file part of the
+    path); turns from ``conversations`` else ``dialog`` else question/answer."""
+    cols = set(df.columns)
+
+    def c(name):
+        return F.col(name) if name in cols else F.lit(None)
+
+    media = F.coalesce(c(media_key), c("image"), c("video"))
+    fname = F.element_at(F.split(media, "/"), -1)
+    qa = F.array(turn("human", F.coalesce(c("question"), F.lit(""))), turn("gpt", F.coalesce(c("answer"), F.lit(""))))
+    turns = F.coalesce(c("conversations").cast(turns_type()), c("dialog").cast(turns_type()), qa)
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=F.array(fname)))
+
+
+OCR_READ_PROMPT = "<image>\nPlease read the text in this image."
+
+
+def ocr_reading_samples(df: DataFrame, dataset: str, id_col: str, words_col: str = "words") -> DataFrame:
+    """OCR words joined by one space under a fixed instruction (Q14 fix: joined
+    once, so letters are not spaced out)."""
+    turns = F.array(turn("human", F.lit(OCR_READ_PROMPT)), turn("gpt", F.array_join(F.col(words_col), " ")))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns))
+
+
+def preference_prompt(prompt: Column, frames: Column) -> Column:
+    """``<video>`` removed, stripped, then one ``<image>\\n`` per loaded frame."""
+    return F.concat(F.repeat(F.lit(IMAGE_TOKEN + "\n"), frames), F.regexp_replace(F.replace(prompt, F.lit("<video>"), F.lit("")), r"^\s+|\s+$", ""))
+
+
+def clip_caption_samples(clips: DataFrame, captions: DataFrame, key: str, dataset: str, default: str = "Describe the video.") -> DataFrame:
+    """Video clip caption from the sidecar table, a default text when missing."""
+    j = clips.join(captions.select(key, F.col("caption").alias("_wf_cap")), key, "left")
+    turns = F.array(turn("human", F.lit(IMAGE_TOKEN + "\n")), turn("gpt", F.coalesce(F.col("_wf_cap"), F.lit(default))))
+    return j.select(*to_sample(dataset, F.col(key), F.col(key), turns, video=F.col("video")))
+
+
+def turns_text(turns: Column | str = "turns") -> Column:
+    """Flat rendering used to compare samples: ``from:value`` lines."""
+    t = F.col(turns) if isinstance(turns, str) else turns
+    return F.array_join(F.transform(t, lambda x: F.concat(x["from"], F.lit(":"), x["value"])), "\n")
