@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY, SMALL = 1e-15, 1e-9
 
@@ -127,7 +128,7 @@ def rouge_n_set(pred: Column, ref: Column, n: int) -> Column:
     return 2 * ((p * rc) / (p + rc + 1e-8))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l_f(pred: pd.Series, ref: pd.Series) -> pd.Series:
     """ROUGE-L F1 from the longest common subsequence of the token lists (Lin 2004).
     Arrow-batched; the LCS is the only sequential piece of the metric."""
