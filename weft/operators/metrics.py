@@ -300,3 +300,19 @@ def mean_stats(df: DataFrame, stats: str) -> DataFrame:
     else:
         flat = flat.select(F.col("k1").alias("key"), F.col("v1").alias("v"))
     return flat.groupBy("key").agg(F.avg("v").alias("mean"))
+
+
+def facet_breakdown(df: DataFrame, correct: Column, facets: Sequence[str], list_facets: Sequence[str] = ()) -> DataFrame:
+    """Accuracy per (facet, value) over scalar facets and list-valued facets (each
+    list element counts once); the accuracy is also given as a 2-decimal percentage
+    string; rows sorted by facet then accuracy descending. Equivalent to GROUPING SETS
+    over the unpivoted facets, computed as one explode + one aggregate."""
+    pairs = [F.array(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"))) for f in facets]
+    pairs += [_list_pairs(f) for f in list_facets]
+    ex = df.select(correct.cast("double").alias("_wf_ok"), F.explode(F.flatten(F.array(*pairs))).alias("fv"))
+    g = ex.groupBy("fv.facet", "fv.value").agg(F.avg("_wf_ok").alias("acc"), F.count(F.lit(1)).alias("total"))
+    return g.withColumn("accuracy", F.format_string("%.2f", F.col("acc") * 100)).orderBy("facet", F.col("acc").desc(), "value")
+
+
+def _list_pairs(f: str) -> Column:
+    return F.transform(F.array_distinct(F.col(f)), lambda v: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value")))
