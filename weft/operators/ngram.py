@@ -30,15 +30,40 @@ def ngrams(ws: Column, n: int) -> Column:
     return F.transform(idx, lambda i: F.concat_ws(" ", *[F.element_at(ws, i + k) for k in range(n)]))
 
 
+def gram_keys(ws: Column, n: int) -> Column:
+    """n-grams of a word array as fixed-width keys struct(n, h1, h2): a 64-bit xxhash and
+    a 32-bit murmur3 of the n words. Shuffles and joins then move longs, not strings; a
+    false match needs both hashes to collide (about V^2 / 2^97 for V distinct grams)."""
+    size = F.size(ws)
+    idx = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        idx,
+        lambda i: F.struct(
+            F.lit(n).alias("n"),
+            F.xxhash64(*[F.element_at(ws, i + k) for k in range(n)]).alias("h1"),
+            F.hash(*[F.element_at(ws, i + k) for k in range(n)]).alias("h2"),
+        ),
+    )
+
+
+GRAM = ["n", "h1", "h2"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the text rows over all task slots before the n-gram explode (which
+    multiplies rows by ~4 per word): shuffling the texts is cheaper than a skewed
+    explode on the few input splits a large file may give."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def gram_counts(df: DataFrame, key: Sequence[str], ws: str, max_n: int) -> DataFrame:
-    """(key..., n, gram, cnt) for n = 1..max_n, from one explode per row."""
+    """(key..., n, h1, h2, cnt) for n = 1..max_n, from one explode per row."""
     k = list(key)
-    def tagged(n: int) -> Column:
-        return F.transform(ngrams(F.col(ws), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
-    all_grams = F.flatten(F.array(*[tagged(n) for n in range(1, max_n + 1)]))
-    out = df.select(*k, F.explode(all_grams).alias("_g")).select(*k, "_g.n", "_g.gram")
-    return out.groupBy(*k, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    all_grams = F.flatten(F.array(*[gram_keys(F.col(ws), n) for n in range(1, max_n + 1)]))
+    out = df.select(*k, F.explode(all_grams).alias("_g")).select(*k, "_g.n", "_g.h1", "_g.h2")
+    return out.groupBy(*k, *GRAM).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def bleu(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4) -> DataFrame:
@@ -48,11 +73,11 @@ def bleu(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4)
 
     ``cands``: (id, text); ``refs``: (id, ref_idx, text). Returns one row.
     """
-    c = cands.select(id_col, words(F.col("text")).alias("ws"))
-    r = refs.select(id_col, "ref_idx", words(F.col("text")).alias("ws"))
+    c = spread(cands.select(id_col, "text")).select(id_col, words(F.col("text")).alias("ws"))
+    r = spread(refs.select(id_col, "ref_idx", "text")).select(id_col, "ref_idx", words(F.col("text")).alias("ws"))
     cg = gram_counts(c, [id_col], "ws", max_n)
-    rg = gram_counts(r, [id_col, "ref_idx"], "ws", max_n).groupBy(id_col, "n", "gram").agg(F.max("cnt").alias("rmax"))
-    correct = cg.join(rg, [id_col, "n", "gram"], "left").groupBy("n").agg(
+    rg = gram_counts(r, [id_col, "ref_idx"], "ws", max_n).groupBy(id_col, *GRAM).agg(F.max("cnt").alias("rmax"))
+    correct = cg.join(rg, [id_col, *GRAM], "left").groupBy("n").agg(
         F.sum(F.least(F.col("cnt"), F.coalesce(F.col("rmax"), F.lit(0)))).alias("correct")
     )
     clen = c.select(id_col, F.size("ws").alias("testlen"))
@@ -87,22 +112,22 @@ def cider(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4)
 
 
 def cider_per_id(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4) -> DataFrame:
-    c = cands.select(id_col, words(F.col("text")).alias("ws"))
-    r = refs.select(id_col, "ref_idx", words(F.col("text")).alias("ws"))
+    c = spread(cands.select(id_col, "text")).select(id_col, words(F.col("text")).alias("ws"))
+    r = spread(refs.select(id_col, "ref_idx", "text")).select(id_col, "ref_idx", words(F.col("text")).alias("ws"))
     cg = gram_counts(c, [id_col], "ws", max_n)
     rg = gram_counts(r, [id_col, "ref_idx"], "ws", max_n)
-    dfreq = rg.select(id_col, "n", "gram").distinct().groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = rg.select(id_col, *GRAM).distinct().groupBy(*GRAM).agg(F.count(F.lit(1)).alias("df"))
     n_docs = refs.select(id_col).distinct().agg(F.log(F.count(F.lit(1)).cast("double")).alias("ref_len"))
 
     def weigh(g: DataFrame) -> DataFrame:
-        j = g.join(dfreq, ["n", "gram"], "left").withColumn("_k", F.lit(1)).join(F.broadcast(n_docs.withColumn("_k", F.lit(1))), "_k")
+        j = g.join(dfreq, GRAM, "left").withColumn("_k", F.lit(1)).join(F.broadcast(n_docs.withColumn("_k", F.lit(1))), "_k")
         return j.withColumn("w", F.col("cnt") * (F.col("ref_len") - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))))
 
-    cv = weigh(cg).select(id_col, "n", "gram", F.col("w").alias("wh"))
-    rv = weigh(rg).select(id_col, "ref_idx", "n", "gram", F.col("w").alias("wr"))
+    cv = weigh(cg).select(id_col, *GRAM, F.col("w").alias("wh"))
+    rv = weigh(rg).select(id_col, "ref_idx", *GRAM, F.col("w").alias("wr"))
     nh = cv.groupBy(id_col, "n").agg(F.sqrt(F.sum(F.col("wh") * F.col("wh"))).alias("nh"))
     nr = rv.groupBy(id_col, "ref_idx", "n").agg(F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"))
-    dot = cv.join(rv, [id_col, "n", "gram"]).groupBy(id_col, "ref_idx", "n").agg(F.sum(F.col("wh") * F.col("wr")).alias("dot"))
+    dot = cv.join(rv, [id_col, *GRAM]).groupBy(id_col, "ref_idx", "n").agg(F.sum(F.col("wh") * F.col("wr")).alias("dot"))
     grid = refs.select(id_col, "ref_idx").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
     v = grid.join(dot, [id_col, "ref_idx", "n"], "left").join(nh, [id_col, "n"], "left").join(nr, [id_col, "ref_idx", "n"], "left")
     d = F.coalesce(F.col("dot"), F.lit(0.0))
