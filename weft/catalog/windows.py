@@ -84,10 +84,13 @@ def w08(spark, sf):
 
 @query(
     "w10_pad_to_batch",
-    f"""WITH rep AS (SELECT doc_id, c AS copy FROM labels, range(2) r(c))
+    f"""WITH n AS (SELECT count(*) AS n FROM labels),
+p AS (SELECT n, CASE WHEN n % 1000 = 0 THEN 1 WHEN 1000 // n >= 2 THEN 1000 // n ELSE 1 END AS times FROM n),
+rep AS (SELECT doc_id, unnest(range(times)) AS copy FROM labels, p),
+res AS (SELECT CASE WHEN n % 1000 = 0 THEN 0 ELSE 1000 - (n * times) % 1000 END AS r FROM p)
 SELECT doc_id, copy FROM rep
 UNION ALL (SELECT doc_id, -1 FROM rep ORDER BY {H.format(seed=42, k="doc_id::VARCHAR || '|' || copy::VARCHAR")}, doc_id, copy
-  LIMIT (1000 - (SELECT count(*) FROM rep) % 1000))""",
+  LIMIT (SELECT r FROM res))""",
 )
 def w10(spark, sf):
     lab = table(spark, sf, "labels").withColumn("row_id", F.col("doc_id"))
