@@ -223,3 +223,80 @@ def a29(spark, sf):
 def a25(spark, sf):
     d = table(spark, sf, "documents").withColumn("row_id", F.col("doc_id"))
     return AD.caption_samples(d, "captions").select("sample_id", AD.turns_text().alias("text"))
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _tpl_sql(templates, idx_sql: str, value_sql: str) -> str:
+    pre = "[" + ", ".join(_q(t.split("{}")[0]) for t in templates) + "]"
+    post = "[" + ", ".join(_q(t.split("{}")[1]) for t in templates) + "]"
+    return f"({pre})[{idx_sql} + 1] || {value_sql} || ({post})[{idx_sql} + 1]"
+
+
+HK = "('0x' || substr(md5('42|' || {k}), 1, 8))::BIGINT"
+BOX_SQL = ("printf('[%03d,%03d,%03d,%03d]', least(greatest(trunc(x1 / 1000 * 1000), 0), 999)::BIGINT, least(greatest(trunc(y1 / 800 * 1000), 0), 999)::BIGINT, "
+           "least(greatest(trunc(x2 / 1000 * 1000), 0), 999)::BIGINT, least(greatest(trunc(y2 / 800 * 1000), 0), 999)::BIGINT)")
+
+
+@query(
+    "a14_ocr_grounding",
+    f"""WITH a AS (SELECT img_id, idx, {BOX_SQL} AS box, 'w' || k::VARCHAR AS tr, img_id::VARCHAR || '|' || idx::VARCHAR AS kk FROM fx_boxes WHERE NOT ignored),
+b AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY idx) AS rn, {HK.format(k="kk || '|dir'")} % 2 = 0 AS box_first,
+   {HK.format(k="kk || '|tpl'")} % 5 AS t FROM a)
+SELECT CAST(img_id AS VARCHAR) AS sample_id, string_agg('human:' || CASE WHEN rn = 1 THEN '<image>' || {NL} ELSE '' END ||
+  CASE WHEN box_first THEN {_tpl_sql(AD.OCR_BOX_PROMPTS, 't', 'box')} || {NL} || 'gpt:' || tr
+       ELSE {_tpl_sql(AD.OCR_TEXT_PROMPTS, 't', 'tr')} || {NL} || 'gpt:' || box END, {NL} ORDER BY idx) AS text
+FROM b GROUP BY img_id""",
+)
+def a14(spark, sf):
+    from weft.functions.boxes import polygon_box_text
+
+    b = fx_boxes(spark, sf)
+    pts = F.array(F.array("x1", "y1"), F.array("x2", "y1"), F.array("x2", "y2"), F.array("x1", "y2"))
+    ann = F.struct("idx", polygon_box_text(pts, "w", "h").alias("box"), F.concat(F.lit("w"), F.col("k").cast("string")).alias("transcription"),
+                   F.col("ignored").alias("illegible"))
+    g = b.groupBy("img_id").agg(F.array_sort(F.collect_list(ann)).alias("anns"))
+    return AD.ocr_grounding_samples(g, "art", "img_id").select("sample_id", AD.turns_text().alias("text"))
+
+
+def _events(spark, sf):
+    from weft.fixtures import fx_spans
+
+    s = fx_spans(spark, sf)
+    ev = F.struct("qid", F.col("s").alias("start"), F.col("e").alias("end"),
+                  F.concat("category", F.lit(" event "), F.col("qid").cast("string"), F.lit(".")).alias("sentence"))
+    return s.groupBy("vid", "duration").agg(F.array_sort(F.collect_list(ev)).alias("events")).withColumn(
+        "video", F.concat(F.lit("v"), F.col("vid").cast("string"), F.lit(".mp4"))
+    )
+
+
+def _tok_sql(x: str) -> str:
+    return f"'<t' || round_even({x} / duration * 99, 0)::BIGINT::VARCHAR || '>'"
+
+
+@query(
+    "a20_dense_captions",
+    f"""SELECT CAST(vid AS VARCHAR) AS sample_id, 'human:' || ([{', '.join(_q(p) for p in AD.DVC_TASK_PROMPTS)}])[{HK.format(k="vid::VARCHAR || '|task'")} % 4 + 1]
+  || ' ' || ([{', '.join(_q(p) for p in AD.DVC_TIME_PROMPTS)}])[{HK.format(k="vid::VARCHAR || '|time'")} % 3 + 1] || {NL} || 'gpt:' ||
+  string_agg({_tok_sql('s')} || ' ' || {_tok_sql('e')} || ' ' || category || ' event ' || qid::VARCHAR || '.', ' ' ORDER BY qid) AS text
+FROM fx_spans GROUP BY vid, duration""",
+)
+def a20(spark, sf):
+    return AD.dense_caption_samples(_events(spark, sf), "dvc", "vid").select("sample_id", AD.turns_text().alias("text"))
+
+
+@query(
+    "a21_event_localisation",
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY vid) AS n FROM fx_spans)
+SELECT CAST(vid AS VARCHAR) AS sample_id, 'human:' ||
+  ([{', '.join(_q(p.split('{event}')[0]) for p in AD.EL_TASK_PROMPTS)}])[{HK.format(k="vid::VARCHAR || '|task'")} % 4 + 1] ||
+  lower(substr(category, 1, 1)) || substr(category, 2) || ' event ' || qid::VARCHAR ||
+  ([{', '.join(_q(p.split('{event}')[1]) for p in AD.EL_TASK_PROMPTS)}])[{HK.format(k="vid::VARCHAR || '|task'")} % 4 + 1] || ' ' ||
+  ([{', '.join(_q(p) for p in AD.EL_TIME_PROMPTS)}])[{HK.format(k="vid::VARCHAR || '|time'")} % 3 + 1] || {NL} || 'gpt:' ||
+  {_tok_sql('s')} || ' ' || {_tok_sql('e')} AS text
+FROM e WHERE i = {HK.format(k="vid::VARCHAR")} % n""",
+)
+def a21(spark, sf):
+    return AD.event_localisation_samples(_events(spark, sf), "el", "vid").select("sample_id", AD.turns_text().alias("text"))

@@ -213,3 +213,120 @@ def turns_text(turns: Column | str = "turns") -> Column:
     """Flat rendering used to compare samples: ``from:value`` lines."""
     t = F.col(turns) if isinstance(turns, str) else turns
     return F.array_join(F.transform(t, lambda x: F.concat(x["from"], F.lit(":"), x["value"])), "\n")
+
+
+# OCR grounding prompt templates (box -> text, text -> box).
+OCR_BOX_PROMPTS = [
+    "Inside bounding box: {}, What is the text in the bounding box?",
+    "What is the textual content enclosed by the coordinates {}?",
+    "Inside the defined region {}, what text is present?",
+    "What is the text contained within the rectangular area defined by the points {}?",
+    "Can you identify the text that falls within the bounding box {}?",
+    "What is written in the image inside the box {}?",
+]
+OCR_TEXT_PROMPTS = [
+    "Locate the position of : '{}' in the image with a bounding box.",
+    "Identify the coordinates of the text '{}' within the image and enclose it in a bounding box.",
+    "Determine the spatial location of '{}' in the image and mark it with a rectangular boundary.",
+    "Find the exact position of the phrase '{}' inside the image and outline it with a box.",
+    "Pinpoint the location of '{}' within the image and highlight it with a bounding rectangle.",
+    "Locate the exact position of the text string '{}' in the image and define a bounding box around it.",
+]
+
+
+def _fill(templates: list[str], idx: Column, value: Column) -> Column:
+    pre = F.array(*[F.lit(t.split("{}")[0]) for t in templates])
+    post = F.array(*[F.lit(t.split("{}")[1]) for t in templates])
+    return F.concat(F.get(pre, idx), value, F.get(post, idx))
+
+
+def ocr_grounding_samples(df: DataFrame, dataset: str, key: str, anns: str = "anns", seed: int = 42) -> DataFrame:
+    """Per legible annotation one QA pair, direction box->text or text->box and
+    the template picked by keyed hash; Q6 kept: the template index is drawn from 0..4,
+    so the sixth template is never used. ``anns``: [{idx, box, transcription, illegible}]."""
+    from weft.ids import keyed_hash as kh
+
+    def pair(a: Column) -> Column:
+        k = F.concat_ws("|", F.col(key).cast("string"), a["idx"].cast("string"))
+        box_first = (kh(seed, F.concat(k, F.lit("|dir"))) % 2) == 0
+        t = (kh(seed, F.concat(k, F.lit("|tpl"))) % 5).cast("int")
+        q1 = _fill(OCR_BOX_PROMPTS, t, a["box"])
+        q2 = _fill(OCR_TEXT_PROMPTS, t, a["transcription"])
+        return F.when(box_first, F.array(turn("human", q1), turn("gpt", a["transcription"]))).otherwise(
+            F.array(turn("human", q2), turn("gpt", a["box"]))
+        )
+
+    kept = F.filter(F.col(anns), lambda a: ~a["illegible"])
+    turns = _tag_first(F.flatten(F.transform(kept, pair)))
+    return df.filter(F.size(kept) > 0).select(*to_sample(dataset, F.col(key), F.col(key), turns))
+
+
+# Dense-captioning and event-localisation prompts.
+DVC_TASK_PROMPTS = [
+    "Provide a detailed description of the given video.",
+    "Describe the provided video in detail.",
+    "Summarize the visual content of the video.",
+    "Write a informative summary of the video.",
+]
+DVC_TIME_PROMPTS = [
+    "Each sentence should begin with the start and end timestamps.",
+    "At the beginning of each sentence, include the start and end timestamps.",
+    "Prepend each sentence with its start and end timestamps.",
+]
+EL_TASK_PROMPTS = [
+    'When does "{event}" happen in the video?',
+    'At what point in the video does "{event}" happen?',
+    'When is "{event}" depicted in the video?',
+    'At what time in the video does "{event}" take place?',
+]
+EL_TIME_PROMPTS = [
+    "Answer the question only using start and end timestamps.",
+    "Provide a response using only start and end timestamps.",
+    "Convey your answer using start and end timestamps exclusively.",
+]
+
+
+def _time_token(t: Column, duration: Column, n_tokens: int) -> Column:
+    """F13 for a single number: ``<tK>``."""
+    k = F.bround(t.cast("double") / duration.cast("double") * (n_tokens - 1), 0).cast("bigint")
+    return F.concat(F.lit("<t"), k.cast("string"), F.lit(">"))
+
+
+def dense_caption_samples(df: DataFrame, dataset: str, key: str, n_tokens: int = 100, seed: int = 42) -> DataFrame:
+    """Events (start, end, sentence) -> ``<tS> <tE> sentence`` per event, with a
+    keyed-hash task prompt and time prompt; the video goes first (``video`` column)."""
+    from weft.ids import keyed_hash as kh
+
+    d = F.col("duration")
+    pieces = F.transform(
+        F.col("events"),
+        lambda e: F.concat(_time_token(e["start"], d, n_tokens), F.lit(" "), _time_token(e["end"], d, n_tokens), F.lit(" "),
+                           F.regexp_replace(e["sentence"], r"^\s+|\s+$", ""), F.lit(" ")),
+    )
+    answer = F.regexp_replace(F.array_join(pieces, ""), r"^\s+|\s+$", "")
+    task = F.get(F.array(*[F.lit(p) for p in DVC_TASK_PROMPTS]), (kh(seed, F.concat(F.col(key).cast("string"), F.lit("|task"))) % 4).cast("int"))
+    tim = F.get(F.array(*[F.lit(p) for p in DVC_TIME_PROMPTS]), (kh(seed, F.concat(F.col(key).cast("string"), F.lit("|time"))) % 3).cast("int"))
+    turns = F.array(turn("human", F.concat(task, F.lit(" "), tim)), turn("gpt", answer))
+    return df.select(*to_sample(dataset, F.col(key), F.col(key), turns, video=F.col("video")))
+
+
+def event_localisation_samples(df: DataFrame, dataset: str, key: str, n_tokens: int = 100, seed: int = 42) -> DataFrame:
+    """One event picked by keyed hash; its sentence (stripped, trailing dots
+    removed, first letter lower-cased) fills a task prompt; the answer is its two time
+    tokens."""
+    from weft.ids import keyed_hash as kh
+
+    from weft.functions.text import lower_first
+
+    i = (kh(seed, F.col(key).cast("string")) % F.size("events")).cast("int")
+    ev = F.get(F.col("events"), i)
+    sent = lower_first(F.regexp_replace(F.regexp_replace(ev["sentence"], r"^\s+|\s+$", ""), r"\.+$", ""))
+    pre = F.array(*[F.lit(p.split("{event}")[0]) for p in EL_TASK_PROMPTS])
+    post = F.array(*[F.lit(p.split("{event}")[1]) for p in EL_TASK_PROMPTS])
+    t = (kh(seed, F.concat(F.col(key).cast("string"), F.lit("|task"))) % 4).cast("int")
+    tim = F.get(F.array(*[F.lit(p) for p in EL_TIME_PROMPTS]), (kh(seed, F.concat(F.col(key).cast("string"), F.lit("|time"))) % 3).cast("int"))
+    q = F.concat(F.get(pre, t), sent, F.get(post, t), F.lit(" "), tim)
+    d = F.col("duration")
+    a = F.concat(_time_token(ev["start"], d, n_tokens), F.lit(" "), _time_token(ev["end"], d, n_tokens))
+    turns = F.array(turn("human", q), turn("gpt", a))
+    return df.filter(F.size("events") > 0).select(*to_sample(dataset, F.col(key), F.col(key), turns, video=F.col("video")))
