@@ -55,3 +55,31 @@ def question_from_prompt(prompt: Column | str) -> Column:
         .when(n == 2, F.get(lines, 0))
     )
     return F.lower(q)
+
+
+def url_dir(url: Column | str) -> Column:
+    """the URL up to and including its last ``/``."""
+    u = col(url)
+    return F.regexp_extract(u, r"^(.*/)", 1)
+
+
+def url_file(url: Column | str) -> Column:
+    """the file part after the last ``/`` (query and fragment removed)."""
+    return F.regexp_extract(F.regexp_replace(col(url), r"[?#].*$", ""), r"([^/]*)$", 1)
+
+
+def short_name(path: Column | str) -> Column:
+    """distinct non-numeric words of a file name (extension dropped), joined by ``-``."""
+    base = F.regexp_replace(url_file(path), r"\.[^.]*$", "")
+    ws = F.filter(F.split(base, r"[^A-Za-z0-9]+"), lambda w: (w != "") & ~w.rlike(r"^\d+$"))
+    return F.array_join(F.array_distinct(ws), "-")
+
+
+def log_softmax_stats(logits: Column | str, label: Column | str) -> Column:
+    """entropy of softmax(logits) and the log-probability of ``label``, with a
+    max-shifted log-sum-exp."""
+    x = col(logits)
+    m = F.array_max(x)
+    lse = m + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - m)))
+    ent = lse - F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - lse) * v)
+    return F.struct(ent.alias("entropy"), (F.get(x, col(label).cast("int")) - lse).alias("label_logprob"))

@@ -110,3 +110,11 @@ def build_mixture(
             df = drop_positions(df, ignore_lists(item.name, item.subset))
         parts.append(repeat_rows(df, item.times))
     return concat_all(parts)
+
+
+def merge_datasets(spark, root: str, allow: Sequence[str], partition: str = "dataset") -> DataFrame:
+    """Concatenate the record files of the allowed datasets under a
+    ``partition=name`` folder layout; only the allowed folders are read (partition
+    pruning)."""
+    df = spark.read.parquet(root)
+    return df.filter(F.col(partition).isin(list(allow)))
