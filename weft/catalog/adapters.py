@@ -300,3 +300,113 @@ FROM e WHERE i = {HK.format(k="vid::VARCHAR")} % n""",
 )
 def a21(spark, sf):
     return AD.event_localisation_samples(_events(spark, sf), "el", "vid").select("sample_id", AD.turns_text().alias("text"))
+
+
+@query(
+    "a09_conversation_samples",
+    f"""SELECT CAST(conv_id AS VARCHAR) AS sample_id, string_agg(role || ':' || value, {NL} ORDER BY turn) AS text,
+  CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_images FROM fx_turns GROUP BY conv_id""",
+)
+def a09(spark, sf):
+    from weft.fixtures import conv_samples
+
+    s = conv_samples(spark, sf).withColumn("image", F.when(F.col("conv_id") % 2 == 0, F.lit("img.jpg")))
+    out = AD.conversation_samples(s, "onevision", "conv_id")
+    return out.select("sample_id", AD.turns_text().alias("text"), F.size("images").cast("bigint").alias("n_images"))
+
+
+PAIRS_SQL = """(SELECT conv_id, turn // 2 AS k, max(CASE WHEN turn % 2 = 0 THEN text END) AS q, max(CASE WHEN turn % 2 = 1 THEN text END) AS a
+  FROM conversations GROUP BY conv_id, turn // 2)"""
+
+
+def _pairs(spark, sf, q="question", a="answer"):
+    c = table(spark, sf, "conversations")
+    p = c.groupBy("conv_id", (F.col("turn") / 2).cast("bigint").alias("k")).agg(
+        F.max(F.when(F.col("turn") % 2 == 0, F.col("text"))).alias(q), F.coalesce(F.max(F.when(F.col("turn") % 2 == 1, F.col("text"))), F.lit("")).alias(a)
+    )
+    return p.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", q, a))), lambda x: F.struct(x[q].alias(q), x[a].alias(a))).alias("_l"))
+
+
+@query(
+    "a11_annotation_list",
+    f"""SELECT CAST(conv_id AS VARCHAR) AS sample_id, string_agg('human:' || CASE WHEN k = 0 THEN '<image>' || {NL} ELSE '' END || q || {NL} || 'gpt:' || coalesce(a, ''), {NL} ORDER BY k) AS text
+FROM {PAIRS_SQL} GROUP BY conv_id""",
+)
+def a11(spark, sf):
+    g = _pairs(spark, sf).withColumnRenamed("_l", "annotation")
+    return AD.annotation_list_samples(g, "estvqa", "conv_id").select("sample_id", AD.turns_text().alias("text"))
+
+
+@query(
+    "a18_texts_samples",
+    f"""SELECT CAST(conv_id AS VARCHAR) AS sample_id, string_agg('human:' || q || {NL} || 'gpt:' || coalesce(a, ''), {NL} ORDER BY k) AS text
+FROM {PAIRS_SQL} GROUP BY conv_id""",
+)
+def a18(spark, sf):
+    g = _pairs(spark, sf, "user", "assistant").withColumnRenamed("_l", "texts")
+    return AD.texts_samples(g, "hf_parquet", "conv_id").select("sample_id", AD.turns_text().alias("text"))
+
+
+@query(
+    "a19_role_mapped_video",
+    f"""SELECT CAST(conv_id AS VARCHAR) AS sample_id, string_agg(CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || ':' || text, {NL} ORDER BY turn) AS text,
+  'v' || conv_id::VARCHAR || '.mp4' AS video, ((conv_id % 4 + 1) * 8)::VARCHAR AS num_frames FROM conversations GROUP BY conv_id""",
+)
+def a19(spark, sf):
+    c = table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value")))), lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations")
+    ).withColumn("video", F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit(".mp4"))).withColumn("num_frames", (F.col("conv_id") % 4 + 1) * 8)
+    s = AD.role_mapped_video_samples(g, "my_video", "conv_id")
+    return s.select("sample_id", AD.turns_text().alias("text"), "video", F.col("extras")["num_frames"].alias("num_frames"))
+
+
+def _qa_videos(spark, sf):
+    from weft.fixtures import fx_spans
+
+    s = fx_spans(spark, sf)
+    qa = F.struct(
+        F.concat(F.lit(" When does the "), F.col("category"), F.lit(" happen? ")).alias("q"),
+        F.concat(F.lit(" From <"), F.col("s").cast("string"), F.lit("> to <"), F.col("e").cast("string"), F.lit(">. ")).alias("a"),
+        F.col("qid").alias("qid"),
+    )
+    g = s.groupBy("vid", "duration").agg(F.array_sort(F.collect_list(F.struct(F.col("qid").alias("o"), qa.alias("x")))).alias("_l"))
+    return g.select("vid", "duration", F.transform("_l", lambda x: F.struct(x["x"]["q"].alias("q"), x["x"]["a"].alias("a"))).alias("QA"),
+                    F.concat(F.lit("v"), F.col("vid").cast("string"), F.lit(".mp4")).alias("video"))
+
+
+@query(
+    "a22_temporal_qa",
+    f"""SELECT CAST(vid AS VARCHAR) || '_' || (row_number() OVER (PARTITION BY vid ORDER BY qid) - 1)::VARCHAR AS sample_id,
+  'human:When does the ' || category || ' happen?' || {NL} || 'gpt:From ' || {_tok_sql('s')} || ' to ' || {_tok_sql('e')} || '.' AS text FROM fx_spans""",
+)
+def a22(spark, sf):
+    return AD.temporal_qa_samples(_qa_videos(spark, sf), "rtl", "vid").select("sample_id", AD.turns_text().alias("text"))
+
+
+@query(
+    "a23_video_qa",
+    f"""SELECT CAST(vid AS VARCHAR) AS sample_id, string_agg('human:When does the ' || category || ' happen?' || {NL} || 'Answer briefly.' || {NL} ||
+  'gpt:From <' || s::VARCHAR || '> to <' || e::VARCHAR || '>.', {NL} ORDER BY qid) AS text FROM fx_spans GROUP BY vid""",
+)
+def a23(spark, sf):
+    return AD.video_qa_samples(_qa_videos(spark, sf), "videoqa", "vid", task_prompt=" Answer briefly. ").select("sample_id", AD.turns_text().alias("text"))
+
+
+@query(
+    "a26_interleaved_text",
+    r"""WITH c AS (SELECT conv_id, list(replace(text, '<image>', '<IMAGE>') ORDER BY turn) AS s, count(*) AS n,
+   list((turn * 7 + conv_id) ORDER BY turn) FILTER (WHERE turn % 3 = 0) AS raw FROM conversations GROUP BY conv_id),
+i AS (SELECT conv_id, s, list_transform(raw[1:6], lambda v: v % n) AS ixs FROM c)
+SELECT conv_id, replace(replace(array_to_string(list_transform(s, lambda x, j: repeat('<image>' || chr(10), len(list_filter(ixs, lambda v: v = j - 1))) || x), ' '),
+  '<image> ', '<image>'), ' <image>', '<image>') || '</s>' AS text, len(ixs)::BIGINT AS n_images FROM i""",
+)
+def a26(spark, sf):
+    c = table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("sentences"),
+        F.count(F.lit(1)).alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 == 0, F.struct("turn", (F.col("turn") * 7 + F.col("conv_id")).alias("m"))))), lambda x: x["m"]).alias("raw"),
+    )
+    g = g.withColumn("matched", F.transform("raw", lambda v: v % F.col("n")))
+    return g.select("conv_id", AD.interleaved_text("sentences", "matched").alias("text"), F.size(F.slice("matched", 1, 6)).cast("bigint").alias("n_images"))

@@ -330,3 +330,65 @@ def event_localisation_samples(df: DataFrame, dataset: str, key: str, n_tokens:
     a = F.concat(_time_token(ev["start"], d, n_tokens), F.lit(" "), _time_token(ev["end"], d, n_tokens))
     turns = F.array(turn("human", q), turn("gpt", a))
     return df.filter(F.size("events") > 0).select(*to_sample(dataset, F.col(key), F.col(key), turns, video=F.col("video")))
+
+
+def conversation_samples(df: DataFrame, dataset: str, id_col: str, turns: str = "turns", image: str | None = "image") -> DataFrame:
+    """Ready conversations with one optional image."""
+    imgs = F.when(F.col(image).isNotNull(), F.array(F.col(image))).otherwise(F.array().cast("array<string>")) if image else None
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), F.col(turns), images=imgs))
+
+
+def annotation_list_samples(df: DataFrame, dataset: str, id_col: str, anns: str = "annotation") -> DataFrame:
+    """[{question, answer}] -> turns, image tag on the first question."""
+    turns = _tag_first(_pairs_to_turns(F.col(anns), "question", "answer"))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns))
+
+
+def texts_samples(df: DataFrame, dataset: str, id_col: str, texts: str = "texts") -> DataFrame:
+    """Parquet rows with texts [{user, assistant}] flattened into turns."""
+    turns = _pairs_to_turns(F.col(texts), "user", "assistant")
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns))
+
+
+def role_mapped_video_samples(df: DataFrame, dataset: str, id_col: str, conversations: str = "conversations",
+                              video: str = "video", num_frames: str = "num_frames") -> DataFrame:
+    """Video JSONL rows whose roles are user/assistant: user -> human, assistant ->
+    gpt; ``num_frames`` kept in extras."""
+    turns = F.transform(
+        F.col(conversations),
+        lambda t: turn(F.when(t["from"] == "user", F.lit("human")).when(t["from"] == "assistant", F.lit("gpt")).otherwise(t["from"]), t["value"]),
+    )
+    extras = F.create_map(F.lit("num_frames"), F.col(num_frames).cast("string"))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, video=F.col(video), extras=extras))
+
+
+def temporal_qa_samples(df: DataFrame, dataset: str, key: str, n_tokens: int = 100) -> DataFrame:
+    """One sample per (video, QA): stripped question, answer with its ``<seconds>``
+    markers encoded as time tokens (F13)."""
+    from weft.functions.timeparse import encode_time_tokens
+
+    ex = df.select(key, "duration", "video", F.posexplode("QA").alias("k", "qa"))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    turns = F.array(turn("human", strip(F.col("qa.q"))), turn("gpt", encode_time_tokens(strip(F.col("qa.a")), F.col("duration"), n_tokens)))
+    sid = F.concat(F.col(key).cast("string"), F.lit("_"), F.col("k").cast("string"))
+    return ex.select(*to_sample(dataset, sid, F.col(key), turns, video=F.col("video")))
+
+
+def video_qa_samples(df: DataFrame, dataset: str, key: str, task_prompt: str | None = None) -> DataFrame:
+    """QA list -> turns (stripped); the task prompt is appended to every human turn."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    suffix = "\n" + task_prompt.strip() if task_prompt else ""
+    turns = F.flatten(F.transform(F.col("QA"), lambda qa: F.array(turn("human", F.concat(strip(qa["q"]), F.lit(suffix))), turn("gpt", strip(qa["a"])))))
+    return df.select(*to_sample(dataset, F.col(key), F.col(key), turns, video=F.col("video")))
+
+
+def interleaved_text(sentences: Column | str, matched: Column | str, max_images: int = 6, eos: str = "</s>") -> Column:
+    """An interleaved document as one text: literal tags escaped, at most
+    ``max_images`` images in listing order, each adds ``<image>\\n`` before its matched
+    sentence, sentences joined by a space, spaces around tags removed, eos appended."""
+    s = F.transform(F.col(sentences) if isinstance(sentences, str) else sentences, lambda x: F.replace(x, F.lit(IMAGE_TOKEN), F.lit("<IMAGE>")))
+    ixs = F.slice(F.col(matched) if isinstance(matched, str) else matched, 1, max_images)
+    tagged = F.transform(s, lambda x, j: F.concat(F.repeat(F.lit(IMAGE_TOKEN + "\n"), F.size(F.filter(ixs, lambda v: v == j))), x))
+    text = F.array_join(tagged, " ")
+    text = F.replace(F.replace(text, F.lit(IMAGE_TOKEN + " "), F.lit(IMAGE_TOKEN)), F.lit(" " + IMAGE_TOKEN), F.lit(IMAGE_TOKEN))
+    return F.concat(text, F.lit(eos))
