@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from weft.catalog import adapters, choices, core, extras, filters, joins, messages, metrics, ngram, plans, prefs, sources, streaming, windows  # noqa: F401
+    from weft.catalog import adapters, choices, core, extras, filters, folders, joins, messages, metrics, ngram, plans, prefs, sources, streaming, windows  # noqa: F401

@@ -88,10 +88,12 @@ def read_delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str
 def read_sidecars(spark: SparkSession, media: DataFrame, folder: str, schema: str) -> DataFrame:
     """One JSON annotation file per media file (same stem); missing or invalid
     JSON is skipped (PERMISSIVE parse, nulls dropped, inner join on the stem)."""
-    side = spark.read.option("wholetext", "true").text(folder).select(
+    raw = spark.read.option("wholetext", "true").text(folder)
+    # invalid JSON has no object keys; such files are skipped
+    raw = raw.filter(F.json_object_keys("value").isNotNull())
+    side = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("stem"), F.from_json("value", schema).alias("ann")
     )
-    side = side.filter(F.col("ann").isNotNull())
     return media.join(side, "stem")
 
 
@@ -234,3 +236,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("os", "annotations")]
+
+
+def write_files(df: DataFrame, root: str, name: str, content: str) -> None:
+    """One file per row (``root/<name>``) written by the executors holding the rows;
+    ``content`` is a string or binary column. Needs a POSIX-visible shared folder."""
+    from weft.sources.tarshards import local_path
+
+    base = local_path(root)
+
+    def write(it):
+        import os
+
+        os.makedirs(base, exist_ok=True)
+        for pdf in it:
+            for fname, data in zip(pdf[name], pdf[content]):
+                os.makedirs(os.path.dirname(os.path.join(base, fname)), exist_ok=True)
+                mode = "wb" if isinstance(data, (bytes, bytearray)) else "w"
+                with open(os.path.join(base, fname), mode) as fh:
+                    fh.write(data)
+        yield from ()
+
+    df.select(name, content).mapInPandas(write, "x int").collect()
