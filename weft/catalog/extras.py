@@ -70,3 +70,47 @@ def f36(spark, sf):
     logits = F.transform("embedding", lambda v: v.cast("double") * 10)
     s = e.select("vec_id", TX.log_softmax_stats(logits, "label").alias("s"))
     return s.select("vec_id", "s.entropy", "s.label_logprob")
+
+
+def _actions(spark, sf):
+    from weft.fixtures import fx_steps
+
+    s = fx_steps(spark, sf)
+    st = F.col("step")
+    dirs = F.array(*[F.lit(d) for d in ("up", "down", "left", "right")])
+    args = F.struct(
+        F.when(s.action == "click", F.array((st % 500).cast("double"), ((st * 3) % 700).cast("double"), (st % 500 + 50).cast("double"), ((st * 3) % 700 + 40).cast("double"))).alias("bbox"),
+        F.when(s.action == "view", F.get(dirs, (st % 4).cast("int"))).alias("direction"),
+        F.when(s.action == "purchase", F.concat(F.lit("item "), st.cast("string"))).alias("text"),
+        F.when(s.action == "error", F.lit("success")).alias("status"),
+    )
+    kind = (F.when(s.action == "click", "click_element").when(s.action == "view", "scroll").when(s.action == "purchase", "input")
+            .when(s.action == "signup", "press_home").otherwise("stop"))
+    gt = F.to_json(F.struct(kind.alias("ACTION"), args.alias("ARGS")))
+    k = st % 6
+    pred = (
+        F.when(k == 0, gt)
+        .when(k == 1, F.concat(F.lit("I will "), F.upper(kind), F.lit(" [12, 30, 60, 70] scroll down text item "), st.cast("string")))
+        .when(k == 2, F.concat(F.lit("{\"action\": \""), kind, F.lit("\"}")))
+        .when(k == 3, F.lit("nothing to do"))
+        .when(k == 4, F.concat(F.lit("type input text item "), (st + 1).cast("string")))
+        .otherwise(F.lit("press_back now"))
+    )
+    return s.select("episode", "step", gt.alias("gt"), pred.alias("pred"))
+
+
+@query("f24_f25_action_match")
+def f24(spark, sf):
+    from weft.functions.actions import compare_action, parse_action
+
+    a = _actions(spark, sf)
+    m = a.select("step", compare_action(parse_action("gt"), parse_action("pred")).alias("m"))
+    return m.select("step", "m.hit", "m.type_match", "m.exact_match", F.round("m.text_dist", 6).alias("text_dist"))
+
+
+@query("f26_indel_ratio")
+def f26(spark, sf):
+    from weft.functions.actions import indel_ratio
+
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", indel_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
