@@ -410,3 +410,30 @@ def a26(spark, sf):
     )
     g = g.withColumn("matched", F.transform("raw", lambda v: v % F.col("n")))
     return g.select("conv_id", AD.interleaved_text("sentences", "matched").alias("text"), F.size(F.slice("matched", 1, 6)).cast("bigint").alias("n_images"))
+
+
+@query(
+    "a05_vqa_pair",
+    f"""SELECT CAST(question_id AS VARCHAR) AS sample_id, 'human:<image>' || {NL} || 'What is ' || pred || '?' || {NL} || 'gpt:' || gt AS text,
+  'vqa/' || question_id::VARCHAR || '.jpg' AS media FROM fx_answers""",
+)
+def a05(spark, sf):
+    from weft.fixtures import fx_answers
+
+    a = fx_answers(spark, sf).select(
+        "question_id", F.concat(F.lit("What is "), "pred", F.lit("?")).alias("question"), F.col("gt").alias("answer"),
+        F.concat(F.lit("vqa/"), F.col("question_id").cast("string"), F.lit(".jpg")).alias("image_path"),
+    )
+    s = AD.vqa_pair_samples(a, "viquae", "question_id")
+    return s.select("sample_id", AD.turns_text().alias("text"), F.col("images")[0].alias("media"))
+
+
+@query(
+    "a07_chart_qa",
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS sample_id, 'human:<image>' || {NL} || p_type || {NL} || 'gpt:' || p_brand AS text,
+  octet_length(encode(p_name)) AS nbytes FROM part""",
+)
+def a07(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("query"), F.col("p_brand").alias("label"), F.encode("p_name", "UTF-8").alias("image"))
+    s = AD.chart_qa_samples(p, "unichart_sft", "p_partkey")
+    return s.select("sample_id", AD.turns_text().alias("text"), F.octet_length("media_bytes").cast("bigint").alias("nbytes"))

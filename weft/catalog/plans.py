@@ -21,6 +21,13 @@ def w11(spark, sf):
     return O.interleave_plan(d, "dataset", "idx", world=2, batch=4, accum=1, sp=1, seed=42)
 
 
+@query("w12_interleave_batch_shuffle")
+def w12(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), "doc_id")
+    d = positions(d, ["doc_id"], partition=["dataset"], name="idx")
+    return O.interleave_plan(d, "dataset", "idx", world=2, batch=4, accum=1, sp=1, seed=42, shuffle="batch")
+
+
 @query("w13_length_grouped")
 def w13(spark, sf):
     s = sample_length(conv_samples(spark, sf)).select("conv_id", F.col("length").cast("bigint").alias("length"))

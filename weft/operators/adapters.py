@@ -392,3 +392,18 @@ def interleaved_text(sentences: Column | str, matched: Column | str, max_images:
     text = F.array_join(tagged, " ")
     text = F.replace(F.replace(text, F.lit(IMAGE_TOKEN + " "), F.lit(IMAGE_TOKEN)), F.lit(" " + IMAGE_TOKEN), F.lit(IMAGE_TOKEN))
     return F.concat(text, F.lit(eos))
+
+
+def vqa_pair_samples(df: DataFrame, dataset: str, id_col: str, question: str = "question", answer: str = "answer",
+                     media: str = "image_path") -> DataFrame:
+    """One question/answer pair with the media path extracted from the row; the
+    image tag leads the question."""
+    turns = F.array(turn("human", F.concat(F.lit(IMAGE_TOKEN + "\n"), F.col(question))), turn("gpt", F.col(answer).cast("string")))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=F.array(media)))
+
+
+def chart_qa_samples(df: DataFrame, dataset: str, id_col: str, query_col: str = "query", label: str = "label",
+                     image_bytes: str = "image") -> DataFrame:
+    """Chart QA rows keep the image bytes next to the sample (``media_bytes``)."""
+    turns = F.array(turn("human", F.concat(F.lit(IMAGE_TOKEN + "\n"), F.col(query_col))), turn("gpt", F.col(label)))
+    return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns), F.col(image_bytes).alias("media_bytes"))

@@ -84,7 +84,7 @@ def interleave_sizes(sizes: dict[str, int], world: int, batch: int, accum: int,
 
 
 def interleave_plan(df: DataFrame, dataset: str, idx: str, world: int, batch: int, accum: int = 1, sp: int = 1,
-                    seed: int = 42, epoch: int = 0) -> DataFrame:
+                    seed: int = 42, epoch: int = 0, shuffle: str = "sample") -> DataFrame:
     """Each dataset is truncated to whole batches per rank, cut into one contiguous
     block per rank, shuffled inside the block (keyed hash of seed+epoch), and the
     datasets are interleaved proportionally, largest first: dataset i takes slots
@@ -99,8 +99,17 @@ def interleave_plan(df: DataFrame, dataset: str, idx: str, world: int, batch: in
     per_df = spark.createDataFrame([(k, int(v)) for k, v in per.items()], f"{dataset} string, _wf_per bigint")
     d = df.select(dataset, idx).join(F.broadcast(per_df), dataset).filter(F.col(idx) < F.col("_wf_per") * world)
     d = d.withColumn("rank", F.floor(F.col(idx) / F.col("_wf_per")).cast("bigint")).filter(F.col("_wf_per") > 0)
-    d = d.withColumn("_wf_h", keyed_hash(seed + epoch, F.concat_ws("|", F.col(dataset), F.col(idx).cast("string"))))
-    d = positions(d, ["_wf_h", idx], partition=[dataset, "rank"], name="j")
+    if shuffle == "sample":
+        d = d.withColumn("_wf_h", keyed_hash(seed + epoch, F.concat_ws("|", F.col(dataset), F.col(idx).cast("string"))))
+        d = positions(d, ["_wf_h", idx], partition=[dataset, "rank"], name="j")
+    elif shuffle == "batch":
+        # W12 (Q17 fix: the batch shuffle is applied): whole batches of the block move
+        # together, in keyed-hash order; rows keep their order inside a batch
+        blk = F.floor((F.col(idx) % F.col("_wf_per")) / batch)
+        d = d.withColumn("_wf_h", keyed_hash(seed + epoch, F.concat_ws("|", F.col(dataset), F.col("rank").cast("string"), blk.cast("string"))))
+        d = positions(d, ["_wf_h", idx], partition=[dataset, "rank"], name="j")
+    else:
+        raise ValueError(shuffle)
     order = sorted(per.items(), key=lambda kv: -kv[1])
     total = sum(per.values())
 
