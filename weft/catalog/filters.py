@@ -88,7 +88,7 @@ d AS (SELECT lang, CASE WHEN greatest(en, de, fr, es) = 0 THEN 'unknown' WHEN en
 SELECT lang, detected, count(*) AS n FROM d GROUP BY lang, detected""",
 )
 def p07_detect(spark, sf):
-    d = table(spark, sf, "documents").select("lang", P.detect_lang("text").alias("detected"))
+    d = P.with_detected_lang(table(spark, sf, "documents").select("lang", "text"), "text").select("lang", "detected")
     return d.groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 

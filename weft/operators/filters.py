@@ -84,9 +84,19 @@ LANG_ORDER = ["en", "de", "fr", "es"]
 
 def detect_lang(text: Column | str) -> Column:
     """Default detector for P07: the language whose stop words occur most often among
-    the lower-cased words (first in ``LANG_ORDER`` on ties; ``unknown`` with none)."""
-    ws = F.filter(F.split(F.lower(_c(text)), r"[^\p{L}]+", -1), lambda w: w != "")
-    scores = [F.size(F.filter(ws, lambda w: w.isin(STOP_WORDS[lang]))) for lang in LANG_ORDER]
+    the lower-cased words (first in ``LANG_ORDER`` on ties; ``unknown`` with none).
+    One split and one pass per text: an ``aggregate`` keeps the four counts in a struct
+    and its finishing lambda picks the language."""
+    ws = F.array_remove(F.split(F.lower(_c(text)), r"[^\p{L}]+", -1), "")
+    init = F.struct(*[F.lit(0).alias(lang) for lang in LANG_ORDER])
+
+    def step(acc: Column, w: Column) -> Column:
+        return F.struct(*[(acc[lang] + F.when(w.isin(STOP_WORDS[lang]), 1).otherwise(0)).alias(lang) for lang in LANG_ORDER])
+
+    return F.aggregate(ws, init, step, lambda acc: _pick_lang([acc[lang] for lang in LANG_ORDER]))
+
+
+def _pick_lang(scores: list[Column]) -> Column:
     best = F.greatest(*scores)
     out = F.lit("unknown")
     for lang, s in reversed(list(zip(LANG_ORDER, scores))):
@@ -94,6 +104,11 @@ def detect_lang(text: Column | str) -> Column:
     return out
 
 
+def with_detected_lang(df: DataFrame, text: str, name: str = "detected") -> DataFrame:
+    """Adds the detected language of ``text``."""
+    return df.withColumn(name, detect_lang(text))
+
+
 def lang_filter(df: DataFrame, cols: Sequence[str], lang: str = "en", detector=detect_lang) -> DataFrame:
     """Keep rows whose ``cols`` (the first QA pair) all detect as ``lang``. The
     detector is pluggable (any Column function, e.g. a pandas UDF); a null result
