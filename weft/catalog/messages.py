@@ -303,3 +303,28 @@ def m19(spark, sf):
     tasks = spark.createDataFrame([("t_et", "et"), ("t_en", "en"), ("t_de", "de")], "task string, prefix string")
     out = M.route_turns(conv_samples(spark, sf), tasks)
     return out.withColumn("turn", F.col("turn").cast("bigint"))
+
+
+@query(
+    "m06_frames_first",
+    rf"""WITH f AS (SELECT conv_id, conv_id % 5 AS n FROM (SELECT DISTINCT conv_id FROM fx_turns))
+SELECT t.conv_id, CASE WHEN t.turn = 0 THEN f.n + 1 ELSE 1 END::BIGINT AS n_parts,
+  CASE WHEN t.turn = 0 THEN regexp_replace(replace(t.value, '<image>', ''), '^\s+|\s+$', '', 'g') ELSE t.value END AS text, t.turn,
+  f.n = 0 AS bad FROM fx_turns t JOIN f USING (conv_id)""",
+)
+def m06(spark, sf):
+    s = conv_samples(spark, sf).withColumn("video", F.concat(F.lit("v"), F.col("conv_id").cast("string")))
+    n = F.col("conv_id") % 5
+    idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<bigint>"))
+    frames = s.select("video", F.explode(idx).alias("i")).select(
+        "video", F.format_string("frames/%s/%03d.jpeg", F.col("video"), F.col("i")).alias("path")
+    )
+    out = M.frames_first(s, frames)
+    ex = out.select("conv_id", "error", F.posexplode("messages").alias("turn", "m"))
+    return ex.select(
+        "conv_id",
+        F.size("m.parts").cast("bigint").alias("n_parts"),
+        F.element_at("m.parts", -1)["text"].alias("text"),
+        F.col("turn").cast("bigint").alias("turn"),
+        F.col("error").isNotNull().alias("bad"),
+    )

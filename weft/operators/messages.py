@@ -428,3 +428,28 @@ def route_turns(df: DataFrame, tasks: DataFrame) -> DataFrame:
         F.col("t.value").alias("question"),
         F.when(nxt["from"] == "gpt", nxt["value"]).alias("ground_truth"),
     )
+
+
+def frames_first(df: DataFrame, frames: DataFrame, video: str = "video", path: str = "path") -> DataFrame:
+    """The frame files of a video folder (a manifest of (video, path), e.g. from
+    ``binaryFile`` listing) become image parts before the first turn's text, whose
+    image tags are removed; a video without frames gets ``error``. The per-video
+    frame list is a bounded group."""
+    lists = frames.groupBy(video).agg(F.array_sort(F.collect_list(path)).alias("_wf_frames"))
+    j = df.join(lists, video, "left")
+    fr = F.coalesce(F.col("_wf_frames"), F.array().cast("array<string>"))
+    parts0 = F.concat(
+        F.transform(fr, lambda p: F.struct(F.lit("image").alias("kind"), F.lit(None).cast("string").alias("text"), p.alias("path"))),
+        F.array(F.struct(F.lit("text").alias("kind"), strip_ws(F.replace(F.get(F.col("turns"), 0)["value"], F.lit(IMAGE_TOKEN), F.lit(""))).alias("text"),
+                         F.lit(None).cast("string").alias("path"))),
+    )
+    msgs = F.transform(
+        F.col("turns"),
+        lambda t, i: F.struct(
+            t["from"].alias("from"),
+            F.when(i == 0, parts0).otherwise(
+                F.array(F.struct(F.lit("text").alias("kind"), t["value"].alias("text"), F.lit(None).cast("string").alias("path")))
+            ).alias("parts"),
+        ),
+    )
+    return j.withColumn("messages", msgs).withColumn("error", F.when(F.size(fr) == 0, F.lit("no frames found"))).drop("_wf_frames")
