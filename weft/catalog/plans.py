@@ -53,8 +53,8 @@ def w17(spark, sf):
     return O.pack_greedy(t, "sample", "batch", "n_tokens", "n_images", max_len=512, max_images=4, tokens_per_image=16)
 
 
-def _ratios_sql() -> str:
-    rows = ", ".join(f"({i}, {j}, {k})" for k, (i, j) in enumerate(MP.target_ratios(1, 12)))
+def _ratios_sql(lo: int = 1, hi: int = 12) -> str:
+    rows = ", ".join(f"({i}, {j}, {k})" for k, (i, j) in enumerate(MP.target_ratios(lo, hi)))
     return f"(VALUES {rows}) r(i, j, ord)"
 
 
@@ -97,3 +97,21 @@ def f30(spark, sf):
     m = fx_media(spark, sf)
     j = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return m.select("media_id", j(MP.frame_indices("frame_count", 8)).alias("frames"), j(MP.frame_indices("frame_count", 8, rounded=True)).alias("rounded"))
+
+
+@query(
+    "f28_multiscale_tile_plan",
+    f"""WITH m AS (SELECT media_id, width::DOUBLE / height AS a, (width * height)::DOUBLE AS area FROM fx_media),
+x AS (SELECT media_id, area, ord, i, j, abs(a - i::DOUBLE / j) AS d FROM m, {_ratios_sql(9, 12)}),
+mn AS (SELECT media_id, min(d) AS md FROM x GROUP BY media_id),
+c AS (SELECT x.* FROM x JOIN mn USING (media_id) WHERE d = md),
+f AS (SELECT media_id, min(ord) AS first_ord FROM c GROUP BY media_id),
+w AS (SELECT c.media_id, f.first_ord, max(CASE WHEN c.ord > f.first_ord AND c.area > 0.5 * 384 * 384 * c.i * c.j THEN c.ord END) AS win
+  FROM c JOIN f USING (media_id) GROUP BY c.media_id, f.first_ord)
+SELECT w.media_id, r.j AS "rows", r.i AS cols, 5 AS fixed, 5 + r.i * r.j AS tiles
+FROM w JOIN {_ratios_sql(9, 12)} ON r.ord = coalesce(w.win, w.first_ord)""",
+)
+def f28(spark, sf):
+    m = fx_media(spark, sf)
+    p = m.select("media_id", MP.multiscale_tile_plan("width", "height").alias("p"))
+    return p.select("media_id", *[F.col(f"p.{c}").cast("bigint").alias(c) for c in ("rows", "cols", "fixed", "tiles")])

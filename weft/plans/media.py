@@ -63,3 +63,15 @@ def frame_indices(frame_count: Column | str, num_frames: int, rounded: bool = Fa
         return F.bround(v, 0).cast("bigint") if rounded else v.cast("bigint")
 
     return F.transform(F.sequence(F.lit(0), F.lit(num_frames - 1)), at)
+
+
+def multiscale_tile_plan(width: Column | str, height: Column | str, scales: tuple[int, ...] = (384, 768, 1152), max_num: int = 12,
+                         image_size: int = 384) -> Column:
+    """square tiles for every scale but the last ((scale // first)^2 each), then a
+    dynamic grid for the last scale with at least (last // first)^2 tiles (F27 rule,
+    no thumbnail). Returns struct(rows, cols, fixed, tiles); (rows, cols) is the block
+    size of the dynamic grid."""
+    min_num = (scales[-1] // scales[0]) ** 2
+    fixed = sum((s // scales[0]) ** 2 for s in scales[:-1])
+    p = tile_plan(width, height, min_num=min_num, max_num=max_num, image_size=image_size, use_thumbnail=False)
+    return F.struct(p["rows"].alias("rows"), p["cols"].alias("cols"), F.lit(fixed).alias("fixed"), (F.lit(fixed) + p["blocks"]).alias("tiles"))
