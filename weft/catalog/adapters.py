@@ -437,3 +437,37 @@ def a07(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("query"), F.col("p_brand").alias("label"), F.encode("p_name", "UTF-8").alias("image"))
     s = AD.chart_qa_samples(p, "unichart_sft", "p_partkey")
     return s.select("sample_id", AD.turns_text().alias("text"), F.octet_length("media_bytes").cast("bigint").alias("nbytes"))
+
+
+def _qlist(xs) -> str:
+    return "[" + ", ".join(_q(x) for x in xs) + "]"
+
+
+@query(
+    "a15_ocr_full_image",
+    f"""WITH l AS (SELECT img_id, idx, CASE WHEN k % 11 = 0 THEN 'x###' ELSE 'w' || k::VARCHAR END AS tr,
+   printf('%03d,%03d,%03d,%03d', least(greatest(trunc(least(x1, x2) * 1000 / 1000), 0), 999)::BIGINT, least(greatest(trunc(least(y1, y2) * 1000 / 800), 0), 999)::BIGINT,
+     least(greatest(trunc(greatest(x1, x2) * 1000 / 1000), 0), 999)::BIGINT, least(greatest(trunc(greatest(y1, y2) * 1000 / 800), 0), 999)::BIGINT) AS box FROM fx_boxes),
+k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY idx) - 1 AS i FROM l WHERE NOT contains(tr, '###')),
+img AS (SELECT DISTINCT img_id, img_id::VARCHAR AS kk FROM fx_boxes),
+m AS (SELECT img_id, kk, {HK.format(k="kk || '|mode'")} % 3 AS mode FROM img),
+agg AS (SELECT img_id, string_agg('Inside bounding box: [' || box || '], The text is: ' || tr || chr(10), '' ORDER BY idx) AS answer,
+   string_agg(tr, ' ' ORDER BY idx) AS texts,
+   string_agg('human:' || CASE WHEN i = 0 THEN '<image>' || {NL} ELSE '' END ||
+     ({_qlist([p.split('{}')[0] for p in AD.OCR_BOX4_PROMPTS])})[{HK.format(k="img_id::VARCHAR || '|b' || i::VARCHAR")} % 5 + 1] || box ||
+     ({_qlist([p.split('{}')[1] for p in AD.OCR_BOX4_PROMPTS])})[{HK.format(k="img_id::VARCHAR || '|b' || i::VARCHAR")} % 5 + 1] || {NL} || 'gpt:' || tr, {NL} ORDER BY idx) AS per_box
+  FROM k GROUP BY img_id)
+SELECT CAST(m.img_id AS VARCHAR) AS sample_id, CASE m.mode
+  WHEN 0 THEN 'human:' || ({_qlist(AD.OCR_FULL_PROMPTS)})[{HK.format(k="kk || '|p0'")} % 5 + 1] || {NL} || 'gpt:' || coalesce(agg.answer, '')
+  WHEN 1 THEN agg.per_box
+  ELSE 'human:' || ({_qlist(AD.OCR_TEXTS_PROMPTS)})[{HK.format(k="kk || '|p2'")} % 6 + 1] || {NL} || 'gpt:' || coalesce(agg.texts, '') END AS text,
+  m.mode::INT AS mode
+FROM m LEFT JOIN agg USING (img_id) WHERE m.mode <> 1 OR agg.per_box IS NOT NULL""",
+)
+def a15(spark, sf):
+    b = fx_boxes(spark, sf)
+    text = F.when(F.col("k") % 11 == 0, F.lit("x###")).otherwise(F.concat(F.lit("w"), F.col("k").cast("string")))
+    line = F.struct("idx", F.array("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2").alias("coords"), text.alias("text"))
+    g = b.groupBy("img_id", "w", "h").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    s = AD.ocr_full_image_samples(g, "mtwi", "img_id")
+    return s.select("sample_id", AD.turns_text().alias("text"), "mode")

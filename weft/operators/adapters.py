@@ -407,3 +407,65 @@ def chart_qa_samples(df: DataFrame, dataset: str, id_col: str, query_col: str =
     """Chart QA rows keep the image bytes next to the sample (``media_bytes``)."""
     turns = F.array(turn("human", F.concat(F.lit(IMAGE_TOKEN + "\n"), F.col(query_col))), turn("gpt", F.col(label)))
     return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns), F.col(image_bytes).alias("media_bytes"))
+
+
+# Full-image OCR prompts (mode 0: boxes and text, mode 1: per box, mode 2: text only).
+OCR_FULL_PROMPTS = [
+    "<image>\n Identify the text in the image with the bounding box and the text content. The bounding box needs to be in the format of [x,y,x,y] where x and y both range from 0 to 999.",
+    "<image>\n Analyze the provided image and extract the text content along with its corresponding bounding box coordinates. The bounding box should be represented as a four-element list [x1,y1,x2,y2], where x1 and y1 denote the top-left corner coordinates, and x2 and y2 represent the bottom-right corner coordinates. All coordinates should range from 0 to 999.",
+    "<image>\n Identify and extract the text elements present within the image. For each text element, provide the corresponding bounding box coordinates in the format [x1,y1,x2,y2], where x1 and y1 represent the top-left corner, and x2 and y2 represent the bottom-right corner. All coordinates should be within the range 0 to 999.",
+    "<image>\n Analyze the visual content of the image to identify and extract the text. Each extracted text element should be accompanied by its bounding box coordinates in the format [x1,y1,x2,y2], where x1,y1,x2,and y2 are integers between 0 and 999 representing the top-left and bottom-right corners of the bounding box.",
+    "<image>\n Examine the image and extract the textual information within it. For each text segment, provide the bounding box coordinates in the format [x1,y1,x2,y2], where (x1,y1) and (x2,y2) represent the top-left and bottom-right corners, respectively. Coordinates should fall within the range 0 to 999.",
+]
+OCR_BOX4_PROMPTS = [
+    "Inside bounding box: [{}], What is the text in the bounding box?",
+    "What is the textual content enclosed by the coordinates [{}]?",
+    "Inside the defined region [{}], what text is present?",
+    "What is the text contained within the rectangular area defined by the points [{}]?",
+    "Can you identify the text that falls within the bounding box [{}]?",
+]
+OCR_TEXTS_PROMPTS = [
+    "<image>\n Identify the texts in the image.",
+    "<image>\n Extract the texts from the image.",
+    "<image>\n What are the texts in the image?",
+    "<image>\n Analyze the image and extract the textual content.",
+    "<image>\n Identify and extract all text from the image.",
+    "<image>\n Identify and list the text elements present in the image.",
+]
+
+
+def ocr_full_image_samples(df: DataFrame, dataset: str, key: str, lines: str = "lines", width: str = "w", height: str = "h",
+                           seed: int = 42) -> DataFrame:
+    """Lines [{coords: flat x,y list, text}] of one image; lines whose text has
+    ``###`` are skipped; boxes on a 0..999 grid (``int(v * 1000 / size)``, clipped).
+    A keyed hash picks the mode: 0 all boxes and texts in one answer, 1 one QA pair per
+    box (images without lines are dropped), 2 the texts joined by a space."""
+    from weft.ids import keyed_hash as kh
+
+    k = F.col(key).cast("string")
+    grid = lambda v, s: F.least(F.greatest((v * 1000 / s).cast("int"), F.lit(0)), F.lit(999))
+    kept = F.filter(F.col(lines), lambda l: ~l["text"].contains("###"))
+
+    def box(l: Column) -> Column:
+        xs = F.transform(F.filter(l["coords"], lambda _v, i: i % 2 == 0), lambda v: grid(v, F.col(width)))
+        ys = F.transform(F.filter(l["coords"], lambda _v, i: i % 2 == 1), lambda v: grid(v, F.col(height)))
+        return F.format_string("%03d,%03d,%03d,%03d", F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+    items = F.transform(kept, lambda l: F.struct(box(l).alias("box"), F.trim(l["text"]).alias("text")))
+    answer = F.array_join(F.transform(items, lambda it: F.concat(F.lit("Inside bounding box: ["), it["box"], F.lit("], The text is: "), it["text"], F.lit("\n"))), "")
+    mode = (kh(seed, F.concat(k, F.lit("|mode"))) % 3).cast("int")
+    p0 = F.get(F.array(*[F.lit(p) for p in OCR_FULL_PROMPTS]), (kh(seed, F.concat(k, F.lit("|p0"))) % 5).cast("int"))
+    p2 = F.get(F.array(*[F.lit(p) for p in OCR_TEXTS_PROMPTS]), (kh(seed, F.concat(k, F.lit("|p2"))) % 6).cast("int"))
+    pre = F.array(*[F.lit(p.split("{}")[0]) for p in OCR_BOX4_PROMPTS])
+    post = F.array(*[F.lit(p.split("{}")[1]) for p in OCR_BOX4_PROMPTS])
+    per_box = _tag_first(F.flatten(F.transform(items, lambda it, i: F.array(
+        turn("human", F.concat(F.get(pre, (kh(seed, F.concat(k, F.lit("|b"), i.cast("string"))) % 5).cast("int")), it["box"],
+                               F.get(post, (kh(seed, F.concat(k, F.lit("|b"), i.cast("string"))) % 5).cast("int")))),
+        turn("gpt", it["text"])))))
+    turns = (
+        F.when(mode == 0, F.array(turn("human", p0), turn("gpt", answer)))
+        .when(mode == 1, per_box)
+        .otherwise(F.array(turn("human", p2), turn("gpt", F.array_join(F.transform(items, lambda it: it["text"]), " "))))
+    )
+    out = df.withColumn("_wf_mode", mode).filter((F.col("_wf_mode") != 1) | (F.size(kept) > 0))
+    return out.select(*to_sample(dataset, F.col(key), F.col(key), turns), F.col("_wf_mode").alias("mode"))
