@@ -471,3 +471,40 @@ def a15(spark, sf):
     g = b.groupBy("img_id", "w", "h").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     s = AD.ocr_full_image_samples(g, "mtwi", "img_id")
     return s.select("sample_id", AD.turns_text().alias("text"), "mode")
+
+
+@query(
+    "a24_supervised_video",
+    f"""WITH m AS (SELECT media_id, frame_count, fps, least(8, frame_count) AS fl FROM fx_media)
+SELECT CAST(media_id AS VARCHAR) AS sample_id,
+  CASE media_id % 3 WHEN 0 THEN 'p/' || media_id::VARCHAR || '.mkv' WHEN 1 THEN 'v/' || media_id::VARCHAR || '.mp4' ELSE 'id' || media_id::VARCHAR || '.mp4' END AS video,
+  'human:' || repeat('<image>' || {NL}, fl) || CASE WHEN media_id % 4 = 0 THEN {_q(AD.CAPTION_QUESTION)}
+    WHEN media_id % 3 = 1 THEN 'Describe ' || media_id::VARCHAR ELSE 'what happens in ' || media_id::VARCHAR END || {NL} || 'gpt:' ||
+  CASE WHEN fl = 0 THEN 'Empty video.' WHEN media_id % 4 = 0 THEN 'cap ' || media_id::VARCHAR
+    WHEN media_id % 3 = 1 THEN 'answer ' || fps::VARCHAR ELSE 'nothing' END AS text FROM m""",
+)
+def a24(spark, sf):
+    from weft.fixtures import fx_media
+
+    m = fx_media(spark, sf)
+    mid = F.col("media_id")
+    sid = mid.cast("string")
+    caps = F.when(mid % 4 == 0, F.array(F.struct(F.lit("0").alias("idx"), F.lit("first").alias("content")),
+                                        F.struct(F.lit("-1").alias("idx"), F.concat(F.lit("cap "), sid).alias("content"))))
+    turns = F.array(
+        F.struct(F.lit("human").alias("from"), F.concat(F.lit("<video>\nDescribe "), sid, F.lit("  ")).alias("value")),
+        F.struct(F.lit("gpt").alias("from"), F.concat(F.lit("answer "), F.col("fps").cast("string"), F.lit(" ")).alias("value")),
+    )
+    d = m.select(
+        "media_id",
+        F.when(mid % 3 == 0, F.concat(F.lit("p/"), sid, F.lit(".mkv"))).alias("video_path"),
+        F.when(mid % 3 == 1, F.concat(F.lit("v/"), sid, F.lit(".mp4"))).alias("video"),
+        F.concat(F.lit("id"), sid).alias("video_id"),
+        caps.alias("captions"),
+        turns.alias("turns"),
+        F.concat(F.lit("what happens in "), sid).alias("q"),
+        F.lit("nothing").alias("a"),
+        F.least(F.lit(8), F.col("frame_count")).cast("int").alias("frames_loaded"),
+    )
+    s = AD.supervised_video_samples(d, "video_sft", "media_id")
+    return s.select("sample_id", "video", AD.turns_text().alias("text"))

@@ -469,3 +469,34 @@ def ocr_full_image_samples(df: DataFrame, dataset: str, key: str, lines: str = "
     )
     out = df.withColumn("_wf_mode", mode).filter((F.col("_wf_mode") != 1) | (F.size(kept) > 0))
     return out.select(*to_sample(dataset, F.col(key), F.col(key), turns), F.col("_wf_mode").alias("mode"))
+
+
+CAPTION_QUESTION = "Elaborate on the visual and narrative elements of the video in detail."
+
+
+def supervised_video_samples(df: DataFrame, dataset: str, key: str, frames_loaded: str = "frames_loaded") -> DataFrame:
+    """Media path from ``video_path``, else ``video``, else ``video_id`` + ``.mp4``;
+    question/answer from the last caption (with a fixed question), else from the first
+    two turns (right-stripped) when the row has a video, else ``q``/``a``; ``Empty
+    video.`` when no frame was loaded; media tags removed from the question and one
+    ``<image>\\n`` per loaded frame put in front."""
+    path = F.coalesce(F.col("video_path"), F.col("video"), F.concat(F.col("video_id"), F.lit(".mp4")))
+    rstrip = lambda c: F.regexp_replace(c, r"\s+$", "")
+    last_cap = F.element_at(F.col("captions"), -1)
+    has_caps = F.col("captions").isNotNull() & (F.size("captions") > 0)
+    q = (
+        F.when(has_caps, F.lit(CAPTION_QUESTION))
+        .when(F.col("video").isNotNull(), rstrip(F.get(F.col("turns"), 0)["value"]))
+        .otherwise(F.col("q"))
+    )
+    a = (
+        F.when(has_caps, last_cap["content"])
+        .when(F.col("video").isNotNull(), rstrip(F.get(F.col("turns"), 1)["value"]))
+        .otherwise(F.col("a"))
+    )
+    a = F.when(F.col(frames_loaded) == 0, F.lit("Empty video.")).otherwise(a)
+    for tag in (IMAGE_TOKEN, "<video>"):
+        q = F.replace(F.replace(F.replace(q, F.lit(tag + "\n"), F.lit("")), F.lit("\n" + tag), F.lit("")), F.lit(tag), F.lit(""))
+    q = F.concat(F.repeat(F.lit(IMAGE_TOKEN + "\n"), F.col(frames_loaded)), q)
+    turns = F.array(turn("human", q), turn("gpt", a))
+    return df.select(*to_sample(dataset, F.col(key), F.col(key), turns, video=path))
