@@ -203,3 +203,33 @@ def s25(spark, sf):
     t = fx_turns(spark, sf).select("conv_id", F.col("turn").alias("_wf_order"), "role")
     c = S.collate(t, "conv_id", strict=True)
     return c.select("conv_id", F.array_join("role", ",").alias("roles"), F.size("role").cast("bigint").alias("n"))
+
+
+@query(
+    "s11_resolve_index",
+    """WITH s AS (SELECT shard, count(*) AS n, CAST(substr(shard, 4) AS INT) AS num FROM fx_members GROUP BY shard)
+SELECT num % 4 AS desc_id, CASE WHEN num % 3 = 0 THEN 'http://host/abs/' || shard || '.tar'
+    ELSE 'http://host/g' || (num % 4)::VARCHAR || '/' || shard || '.tar' END AS url, n AS nsamples,
+  (num % 4 + 1)::DOUBLE AS weight, 'ds' || (num % 4)::VARCHAR AS name, NULL::VARCHAR AS dataset FROM s WHERE num % 2 = 0
+UNION ALL SELECT num % 4, 'http://mirror/c/' || shard || '.tar', n, 0.5, NULL, 'comp' || (num % 4)::VARCHAR FROM s WHERE num % 2 = 1""",
+)
+def s11(spark, sf):
+    m = fx_members(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("num", F.substring("shard", 4, 9).cast("int"))
+    rel = F.when(F.col("num") % 3 == 0, F.concat(F.lit("/abs/"), "shard", F.lit(".tar"))).otherwise(F.concat("shard", F.lit(".tar")))
+    top = m.filter(F.col("num") % 2 == 0).groupBy((F.col("num") % 4).alias("desc_id")).agg(
+        F.array_sort(F.collect_list(F.struct(rel.alias("url"), F.col("n").alias("nsamples")))).alias("shardlist"))
+    comp = m.filter(F.col("num") % 2 == 1).groupBy((F.col("num") % 4).alias("desc_id")).agg(
+        F.array_sort(F.collect_list(F.struct(F.concat("shard", F.lit(".tar")).alias("url"), F.col("n").alias("nsamples")))).alias("cshards"))
+    j = top.join(comp, "desc_id", "full")
+    desc = F.struct(
+        F.lit(1).alias("wids_version"), F.concat(F.lit("ds"), F.col("desc_id").cast("string")).alias("name"),
+        (F.col("desc_id") + 1).cast("double").alias("weight"),
+        F.concat(F.lit("http://host/g"), F.col("desc_id").cast("string"), F.lit("/")).alias("base"),
+        F.coalesce("shardlist", F.array().cast("array<struct<url:string,nsamples:bigint>>")).alias("shardlist"),
+        F.array(F.struct(F.concat(F.lit("comp"), F.col("desc_id").cast("string")).alias("name"), F.lit(0.5).alias("weight"),
+                         F.lit("http://mirror/c/").alias("base"),
+                         F.coalesce("cshards", F.array().cast("array<struct<url:string,nsamples:bigint>>")).alias("shardlist"))).alias("datasets"),
+    )
+    descs = j.select("desc_id", F.to_json(desc).alias("json"))
+    out = TS.resolve_index(descs)
+    return out.select(F.col("desc_id").cast("int").alias("desc_id"), "url", "nsamples", "weight", "name", "dataset")

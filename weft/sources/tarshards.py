@@ -181,3 +181,41 @@ def index_info(index: DataFrame) -> DataFrame:
 
 
 __all__ = ["TarShardSource", "register", "write_tar_shards", "build_shard_index", "index_info", "split_name", "human_size", "json"]
+
+
+SHARDS = "array<struct<url:string,nsamples:bigint>>"
+DESC_SCHEMA = (
+    f"struct<wids_version:int,name:string,weight:double,base:string,shardlist:{SHARDS},"
+    f"datasets:array<struct<name:string,weight:double,base:string,shardlist:{SHARDS}>>>"
+)
+
+
+def rebase(url, base):
+    """An absolute URL is kept; a host-absolute path takes the base's scheme
+    and host; a relative path is appended to the base directory (no ``..`` folding)."""
+    host = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)
+    joined = F.concat(F.regexp_replace(base, r"/+$", ""), F.lit("/"), url)
+    return (
+        F.when(base.isNull(), url)
+        .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), url)
+        .when(url.startswith("/"), F.concat(host, url))
+        .otherwise(joined)
+    )
+
+
+def resolve_index(descs: DataFrame, desc_id: str = "desc_id", json_col: str = "json") -> DataFrame:
+    """One row per shard of each descriptor: top-level shards rebased on the
+    descriptor base and given its weight and name; each component's shards rebased on
+    the component base, given the component weight and its name as ``dataset``. An
+    unknown ``wids_version`` fails the job. (Remote ``source_url`` components are
+    fetched elsewhere; pass them inline.)"""
+    d = descs.select(desc_id, F.from_json(json_col, DESC_SCHEMA).alias("d"))
+    d = d.withColumn("d", F.when(F.col("d.wids_version") == 1, F.col("d")).otherwise(F.raise_error(F.lit("Unknown wids_version")).cast(DESC_SCHEMA)))
+    top = d.select(desc_id, F.col("d.base").alias("base"), F.col("d.weight").alias("weight"), F.col("d.name").alias("name"),
+                   F.explode("d.shardlist").alias("s"))
+    top = top.select(desc_id, rebase(F.col("s.url"), F.col("base")).alias("url"), F.col("s.nsamples").alias("nsamples"), "weight", "name",
+                     F.lit(None).cast("string").alias("dataset"))
+    comp = d.select(desc_id, F.explode("d.datasets").alias("c")).select(desc_id, "c.base", "c.weight", "c.name", F.explode("c.shardlist").alias("s"))
+    comp = comp.select(desc_id, rebase(F.col("s.url"), F.col("base")).alias("url"), F.col("s.nsamples").alias("nsamples"), "weight",
+                       F.lit(None).cast("string").alias("name"), F.col("name").alias("dataset"))
+    return top.unionByName(comp)
