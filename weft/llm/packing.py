@@ -26,14 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.batches import durable, text_runs
+from weft.llm.memo import Memo
 
 WINDOW = 2048
-#: Words kept by a worker with their ids; when the table is full it starts anew.
-CACHE_WORDS = 300_000
-
 _ID_BYTES = 4
-_WORD_IDS: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
+_MEMOS: dict[str, Memo] = {}  # a worker's, by tokenizer file
 
 
 def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -43,26 +40,22 @@ def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
     end, so a text's ids are those of its space-separated parts, one after the other;
     each distinct part of a chunk goes through the tokenizer once.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    if path not in _MEMOS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def ids(parts: list[str]) -> Iterator[bytes]:
+            for a in range(0, len(parts), 4096):
+                for e in tokenizer.encode_batch_fast(parts[a : a + 4096], add_special_tokens=False):
+                    yield np.array(e.ids, dtype="<u4").tobytes()
 
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _WORD_IDS[path] = {}
-    tokenizer, known = _TOKENIZERS[path], _WORD_IDS[path]
+        _MEMOS[path] = Memo(ids)
 
     def encode(texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*parts).difference(known) if parts else set()
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = set().union(*parts)
-        todo = list(fresh)
-        for a in range(0, len(todo), 4096):
-            some = todo[a : a + 4096]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
+        get = _MEMOS[path].getter(set().union(*parts))
         return [b"".join(map(get, p)) for p in parts]
 
     return encode
