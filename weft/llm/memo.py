@@ -8,21 +8,23 @@ from collections.abc import Callable, Iterable
 class Memo:
     """At most ``2 * size`` entries, or one chunk's keys; a key in use outlives the turn of a generation."""
 
-    def __init__(self, compute: Callable[[list], Iterable], size: int = 250_000):
+    def __init__(self, compute: Callable[[list], Iterable], size: int = 500_000):
         self.compute, self.size = compute, size
         self.young: dict = {}
         self.old: dict = {}
 
-    def getter(self, keys: set) -> Callable:
-        """A lookup that holds every one of ``keys``."""
-        fresh = keys.difference(self.young)
-        if len(self.young) + len(fresh) > self.size:
-            self.old, self.young, fresh = self.young, {}, keys
-        todo = []
+    def getter(self, lists: list[list]) -> Callable:
+        """A lookup that holds every key of ``lists``."""
+        young = self.young
+        fresh = {k for keys in lists for k in keys if k not in young}
+        if len(young) + len(fresh) > self.size:
+            self.old, self.young, fresh = young, {}, set().union(*lists)
+            young = self.young
+        todo, old = [], self.old
         for k in fresh:
-            if (v := self.old.get(k)) is None:
+            if (v := old.get(k)) is None:
                 todo.append(k)
             else:
-                self.young[k] = v
-        self.young.update(zip(todo, self.compute(todo)))
-        return self.young.__getitem__
+                young[k] = v
+        young.update(zip(todo, self.compute(todo)))
+        return young.__getitem__

@@ -16,6 +16,8 @@ not read.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -33,12 +35,36 @@ _ID_BYTES = 4
 _MEMOS: dict[str, Memo] = {}  # a worker's, by tokenizer file
 
 
+#: ASCII letters, or anything else; and a word between marks of ASCII punctuation.
+_ASCII_RUNS = re.compile("[A-Za-z]+|[^A-Za-z]+")
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+_CORE = re.compile(f"({_MARKS})(.*?)({_MARKS})", re.DOTALL)
+
+
+def tokenizer_parts(word: str) -> list[str]:
+    """A word cut where the tokenizer's own first step always cuts, with ASCII letters lowered as it does.
+
+    That step takes runs of letters apart from runs of other marks, but for apostrophes
+    and its special tokens, which stay uncut here. Outside ASCII only marks around a core
+    that begins and ends in a letter are cut off.
+    """
+    if "'" in word or "<|" in word:
+        return [word]
+    if word.isascii():
+        return _ASCII_RUNS.findall(word.lower())
+    before, core, after = _CORE.fullmatch(word).groups()
+    if core and core[0].isalpha() and core[-1].lower()[-1].isalpha():
+        return [p for p in (before, core, after) if p]
+    return [word]
+
+
 def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
     """``fn(texts)`` giving each text's ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins characters across a space or a line
-    end, so a text's ids are those of its space-separated parts, one after the other;
-    each distinct part of a chunk goes through the tokenizer once.
+    end, so a text's ids are those of its space-separated words, one after the other.
+    Each distinct part of a word goes through the tokenizer once, as long as the worker
+    remembers it.
     """
     if path not in _MEMOS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,17 +72,25 @@ def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def ids(parts: list[str]) -> Iterator[bytes]:
+        def part_ids(parts: list[str]) -> Iterator[bytes]:
             for a in range(0, len(parts), 4096):
                 for e in tokenizer.encode_batch_fast(parts[a : a + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, dtype="<u4").tobytes()
+                    ids = e.ids
+                    yield struct.pack(f"<{len(ids)}I", *ids)
+
+        parts_memo = Memo(part_ids)
+
+        def word_ids(words: list[str]) -> Iterator[bytes]:
+            cut = [tokenizer_parts(w) for w in words]
+            get = parts_memo.getter(cut)
+            return (b"".join(map(get, c)) for c in cut)
 
-        _MEMOS[path] = Memo(ids)
+        _MEMOS[path] = Memo(word_ids)
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        get = _MEMOS[path].getter(set().union(*parts))
-        return [b"".join(map(get, p)) for p in parts]
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        get = _MEMOS[path].getter(words)
+        return [b"".join(map(get, w)) for w in words]
 
     return encode
 

@@ -173,7 +173,7 @@ class PieceTable:
                 cut.append([u[1:] for u in _UNIT.findall(MARK + t.replace(" ", MARK))])
             else:
                 cut.append(t.split(" "))
-        get = self.units.getter(set().union(*cut))
+        get = self.units.getter(cut)
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (self.begin, self.end))
         return [b"".join([begin, *map(get, c), end]) for c in cut]
 
