@@ -48,3 +48,10 @@ def fit_sample(documents: DataFrame, labels: DataFrame, target: str, extra=(), p
         .select("doc_id", "y", "row.*")
     )
     return sorted(rows.collect(), key=lambda r: r["doc_id"])
+
+
+def class_counts(labels: DataFrame, target: str) -> tuple[int, int]:
+    """Label rows of class 0 and 1 that aren't held out."""
+    rows = labels.where(F.col(target).isin(0, 1) & ~held_out()).groupBy(target).count().collect()
+    found = {r[0]: r[1] for r in rows}
+    return found.get(0, 0), found.get(1, 0)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.llm import quality_model, toxicity
 from weft.llm.packing import pack
 from weft.llm.pieces import digest_texts
 from weft.llm.simhash import near_duplicates
@@ -42,3 +43,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -23,14 +23,26 @@ class Subwords:
     def __init__(self, buckets: int, low: int = 3, high: int = 6):
         self.buckets, self.low, self.high = buckets, low, high
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word id of each word, n-gram ids of each character and length, first character of each word)."""
+    def _characters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points of the marked words, characters of each word, first character of each word)."""
         text = "<" + "><".join(words) + ">"
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        room = np.repeat(ends, sizes) - np.arange(len(codes))  # characters from here to the word's end
+        return codes, sizes, np.cumsum(sizes) - sizes
+
+    def _whole(self, codes: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        at = np.arange(len(codes)) - np.repeat(starts, sizes)
+        h = np.add.reduceat(codes * _POWERS[at % 64] * (at // 64 + 1).astype(np.uint64), starts)
+        return _mix(h + sizes.astype(np.uint64), self.buckets)
+
+    def whole(self, words: list[str]) -> np.ndarray:
+        """The id of each word itself."""
+        return self._whole(*self._characters(words))
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word id of each word, n-gram ids of each character and length, first character of each word)."""
+        codes, sizes, starts = self._characters(words)
+        room = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters from here to the word's end
         grams = np.full((len(codes), self.high - self.low + 1), self.buckets, dtype=np.int32)
         h = codes.copy()
         for n in range(2, self.high + 1):
@@ -39,11 +51,10 @@ class Subwords:
             h = h[:-1] * _MULTIPLIER + codes[n - 1 :]
             h ^= h >> np.uint64(29)
             if n >= self.low:
-                fits = room[: len(h)] >= n
-                grams[: len(h), n - self.low][fits] = _mix(h + np.uint64(n), self.buckets)[fits]
-        at = np.arange(len(codes)) - np.repeat(starts, sizes)
-        whole = np.add.reduceat(codes * _POWERS[at % 64] * (at // 64 + 1).astype(np.uint64), starts) + sizes.astype(np.uint64)
-        return _mix(whole, self.buckets), grams, starts
+                found = _mix(h + np.uint64(n), self.buckets)
+                found[room[: len(h)] < n] = self.buckets
+                grams[: len(h), n - self.low] = found
+        return self._whole(codes, sizes, starts), grams, starts
 
     def sums(self, words: list[str], table: np.ndarray, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """(sum of the rows of ``table`` over a word's ids, number of ids). ``table`` ends in a row of zeros."""
