@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import quality_model, toxicity
+from weft.llm import langid, quality_model, toxicity
 from weft.llm.packing import pack
 from weft.llm.pieces import digest_texts
 from weft.llm.simhash import near_duplicates
@@ -53,3 +53,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified_documents(table(spark, sf_dir, "documents"))
