@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import langid, pii, quality_model, toxicity
+from weft.llm import langid, pii, quality_model, quality_rules, toxicity
 from weft.llm.packing import pack
 from weft.llm.pieces import digest_texts
 from weft.llm.simhash import near_duplicates
@@ -63,3 +63,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
