@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import langid, pii, quality_model, quality_rules, sharding, toxicity
+from weft.llm import embed_dedup, langid, pii, quality_model, quality_rules, sharding, toxicity
 from weft.llm.packing import pack
 from weft.llm.pieces import digest_texts
 from weft.llm.simhash import near_duplicates
@@ -73,3 +73,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
