@@ -256,9 +256,13 @@ def _sign(value: str, kind: str) -> str:
     return f"[{kind}]"
 
 
-def sanitise(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with its texts redacted; all columns stay. Null texts stay null."""
+def sanitise(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``df`` with its texts redacted; all columns stay. Null texts stay null.
+
+    Where a text changes, a column named ``length`` gets its new number of characters.
+    """
     columns = df.columns
+    size = columns.index(length) if length in columns else None
     marked = find(df.withColumn("_text", F.col(text)), keep=columns, text="_text")
     # only rows with a match are kept for the joins; the others pass as they are
     found = durable(marked.where(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()))
@@ -270,6 +274,8 @@ def sanitise(df: DataFrame, text: str = "text") -> DataFrame:
             texts, spans = rb.column(place).to_pylist(), rb.column(len(columns)).to_pylist()
             new = [redact(t, [(x["start"], x["kind"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
             arrays = [pa.array(new, rb.column(i).type) if i == place else rb.column(i) for i in range(len(columns))]
+            if size is not None:
+                arrays[size] = pa.array([len(t) for t in new], rb.column(size).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     hidden = _with_terms(found, reveals).select(*columns, "_spans").mapInArrow(run, df.schema)

@@ -148,3 +148,9 @@ def scored_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     scored = score(documents, fit(documents, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``documents`` without those that the classifier rejects; all columns stay."""
+    scored = score(documents, fit(documents, labels), keep=documents.columns, name="_llm_score")
+    return scored.where(F.col("_llm_score") >= threshold).drop("_llm_score")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from weft.llm import embed_dedup, langid, pii, quality_model, quality_rules, sharding, toxicity
 from weft.llm.packing import pack
 from weft.llm.pieces import digest_texts
@@ -78,3 +79,12 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

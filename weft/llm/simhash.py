@@ -134,5 +134,16 @@ def near_duplicates(
     return rows.join(label, "_fp").withColumn("fingerprint", hex16(F.col("_fp"))).drop("_fp")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one document of each group: the one with the smallest id.
+
+    Rows that share an id are one document, of which one row stays. A row without an id
+    can't be named as the copy of another, so it stays.
+    """
+    marked = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text)
+    kept = marked.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return df.join(kept, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col]).union(df.where(F.col(id_col).isNull()))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
