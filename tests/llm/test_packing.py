@@ -94,3 +94,14 @@ def test_pour(total):
     sizes = [sum(p[2] for p in w) for w in pour(pieces, 16)]
     assert sum(sizes) == total and sizes[: total // 16] == [16] * (total // 16)
     assert all(s & (s - 1) == 0 for s in sizes)
+
+
+def test_random_strings_have_the_library_ids():
+    import random
+
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(2)
+    parts = [*"abXYZ'’é.,!#|=<>019 \n\t\x1c\x85̸́ßİΣ²Ⅷ漢😀¿…_-ǄǅſŸµªƻ", "s'", "<|endoftext|>", "the", "THE", "ed,", "Å", "ﬁ", "≠", "ées"]
+    parts += [chr(c) for c in range(0xC0, 0x250)]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20000)]
+    for text, got in zip(texts, word_id_bytes(PATH)(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text

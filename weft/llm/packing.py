@@ -37,6 +37,10 @@ _MEMOS: dict[str, Memo] = {}  # a worker's, by tokenizer file
 
 #: ASCII letters, or anything else; and a word between marks of ASCII punctuation.
 _ASCII_RUNS = re.compile("[A-Za-z]+|[^A-Za-z]+")
+#: Letters of the first blocks, all of them whole characters that lower to one character.
+_LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ƿǄ-ɏ]+")
+#: How byte-level vocabularies spell the bytes that have no sign of their own.
+_SPELLING = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 _MARKS = r"[!-&(-/:-@\[-`{-~]*"
 _CORE = re.compile(f"({_MARKS})(.*?)({_MARKS})", re.DOTALL)
 
@@ -71,12 +75,20 @@ def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model = tokenizer.model
 
         def part_ids(parts: list[str]) -> Iterator[bytes]:
-            for a in range(0, len(parts), 4096):
-                for e in tokenizer.encode_batch_fast(parts[a : a + 4096], add_special_tokens=False):
+            other = [p for p in parts if not _LATIN_WORD.fullmatch(p)]
+            encoded = {}
+            for a in range(0, len(other), 4096):
+                some = other[a : a + 4096]
+                encoded.update(zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            for p in parts:
+                if (e := encoded.get(p)) is not None:
                     ids = e.ids
-                    yield struct.pack(f"<{len(ids)}I", *ids)
+                else:  # one word of letters: the steps before the model only lower it and spell its bytes
+                    ids = [t.id for t in model.tokenize(p.lower().encode().decode("latin-1").translate(_SPELLING))]
+                yield struct.pack(f"<{len(ids)}I", *ids)
 
         parts_memo = Memo(part_ids)
 
