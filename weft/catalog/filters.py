@@ -306,7 +306,7 @@ def p20(spark, sf):
 )
 def p21(spark, sf):
     s = conv_samples(spark, sf)
-    s = s.withColumn("turns", F.when(F.col("conv_id") % 3 == 0, F.slice("turns", 2, 1000)).otherwise(F.col("turns")))
+    s = s.withColumn("turns", F.when(F.col("conv_id") % 3 == 0, F.slice("turns", F.lit(2), F.size("turns"))).otherwise(F.col("turns")))
     return P.first_human(s).select("conv_id", F.col("error").isNotNull().alias("bad"))
 
 
@@ -389,7 +389,7 @@ SELECT img_id, idx,
 def f09(spark, sf):
     b = fx_boxes(spark, sf)
     text = F.concat(F.lit("["), (F.col("idx") * 7 % 100).cast("string"), F.lit(", "), (F.col("k") % 1000).cast("string"), F.lit(", 5, 9]."))
-    g = B.grounding_box(text, "w", "h", "llava")
+    g = B.grounding_box(text, "w", "h", "square_padded")
     return b.select("img_id", "idx", *[g[i].alias(n) for i, n in enumerate(["x1", "y1", "x2", "y2"])])
 
 

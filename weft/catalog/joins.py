@@ -8,6 +8,7 @@ from weft.catalog import query
 from weft.fixtures import conv_samples, fx_answers, fx_boxes, fx_fetch, fx_lines, fx_members, fx_recap, fx_spans, fx_steps, table
 from weft.functions.boxes import iou_plus1
 from weft.functions.text import question_from_prompt
+from weft.ids import positions
 from weft.operators import joins as J
 from weft.plans.mixture import drop_positions, repeat_rows
 
@@ -264,7 +265,8 @@ def j14(spark, sf):
 
 
 MAPPING_SQL = """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS k1, p_name FROM part),
-m AS (SELECT key || '.mp4' AS key, 'cat_' || key AS category FROM (SELECT DISTINCT k1 AS key FROM w UNION SELECT DISTINCT p_name FROM w)),
+m AS (SELECT key || '.mp4' AS key, 'cat_' || key AS category FROM (SELECT DISTINCT k1 AS key FROM w UNION SELECT DISTINCT p_name FROM w
+  UNION SELECT DISTINCT repeat(p_name, 20) FROM part WHERE p_partkey % 50 = 1)),
 r AS (SELECT key, category, row_number() OVER (ORDER BY key DESC) AS rank FROM m)"""
 
 
@@ -272,21 +274,20 @@ r AS (SELECT key, category, row_number() OVER (ORDER BY key DESC) AS rank FROM m
     "j15_prefix_category",
     MAPPING_SQL
     + """,
-ids AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'zz' ELSE p_name END || '_' || p_partkey::VARCHAR AS vid FROM part)
+ids AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'zz' WHEN p_partkey % 50 = 1 THEN repeat(p_name, 20) ELSE p_name END || '_' || p_partkey::VARCHAR AS vid FROM part)
 SELECT p_partkey, coalesce((SELECT arg_min(category, rank) FROM r WHERE starts_with(vid, regexp_replace(key, '\\.[^./]*$', ''))), 'Other') AS category
 FROM ids""",
 )
 def j15(spark, sf):
     part = table(spark, sf, "part")
     k1 = F.split("p_name", " ").getItem(0)
-    keys = part.select(k1.alias("key")).union(part.select(F.col("p_name").alias("key"))).distinct()
+    long_key = F.repeat("p_name", 20)  # some hundred characters
+    keys = part.select(k1.alias("key")).union(part.select(F.col("p_name").alias("key"))).union(part.where("p_partkey % 50 = 1").select(long_key.alias("key"))).distinct()
     m = keys.select(F.concat("key", F.lit(".mp4")).alias("key"), F.concat(F.lit("cat_"), "key").alias("category"))
-    from pyspark.sql import Window
-
-    m = m.withColumn("rank", F.row_number().over(Window.orderBy(F.col("key").desc())))
+    m = positions(m, [F.col("key").desc()], name="rank")
     ids = part.select(
         "p_partkey",
-        F.concat(F.when(F.col("p_partkey") % 10 == 0, F.lit("zz")).otherwise(F.col("p_name")), F.lit("_"), F.col("p_partkey").cast("string")).alias("vid"),
+        F.concat(F.when(F.col("p_partkey") % 10 == 0, F.lit("zz")).when(F.col("p_partkey") % 50 == 1, long_key).otherwise(F.col("p_name")), F.lit("_"), F.col("p_partkey").cast("string")).alias("vid"),
     )
     return J.prefix_category(ids, m, "vid").select("p_partkey", "category")
 

@@ -120,14 +120,16 @@ BRANDS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#99"]
 
 @query(
     "g03_accuracy_rollup",
-    """WITH per AS (SELECT category, sum((pred = gt)::INT) AS m, count(*) AS t FROM fx_answers GROUP BY category
-  UNION ALL SELECT 'overall', sum((pred = gt)::INT), count(*) FROM fx_answers),
-cats AS (SELECT * FROM (VALUES ('overall'), ('Brand#1'), ('Brand#2'), ('Brand#3'), ('Brand#4'), ('Brand#5'), ('Brand#99')) v(category))
+    """WITH a AS (SELECT CASE WHEN question_id % 13 <> 0 THEN category END AS category, pred, gt FROM fx_answers),
+per AS (SELECT category, sum((pred = gt)::INT) AS m, count(*) AS t FROM a WHERE category IS NOT NULL GROUP BY category
+  UNION ALL SELECT 'Other', sum((pred = gt)::INT), count(*) FROM a WHERE category IS NULL
+  UNION ALL SELECT 'overall', sum((pred = gt)::INT), count(*) FROM a),
+cats AS (SELECT * FROM (VALUES ('overall'), ('Other'), ('Brand#1'), ('Brand#2'), ('Brand#3'), ('Brand#4'), ('Brand#5'), ('Brand#99')) v(category))
 SELECT c.category, coalesce(m, 0) / greatest(coalesce(t, 0), 1) AS accuracy FROM cats c LEFT JOIN per USING (category)""",
 )
 def g03(spark, sf):
-    a = fx_answers(spark, sf)
-    return MT.accuracy_rollup(a, "category", F.col("pred") == F.col("gt"), BRANDS)
+    a = fx_answers(spark, sf).withColumn("category", F.when(F.col("question_id") % 13 != 0, F.col("category")))
+    return MT.accuracy_rollup(a, "category", F.col("pred") == F.col("gt"), ["Other", *BRANDS])
 
 
 @query(
@@ -277,25 +279,27 @@ def g17(spark, sf):
 
 @query(
     "g18_rtl_micro",
-    f"""SELECT category, avg({TIOU_SQL}) AS mean_iou, count(*) AS count FROM fx_spans GROUP BY category
-UNION ALL SELECT 'overall', avg({TIOU_SQL}), count(*) FROM fx_spans""",
+    f"""WITH x AS (SELECT CASE WHEN qid % 7 = 0 THEN 'Other' ELSE category END AS category, {TIOU_SQL} AS i FROM fx_spans)
+SELECT category, avg(i) AS mean_iou, count(*) FILTER (WHERE i >= 0.5) / count(*) AS precision_at_05, count(*) AS count FROM x GROUP BY category
+UNION ALL SELECT 'overall', avg(i), count(*) FILTER (WHERE i >= 0.5) / count(*), count(*) FROM x""",
 )
 def g18(spark, sf):
-    return MT.rtl_micro(fx_spans(spark, sf), "category", "s", "e", "ps", "pe")
+    spans = fx_spans(spark, sf).withColumn("category", F.when(F.col("qid") % 7 != 0, F.col("category")))
+    return MT.rtl_micro(spans, "category", "s", "e", "ps", "pe")
 
 
 @query(
     "g19_action_step_metrics",
-    """WITH s AS (SELECT upper(action) AS a, type_match::DOUBLE AS tm, exact_match::DOUBLE AS em, (step % 10 <> 0)::DOUBLE AS hit,
-   CASE WHEN action = 'click' THEN (step % 7) / 7.0 END AS td FROM fx_steps)
+    """WITH s AS (SELECT CASE WHEN action = 'purchase' THEN 'INPUT' ELSE upper(action) END AS a, type_match::DOUBLE AS tm, exact_match::DOUBLE AS em,
+   (step % 10 <> 0)::DOUBLE AS hit, CASE WHEN step % 3 <> 0 THEN (step % 7) / 7.0 END AS td FROM fx_steps)
 SELECT a AS action, count(*) AS count, round(avg(tm), 4) AS type_acc, round(avg(em), 4) AS exact_acc, NULL::DOUBLE AS hit_rate,
-  round(avg(td), 4) AS text_dist FROM s GROUP BY a
-UNION ALL SELECT 'total', count(*), round(avg(tm), 4), round(avg(em), 4), round(avg(hit), 4), round(avg(td), 4) FROM s""",
+  CASE WHEN a = 'INPUT' THEN round(avg(td), 4) END AS text_dist FROM s GROUP BY a
+UNION ALL SELECT 'total', count(*), round(avg(tm), 4), round(avg(em), 4), round(avg(hit), 4), NULL FROM s""",
 )
 def g19(spark, sf):
     s = fx_steps(spark, sf).withColumn("hit", F.col("step") % 10 != 0).withColumn(
-        "td", F.when(F.col("action") == "click", (F.col("step") % 7) / 7.0)
-    )
+        "td", F.when(F.col("step") % 3 != 0, (F.col("step") % 7) / 7.0)
+    ).withColumn("action", F.when(F.col("action") == "purchase", F.lit("input")).otherwise(F.col("action")))
     return MT.action_step_metrics(s, "action", "type_match", "exact_match", "hit", "td")
 
 

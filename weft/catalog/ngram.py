@@ -106,20 +106,33 @@ def g09l(spark, sf):
     return NG.rouge(a.select(pred.alias("pred"), F.array("gt", "category").alias("refs")), "pred", "refs", with_l=True)
 
 
-NUMS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NG.NUMBER_WORDS.items()) + "}"
+def _spell_sql(n: str) -> str:
+    """English words of an integer below a million, by arithmetic."""
+    ones = "['" + "','".join(NG.ONES) + "']"
+    tens = "['" + "','".join(NG.TENS) + "']"
 
+    def below_hundred(x: str) -> str:
+        return f"(CASE WHEN {x} < 20 THEN {ones}[{x} + 1] WHEN {x} % 10 = 0 THEN {tens}[{x} // 10 - 1] ELSE {tens}[{x} // 10 - 1] || {ones}[{x} % 10 + 1] END)"
 
-def _vqa_words_sql(t: str) -> str:
-    mapped = f"array_to_string(list_transform(string_split({t}, ' '), lambda x: coalesce({NUMS_SQL}[x], x)), ' ')"
-    clean = f"lower(regexp_replace({mapped}, '[^a-zA-Z ]', '', 'g'))"
-    return WS.format(t=clean)
+    def below_thousand(x: str) -> str:
+        hundred = f"{ones}[{x} // 100 + 1] || ' hundred'"
+        return f"(CASE WHEN {x} < 100 THEN {below_hundred(x)} WHEN {x} % 100 = 0 THEN {hundred} ELSE {hundred} || ' and ' || {below_hundred(f'({x} % 100)')} END)"
+
+    rest = f"(CASE WHEN {n} % 1000 < 100 THEN ' and ' ELSE ' ' END) || {below_thousand(f'({n} % 1000)')}"
+    return f"""(CASE WHEN {n} < 1000 THEN {below_thousand(n)} WHEN {n} % 1000 = 0 THEN {below_thousand(f'({n} // 1000)')} || ' thousand'
+  ELSE {below_thousand(f'({n} // 1000)')} || ' thousand' || {rest} END)"""
+
+
+def _letters_sql(t: str) -> str:
+    return WS.format(t=f"lower(regexp_replace({t}, '[^a-zA-Z ]', '', 'g'))")
 
 
 @query(
     "g11_vqa_f1_em",
-    f"""WITH a AS (SELECT CASE WHEN question_id % 5 = 0 THEN 'yes' ELSE gt || ' ' || (n % 10)::VARCHAR END AS g,
-   pred || ' ' || n::VARCHAR AS p FROM fx_answers),
-w AS (SELECT g, {_vqa_words_sql('p')} AS c, {_vqa_words_sql('g')} AS r FROM a),
+    f"""WITH a AS (SELECT question_id % 5 = 0 AS yes, gt, pred, n::BIGINT AS n, (question_id * 7919 % 300000)::BIGINT AS big FROM fx_answers),
+t AS (SELECT CASE WHEN yes THEN 'yes' ELSE gt || ' ' || {_spell_sql('(n % 10)')} || ' ' || {_spell_sql('big')} || ' cars xd' END AS g,
+   pred || ' ' || {_spell_sql('n')} || ' ' || {_spell_sql('(big + n % 3)')} || ' cars x' AS p FROM a),
+w AS (SELECT g, {_letters_sql('p')} AS c, {_letters_sql('g')} AS r FROM t),
 s AS (SELECT g, c, r, list_distinct(c) AS cs, list_distinct(r) AS rs FROM w),
 m AS (SELECT g, c, r, cs, rs,
   len(list_filter(c, lambda x: list_contains(rs, x))) AS tp, len(list_filter(c, lambda x: NOT list_contains(rs, x))) AS fp,
@@ -130,7 +143,10 @@ SELECT CASE WHEN lower(g) IN ('yes', 'no') THEN 'closed' ELSE 'open' END AS kind
 FROM m GROUP BY 1""",
 )
 def g11(spark, sf):
-    a = fx_answers(spark, sf)
-    g = F.when(F.col("question_id") % 5 == 0, F.lit("yes")).otherwise(F.concat("gt", F.lit(" "), (F.col("n") % 10).cast("string")))
-    p = F.concat("pred", F.lit(" "), F.col("n").cast("string"))
+    a = fx_answers(spark, sf).withColumn("big", F.col("question_id") * 7919 % 300000)
+    s = lambda c: c.cast("string")
+    # numbers of any size, next to marks, and digits inside a word, which stay digits and fall out
+    g = F.concat("gt", F.lit(" "), s(F.col("n") % 10), F.lit(", ("), s(F.col("big")), F.lit(" cars) x4d"))
+    g = F.when(F.col("question_id") % 5 == 0, F.lit("yes")).otherwise(g)
+    p = F.concat("pred", F.lit(" "), s(F.col("n")), F.lit(", "), s(F.col("big") + F.col("n") % 3), F.lit(" cars, x_9"))
     return NG.vqa_f1_em(a.select(p.alias("p"), g.alias("g")), "p", "g")

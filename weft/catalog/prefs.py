@@ -89,7 +89,12 @@ def r04(spark, sf):
 
 @query(
     "r06_mask_interleaved",
-    f"SELECT conv_id, turn, {arr_sql(_state_mask_sql(7, 2))} AS labels FROM (SELECT conv_id, turn, {tok_sql()} AS ids FROM fx_turns)",
+    f"""WITH t AS (SELECT conv_id, turn, {tok_sql()} AS ids FROM fx_turns),
+p AS (SELECT conv_id, turn, i, ids[i] AS x FROM t, range(1, len(ids) + 1) r(i)),
+m AS (SELECT *, max(CASE WHEN x = 7 THEN i END) OVER w AS last_image, max(CASE WHEN x = 2 THEN i END) OVER w AS last_sep
+  FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+l AS (SELECT conv_id, turn, string_agg((CASE WHEN last_image > coalesce(last_sep, 0) THEN x ELSE -100 END)::VARCHAR, ',' ORDER BY i) AS labels FROM m GROUP BY ALL)
+SELECT t.conv_id, t.turn, coalesce(labels, '') AS labels FROM t LEFT JOIN l USING (conv_id, turn)""",
 )
 def r06(spark, sf):
     t = fx_turns(spark, sf).withColumn("ids", token_ids(F.col("value")))

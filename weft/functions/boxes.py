@@ -78,10 +78,10 @@ def boxes_in_text(text: Column | str, w: Column | None = None, h: Column | None
     return F.transform(boxes, scale)
 
 
-def grounding_box(text: Column | str, w: Column | str, h: Column | str, box_format: str = "llava") -> Column:
+def grounding_box(text: Column | str, w: Column | str, h: Column | str, box_format: str = "square_padded") -> Column:
     """strip a trailing dot and the brackets, exactly 4 numbers (else null),
     standard or ``0.``-fractional (unknown format: fractional first), then un-pad from
-    the square (llava) or scale by w, h."""
+    the square (square_padded) or scale by w, h."""
     t = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
     t = F.when(t.endswith("."), t.substr(F.lit(1), F.length(t) - 1)).otherwise(t)
     t = F.regexp_replace(t, r"^\s+|\s+$", "")
@@ -97,7 +97,7 @@ def grounding_box(text: Column | str, w: Column | str, h: Column | str, box_form
         nums = F.when(F.forall(frac, lambda v: v.isNotNull()), frac).otherwise(std)
     nums = F.when((F.size(parts) == 4) & F.forall(nums, lambda v: v.isNotNull()), nums)
     wf, hf = _c(w).cast("double"), _c(h).cast("double")
-    if "llava" in box_format:
+    if "square_padded" in box_format:
         n = F.greatest(wf, hf)
         dx, dy = (n - wf) / 2, (n - hf) / 2
         return F.array(nums[0] * n - dx, nums[1] * n - dy, nums[2] * n - dx, nums[3] * n - dy)

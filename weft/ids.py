@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 from weft.session import ensure_checkpoint_dir
 
-# Rows a side may have to be broadcast without a shuffle. Larger sides take a shuffle join.
-BROADCAST_ROW_LIMIT = 2_000_000
-
 _LOCAL_BITS = 33  # monotonically_increasing_id packs (partition << 33) + local index
 
 
@@ -43,12 +40,6 @@ def keyed_hash_sql(seed: int | str, key_sql: str) -> str:
     return f"('0x' || substr(md5('{seed}|' || CAST({key_sql} AS VARCHAR)), 1, 8))::BIGINT"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after counting the side; larger sides stay shuffle-joinable."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def read_with_row_id(spark: SparkSession, path: str, name: str = "row_id") -> DataFrame:
     """Scan parquet and add globally consecutive row ids in sorted-file order.
 
@@ -78,6 +69,13 @@ def _order_cols(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _per_task(offsets: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Offsets of tasks as a join side. Without groups it has one row per task of the range
+    exchange, a number that the plan sets, and is broadcast; with groups it may have any
+    size, so AQE chooses the join by its bytes."""
+    return offsets if part else F.broadcast(offsets)
+
+
 def positions(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -115,8 +113,7 @@ def positions(
         "_wf_first",
         F.coalesce(F.sum("_wf_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_wf_off"),
     )
-    # one row per (group, task): bounded by groups + tasks; broadcast only when checked
-    offsets = broadcast_if_small(offsets)
+    offsets = _per_task(offsets, part)
     out = local.join(offsets, grp).withColumn(
         name, (F.col("_wf_off") + F.col("_wf_mid") - F.col("_wf_first")).cast("bigint")
     )
@@ -170,7 +167,7 @@ def prefix_sum(
     totals = local.groupBy(*grp).agg(F.sum("_wf_v").alias("_wf_t"))
     w = Window.partitionBy(*part).orderBy("_wf_task") if part else Window.orderBy("_wf_task")
     offsets = totals.select(*grp, F.coalesce(F.sum("_wf_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_wf_off"))
-    offsets = broadcast_if_small(offsets)
+    offsets = _per_task(offsets, part)
     out = local.join(offsets, grp)
     cum = F.col("_wf_off") + F.col("_wf_lcum")
     if not inclusive:

@@ -2,7 +2,7 @@
 
 Physical strategy is left to Catalyst/AQE: equi-joins on ids shuffle (sort-merge) or
 broadcast when AQE sees a small side. Explicit ``broadcast`` is only used for literal
-registries or after :func:`weft.ids.broadcast_if_small` counted the side.
+registries and one-row aggregates.
 
 Non-equi joins never compare all pairs:
 
@@ -29,12 +29,21 @@ def _c(c: Column | str) -> Column:
 
 def semi_with_count_check(annotations: DataFrame, images: DataFrame, keys: Sequence[str], n_ann: str, n_img: str) -> DataFrame:
     """Keep annotations whose key has images; the image count must agree with the
-    annotation's image list (the job fails otherwise)."""
-    joined = annotations.join(images.select(*keys, n_img), list(keys), "inner")
-    bad = F.col(n_ann) != F.col(n_img)
+    annotation's image list (the job fails otherwise). Image rows are brought to one per
+    key first, so a repeated key neither repeats annotations nor hides another count."""
+    per_key = images.groupBy(*keys).agg(F.min(n_img).alias("_wf_lo"), F.max(n_img).alias("_wf_hi"))
+    joined = annotations.join(per_key, list(keys))
+    bad = (F.col(n_ann) != F.col("_wf_lo")) | (F.col(n_ann) != F.col("_wf_hi"))
     return joined.filter(
         F.when(bad, F.raise_error(F.lit("image count does not match the annotation"))).otherwise(F.lit(True))
-    ).drop(n_img)
+    ).drop("_wf_lo", "_wf_hi")
+
+
+def _last_per_key(updates: DataFrame, keys: Sequence[str], value: str, name: str, order: str | None = None) -> DataFrame:
+    """One row per key: the value with the largest ``order`` (the greatest value without
+    one), so that repeated update keys never multiply the rows they are joined to."""
+    pick = F.max(value) if order is None else F.max_by(value, order)
+    return updates.groupBy(*keys).agg(pick.alias(name))
 
 
 def attach_payloads(docs: DataFrame, payloads: DataFrame, key: str, info: str, name: str, payload: str) -> DataFrame:
@@ -54,7 +63,7 @@ def attach_payloads(docs: DataFrame, payloads: DataFrame, key: str, info: str, n
 def override(df: DataFrame, updates: DataFrame, keys: Sequence[str], col: str, new: str, only_non_empty: bool = False) -> DataFrame:
     """Left join on ``keys``; a matching ``new`` value replaces ``col``
     (optionally only when non-empty). ``overridden`` tells which rows changed."""
-    u = updates.select(*keys, F.col(new).alias("_wf_new"))
+    u = _last_per_key(updates, keys, new, "_wf_new")
     j = df.join(u, list(keys), "left")
     hit = F.col("_wf_new").isNotNull()
     if only_non_empty:
@@ -74,7 +83,7 @@ def first_caption(df: DataFrame, sources: Sequence[DataFrame], keys: Sequence[st
     names = []
     for i, s in enumerate(sources):
         n = f"_wf_c{i}"
-        out = out.join(s.select(*keys, F.col("caption").alias(n)), list(keys), "left")
+        out = out.join(_last_per_key(s, keys, "caption", n), list(keys), "left")
         names.append(F.col(n))
     return out.withColumn("caption", F.coalesce(*names, F.lit(fallback))).drop(*[f"_wf_c{i}" for i in range(len(sources))])
 
@@ -83,8 +92,8 @@ def short_long_caption(df: DataFrame, short: DataFrame, long: DataFrame, keys: S
     """Short caption, or the two-part text when a long caption exists; a missing
     short caption is empty (Q13 fix, the reference prints ``None``); tags are escaped
     and the text is ``<image>`` + caption."""
-    j = df.join(short.select(*keys, F.col("caption").alias("_wf_s")), list(keys), "left").join(
-        long.select(*keys, F.col("caption").alias("_wf_l")), list(keys), "left"
+    j = df.join(_last_per_key(short, keys, "caption", "_wf_s"), list(keys), "left").join(
+        _last_per_key(long, keys, "caption", "_wf_l"), list(keys), "left"
     )
     s = F.coalesce(F.col("_wf_s"), F.lit(""))
     both = F.concat(F.lit("### Short description: \n"), s, F.lit(" \n\n"), F.lit("### Long description: \n"), F.col("_wf_l"))
@@ -111,22 +120,21 @@ def caption_family_turns(df: DataFrame, families: DataFrame, questions: DataFram
     return out.withColumn("qa_turns", F.coalesce(turns, F.array().cast(TURNS)).cast(TURNS)).drop("_wf_f")
 
 
-def prefix_category(ids: DataFrame, mapping: DataFrame, id_col: str, max_len: int = 256) -> DataFrame:
+def prefix_category(ids: DataFrame, mapping: DataFrame, id_col: str) -> DataFrame:
     """Category of the first mapping entry (by ``rank``) whose key without
     extension is a prefix of the id; ``Other`` when none matches.
 
-    Equi-join on every prefix of the id (at most ``max_len`` per id) instead of a
-    nested loop: exact, and scales with both sides.
+    Equi-join on the prefixes of the id instead of a nested loop. Only the lengths that
+    some key has are tried (a set of small numbers, aggregated from the mapping), so keys
+    of any length match and an id makes as many rows as there are such lengths.
     """
     m = mapping.select(
         F.regexp_replace("key", r"\.[^./]*$", "").alias("_wf_base"), "category", "rank"
     )
-    pre = ids.select(id_col).distinct().select(
-        id_col,
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.least(F.length(id_col), F.lit(max_len))), lambda n: F.substring(F.col(id_col), 1, n))
-        ).alias("_wf_base"),
-    )
+    lengths = m.agg(F.collect_set(F.length("_wf_base")).alias("_wf_lens")).withColumn("_wf_one", F.lit(1))
+    pre = ids.select(id_col).distinct().withColumn("_wf_one", F.lit(1)).join(F.broadcast(lengths), "_wf_one")
+    fitting = F.filter("_wf_lens", lambda n: n <= F.length(id_col))
+    pre = pre.select(id_col, F.explode(F.transform(fitting, lambda n: F.substring(F.col(id_col), F.lit(1), n))).alias("_wf_base"))
     best = pre.join(m, "_wf_base").groupBy(id_col).agg(F.min_by("category", "rank").alias("category"))
     return ids.join(best, id_col, "left").withColumn("category", F.coalesce("category", F.lit("Other")))
 

@@ -22,6 +22,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _level(category: str, overall: str) -> Column:
+    """Category of a rollup row; the total is told by its grouping id, not by a null."""
+    return F.when(F.col("_wf_all") == 1, F.lit(overall)).otherwise(F.col(category))
+
+
 def accuracy(df: DataFrame, pred: str, target: str, name: str = "accuracy") -> DataFrame:
     """Mean of exact matches."""
     return df.agg(F.avg((F.col(pred) == F.col(target)).cast("double")).alias(name))
@@ -37,8 +42,9 @@ def accuracy_rollup(df: DataFrame, category: str, correct: Column, categories: S
     """``overall`` plus every listed category (present even with no rows), with
     accuracy = matches / max(total, 1)."""
     spark = df.sparkSession
-    per = df.rollup(category).agg(F.sum(correct.cast("int")).alias("match"), F.count(F.lit(1)).alias("total"))
-    per = per.select(F.coalesce(F.col(category), F.lit("overall")).alias("category"), "match", "total")
+    d = df.select(F.coalesce(F.col(category), F.lit("Other")).alias("_wf_cat"), correct.cast("int").alias("_wf_ok"))
+    per = d.rollup("_wf_cat").agg(F.sum("_wf_ok").alias("match"), F.count(F.lit(1)).alias("total"), F.grouping_id().alias("_wf_all"))
+    per = per.select(_level("_wf_cat", "overall").alias("category"), "match", "total")
     cats = spark.createDataFrame([(c,) for c in ["overall", *categories]], "category string")
     out = cats.join(per, "category", "left")
     return out.select(
@@ -51,8 +57,8 @@ def accuracy_by(df: DataFrame, category: str, correct: Column) -> DataFrame:
     """Overall and per-category accuracy and count (missing category = ``Other``),
     sorted by count descending (K07)."""
     d = df.withColumn("_wf_cat", F.coalesce(F.col(category), F.lit("Other")))
-    r = d.rollup("_wf_cat").agg(F.avg(correct.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("count"))
-    r = r.select(F.coalesce("_wf_cat", F.lit("Overall")).alias("category"), "accuracy", "count")
+    r = d.rollup("_wf_cat").agg(F.avg(correct.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_wf_all"))
+    r = r.select(_level("_wf_cat", "Overall").alias("category"), "accuracy", "count")
     return r.orderBy(F.col("count").desc(), "category")
 
 
@@ -128,15 +134,22 @@ def rtl_macro(df: DataFrame, vid: str, s: str, e: str, ps: str, pe: str) -> Data
 
 
 def rtl_micro(df: DataFrame, category: str, s: str, e: str, ps: str, pe: str) -> DataFrame:
-    """Temporal IoU micro mean overall and per category, with counts."""
+    """Temporal IoU and precision@0.5, micro means overall and per category (a missing
+    category is ``Other``), with counts."""
     iou = temporal_iou(F.col(ps), F.col(pe), F.col(s), F.col(e))
-    r = df.rollup(category).agg(F.avg(iou).alias("mean_iou"), F.count(F.lit(1)).alias("count"))
-    return r.select(F.coalesce(F.col(category), F.lit("overall")).alias("category"), "mean_iou", "count")
+    d = df.select(F.coalesce(F.col(category), F.lit("Other")).alias("_wf_cat"), iou.alias("_wf_iou"))
+    r = d.rollup("_wf_cat").agg(
+        F.avg("_wf_iou").alias("mean_iou"),
+        F.avg((F.col("_wf_iou") >= 0.5).cast("double")).alias("precision_at_05"),
+        F.count(F.lit(1)).alias("count"),
+        F.grouping_id().alias("_wf_all"),
+    )
+    return r.select(_level("_wf_cat", "overall").alias("category"), "mean_iou", "precision_at_05", "count")
 
 
 def action_step_metrics(df: DataFrame, action: str, type_match: str, exact_match: str, hit: str, text_dist: str | None = None) -> DataFrame:
     """Per action type and ``total``: count, type accuracy, exact accuracy (and
-    the total hit rate, the INPUT text-ratio mean), rounded to 4 places."""
+    the total's hit rate, the text-ratio mean of INPUT alone), rounded to 4 places."""
     aggs = [
         F.count(F.lit(1)).alias("count"),
         F.round(F.avg(F.col(type_match).cast("double")), ROUND).alias("type_acc"),
@@ -145,9 +158,11 @@ def action_step_metrics(df: DataFrame, action: str, type_match: str, exact_match
     ]
     if text_dist is not None:
         aggs.append(F.round(F.avg(text_dist), ROUND).alias("text_dist"))
-    r = df.withColumn("_wf_a", F.upper(action)).rollup("_wf_a").agg(*aggs)
-    r = r.withColumn("action", F.coalesce("_wf_a", F.lit("total"))).drop("_wf_a")
-    return r.withColumn("hit_rate", F.when(F.col("action") == "total", F.col("hit_rate")))
+    r = df.withColumn("_wf_a", F.coalesce(F.upper(action), F.lit("OTHER"))).rollup("_wf_a").agg(*aggs, F.grouping_id().alias("_wf_all"))
+    r = r.withColumn("action", _level("_wf_a", "total")).withColumn("hit_rate", F.when(F.col("_wf_all") == 1, F.col("hit_rate")))
+    if text_dist is not None:
+        r = r.withColumn("text_dist", F.when(F.col("action") == "INPUT", F.col("text_dist")))
+    return r.drop("_wf_a", "_wf_all")
 
 
 def episode_metrics(df: DataFrame, episode: str, step: str, exact: str) -> DataFrame:

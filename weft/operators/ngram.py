@@ -194,25 +194,68 @@ def rouge(df: DataFrame, pred: str, refs: str, with_l: bool = True) -> DataFrame
     return d.agg(*aggs)
 
 
-def number_words(n: int) -> str:
-    """English words for 0..99 joined without the hyphen (the letters-only form)."""
-    ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-    if n < 20:
-        return ones[n]
-    t, o = divmod(n, 10)
-    return tens[t - 2] + ("" if o == 0 else ones[o])
+# English number words and the Latin parts of the names of powers of 1000.
+ONES = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+    "seventeen eighteen nineteen"
+).split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+ILLIONS = "m b tr quadr quint sext sept oct non".split()
+ILLION_UNITS = ["", "un", "duo", "tre", "quattuor", "quin", "sex", "sept", "octo", "novem"]
+ILLION_TENS = "dec vigint trigint quadragint quinquagint sexagint septuagint octogint nonagint".split()
 
+_AROUND = r"[\p{L}\p{N}_]"
+_CUT = "\u0001"
 
-NUMBER_WORDS = {str(i): number_words(i) for i in range(100)}
+
+def _below_thousand() -> list[str]:
+    """Words of 0..999 without hyphens (0 is empty: a group of zeros is not spoken)."""
+    small = ONES + [t + (ONES[o] if o else "") for t in TENS for o in range(10)]
+    out = ["", *small[1:]]
+    for h in range(1, 10):
+        out += [f"{ONES[h]} hundred" + (f" and {small[r]}" if r else "") for r in range(100)]
+    return out
+
+
+def _powers() -> list[str]:
+    """Names of 1000^k for k = 0..101, up to the centillion."""
+    names = ILLIONS + [u + t for t in ILLION_TENS for u in ILLION_UNITS] + ["cent"]
+    return ["", "thousand", *[f"{n}illion" for n in names]]
+
+
+def spell_number(digits: Column) -> Column:
+    """English words of a run of digits of any length, in the letters-only form.
+
+    Groups of three digits are looked up and named by their power of 1000; a last group
+    below 100 is joined by ``and``. Beyond the largest name, names are multiplied.
+    """
+    table = F.split(F.lit(",".join(_below_thousand())), ",")  # one constant each
+    powers = _powers()
+    names = F.split(F.lit(",".join(powers)), ",")
+    top = len(powers) - 1
+    d = F.regexp_replace(digits, "^0+", "")
+    padded = F.lpad(d, (3 * F.ceil(F.length(d) / 3)).cast("int"), "0")
+    triples = F.regexp_extract_all(padded, F.lit("[0-9]{3}"), 0)
+
+    def spoken(t: Column) -> Column:
+        words = F.filter(F.transform(t, lambda s, i: group(s.cast("int"), F.size(t) - 1 - i, F.size(t))), lambda w: w.isNotNull())
+        return F.array_join(words, " ")
+
+    def group(value: Column, k: Column, groups: Column) -> Column:
+        name = F.concat_ws(" ", F.element_at(names, k % top + 1), F.repeat(F.lit(f"{powers[-1]} "), F.floor(k / top).cast("int")))
+        joined = F.when((k == 0) & (value < 100) & (groups > 1), F.lit("and ")).otherwise(F.lit(""))
+        return F.when(value > 0, F.concat_ws(" ", F.concat(joined, F.element_at(table, value + 1)), name))
+
+    said = F.element_at(F.transform(F.array(triples), spoken), 1)
+    return F.when(F.length(d) == 0, F.lit(ONES[0])).otherwise(said)
 
 
 def vqa_words(text: Column) -> Column:
-    """digits runs (0..99) to words, letters and spaces only, lower-cased words."""
-    m = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    toks = F.split(text, " ", -1)
-    with_words = F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(m, t), t)), " ")
-    clean = F.lower(F.regexp_replace(with_words, r"[^a-zA-Z ]", ""))
+    """digit runs that stand alone to words, letters and spaces only, lower-cased words."""
+    marked = F.regexp_replace(F.replace(text, F.lit(_CUT), F.lit(".")), rf"(?<!{_AROUND})([0-9]+)(?!{_AROUND})", f"{_CUT}$1{_CUT}")
+    # every other piece is a number
+    spelled = F.transform(F.split(marked, _CUT, -1), lambda s, i: F.when(i % 2 == 1, spell_number(s)).otherwise(s))
+    clean = F.lower(F.regexp_replace(F.array_join(spelled, ""), r"[^a-zA-Z ]", ""))
     return words(clean)
 
 
@@ -220,20 +263,21 @@ def vqa_f1_em(df: DataFrame, pred: str, gt: str) -> DataFrame:
     """Token F1 and the matched-word ratio (Q22: distinct reference words found in
     the candidate over the candidate word count; 0.0 for an empty candidate), averaged
     separately for yes/no ground truths (``closed``) and the rest (``open``)."""
-    c, r = vqa_words(F.col(pred)), vqa_words(F.col(gt))
-    cs, rs = F.array_distinct(c), F.array_distinct(r)
-
-    def cnt(arr: Column, w: Column) -> Column:
-        return F.size(F.filter(arr, lambda x: x == w))
-
-    tp = F.aggregate(F.filter(cs, lambda w: F.array_contains(rs, w)), F.lit(0), lambda a, w: a + cnt(c, w))
-    fp = F.aggregate(F.filter(cs, lambda w: ~F.array_contains(rs, w)), F.lit(0), lambda a, w: a + cnt(c, w))
-    fn = F.aggregate(F.filter(rs, lambda w: ~F.array_contains(cs, w)), F.lit(0), lambda a, w: a + cnt(r, w))
-    prec = tp / (tp + fp)
-    rec = tp / (tp + fn)
-    f1 = F.when((F.size(c) == 0) | (F.size(r) == 0) | (tp == 0), F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
-    em = F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.size(F.filter(rs, lambda w: F.array_contains(cs, w))) / F.size(c))
+
+    def scores(x: Column) -> Column:
+        c, r, cs, rs = x["c"], x["r"], F.array_distinct(x["c"]), F.array_distinct(x["r"])
+        tp = F.size(F.filter(c, lambda w: F.array_contains(r, w)))
+        fp = F.size(c) - tp
+        fn = F.size(F.filter(r, lambda w: ~F.array_contains(c, w)))
+        prec, rec = tp / (tp + fp), tp / (tp + fn)
+        f1 = F.when((F.size(c) == 0) | (F.size(r) == 0) | (tp == 0), F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
+        em = F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(rs, cs)) / F.size(c))
+        return F.struct(f1.alias("f1"), em.alias("em"))
+
+    # both word lists are worked out once and bound to the lambda's argument
+    both = F.array(F.struct(vqa_words(F.col(pred)).alias("c"), vqa_words(F.col(gt)).alias("r")))
+    found = F.explode(F.transform(both, scores))
     kind = F.when(F.lower(F.col(gt)).isin("yes", "no"), F.lit("closed")).otherwise(F.lit("open"))
-    return df.select(kind.alias("kind"), f1.alias("f1"), em.alias("em")).groupBy("kind").agg(
-        F.avg("f1").alias("f1"), F.avg("em").alias("exact_match"), F.count(F.lit(1)).alias("n")
+    return df.select(kind.alias("kind"), found.alias("s")).groupBy("kind").agg(
+        F.avg("s.f1").alias("f1"), F.avg("s.em").alias("exact_match"), F.count(F.lit(1)).alias("n")
     )
