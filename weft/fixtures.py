@@ -227,6 +227,8 @@ def with_fx(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({FX_SQL[n]})" for n in need)
     body = sql.lstrip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -1,55 +1,56 @@
-"""Training order and packing plans that need a sequential rule inside a bounded group
-(W11, W13, W14, W17). Spark forms the groups (keyed-hash order, positions, group ids)
-and ``applyInPandas`` runs the greedy rule on integer columns only (ids, lengths); the
-plan is joined back to the samples by id. Group sizes: a mega-batch (W13/W14,
-world x batch rows), a collate batch (W17), a rank's own plan (W11).
+"""Training order and packing plans.
+
+Spark forms the groups (keyed-hash order, positions, group ids). The interleave slots are
+integer arithmetic on columns. Only the two greedy rules run in ``applyInPandas``, on
+integer columns (ids, lengths) of a group whose size the caller sets: a mega-batch
+(W13/W14, world x batch rows) or a collate batch (W17). Plans are joined back by id.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.ids import keyed_hash, positions
 
 
-def _even_chunks(order: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
-    """Chunk id per position: strided when not divisible, else greedy shortest-first
-    with a chunk closed once it holds n/k items."""
-    n = len(order)
-    if n % k != 0:
-        return np.arange(n) % k
-    per = n // k
-    sums = np.zeros(k)
-    counts = np.zeros(k, dtype=int)
-    out = np.empty(n, dtype=int)
-    for p in range(n):
-        c = int(np.argmin(sums))
-        out[p] = c
-        sums[c] += lengths[p]
-        counts[c] += 1
-        if counts[c] == per:
-            sums[c] = np.inf
-    return out
+def deal_evenly(lengths: list[int], k: int) -> list[int]:
+    """Chunk of each item when items are dealt, in order, to ``k`` chunks of equal counts.
+
+    An item goes to the chunk with the least total length that still has room (the lowest
+    number of equal ones). When the count does not divide by ``k``, items go round robin.
+    """
+    room, rest = divmod(len(lengths), k)
+    if rest:
+        return [i % k for i in range(len(lengths))]
+    # a heap of (total length, chunk, places left): a chunk without places is not put back
+    open_chunks = [(0, c, room) for c in range(k)] if room else []
+    heapify(open_chunks)
+    dealt = []
+    for n in lengths:
+        total, c, places = heappop(open_chunks)
+        dealt.append(c)
+        if places > 1:
+            heappush(open_chunks, (total + n, c, places - 1))
+    return dealt
 
 
 def length_grouped(df: DataFrame, key: str, length: str, batch: int, world: int, seed: int = 42) -> DataFrame:
     """Random mega-batches of world x batch rows (keyed-hash order), sorted by
-    length descending inside (stable), then split into ``world`` chunks of roughly
+    length descending inside (stable), then dealt to ``world`` chunks of roughly
     equal total length. Adds (megabatch, chunk, pos)."""
     mb = world * batch
     d = positions(df.select(key, length).withColumn("_wf_h", keyed_hash(seed, key)), ["_wf_h", key], name="_wf_p")
     d = d.withColumn("megabatch", F.floor(F.col("_wf_p") / mb).cast("bigint"))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_wf_p", kind="stable")
-        pdf = pdf.iloc[np.argsort(-pdf[length].to_numpy(), kind="stable")]
-        chunk = _even_chunks(pdf[key].to_numpy(), pdf[length].to_numpy(), world)
-        out = pd.DataFrame({key: pdf[key].to_numpy(), "megabatch": pdf["megabatch"].to_numpy(), "chunk": chunk})
-        out["pos"] = out.groupby("chunk").cumcount()
-        return out
+        pdf = pdf.sort_values([length, "_wf_p"], ascending=[False, True])
+        out = pdf[[key, "megabatch"]].assign(chunk=deal_evenly(pdf[length].tolist(), world))
+        return out.assign(pos=out.groupby("chunk").cumcount())
 
     schema = f"{key} {dict(df.dtypes)[key]}, megabatch bigint, chunk bigint, pos bigint"
     return d.groupBy("megabatch").applyInPandas(plan, schema)
@@ -57,24 +58,38 @@ def length_grouped(df: DataFrame, key: str, length: str, batch: int, world: int,
 
 def modality_grouped(df: DataFrame, key: str, length: str, batch: int, world: int, seed: int = 42) -> DataFrame:
     """Media rows (length > 0) and text rows (length < 0) are length-grouped
-    separately; the last partial mega-batch of each is merged into one extra
-    mega-batch (sorted by key) placed last; full mega-batches are shuffled by keyed
-    hash. A zero length fails the job."""
+    separately. When both occur, the last mega-batch of each, full or not, leaves its place:
+    the two make one extra mega-batch, sorted by key, at the end. The others are shuffled by
+    keyed hash. A zero length fails the job.
+
+    Columns: modality, megabatch (-1 for the extra one), chunk (-1 there), pos, megabatch_order
+    (the place of the mega-batch among all) and extra.
+    """
     checked = df.withColumn(
         "_wf_len", F.when(F.col(length) == 0, F.raise_error(F.lit("Should not have zero length.")).cast("bigint")).otherwise(F.col(length))
     )
-    mb = world * batch
     parts = []
     for name, cond, sign in (("mm", F.col("_wf_len") > 0, 1), ("lang", F.col("_wf_len") < 0, -1)):
         sub = checked.filter(cond).select(key, (F.col("_wf_len") * sign).alias(length))
-        g = length_grouped(sub, key, length, batch, world, seed).withColumn("modality", F.lit(name))
-        sizes = g.groupBy("megabatch").agg(F.count(F.lit(1)).alias("_wf_sz"))
-        parts.append(g.join(sizes, "megabatch"))
+        parts.append(length_grouped(sub, key, length, batch, world, seed).withColumn("modality", F.lit(name)))
     allp = parts[0].unionByName(parts[1])
-    full = allp.filter(F.col("_wf_sz") == mb).withColumn("_wf_o", keyed_hash(seed + 1, F.concat_ws("|", "modality", F.col("megabatch").cast("string"))))
-    extra = allp.filter(F.col("_wf_sz") < mb).withColumn("_wf_o", F.lit(1 << 40).cast("bigint"))
-    out = full.unionByName(extra)
-    return out.select(key, "modality", "megabatch", "chunk", "pos", F.col("_wf_o").alias("megabatch_order"), (F.col("_wf_sz") < mb).alias("extra"))
+    last = allp.groupBy("modality").agg(F.max("megabatch").alias("_wf_last"))  # at most two rows
+    both = last.agg(F.count(F.lit(1)).alias("_wf_kinds")).withColumn("_wf_one", F.lit(1))
+    last = last.withColumn("_wf_one", F.lit(1)).join(F.broadcast(both), "_wf_one").drop("_wf_one")
+    placed = allp.join(F.broadcast(last), "modality").withColumn("extra", (F.col("_wf_kinds") == 2) & (F.col("megabatch") == F.col("_wf_last")))
+    full = placed.filter(~F.col("extra"))
+    order = full.select("modality", "megabatch").distinct().withColumn(
+        "_wf_h", keyed_hash(seed + 1, F.concat_ws("|", "modality", F.col("megabatch").cast("string")))
+    )
+    order = positions(order, ["_wf_h", "modality", "megabatch"], name="megabatch_order")
+    full = full.join(order.select("modality", "megabatch", "megabatch_order"), ["modality", "megabatch"])
+    # at most two mega-batches, whatever the data
+    n_full = order.agg(F.count(F.lit(1)).alias("megabatch_order")).withColumn("_wf_one", F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("extra").orderBy(key)) - 1
+    extra = placed.filter("extra").withColumn("_wf_one", F.lit(1)).join(F.broadcast(n_full), "_wf_one")
+    extra = extra.withColumn("pos", rank.cast("bigint")).withColumn("megabatch", F.lit(-1).cast("bigint")).withColumn("chunk", F.lit(-1).cast("bigint"))
+    cols = [key, "modality", "megabatch", "chunk", "pos", "megabatch_order", "extra"]
+    return full.select(*cols).unionByName(extra.select(*cols))
 
 
 def interleave_sizes(sizes: dict[str, int], world: int, batch: int, accum: int, sp: int) -> dict[str, int]:
@@ -90,8 +105,10 @@ def interleave_plan(df: DataFrame, dataset: str, idx: str, world: int, batch: in
     datasets are interleaved proportionally, largest first: dataset i takes slots
     ``j * free // n_i`` of the slots still free. Returns (dataset, idx, rank, slot).
 
-    Dataset names and sizes are driver-side (one row per dataset); the slot assignment
-    runs per rank on (dataset, position) integers only.
+    Dataset names and sizes are driver-side (one row per dataset). A slot among those
+    still free is brought back, level by level, to its number among all: when a dataset
+    took slots ``j * free // n``, the k-th slot that it left is
+    ``ceil((k + 1) * free / (free - n)) - 1``.
     """
     sizes = {r[dataset]: r["n"] for r in df.groupBy(dataset).agg(F.count(F.lit(1)).alias("n")).collect()}
     per = interleave_sizes(sizes, world, batch, accum, sp)
@@ -110,23 +127,48 @@ def interleave_plan(df: DataFrame, dataset: str, idx: str, world: int, batch: in
         d = positions(d, ["_wf_h", idx], partition=[dataset, "rank"], name="j")
     else:
         raise ValueError(shuffle)
-    order = sorted(per.items(), key=lambda kv: -kv[1])
-    total = sum(per.values())
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        available = np.arange(total)
-        slot_of: dict[str, np.ndarray] = {}
-        for name, n in order:
-            if n == 0:
-                continue
-            t = (np.arange(n) * len(available)) // n
-            slot_of[name] = available[t]
-            available = np.delete(available, t)
-        slots = np.array([slot_of[ds][j] for ds, j in zip(pdf[dataset], pdf["j"])], dtype=np.int64)
-        return pd.DataFrame({dataset: pdf[dataset], idx: pdf[idx], "rank": pdf["rank"], "slot": slots})
-
-    schema = f"{dataset} string, {idx} {dict(df.dtypes)[idx]}, rank bigint, slot bigint"
-    return d.select(dataset, idx, "rank", "j").groupBy("rank").applyInPandas(plan, schema)
+    levels, free, rows = [], sum(per.values()), []
+    for name, n in sorted(per.items(), key=lambda kv: (-kv[1], kv[0])):
+        if n:
+            rows.append((name, free, n, list(reversed(levels))))
+            levels.append((free, n))
+            free -= n
+    level_df = spark.createDataFrame(rows, f"{dataset} string, _wf_free bigint, _wf_n bigint, _wf_levels array<struct<free:bigint,n:bigint>>")
+    d = d.select(dataset, idx, "rank", "j").join(F.broadcast(level_df), dataset)
+    taken = F.call_function("div", F.col("j") * F.col("_wf_free"), F.col("_wf_n"))
+    slot = F.aggregate("_wf_levels", taken, lambda k, v: _ceil_div((k + 1) * v["free"], v["free"] - v["n"]) - 1)
+    return d.select(dataset, idx, "rank", slot.alias("slot"))
+
+
+def _ceil_div(a, b):
+    """Exact integer division, rounded up."""
+    return F.call_function("div", a + b - 1, b)
+
+
+class _OpenPack:
+    """The pack being filled, and the longest pack closed so far."""
+
+    def __init__(self, max_len: int, max_images: int, sp: int):
+        self.max_len, self.max_images, self.sp = max_len, max_images, sp
+        self.number, self.longest = 0, 0
+        self.samples = self.tokens = self.images = 0
+
+    def takes(self, tokens: int, images: int) -> bool:
+        if self.tokens + tokens > self.max_len:
+            return False
+        if self.images < max(self.sp, 1):
+            return True  # it still needs images, so only its length counts
+        return self.images + images <= self.max_images and self.tokens + tokens <= self.longest
+
+    def place(self, tokens: int, images: int) -> tuple[int, int]:
+        """(pack, offset) of the next sample."""
+        if self.samples and not self.takes(tokens, images):
+            self.longest = max(self.longest, self.tokens)
+            self.number += 1
+            self.samples = self.tokens = self.images = 0
+        at = self.number, self.tokens
+        self.samples, self.tokens, self.images = self.samples + 1, self.tokens + tokens, self.images + images
+        return at
 
 
 def pack_greedy(df: DataFrame, key: str, group: str, n_tokens: str, n_images: str, max_len: int, max_images: int,
@@ -138,25 +180,12 @@ def pack_greedy(df: DataFrame, key: str, group: str, n_tokens: str, n_images: st
     ``max_len`` on its own is flagged (``pack`` = -1). Adds (pack, offset, seqlen)."""
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        inc = pdf[n_tokens].to_numpy() + pdf[n_images].to_numpy() * (tokens_per_image - 1)
-        order = np.lexsort((pdf[key].to_numpy(), -inc))
-        packs = np.full(len(pdf), -1, dtype=np.int64)
-        offs = np.zeros(len(pdf), dtype=np.int64)
-        pack_id, cur_len, cur_img, max_sample = 0, 0, 0, 0
-        started = False
-        for p in order:
-            n, im = int(inc[p]), int(pdf[n_images].iat[p])
-            if n > max_len:
-                continue
-            fits = (cur_img == 0 or cur_img < sp or (cur_img + im <= max_images and cur_len + n <= max_sample)) and cur_len + n <= max_len
-            if started and not fits:
-                max_sample = max(max_sample, cur_len)
-                pack_id, cur_len, cur_img = pack_id + 1, 0, 0
-            packs[p], offs[p] = pack_id, cur_len
-            cur_len += n
-            cur_img += im
-            started = True
-        return pd.DataFrame({key: pdf[key], group: pdf[group], "pack": packs, "offset": offs, "seqlen": inc.astype(np.int64)})
+        seqlen = (pdf[n_tokens] + pdf[n_images] * (tokens_per_image - 1)).astype(np.int64)
+        pdf = pdf.assign(seqlen=seqlen).sort_values(["seqlen", key], ascending=[False, True])
+        state = _OpenPack(max_len, max_images, sp)
+        places = [(-1, 0) if n > max_len else state.place(n, m) for n, m in zip(pdf["seqlen"].tolist(), pdf[n_images].tolist())]
+        packs, offsets = zip(*places)
+        return pdf[[key, group]].assign(pack=packs, offset=offsets, seqlen=pdf["seqlen"])
 
     dt = dict(df.dtypes)
     schema = f"{key} {dt[key]}, {group} {dt[group]}, pack bigint, offset bigint, seqlen bigint"
