@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SMALL
+from weft.catalog import QUERIES as LIBRARY
 from weft.oracle import compare
 
 QUERIES = entry.queries()
@@ -18,10 +19,8 @@ def test_matches_oracle(spark, duck_small, name):
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs_without_oracle(spark, name):
-    df = QUERIES[name](spark, SMALL)
-    assert df.count() >= 0
+def test_every_query_of_the_library_has_an_oracle():
+    assert not set(LIBRARY) - set(ORACLE)
 
 
 def test_entry_smoke(spark):

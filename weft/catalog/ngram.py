@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog import query
 from weft.fixtures import fx_answers, table
+from weft.functions.lcs import lcs_sql
 from weft.operators import ngram as NG
 
 WS = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
@@ -91,6 +92,9 @@ def _rouge_sql(p: str, r: str, n: int) -> str:
 ROUGE_IN = "(SELECT CASE WHEN question_id % 11 = 0 THEN 'dummy text' ELSE pred || '. ' || category END AS p, gt || ' ' || category AS r FROM fx_answers)"
 
 
+ROUGE_WORDS = "flatten(list_transform(list_filter(string_split({t}, '.'), lambda s: length(s) > 0), lambda s: " + WS.format(t="s") + "))"
+
+
 @query("g09_rouge", f"SELECT avg({_rouge_sql('p', 'r', 1)}) AS rouge_1, avg({_rouge_sql('p', 'r', 2)}) AS rouge_2 FROM {ROUGE_IN}")
 def g09(spark, sf):
     a = fx_answers(spark, sf)
@@ -99,7 +103,13 @@ def g09(spark, sf):
     return NG.rouge(d, "pred", "refs", with_l=False)
 
 
-@query("g09_rouge_l")
+@query(
+    "g09_rouge_l",
+    f"WITH RECURSIVE i AS (SELECT row_number() OVER () AS id, p, r FROM {ROUGE_IN}), "
+    + lcs_sql(f"SELECT id, {ROUGE_WORDS.format(t='p')} AS x, {ROUGE_WORDS.format(t='r')} AS y FROM i")
+    + f""", l AS (SELECT avg(CASE WHEN n = 0 THEN 0.0 ELSE 2 * (n / nx) * (n / ny) / (n / nx + n / ny + 1e-8) END) AS rouge_l FROM lcs)
+SELECT avg({_rouge_sql('p', 'r', 1)}) AS rouge_1, avg({_rouge_sql('p', 'r', 2)}) AS rouge_2, any_value(rouge_l) AS rouge_l FROM i, l""",
+)
 def g09l(spark, sf):
     a = fx_answers(spark, sf)
     pred = F.when(F.col("question_id") % 11 == 0, F.lit("")).otherwise(F.concat("pred", F.lit(". "), "category"))

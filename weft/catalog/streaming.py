@@ -1,6 +1,6 @@
 """Registered streaming queries (T01–T04); each runs its stream to completion and
-returns the sink. T01, T02 and T04 equal their batch twins (oracles); T03's output
-depends on micro-batch boundaries, so it has no SQL twin."""
+returns the sink. T01, T02 and T04 equal their batch twins; T03's oracle replays its
+micro-batches."""
 
 from __future__ import annotations
 
@@ -37,14 +37,22 @@ def t02(spark, sf):
     return S.stream_moments(spark, root, e.schema, "value")
 
 
-@query("t03_stream_prompt_advantages")
+@query(
+    "t03_stream_prompt_advantages",
+    """WITH s AS (SELECT episode AS prompt, step, ((step * 37) % 11)::DOUBLE AS reward, step % 4 AS wave FROM fx_steps),
+k AS (SELECT DISTINCT prompt, wave FROM s),
+b AS (SELECT k.prompt, k.wave, list(s.reward ORDER BY s.wave, s.step, s.reward) AS l FROM k JOIN s ON s.prompt = k.prompt AND s.wave <= k.wave GROUP BY ALL),
+u AS (SELECT prompt, wave, list_slice(l, greatest(len(l) - 15, 1), len(l)) AS l FROM b),
+w AS (SELECT wave, avg(reward) AS m, stddev_pop(reward) AS d FROM s GROUP BY wave)
+SELECT s.prompt::VARCHAR AS prompt, s.step, s.reward, len(l) AS buffered,
+  (s.reward - CASE WHEN len(l) >= 4 THEN list_avg(l) ELSE m END) / (CASE WHEN len(l) >= 4 THEN list_stddev_pop(l) ELSE d END + 1e-6) AS advantage
+FROM s JOIN u USING (prompt, wave) JOIN w USING (wave)""",
+)
 def t03(spark, sf):
     s = fx_steps(spark, sf).select(
         F.col("episode").alias("prompt"), "step", ((F.col("step") * 37) % 11).cast("double").alias("reward"), (F.col("step") % 4).alias("wave")
     )
-    root = S.land(s, S.work_dir(spark, "t03-in"), by="wave")
-    schema = s.schema
-    return S.stream_prompt_advantages(spark, root, schema, buffer=16, min_count=4)
+    return S.stream_prompt_advantages(spark, [s.where(F.col("wave") == w) for w in range(4)], buffer=16, min_count=4)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.boxes import BOX_PATTERN, iou_floor1
+from weft.functions.lcs import lcs_length
 
 ARGS = "struct<bbox:array<double>,direction:string,text:string,status:string>"
 # Action types in the order the keyword ladder tries them; scroll directions.
@@ -74,25 +75,15 @@ def parse_action(pred: Column | str) -> Column:
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """indel similarity 2 * LCS / (len(a) + len(b)) over characters (1.0 for two
-    empty strings); Arrow-batched, the LCS being a sequential DP."""
-
-    def lcs(x: str, y: str) -> int:
-        prev = [0] * (len(y) + 1)
-        for ch in x:
-            cur = [0]
-            for j, yc in enumerate(y):
-                cur.append(prev[j] + 1 if ch == yc else max(prev[j + 1], cur[j]))
-            prev = cur
-        return prev[-1]
-
-    out = []
-    for x, y in zip(a, b):
+    empty strings, null when either is null)."""
+
+    def ratio(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
-            out.append(None)
-            continue
+            return None
         total = len(x) + len(y)
-        out.append(1.0 if total == 0 else 2.0 * lcs(x, y) / total)
-    return pd.Series(out, dtype="float64")
+        return 2.0 * lcs_length(x, y) / total if total else 1.0
+
+    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def compare_action(gt: Column, pred: Column, text_threshold: float = 0.8) -> Column:
@@ -101,7 +92,8 @@ def compare_action(gt: Column, pred: Column, text_threshold: float = 0.8) -> Col
     stop on type alone (Q3 fix: the press_* rule applies only when the types match)."""
     tm = pred["action"].isNotNull() & (gt["action"] == pred["action"])
     pa, ga = pred["args"], gt["args"]
-    ratio = indel_ratio(pa["text"], ga["text"])
+    # other actions have no text to compare
+    ratio = indel_ratio(F.when(pred["action"] == "input", pa["text"]), ga["text"])
     click = iou_floor1(pa["bbox"], ga["bbox"]) > 0.5
     exact = (
         F.when(~tm, F.lit(False))

@@ -115,13 +115,14 @@ def iou_plus1(a: Column, b: Column) -> Column:
 
 
 def iou_floor1(a: Column, b: Column) -> Column:
-    """IoU with each area floored at 1 (agent click targets)."""
+    """IoU with each area floored at 1 (agent click targets); null without either box."""
     inter = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(
         F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1])
     )
     area_a = F.greatest((a[2] - a[0]) * (a[3] - a[1]), F.lit(1.0))
     area_b = F.greatest((b[2] - b[0]) * (b[3] - b[1]), F.lit(1.0))
-    return inter / (area_a + area_b - inter)
+    # least and greatest pass over nulls, so a missing box must be told apart
+    return F.when(a.isNotNull() & b.isNotNull(), inter / (area_a + area_b - inter))
 
 
 def temporal_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

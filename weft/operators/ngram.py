@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.functions.lcs import lcs_length
+
 TINY, SMALL = 1e-15, 1e-9
 
 
@@ -155,31 +157,19 @@ def rouge_n_set(pred: Column, ref: Column, n: int) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def rouge_l_f(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    """ROUGE-L F1 from the longest common subsequence of the token lists (Lin 2004).
-    Arrow-batched; the LCS is the only sequential piece of the metric."""
-
-    def lcs(a: list, b: list) -> int:
-        if not a or not b:
-            return 0
-        prev = [0] * (len(b) + 1)
-        for x in a:
-            cur = [0]
-            for j, y in enumerate(b):
-                cur.append(prev[j] + 1 if x == y else max(prev[j + 1], cur[j]))
-            prev = cur
-        return prev[-1]
-
-    out = []
-    for p, r in zip(pred, ref):
-        pw = [w for s in str(p).split(".") if s for w in s.split()]
-        rw = [w for s in str(r).split(".") if s for w in s.split()]
-        m = lcs(pw, rw)
-        if m == 0:
-            out.append(0.0)
-            continue
-        prec, rec = m / len(pw), m / len(rw)
-        out.append(2 * prec * rec / (prec + rec + 1e-8))
-    return pd.Series(out, dtype="float64")
+    """ROUGE-L F1 from the longest common subsequence of the token lists (Lin 2004)."""
+
+    def words_of(text: str) -> list[str]:
+        return [w for s in str(text).split(".") if s for w in s.split()]
+
+    def f1(x: list[str], y: list[str]) -> float:
+        m = lcs_length(x, y)
+        if not m:
+            return 0.0
+        prec, rec = m / len(x), m / len(y)
+        return 2 * prec * rec / (prec + rec + 1e-8)
+
+    return pd.Series([f1(words_of(p), words_of(r)) for p, r in zip(pred, ref)], dtype="float64")
 
 
 def rouge(df: DataFrame, pred: str, refs: str, with_l: bool = True) -> DataFrame:

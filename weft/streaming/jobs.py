@@ -10,12 +10,10 @@ sink read back as a batch DataFrame.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weft.operators.windows import pack_constant
 from weft.session import ensure_checkpoint_dir
@@ -37,13 +35,14 @@ def land(df: DataFrame, root: str, by: str | None = None) -> str:
 def stream_pack_constant(spark: SparkSession, landing: str, schema, seq_len: int, files_per_batch: int = 2) -> DataFrame:
     """Constant-length packing of an unbounded text stream. Each micro-batch is
     packed on its own (W18 with buffer = micro-batch x source, tail dropped per buffer,
-    as the buffered packer drops it per buffer)."""
+    as the buffered packer drops it per buffer). A batch's folder is overwritten when the
+    batch is retried."""
     out = work_dir(spark, "t01-out")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         packed = pack_constant(batch, "tokens", "source", "doc_id", seq_len)
-        packed.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        packed.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = src.writeStream.foreachBatch(each).option("checkpointLocation", work_dir(spark, "t01-ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -68,51 +67,48 @@ def stream_moments(spark: SparkSession, landing: str, schema, value: str) -> Dat
     return spark.read.parquet(out)
 
 
-STATE_SCHEMA = "rewards array<double>"
-OUT_SCHEMA = "prompt string, step long, reward double, advantage double, buffered long"
-
-
-def _advantages(buffer: int, min_count: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("step")
-            rewards = (prev + pdf["reward"].tolist())[-buffer:]
-            prev = rewards
-            if len(rewards) >= min_count:
-                mean, std = float(pd.Series(rewards).mean()), float(pd.Series(rewards).std(ddof=0)) + 1e-6
-            else:
-                mean, std = float(pdf["reward"].mean()), float(pdf["reward"].std(ddof=0)) + 1e-6
-            yield pd.DataFrame(
-                {
-                    "prompt": str(key[0]),
-                    "step": pdf["step"].astype("int64"),
-                    "reward": pdf["reward"].astype("float64"),
-                    "advantage": (pdf["reward"] - mean) / std,
-                    "buffered": len(rewards),
-                }
-            )
-        state.update((prev,))
-
-    return fn
-
-
-def stream_prompt_advantages(spark: SparkSession, landing: str, schema, buffer: int = 16, min_count: int = 4) -> DataFrame:
-    """Per-prompt bounded reward buffer across micro-batches
-    (``applyInPandasWithState``; the state per prompt is capped at ``buffer`` rewards).
-    A prompt with fewer than ``min_count`` buffered rewards is normalised with its
-    batch's own statistics."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    src = src.select(F.col("prompt").cast("string").alias("prompt"), "step", "reward")
-    res = src.groupBy("prompt").applyInPandasWithState(
-        _advantages(buffer, min_count), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-    out = work_dir(spark, "t03-out")
-    q = res.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_dir(spark, "t03-ckpt")).outputMode(
-        "append"
-    ).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(out)
+def stream_prompt_advantages(spark: SparkSession, batches: Iterable[DataFrame], buffer: int = 16, min_count: int = 4) -> DataFrame:
+    """Per-prompt advantages over a bounded buffer of rewards, kept across micro-batches.
+
+    Each of ``batches`` (prompt, step, reward) lands in turn and is one micro-batch. A
+    prompt's buffer takes the batch's rewards in step order and keeps the last ``buffer``
+    ones. With at least ``min_count`` rewards in it, its mean and population deviation
+    normalise the prompt's rewards; otherwise those of the whole micro-batch do.
+
+    State and results are tables by batch number, overwritten when a batch is retried. Of a
+    prompt's new rows only the last ``buffer`` are gathered (a rank filter), so a hot prompt
+    never stands in one row.
+    """
+    landing, out, state = (work_dir(spark, f"t03-{x}") for x in ("in", "out", "state"))
+    checkpoint = work_dir(spark, "t03-ckpt")
+    schema = "prompt string, step long, reward double"
+    spark.createDataFrame([], "prompt string, rewards array<double>").write.parquet(f"{state}/batch=-1")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        newest = Window.partitionBy("prompt").orderBy(F.col("step").desc(), F.col("reward").desc())
+        fresh = batch.withColumn("_wf_rn", F.row_number().over(newest)).where(F.col("_wf_rn") <= buffer)
+        fresh = fresh.groupBy("prompt").agg(F.array_sort(F.collect_list(F.struct("step", "reward"))).alias("_wf_new"))
+        kept = spark.read.parquet(f"{state}/batch={batch_id - 1}").join(fresh, "prompt", "full")
+        none = F.array().cast("array<double>")
+        both = F.concat(F.coalesce("rewards", none), F.coalesce(F.transform("_wf_new", lambda x: x["reward"]), none))
+        kept = kept.select("prompt", F.slice(both, F.greatest(F.size(both) - buffer + 1, F.lit(1)), F.lit(buffer)).alias("rewards"))
+        kept.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        kept = spark.read.schema("prompt string, rewards array<double>").parquet(f"{state}/batch={batch_id}")
+        whole = batch.agg(F.avg("reward").alias("_wf_mean"), F.stddev_pop("reward").alias("_wf_std")).withColumn("_wf_one", F.lit(1))
+        mean = F.aggregate("rewards", F.lit(0.0), lambda a, x: a + x) / F.size("rewards")
+        std = F.sqrt(F.aggregate("rewards", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("rewards"))
+        j = batch.withColumn("_wf_one", F.lit(1)).join(F.broadcast(whole), "_wf_one").join(kept, "prompt")
+        enough = F.size("rewards") >= min_count
+        mean, std = F.when(enough, mean).otherwise(F.col("_wf_mean")), F.when(enough, std).otherwise(F.col("_wf_std"))
+        j = j.select("prompt", "step", "reward", ((F.col("reward") - mean) / (std + 1e-6)).alias("advantage"), F.size("rewards").cast("long").alias("buffered"))
+        j.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for batch in batches:
+        # the query stops and resumes from its checkpoint, so each landing is one micro-batch
+        batch.select(F.col("prompt").cast("string"), F.col("step").cast("long"), F.col("reward").cast("double")).write.mode("append").parquet(landing)
+        src = spark.readStream.schema(schema).parquet(landing)
+        src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 def stream_incremental_eval(spark: SparkSession, landing: str, schema, key: str, score: str, group: str) -> DataFrame:
