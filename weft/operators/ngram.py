@@ -1,10 +1,10 @@
 """n-gram text metrics (G07 BLEU, G08 CIDEr, G09 ROUGE, G11 token F1) as Spark jobs.
 
-Texts are exploded into (id, n, gram, count) rows; clipping, document frequency and
-dot products are joins/aggregations on (id, n, gram) or (n, gram). Aggregates combine
-map-side, so a very common gram (``the``) costs one partial row per task; the joins
-keyed on a hot (n, gram) rely on AQE skew-join splitting (enabled in the session).
-Only ROUGE-L needs a sequential LCS; it runs in an Arrow-batched pandas UDF per row.
+Texts are dealt by id and exploded there into one table of (id, gram) with the counts of
+each side, so clipping and dot products need no join between candidates and references.
+Document frequencies combine map-side, so a very common gram (``the``) costs one partial
+row per task; their join back, keyed on the gram, relies on AQE skew-join splitting.
+ROUGE-L's longest common subsequence runs in an Arrow-batched pandas UDF per row.
 """
 
 from __future__ import annotations
@@ -49,23 +49,35 @@ def gram_keys(ws: Column, n: int) -> Column:
 
 
 GRAM = ["n", "h1", "h2"]
+CAND = -1  # the side of a candidate text; references have their index, from 0
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the text rows over all task slots before the n-gram explode (which
-    multiplies rows by ~4 per word): shuffling the texts is cheaper than a skewed
-    explode on the few input splits a large file may give."""
-    spark = df.sparkSession
+def _sides(cands: DataFrame, refs: DataFrame, id_col: str) -> DataFrame:
+    """(id, side, ws): all texts of an id in one task, ids spread over all task slots.
+
+    Everything that groups by the id later needs no further exchange, and a large input
+    split does not explode its n-grams in one task.
+    """
+    spark = cands.sparkSession
     n = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+    both = cands.select(id_col, F.lit(CAND).alias("side"), "text").unionByName(refs.select(id_col, F.col("ref_idx").cast("int").alias("side"), "text"))
+    return both.repartition(n, id_col).select(id_col, "side", words(F.col("text")).alias("ws"))
+
+
+def _gram_table(sides: DataFrame, n_refs: int, id_col: str, max_n: int) -> DataFrame:
+    """(id, n, h1, h2, c, r0, r1, ...): for each n-gram of an id its count in the candidate
+    and in each reference, from one explode and one aggregate, without an exchange (the
+    rows come by id)."""
+    grams = F.flatten(F.array(*[gram_keys(F.col("ws"), n) for n in range(1, max_n + 1)]))
+    each = sides.select(id_col, "side", F.explode(grams).alias("_g")).select(id_col, "side", "_g.n", "_g.h1", "_g.h2")
+    held = lambda side: F.sum(F.when(F.col("side") == side, 1).otherwise(0))
+    return each.groupBy(id_col, *GRAM).agg(held(CAND).alias("c"), *[held(k).alias(f"r{k}") for k in range(n_refs)])
 
 
-def gram_counts(df: DataFrame, key: Sequence[str], ws: str, max_n: int) -> DataFrame:
-    """(key..., n, h1, h2, cnt) for n = 1..max_n, from one explode per row."""
-    k = list(key)
-    all_grams = F.flatten(F.array(*[gram_keys(F.col(ws), n) for n in range(1, max_n + 1)]))
-    out = df.select(*k, F.explode(all_grams).alias("_g")).select(*k, "_g.n", "_g.h1", "_g.h2")
-    return out.groupBy(*k, *GRAM).agg(F.count(F.lit(1)).alias("cnt"))
+def _reference_count(refs: DataFrame) -> int:
+    """How many references an id has at most: a number of columns."""
+    top = refs.agg(F.max("ref_idx")).first()[0]
+    return 0 if top is None else int(top) + 1
 
 
 def bleu(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4) -> DataFrame:
@@ -75,33 +87,25 @@ def bleu(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4)
 
     ``cands``: (id, text); ``refs``: (id, ref_idx, text). Returns one row.
     """
-    c = spread(cands.select(id_col, "text")).select(id_col, words(F.col("text")).alias("ws"))
-    r = spread(refs.select(id_col, "ref_idx", "text")).select(id_col, "ref_idx", words(F.col("text")).alias("ws"))
-    cg = gram_counts(c, [id_col], "ws", max_n)
-    rg = gram_counts(r, [id_col, "ref_idx"], "ws", max_n).groupBy(id_col, *GRAM).agg(F.max("cnt").alias("rmax"))
-    correct = cg.join(rg, [id_col, *GRAM], "left").groupBy("n").agg(
-        F.sum(F.least(F.col("cnt"), F.coalesce(F.col("rmax"), F.lit(0)))).alias("correct")
-    )
-    clen = c.select(id_col, F.size("ws").alias("testlen"))
-    rlen = r.select(id_col, F.size("ws").alias("rl"))
-    closest = rlen.join(clen, id_col).groupBy(id_col).agg(
-        F.min_by("rl", F.struct(F.abs(F.col("rl") - F.col("testlen")), F.col("rl"))).alias("reflen")
-    )
-    guess = clen.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.struct(n.alias("n"), F.greatest(F.col("testlen") - n + 1, F.lit(0)).alias("g")))).alias("x")).groupBy(
-        F.col("x.n").alias("n")
-    ).agg(F.sum("x.g").alias("guess"))
-    tl = clen.agg(F.sum("testlen").alias("testlen"))
-    rl = closest.agg(F.sum("reflen").alias("reflen"))
-    per_n = guess.join(correct, "n", "left").select("n", "guess", F.coalesce("correct", F.lit(0)).alias("correct"))
-    stats = per_n.agg(F.sort_array(F.collect_list(F.struct("n", "guess", "correct"))).alias("s"))
-    one = stats.withColumn("_k", F.lit(1)).join(tl.withColumn("_k", F.lit(1)), "_k").join(rl.withColumn("_k", F.lit(1)), "_k")
+    sides, n_refs = _sides(cands, refs, id_col), _reference_count(refs)
+    best = F.greatest(F.lit(0), F.lit(0), *[F.col(f"r{k}") for k in range(n_refs)])
+    grams = _gram_table(sides, n_refs, id_col, max_n)
+    correct = grams.groupBy("n").agg(F.sum(F.least(F.col("c"), best)).alias("correct"))
+    # lengths of an id's texts, then the sums of all ids, in one aggregate each
+    lens = sides.groupBy(id_col).agg(
+        F.max(F.when(F.col("side") == CAND, F.size("ws"))).alias("_tl"),
+        F.collect_list(F.when(F.col("side") != CAND, F.size("ws"))).alias("_rl"),
+    ).where(F.col("_tl").isNotNull())
+    closest = F.array_min(F.transform("_rl", lambda x: F.struct(F.abs(x - F.col("_tl")).alias("d"), x.alias("rl"))))["rl"]
+    guess = [F.sum(F.greatest(F.col("_tl") - n + 1, F.lit(0))).alias(f"_guess{n}") for n in range(1, max_n + 1)]
+    totals = lens.agg(F.sum("_tl").alias("testlen"), F.sum(closest).alias("reflen"), *guess)
+    per_n = correct.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("correct"))), F.lit(0)).alias(f"_correct{n}") for n in range(1, max_n + 1)])
+    one = totals.withColumn("_k", F.lit(1)).join(per_n.withColumn("_k", F.lit(1)), "_k")
     ratio = (F.col("testlen") + TINY) / (F.col("reflen") + SMALL)
     bp = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(F.lit(1.0))
-    cols = []
+    cols, prod = [], F.lit(1.0)
     for n in range(1, max_n + 1):
-        prod = F.aggregate(
-            F.slice("s", 1, n), F.lit(1.0), lambda acc, x: acc * (x["correct"] + TINY) / (x["guess"] + SMALL)
-        )
+        prod = prod * (F.col(f"_correct{n}") + TINY) / (F.col(f"_guess{n}") + SMALL)
         cols.append((F.pow(prod, 1.0 / n) * bp).alias(f"bleu_{n}"))
     return one.select(*cols)
 
@@ -114,28 +118,31 @@ def cider(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4)
 
 
 def cider_per_id(cands: DataFrame, refs: DataFrame, id_col: str = "id", max_n: int = 4) -> DataFrame:
-    c = spread(cands.select(id_col, "text")).select(id_col, words(F.col("text")).alias("ws"))
-    r = spread(refs.select(id_col, "ref_idx", "text")).select(id_col, "ref_idx", words(F.col("text")).alias("ws"))
-    cg = gram_counts(c, [id_col], "ws", max_n)
-    rg = gram_counts(r, [id_col, "ref_idx"], "ws", max_n)
-    dfreq = rg.select(id_col, *GRAM).distinct().groupBy(*GRAM).agg(F.count(F.lit(1)).alias("df"))
-    n_docs = refs.select(id_col).distinct().agg(F.log(F.count(F.lit(1)).cast("double")).alias("ref_len"))
-
-    def weigh(g: DataFrame) -> DataFrame:
-        j = g.join(dfreq, GRAM, "left").withColumn("_k", F.lit(1)).join(F.broadcast(n_docs.withColumn("_k", F.lit(1))), "_k")
-        return j.withColumn("w", F.col("cnt") * (F.col("ref_len") - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))))
-
-    cv = weigh(cg).select(id_col, *GRAM, F.col("w").alias("wh"))
-    rv = weigh(rg).select(id_col, "ref_idx", *GRAM, F.col("w").alias("wr"))
-    nh = cv.groupBy(id_col, "n").agg(F.sqrt(F.sum(F.col("wh") * F.col("wh"))).alias("nh"))
-    nr = rv.groupBy(id_col, "ref_idx", "n").agg(F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"))
-    dot = cv.join(rv, [id_col, *GRAM]).groupBy(id_col, "ref_idx", "n").agg(F.sum(F.col("wh") * F.col("wr")).alias("dot"))
-    grid = refs.select(id_col, "ref_idx").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
-    v = grid.join(dot, [id_col, "ref_idx", "n"], "left").join(nh, [id_col, "n"], "left").join(nr, [id_col, "ref_idx", "n"], "left")
-    d = F.coalesce(F.col("dot"), F.lit(0.0))
-    val = F.when((F.coalesce(F.col("nh"), F.lit(0.0)) != 0) & (F.coalesce(F.col("nr"), F.lit(0.0)) != 0), d / (F.col("nh") * F.col("nr"))).otherwise(d)
-    per_ref = v.groupBy(id_col, "ref_idx").agg((F.sum(val) / max_n).alias("s"))
-    return per_ref.groupBy(id_col).agg((F.avg("s") * 10.0).alias("cider"))
+    """(id, cider). One gram table serves candidates and references: it is joined once
+    with the document frequencies, and norms and dot products come from one aggregate by
+    (id, side, n). Only n-grams of two or more ids have to be joined: with one id or none
+    the frequency does not change the weight."""
+    n_refs = _reference_count(refs)
+    counts = [f"r{k}" for k in range(n_refs)]
+    grams = _gram_table(_sides(cands, refs, id_col), n_refs, id_col, max_n)
+    in_refs = grams.where(sum((F.col(r) for r in counts), F.lit(0)) > 0)
+    dfreq = in_refs.groupBy(*GRAM).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    n_docs = refs.agg(F.log(F.count_distinct(id_col).cast("double")).alias("ref_len")).withColumn("_k", F.lit(1))
+    idf = F.col("ref_len") - F.log(F.coalesce("df", F.lit(1)).cast("double"))
+    weighted = grams.join(dfreq, GRAM, "left").withColumn("_k", F.lit(1)).join(F.broadcast(n_docs), "_k").withColumn("w", idf)
+    c = F.col("c") * F.col("w")
+    norm = lambda x: F.sqrt(F.sum(x * x))
+    sums = weighted.groupBy(id_col, "n").agg(
+        norm(c).alias("nh"),
+        *[norm(F.col(r) * F.col("w")).alias(f"n_{r}") for r in counts],
+        *[F.sum(F.col(r) * F.col("w") * c).alias(f"d_{r}") for r in counts],
+    )
+    cosine = lambda r: F.when((F.col("nh") != 0) & (F.col(f"n_{r}") != 0), F.col(f"d_{r}") / (F.col("nh") * F.col(f"n_{r}"))).otherwise(F.col(f"d_{r}"))
+    per_id = sums.groupBy(id_col).agg(*[(F.sum(cosine(r)) / max_n).alias(r) for r in counts])
+    # the mean over the references that an id has; one without a common n-gram scores zero
+    have = refs.groupBy(id_col).agg(F.count_distinct("ref_idx").alias("_wf_refs"))
+    total = sum((F.coalesce(F.col(r), F.lit(0.0)) for r in counts), F.lit(0.0))
+    return have.join(per_id, id_col, "left").select(id_col, (total / F.col("_wf_refs") * 10.0).alias("cider"))
 
 
 def _rouge_words(text: Column) -> Column:
