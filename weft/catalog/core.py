@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog import query
 from weft.fixtures import table
-from weft.ids import positions, read_with_row_id
+from weft.ids import positions_by_key, read_with_row_id
 from weft.operators.adapters import caption_samples
 from weft.operators.aggregates import sample_length
 from weft.plans.mixture import build_mixture
@@ -23,13 +23,19 @@ def words_sql(x: str) -> str:
 def doc_datasets(spark: SparkSession, sf_dir: str):
     """Registry over ``documents``: all rows, and the English rows as their own dataset."""
 
-    def docs_all() -> DataFrame:
-        return caption_samples(read_with_row_id(spark, f"{sf_dir}/documents.parquet"), "docs_all")
+    def unnumbered() -> DataFrame:
+        return table(spark, sf_dir, "documents").withColumn("row_id", F.lit(None).cast("bigint"))
 
-    def docs_en() -> DataFrame:
-        src = read_with_row_id(spark, f"{sf_dir}/documents.parquet", "src_row").filter(F.col("lang") == "en")
-        src = positions(src, ["src_row"], name="row_id")
-        return caption_samples(src, "docs_en")
+    def docs_all(numbered: bool = True) -> DataFrame:
+        src = read_with_row_id(spark, f"{sf_dir}/documents.parquet") if numbered else unnumbered()
+        return caption_samples(src, "docs_all")
+
+    def docs_en(numbered: bool = True) -> DataFrame:
+        english = F.col("lang") == "en"
+        if not numbered:
+            return caption_samples(unnumbered().filter(english), "docs_en")
+        src = read_with_row_id(spark, f"{sf_dir}/documents.parquet", "src_row").filter(english)
+        return caption_samples(positions_by_key(src, ["src_row"], ["src_row"], name="row_id"), "docs_en")
 
     return {"docs_all": docs_all, "docs_en": docs_en}
 

@@ -68,12 +68,12 @@ def j04(spark, sf):
     "j05_first_caption",
     """SELECT d.doc_id, coalesce(v.caption, t.caption, '') AS caption FROM documents d
 LEFT JOIN (SELECT doc_id, caption FROM fx_recap WHERE caption = 'good') v USING (doc_id)
-LEFT JOIN (SELECT doc_id, substr(text, 1, 40) AS caption FROM documents WHERE doc_id % 3 <> 0) t USING (doc_id)""",
+LEFT JOIN (SELECT doc_id, text AS caption FROM documents WHERE doc_id % 3 <> 0) t USING (doc_id)""",
 )
 def j05(spark, sf):
     d = table(spark, sf, "documents")
     vfc = fx_recap(spark, sf).filter(F.col("caption") == "good")
-    txt = d.filter(F.col("doc_id") % 3 != 0).select("doc_id", F.substring("text", 1, 40).alias("caption"))
+    txt = d.filter(F.col("doc_id") % 3 != 0).select("doc_id", F.col("text").alias("caption"))
     return J.first_caption(d.select("doc_id"), [vfc, txt], ["doc_id"]).select("doc_id", "caption")
 
 
@@ -81,14 +81,14 @@ def j05(spark, sf):
     "j06_short_long_caption",
     """WITH j AS (SELECT d.doc_id, s.caption AS sc, l.caption AS lc FROM documents d
   LEFT JOIN (SELECT doc_id, caption || ' <image> x' AS caption FROM fx_recap WHERE doc_id % 2 = 0) s USING (doc_id)
-  LEFT JOIN (SELECT doc_id, substr(text, 1, 20) AS caption FROM documents WHERE doc_id % 3 = 0) l USING (doc_id))
+  LEFT JOIN (SELECT doc_id, text AS caption FROM documents WHERE doc_id % 3 = 0) l USING (doc_id))
 SELECT doc_id, '<image>' || replace(CASE WHEN lc IS NOT NULL THEN '### Short description: ' || chr(10) || coalesce(sc, '') || ' ' || chr(10) || chr(10)
   || '### Long description: ' || chr(10) || lc ELSE coalesce(sc, '') END, '<image>', '<IMAGE>') AS text FROM j""",
 )
 def j06(spark, sf):
     d = table(spark, sf, "documents")
     short = fx_recap(spark, sf).filter(F.col("doc_id") % 2 == 0).select("doc_id", F.concat("caption", F.lit(" <image> x")).alias("caption"))
-    long = d.filter(F.col("doc_id") % 3 == 0).select("doc_id", F.substring("text", 1, 20).alias("caption"))
+    long = d.filter(F.col("doc_id") % 3 == 0).select("doc_id", F.col("text").alias("caption"))
     return J.short_long_caption(d.select("doc_id"), short, long, ["doc_id"]).select("doc_id", "text")
 
 
@@ -115,7 +115,7 @@ FAMILY_QUESTIONS = {
 def _families(spark, sf):
     d = table(spark, sf, "documents")
     return (
-        d.filter(F.col("doc_id") % 2 == 0).select("doc_id", F.lit("spatial").alias("family"), F.substring("text", 1, 30).alias("caption"))
+        d.filter(F.col("doc_id") % 2 == 0).select("doc_id", F.lit("spatial").alias("family"), F.col("text").alias("caption"))
         .unionByName(d.filter(F.col("doc_id") % 3 == 0).select("doc_id", F.lit("ocr").alias("family"), F.col("lang").alias("caption")))
         .unionByName(
             d.filter(F.col("doc_id") % 5 == 0).select("doc_id", F.lit("bbox_interleaved").alias("family"), F.col("source").alias("caption"))
@@ -134,7 +134,7 @@ def _fq_sql() -> str:
 @query(
     "j07_caption_family_turns",
     f"""WITH f AS (
-  SELECT doc_id, 'spatial' AS family, substr(text, 1, 30) AS caption FROM documents WHERE doc_id % 2 = 0
+  SELECT doc_id, 'spatial' AS family, text AS caption FROM documents WHERE doc_id % 2 = 0
   UNION ALL SELECT doc_id, 'ocr', lang FROM documents WHERE doc_id % 3 = 0
   UNION ALL SELECT doc_id, 'bbox_interleaved', source FROM documents WHERE doc_id % 5 = 0),
 g AS (SELECT doc_id, string_agg(questions[({H.format(seed=43, k="doc_id::VARCHAR || '|' || family")} % 3) + 1] || '|' || caption, '|'

@@ -19,7 +19,7 @@ H1 = "('0x' || substr(md5('1|' || CAST({k} AS VARCHAR)), 1, 8))::BIGINT"
 def s01(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
     root = S.shared_path(spark, "s01")
-    arrays = d.filter(F.col("doc_id") % 2 == 0).groupBy((F.col("doc_id") % 20).alias("g")).agg(
+    arrays = d.filter(F.col("doc_id") % 2 == 0).groupBy(F.floor(F.col("doc_id") / 50).alias("g")).agg(
         F.to_json(F.collect_list(F.struct("doc_id", "source", "lang"))).alias("value")
     )
     arrays.select("value").write.mode("overwrite").text(f"{root}/arrays")
@@ -54,7 +54,7 @@ def s05(spark, sf):
 @query("s07_read_keyed_json", "SELECT event_id::VARCHAR AS key, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def s07(spark, sf):
     e = table(spark, sf, "events")
-    obj = e.groupBy((F.col("event_id") % 20).alias("g")).agg(
+    obj = e.groupBy(F.floor(F.col("event_id") / 100).alias("g")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), F.from_json("props", "struct<k:bigint>"))))).alias("value")
     )
     root = S.shared_path(spark, "s07")
@@ -181,12 +181,6 @@ def s22(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     lab.filter("doc_id % 2 = 0").write.mode("overwrite").json(f"{root}/x/y")
     lab.filter("doc_id % 2 = 1").write.mode("overwrite").json(f"{root}/z")
-    import glob
-    import os
-
-    for f in glob.glob(f"{root}/**/part-*", recursive=True):
-        if not f.endswith(".json"):
-            os.rename(f, f + ".json")
     return S.read_results(spark, root, "doc_id bigint, quality int").agg(F.count(F.lit(1)).alias("n"))
 
 

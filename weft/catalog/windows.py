@@ -121,14 +121,16 @@ TOKENS_SQL = r"list_transform(list_filter(regexp_split_to_array(value, '\s+'), l
 
 @query(
     "w18_pack_constant",
-    f"""WITH t AS (SELECT conv_id, flatten(list({TOKENS_SQL} || [0] ORDER BY turn)) AS toks FROM fx_turns GROUP BY conv_id)
-SELECT conv_id, c AS chunk, array_to_string(toks[c * 16 + 1 : c * 16 + 16], ',') AS ids
+    f"""WITH p AS (SELECT *, (sum(length(value)) OVER (ORDER BY conv_id, turn) - length(value)) // 3000 AS buffer FROM fx_turns),
+t AS (SELECT buffer, flatten(list({TOKENS_SQL} || [0] ORDER BY conv_id, turn)) AS toks FROM p GROUP BY buffer)
+SELECT buffer::BIGINT AS buffer, c AS chunk, array_to_string(toks[c * 16 + 1 : c * 16 + 16], ',') AS ids
 FROM t, range(0, len(toks) // 16) r(c)""",
 )
 def w18(spark, sf):
     t = fx_turns(spark, sf).withColumn("tokens", W.token_ids(F.col("value")))
-    out = W.pack_constant(t, "tokens", "conv_id", "turn", 16)
-    return out.select("conv_id", "chunk", F.array_join("input_ids", ",").alias("ids"))
+    t = W.char_buffers(t.withColumn("chars", F.length("value")), "chars", ["conv_id", "turn"], 3000)
+    out = W.pack_constant(t.withColumn("place", F.struct("conv_id", "turn")), "tokens", "buffer", "place", 16)
+    return out.select("buffer", "chunk", F.array_join("input_ids", ",").alias("ids"))
 
 
 @query(

@@ -132,6 +132,16 @@ def group_counts(df: DataFrame, partition: Sequence[str], name: str = "n") -> Da
     )
 
 
+def positions_by_key(
+    df: DataFrame, key: Sequence[str], order: Sequence[Column | str], partition: Sequence[str] = (), name: str = "pos"
+) -> DataFrame:
+    """:func:`positions` over the key columns alone, joined back: payload columns (texts)
+    are neither sorted nor checkpointed. ``key`` is unique and holds what ``order`` and
+    ``partition`` read."""
+    narrow = positions(df.select(*dict.fromkeys([*key, *partition])), order, partition, name)
+    return df.join(narrow.select(*key, name), list(key))
+
+
 def prefix_sum(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -141,10 +151,22 @@ def prefix_sum(
     inclusive: bool = True,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Running sum of ``value`` in ``order`` (within ``partition`` groups), skew-safe.
+    """Running sum of ``value`` in ``order`` (within ``partition`` groups), skew-safe."""
+    return prefix_sums(df, order, {name: value}, partition, inclusive, num_partitions)
+
 
-    Same plan as :func:`positions`: range exchange on the full key, a local running
-    sum inside each task (a window over the task id, which is already co-located), then
+def prefix_sums(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    values: dict[str, Column | str],
+    partition: Sequence[str] = (),
+    inclusive: bool = True,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Running sums of several values (name -> column) in one pass.
+
+    Same plan as :func:`positions`: range exchange on the full key, local running
+    sums inside each task (a window over the task id, which is already co-located), then
     the totals of earlier tasks added from a small per-(group, task) table.
     """
     spark = df.sparkSession
@@ -152,9 +174,9 @@ def prefix_sum(
     part = list(partition)
     keys = [F.col(p) for p in part] + _order_cols(order)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(value) if isinstance(value, str) else value
+    own = {f"_wf_v{i}": (F.col(v) if isinstance(v, str) else v) for i, v in enumerate(values.values())}
     local = (
-        df.withColumn("_wf_v", v)
+        df.withColumns(own)
         .repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_wf_mid", F.monotonically_increasing_id())
@@ -163,13 +185,12 @@ def prefix_sum(
     grp = part + ["_wf_task"]
     # rows of one task are co-located, so this window's partition is local to the task
     wl = Window.partitionBy(*grp).orderBy("_wf_mid").rowsBetween(Window.unboundedPreceding, 0)
-    local = local.withColumn("_wf_lcum", F.sum("_wf_v").over(wl))
-    totals = local.groupBy(*grp).agg(F.sum("_wf_v").alias("_wf_t"))
-    w = Window.partitionBy(*part).orderBy("_wf_task") if part else Window.orderBy("_wf_task")
-    offsets = totals.select(*grp, F.coalesce(F.sum("_wf_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_wf_off"))
-    offsets = _per_task(offsets, part)
-    out = local.join(offsets, grp)
-    cum = F.col("_wf_off") + F.col("_wf_lcum")
-    if not inclusive:
-        cum = cum - F.col("_wf_v")
-    return out.withColumn(name, cum).drop("_wf_v", "_wf_mid", "_wf_task", "_wf_lcum", "_wf_off")
+    local = local.select("*", *[F.sum(v).over(wl).alias(f"{v}_l") for v in own])
+    totals = local.groupBy(*grp).agg(*[F.sum(v).alias(f"{v}_t") for v in own])
+    w = (Window.partitionBy(*part) if part else Window).orderBy("_wf_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*grp, *[F.coalesce(F.sum(f"{v}_t").over(w), F.lit(0)).alias(f"{v}_o") for v in own])
+    out = local.join(_per_task(offsets, part), grp)
+    sums = {
+        name: F.col(f"{v}_o") + F.col(f"{v}_l") - (F.lit(0) if inclusive else F.col(v)) for name, v in zip(values, own)
+    }
+    return out.withColumns(sums).drop("_wf_mid", "_wf_task", *[f"{v}{x}" for v in own for x in ("", "_l", "_o")])

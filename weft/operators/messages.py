@@ -415,12 +415,17 @@ def split_prompt(text: Column | str, images: Column | str) -> Column:
 def route_turns(df: DataFrame, tasks: DataFrame) -> DataFrame:
     """One row per (human turn, task) whose question, lower-cased without
     ``<image>\\n``, starts with the task's question prefix; the next gpt turn is the
-    ground truth. ``tasks`` (task, prefix) is a registry table, joined by broadcast."""
+    ground truth. ``tasks`` is a table of (task, prefix); turns meet it in an equi-join on
+    their beginnings, cut at the lengths that some prefix has, never in a nested loop."""
     ex = df.select("sample_id", F.col("turns").alias("turns_all"), F.posexplode("turns").alias("i", "t"))
     nxt = F.get(F.col("turns_all"), F.col("i") + 1)
     q = F.lower(F.replace(F.col("t.value"), F.lit(IMAGE_TOKEN + "\n"), F.lit("")))
     cand = ex.filter(F.col("t.from") == "human").withColumn("_q", q)
-    routed = cand.join(F.broadcast(tasks), F.col("_q").startswith(F.lower(F.col("prefix"))))
+    known = tasks.select("task", F.lower("prefix").alias("_start"))
+    lengths = known.agg(F.collect_set(F.length("_start")).alias("_lens")).withColumn("_one", F.lit(1))
+    cut = F.transform(F.filter("_lens", lambda n: n <= F.length("_q")), lambda n: F.substring(F.col("_q"), F.lit(1), n))
+    starts = cand.withColumn("_one", F.lit(1)).join(F.broadcast(lengths), "_one").withColumn("_start", F.explode(cut))
+    routed = starts.join(known, "_start")
     return routed.select(
         "sample_id",
         "task",

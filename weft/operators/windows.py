@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.ids import keyed_hash, positions, prefix_sum
+from weft.ids import keyed_hash, positions, positions_by_key, prefix_sum, prefix_sums
 
 
 def _one_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -26,14 +26,15 @@ def with_count(df: DataFrame, name: str = "_wf_n") -> DataFrame:
 
 def reassign_ids(df: DataFrame, dataset_order: str, row_order: Sequence[str], name: str = "id") -> DataFrame:
     """Consecutive ids over the concatenation (datasets in ``dataset_order``, rows
-    in ``row_order`` inside each). Q5 fix: ids are reassigned, never offset by a
-    filtered count."""
-    return positions(df, [dataset_order, *row_order], name=name)
+    in ``row_order`` inside each, which is unique there). Q5 fix: ids are reassigned, never
+    offset by a filtered count."""
+    return positions_by_key(df, [dataset_order, *row_order], [dataset_order, *row_order], name=name)
 
 
 def shard_position(df: DataFrame, shard: str, order: Sequence[str], name: str = "shard_idx") -> DataFrame:
-    """0-based position within the shard (skew-safe for a hot shard)."""
-    return positions(df, list(order), partition=[shard], name=name)
+    """0-based position within the shard (skew-safe for a hot shard); ``order`` is
+    unique there."""
+    return positions_by_key(df, [shard, *order], list(order), partition=[shard], name=name)
 
 
 def group_n(df: DataFrame, n: int, row_id: str = "row_id", value: str = "value") -> DataFrame:
@@ -147,15 +148,34 @@ def token_ids(text: Column) -> Column:
 
 def pack_constant(df: DataFrame, tokens: str, buffer: str, order: str, seq_len: int, sep: int = 0, seed: int = 42) -> DataFrame:
     """Per buffer, token lists (each followed by ``sep``) are concatenated in
-    ``order`` and cut into ``seq_len`` examples; the short tail is dropped; examples
-    are shuffled by keyed hash (``shuffle_key``). A buffer is a bounded group (the
-    reference bounds it by characters; here the caller's ``buffer`` column decides)."""
-    g = df.groupBy(buffer).agg(
-        F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct(order, tokens))), lambda x: F.concat(x[tokens], F.array(F.lit(sep))))
-        ).alias("_wf_all")
-    )
-    return chunk_tokens(g, "_wf_all", buffer, seq_len, seed, pad=None)
+    ``order`` (unique in the buffer) and cut into ``seq_len`` examples; the short tail is
+    dropped; examples are shuffled by keyed hash (``shuffle_key``).
+
+    A running sum of the token counts gives each list its offset, and each list is cut at
+    the borders of the examples it reaches into. Only one example's pieces ever meet in a
+    group, however large the buffer. :func:`char_buffers` makes buffers over samples.
+    """
+    own = F.concat(F.col(tokens), F.array(F.lit(sep)))
+    size = F.size(tokens) + 1
+    at = prefix_sum(df.select(buffer, order, size.alias("_wf_n")), [order], F.col("_wf_n").cast("bigint"), [buffer], "_wf_at", inclusive=False)
+    placed = df.select(buffer, order, own.alias("_wf_own")).join(at, [buffer, order])
+    first, last = F.floor(F.col("_wf_at") / seq_len), F.floor((F.col("_wf_at") + F.col("_wf_n") - 1) / seq_len)
+    cut = placed.select(buffer, "_wf_at", "_wf_own", F.explode(F.sequence(first, last)).alias("chunk"))
+    lo = F.greatest(F.col("chunk") * seq_len - F.col("_wf_at"), F.lit(0)).cast("int")
+    hi = F.least((F.col("chunk") + 1) * seq_len - F.col("_wf_at"), F.size("_wf_own")).cast("int")
+    pieces = cut.select(buffer, F.col("chunk").cast("bigint").alias("chunk"), "_wf_at", F.slice("_wf_own", lo + 1, hi - lo).alias("_wf_p"))
+    whole = pieces.groupBy(buffer, "chunk").agg(F.array_sort(F.collect_list(F.struct("_wf_at", "_wf_p"))).alias("_wf_l"))
+    out = whole.select(buffer, "chunk", F.flatten(F.transform("_wf_l", lambda x: x["_wf_p"])).alias("input_ids"))
+    return out.filter(F.size("input_ids") == seq_len).withColumn("shuffle_key", keyed_hash(seed, F.col(buffer), F.col("chunk")))
+
+
+def char_buffers(df: DataFrame, chars: str, order: Sequence[str], size: int, name: str = "buffer") -> DataFrame:
+    """W18 buffers over samples: a text belongs to the buffer of ``size`` characters in which
+    it begins, in ``order`` (a unique key). The reference starts its count anew after the text
+    that overfills a buffer, a rule that needs the whole order in one place; here the borders
+    lie at multiples of ``size``, so buffers have the same mean size."""
+    narrow = prefix_sum(df.select(*order, chars), list(order), F.col(chars).cast("bigint"), name="_wf_at", inclusive=False)
+    return df.join(narrow.select(*order, F.floor(F.col("_wf_at") / size).alias(name)), list(order))
 
 
 def chunk_tokens(df: DataFrame, tokens: str, key: str, seq_len: int, seed: int = 42, pad: int | None = None) -> DataFrame:
@@ -187,10 +207,9 @@ def retention(df: DataFrame, size: str, mtime: str, key: str, max_bytes: int, ma
     """Newest files first; a file is kept while the running size and count stay
     within the limits. Only flags (``keep``) are returned; nothing is deleted."""
     order = [F.col(mtime).desc(), F.col(key)]
-    d = prefix_sum(df, order, size, name="_wf_cum")
-    d = positions(d, order, name="_wf_pos")
-    keep = (F.col("_wf_cum") <= max_bytes) & (F.col("_wf_pos") < max_files)
-    return d.withColumn("keep", keep).drop("_wf_cum", "_wf_pos")
+    d = prefix_sums(df.select(size, mtime, key), order, {"_wf_cum": size, "_wf_count": F.lit(1)})
+    keep = (F.col("_wf_cum") <= max_bytes) & (F.col("_wf_count") <= max_files)
+    return df.join(d.select(key, keep.alias("keep")), key)
 
 
 def top_fraction(df: DataFrame, part: str, score: str, key: str, fraction: float, keep: Column | None = None) -> DataFrame:
@@ -204,9 +223,10 @@ def top_fraction(df: DataFrame, part: str, score: str, key: str, fraction: float
 
 
 def best_of_n(df: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
-    """Top k candidates per query by score (ties by key)."""
-    r = positions(df, [F.col(score).desc(), F.col(key)], partition=[query], name="_wf_rank")
-    return r.filter(F.col("_wf_rank") < k).withColumnRenamed("_wf_rank", "rank")
+    """Top k candidates per query by score (ties by key). The rank filter is pushed
+    below the exchange (each task keeps k rows of a query), so a hot query sends few rows."""
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(key)))
+    return df.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("bigint"))
 
 
 def most_similar(text: Column, choices: Column) -> Column:

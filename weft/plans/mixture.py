@@ -88,13 +88,14 @@ def concat_all(parts: Sequence[DataFrame], ordinal: str = "part") -> DataFrame:
 
 def build_mixture(
     expr: str,
-    datasets: Mapping[str, Callable[[], DataFrame]],
+    datasets: Mapping[str, Callable[[bool], DataFrame]],
     mixtures: Mapping[str, Sequence[str]] | None = None,
     ignore_lists: Callable[[str, str], DataFrame] | None = None,
 ) -> DataFrame:
     """One lazy DataFrame for a mixture expression.
 
-    ``datasets[name]()`` returns canonical samples with ``row_id``; ``ignore_lists(name,
+    ``datasets[name](numbered)`` returns canonical samples; ``row_id`` is needed, and
+    worked out, only where an ignore list asks for it (``numbered``). ``ignore_lists(name,
     subset)`` returns the row positions to drop. The result has ``part`` (sorted item
     ordinal) and ``copy`` columns next to the sample columns.
     """
@@ -103,7 +104,7 @@ def build_mixture(
         item = parse_item(raw)
         if item.name not in datasets:
             raise ValueError(f"dataset '{item.name}' is not registered")
-        df = datasets[item.name]()
+        df = datasets[item.name](item.subset is not None)
         if item.subset is not None:
             if ignore_lists is None:
                 raise ValueError(f"no ignore lists for '{raw}'")

@@ -50,3 +50,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="weft-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster session, once per application.
+
+    Functions that run in tasks refer to modules of the package, so workers must be able to
+    import it. Nothing is needed in local mode, or where it is installed on all nodes.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = tempfile.mkdtemp(prefix="weft-ship-")  # the driver's own; Spark copies the archive to the executors
+    sc.addPyFile(shutil.make_archive(f"{made}/weft", "zip", os.path.dirname(here), "weft"))
+    _SHIPPED.add(sc.applicationId)

@@ -13,6 +13,7 @@ import glob as _glob
 import gzip
 import io
 import json
+import re
 import tarfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,15 @@ TEXT_EXT = ("txt", "cls", "json", "json.gz")
 
 
 def local_path(uri: str) -> str:
-    """A POSIX path for Python file access: ``file:`` URIs are converted; other schemes
-    must be mounted (e.g. a FUSE mount of the shared store) to be read by tarfile."""
+    """A POSIX path for Python file access; ``file:`` URIs are converted. Any other scheme is
+    refused: Python would take it for a folder on each executor's own disk. Mount the
+    shared store (FUSE, NFS) and give the mounted path."""
     if uri.startswith("file://"):
         return uri[len("file://"):]
     if uri.startswith("file:"):
         return uri[len("file:"):]
+    if "://" in uri or re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", uri):
+        raise ValueError(f"{uri}: tar shards and file sinks need a mounted POSIX path")
     return uri
 
 
