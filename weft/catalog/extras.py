@@ -136,3 +136,17 @@ def f26(spark, sf):
 
     p = table(spark, sf, "part")
     return p.select("p_partkey", indel_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
+
+
+@query(
+    "x04_metric_table",
+    """WITH a AS (SELECT category, trim(pred) AS p, trim(gt) AS g FROM fx_answers)
+SELECT category, avg((p = g)::DOUBLE) AS exact, avg(contains(lower(p), lower(g))::DOUBLE) AS contained,
+  avg(CASE WHEN greatest(length(p), length(g)) = 0 THEN 1.0 ELSE 1 - levenshtein(p, g) / greatest(length(p), length(g)) END) AS similarity FROM a GROUP BY category""",
+)
+def x04(spark, sf):
+    from weft import registry as X
+    from weft.fixtures import fx_answers
+
+    trimmed = lambda d: d.withColumn("pred", F.trim("pred")).withColumn("gt", F.trim("gt"))
+    return X.metric_table(X.apply_chain(fx_answers(spark, sf), [trimmed]), "pred", "gt", ["exact", "contained", "similarity"], by=["category"])

@@ -317,30 +317,19 @@ def j17(spark, sf):
 
 @query(
     "j18_regroup_annotations",
-    """SELECT img_id AS image_id, count(*) AS n_anns, string_agg('a' || idx::VARCHAR, ',' ORDER BY idx) AS anns
-FROM fx_boxes GROUP BY img_id""",
+    """SELECT img_id AS image_id, 1000 AS w, string_agg('a' || img_id::VARCHAR || '_' || idx::VARCHAR || '=' || x1::DOUBLE::VARCHAR, ','
+  ORDER BY 'a' || img_id::VARCHAR || '_' || idx::VARCHAR) AS anns, count(*) AS n_anns FROM fx_boxes GROUP BY img_id""",
 )
 def j18(spark, sf):
+    # three tables of maps, as the annotation file has them
     b = fx_boxes(spark, sf)
-    aid = F.concat(F.lit("a"), F.col("idx").cast("string"))
+    aid = F.concat(F.lit("a"), F.col("img_id").cast("string"), F.lit("_"), F.col("idx").cast("string"))
     imgs = b.select("img_id").distinct().select(F.create_map(F.col("img_id"), F.struct(F.lit(1000).alias("w"), F.lit(800).alias("h"))).alias("imgs"))
-    i2a = b.groupBy("img_id").agg(F.collect_list(F.struct(F.col("idx"), aid.alias("id"))).alias("l")).select(
-        F.create_map("img_id", F.transform(F.array_sort("l"), lambda x: x["id"])).alias("imgToAnns")
-    )
-    anns = b.select(F.create_map(F.concat(F.col("img_id").cast("string"), F.lit(":"), aid), F.struct("x1", "y1")).alias("anns"))
-    anns = anns.select(
-        F.map_from_arrays(F.transform(F.map_keys("anns"), lambda k: F.split(k, ":").getItem(1)), F.map_values("anns")).alias("anns"),
-        F.split(F.map_keys("anns")[0], ":").getItem(0).cast("bigint").alias("_img"),
-    )
-    # annotation ids repeat across images here, so join them per image
-    i2a_x = i2a.select(F.explode("imgToAnns").alias("image_id", "ids")).select("image_id", F.explode("ids").alias("ann_id"))
-    an = anns.select("_img", F.explode("anns").alias("ann_id", "ann")).withColumnRenamed("_img", "image_id")
-    per = i2a_x.join(an, ["image_id", "ann_id"]).groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n_anns"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.substring("ann_id", 2, 9).cast("int").alias("o"), "ann_id"))), lambda x: x["ann_id"]), ",").alias("anns"),
-    )
-    im = imgs.select(F.explode("imgs").alias("image_id", "img"))
-    return im.join(per, "image_id").select("image_id", "n_anns", "anns")
+    i2a = b.groupBy("img_id").agg(F.collect_list(aid).alias("l")).select(F.create_map("img_id", "l").alias("imgToAnns"))
+    anns = b.select(F.create_map(aid, F.struct(F.col("x1").cast("double").alias("x1"), "y1")).alias("anns"))
+    out = J.regroup_annotations(imgs, i2a, anns)
+    text = F.transform("annotations", lambda a: F.concat(a["ann_id"], F.lit("="), a["ann"]["x1"].cast("string")))
+    return out.select("image_id", "img.w", F.array_join(text, ",").alias("anns"), F.size("annotations").cast("bigint").alias("n_anns"))
 
 
 @query(

@@ -375,7 +375,8 @@ def g25(spark, sf):
     "g26_needle_matrix",
     """WITH s AS (SELECT (step % 5) * 25 AS depth, (step % 3 + 1) * 32 AS frames, type_match::DOUBLE AS score FROM fx_steps)
 SELECT depth, avg(score) FILTER (WHERE frames = 32) AS "32", avg(score) FILTER (WHERE frames = 64) AS "64",
-  avg(score) FILTER (WHERE frames = 96) AS "96" FROM s GROUP BY depth""",
+  avg(score) FILTER (WHERE frames = 96) AS "96",
+  (SELECT avg(m) FROM (SELECT avg(score) AS m FROM s GROUP BY depth, frames)) AS overall FROM s GROUP BY depth""",
 )
 def g26(spark, sf):
     s = fx_steps(spark, sf).select(

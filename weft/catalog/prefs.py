@@ -101,6 +101,35 @@ def r06(spark, sf):
     return t.select("conv_id", "turn", arr(R.mask_interleaved("ids", image=7, sep=2)).alias("labels"))
 
 
+def _template_tokens(spark, sf):
+    """Tokens of conversations: role, word lengths from 10, end; answers without words and
+    end make the template, and for every seventh conversation it has one token too many."""
+    t = fx_turns(spark, sf).select("conv_id", "turn", "role", F.transform(token_ids(F.col("value")), lambda x: x + 10).alias("w"))
+    human = F.col("role") == "human"
+    own = F.concat(F.array(F.when(human, 1).otherwise(3)), "w", F.array(F.lit(2)))
+    tpl = F.when(human, own).otherwise(F.array(F.lit(3)))
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", own.alias("own"), tpl.alias("tpl")))).alias("l"))
+    g = g.select("conv_id", F.flatten(F.transform("l", lambda x: x["own"])).alias("ids"), F.flatten(F.transform("l", lambda x: x["tpl"])).alias("tpl"))
+    return g.withColumn("long", F.when(F.col("conv_id") % 7 == 0, F.concat("tpl", F.array(F.lit(-5)))).otherwise(F.col("tpl")))
+
+
+@query(
+    "r05_mask_by_template",
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role = 'human' AS human, list_transform({tok_sql()}, lambda x: x + 10) AS w FROM fx_turns),
+c AS (SELECT conv_id, flatten(list([CASE WHEN human THEN 1 ELSE 3 END] || w || [2] ORDER BY turn)) AS ids,
+  flatten(list(CASE WHEN human THEN [1] || w || [2] ELSE [3] END ORDER BY turn)) AS tpl FROM t GROUP BY conv_id),
+r AS (SELECT conv_id, ids, tpl, 1::BIGINT AS i, 1::BIGINT AS p, ''::VARCHAR AS labels FROM c
+  UNION ALL SELECT conv_id, ids, tpl, i + 1, CASE WHEN ids[i] = tpl[p] THEN p + 1 ELSE p END,
+    labels || ',' || CASE WHEN ids[i] = tpl[p] THEN '-100' ELSE ids[i]::VARCHAR END FROM r WHERE i <= len(ids)),
+e AS (SELECT conv_id, len(ids) AS n, p > len(tpl) AS used, substr(labels, 2) AS labels FROM r WHERE i = len(ids) + 1)
+SELECT conv_id, CASE WHEN used THEN labels ELSE substr(repeat(',-100', n), 2) END AS labels,
+  CASE WHEN used AND conv_id % 7 <> 0 THEN labels ELSE substr(repeat(',-100', n), 2) END AS strict FROM e""",
+)
+def r05(spark, sf):
+    t = _template_tokens(spark, sf)
+    return t.select("conv_id", arr(R.mask_by_template("ids", "long", "tpl")).alias("labels"), arr(R.mask_by_template("ids", "long")).alias("strict"))
+
+
 LS = "(-(greatest(-({x}), 0) + ln(1 + exp(-abs({x})))))"
 LOGITS = "((pc - pr) - (rc - rr))"
 
@@ -168,6 +197,24 @@ def r10(spark, sf):
     return g.select("vec_id", F.col("g.advantages")[0].alias("adv0"), F.col("g.returns")[0].alias("ret0"))
 
 
+@query(
+    "r10_whitened_advantages",
+    """WITH t AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 60 THEN x::DOUBLE ELSE 0.0 END) AS v,
+   list_transform(embedding, lambda x, i: CASE WHEN i <= 60 THEN -abs(x)::DOUBLE ELSE 0.0 END) AS r FROM embeddings),
+d AS (SELECT vec_id, list_transform(r, lambda x, i: x + 0.99 * coalesce(v[i + 1], 0.0) - v[i]) AS delta FROM t),
+a AS (SELECT vec_id, i, list_sum(list_transform(delta[i:], lambda x, j: pow(0.99 * 0.95, j - 1) * x)) AS adv FROM d, range(1, 65) r(i)),
+m AS (SELECT avg(adv) AS mean, var_samp(adv) AS var FROM a WHERE i <= 60)
+SELECT vec_id, (adv - mean) / sqrt(var + 1e-8) AS white0 FROM a, m WHERE i = 1""",
+)
+def r10_white(spark, sf):
+    e = table(spark, sf, "embeddings")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    r = F.transform("embedding", lambda x: -F.abs(x).cast("double"))
+    m = F.transform("embedding", lambda x, i: i < 60)
+    g = e.select("vec_id", R.gae(v, r, m, 0.99, 0.95).alias("g"), m.alias("mask")).select("vec_id", F.col("g.advantages").alias("adv"), "mask")
+    return R.masked_whiten(g, "adv", "mask", "white").select("vec_id", F.col("white")[0].alias("white0"))
+
+
 @query(
     "r11_prompt_advantages",
     """WITH s AS (SELECT episode, step, ((step * 37) % 11)::DOUBLE AS reward FROM fx_steps),

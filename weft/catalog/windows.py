@@ -106,6 +106,16 @@ def w15(spark, sf):
     return d.select("shard", "k", "order_key.s", "order_key.r")
 
 
+@query(
+    "w15_chunk_shuffle",
+    f"""SELECT id, row_number() OVER (ORDER BY {H.format(seed=5, k='(row_id // 16)::BIGINT::VARCHAR')}, {H.format(seed=6, k='row_id::VARCHAR')}, row_id) - 1 AS place
+FROM {SCORED_ROWS}""",
+)
+def w15_chunk(spark, sf):
+    d = W.chunk_shuffle(scored_rows(spark, sf), "row_id", 16, epoch=5)
+    return positions(d.select("id", "order_key"), ["order_key"], name="place").select("id", "place")
+
+
 @query(
     "w15_rank_chunk",
     f"""WITH r AS {SCORED_ROWS}
@@ -172,8 +182,8 @@ def k01(spark, sf):
     "SELECT conv_id, least(CASE WHEN n_img > 0 THEN n_img ELSE 0 END, 2)::BIGINT AS n_images FROM fx_convimg",
 )
 def k02(spark, sf):
-    s = conv_samples(spark, sf)
-    return s.select("conv_id", F.size(F.slice("images", 1, 2)).cast("bigint").alias("n_images"))
+    s = W.cap_media(conv_samples(spark, sf), 2)
+    return s.select("conv_id", F.size("images").cast("bigint").alias("n_images"))
 
 
 @query(

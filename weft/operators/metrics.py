@@ -231,10 +231,12 @@ def aspect_score(df: DataFrame, task: str, score: str) -> DataFrame:
 
 
 def needle_matrix(df: DataFrame, depth: str, frames: str, score: str, frame_values: Sequence[int]) -> DataFrame:
-    """Depth x frames mean score (pivot on the given frame values) and a row
-    ``depth = -1`` holding each column's overall mean is left to the caller; the pivot
-    values are passed so no extra distinct job runs."""
-    return df.groupBy(depth).pivot(frames, list(frame_values)).agg(F.avg(score))
+    """Depth x frames mean score (pivot on the given frame values, so no extra
+    distinct job runs), with ``overall``, the mean of all cells, in every row."""
+    matrix = df.groupBy(depth).pivot(frames, list(frame_values)).agg(F.avg(score))
+    cells = df.groupBy(depth, frames).agg(F.avg(score).alias("_wf_s")).agg(F.avg("_wf_s").alias("overall"))
+    one = F.lit(1).alias("_wf_one")
+    return matrix.select("*", one).join(F.broadcast(cells.select("*", one)), "_wf_one").drop("_wf_one")
 
 
 def summarise(results: DataFrame, registry: DataFrame) -> DataFrame:

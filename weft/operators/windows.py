@@ -229,6 +229,11 @@ def best_of_n(df: DataFrame, query: str, score: str, key: str, k: int) -> DataFr
     return df.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("bigint"))
 
 
+def cap_media(df: DataFrame, k: int, images: str = "images") -> DataFrame:
+    """The first ``k`` media of a sample."""
+    return df.withColumn(images, F.slice(images, 1, k))
+
+
 def most_similar(text: Column, choices: Column) -> Column:
     """The choice with the smallest edit distance to ``text`` (first on ties)."""
     scored = F.transform(choices, lambda c, i: F.struct(F.levenshtein(text, c).alias("d"), i.alias("i"), c.alias("c")))
