@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +15,8 @@ from weft.session import ensure_checkpoint_dir
 
 #: Bytes of text handed to an operator at once.
 CHUNK_CHARS = 2_000_000
+#: Rows of an Arrow batch, at most: whole texts pass through, so batches are kept small.
+BATCH_ROWS = 1_000
 
 _TEXT = "__llm_text"
 
@@ -25,6 +27,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], Sequence]],
@@ -43,8 +52,12 @@ def map_texts(
     out = T.StructType.fromDDL(fields)
     names = {f.name for f in out.fields}
     kept = [c for c in keep if c not in names]
-    source = F.col(text).cast("binary" if binary else "string")
-    sel = df.select(*[F.col(f"`{c}`") for c in kept], source.alias(_TEXT))
+    small_batches(df.sparkSession)
+    if text in kept and not binary and df.schema[text].dataType == T.StringType():
+        sel, place = df.select(*[F.col(f"`{c}`") for c in kept]), kept.index(text)  # the text goes once
+    else:
+        source = F.col(text).cast("binary" if binary else "string")
+        sel, place = df.select(*[F.col(f"`{c}`") for c in kept], source.alias(_TEXT)), len(kept)
     schema = T.StructType([f for f in sel.schema.fields if f.name != _TEXT] + out.fields)
     arrow = to_arrow_schema(schema)
     empty = b"" if binary else ""
@@ -52,8 +65,8 @@ def map_texts(
     def run(batches):
         fn = make()
         for rb in batches:
-            for part in text_runs(rb, len(kept)):
-                texts = [empty if t is None else t for t in part.column(len(kept)).to_pylist()]
+            for part in text_runs(rb, place):
+                texts = [empty if t is None else t for t in part.column(place).to_pylist()]
                 cols = fn(texts)
                 arrays = [part.column(i) for i in range(len(kept))]
                 arrays += [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(len(kept) + i).type) for i, c in enumerate(cols)]

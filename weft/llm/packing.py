@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.batches import durable, text_runs
+from weft.llm.batches import durable, small_batches, text_runs
 from weft.llm.memo import Memo
 
 WINDOW = 2048
@@ -221,6 +221,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
                 close(bin_)
             yield flush()
 
+    small_batches(spark)
     pieces = df.select(F.col(f"`{id_col}`"), F.col(text).cast("string").alias("_text"))
     pieces = durable(pieces.mapInArrow(run, f"`{id_col}` {id_type}, {_PIECES}"))
     # one row per task, as many as the driver's own task list: sequences of earlier tasks come first

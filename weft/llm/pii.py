@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.batches import durable, map_texts, text_runs
+from weft.llm.batches import durable, map_texts, small_batches, text_runs
 
 KINDS = ("email", "ip", "card", "phone", "general", "term")
 WINDOW_WORDS = 6  # on each side of a match
@@ -182,6 +182,7 @@ def document_counts(df: DataFrame, terms: DataFrame, text: str = "text") -> Data
                     yield flush()
         yield flush()
 
+    small_batches(df.sparkSession)
     counted = df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term string, n long")
     return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -278,5 +279,6 @@ def sanitise(df: DataFrame, text: str = "text", length: str = "n_chars") -> Data
                 arrays[size] = pa.array([len(t) for t in new], rb.column(size).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
+    small_batches(df.sparkSession)
     hidden = _with_terms(found, reveals).select(*columns, "_spans").mapInArrow(run, df.schema)
     return marked.where(F.size("_spans") == 0).select(*columns).union(hidden)
