@@ -68,3 +68,45 @@ def test_numbers_are_spelled(spark, text, want):
 def test_image_tokens_keep_their_labels(spark):
     df = spark.createDataFrame([([5, 2, 7, 8, 2, 9, 7, 7, 3],)], "ids array<int>")
     assert df.select(R.mask_interleaved("ids", image=7, sep=2)).first()[0] == [-100, -100, 7, 8, -100, -100, 7, 7, 3]
+
+
+def test_shard_index_has_sizes_and_digests(spark, tmp_path):
+    import hashlib
+    import os
+
+    from weft.sources import tarshards as TS
+
+    df = spark.createDataFrame([(f"s{i % 3}", f"{i:04d}", "text " * i) for i in range(30)], "shard string, key string, text string")
+    TS.write_tar_shards(df, "shard", "key", {"txt": "text"}, str(tmp_path))
+    rows = TS.build_shard_index(spark, f"{tmp_path}/*.tar").collect()
+    assert [os.path.basename(r["url"]) for r in rows] == ["s0.tar", "s1.tar", "s2.tar"]
+    for r in rows:
+        data = (tmp_path / os.path.basename(r["url"])).read_bytes()
+        assert (r["nsamples"], r["filesize"], r["md5sum"]) == (10, len(data), hashlib.md5(data).hexdigest())
+    with pytest.raises(ValueError, match="mounted"):
+        TS.write_tar_shards(df, "shard", "key", {"txt": "text"}, "store://bucket/x")
+
+
+def test_equal_stems_of_two_folders_stay_apart(spark, tmp_path):
+    from weft.sources.files import read_caption_dir
+
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_text(f"caption {folder}")
+        (tmp_path / folder / "x.jpg").write_bytes(folder.encode())
+    (tmp_path / "a" / "y.txt").write_text("alone")
+    rows = sorted((r["stem"], r["caption"], bytes(r["media_bytes"])) for r in read_caption_dir(spark, str(tmp_path)).collect())
+    assert rows == [("x", "caption a", b"a"), ("x", "caption b", b"b")]
+
+
+def test_registry(spark):
+    from weft import registry as X
+
+    df = spark.createDataFrame([("ab", "ab"), ("abc", "b")], "p string, t string")
+    row = X.metric_table(X.apply_chain(df, [lambda d: d.where("p is not null")]), "p", "t", ["exact", "contained"]).first()
+    assert (row["exact"], row["contained"]) == (0.5, 1.0)
+    assert df.select(X.tokenise(F.col("p"), "word_lengths").alias("x")).first()["x"] == [2]
+    with pytest.raises(ValueError, match="no metric"):
+        X.metric_table(df, "p", "t", ["nothing"])
+    with pytest.raises(ValueError, match="already"):
+        X.METRICS.register("exact")(None)

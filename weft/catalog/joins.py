@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.catalog import query
@@ -199,6 +200,37 @@ def j10(spark, sf):
     return J.resolve_media(p.select("page_id"), man, base).select("page_id", "media_path")
 
 
+@query(
+    "j10_extension_order",
+    """SELECT page_id, 'v' || page_id::VARCHAR || CASE page_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MP4' ELSE '.mkv' END AS media_path
+FROM pages WHERE page_id % 4 <> 3""",
+)
+def j10_order(spark, sf):
+    p = table(spark, sf, "pages").select("page_id")
+    base, k = F.concat(F.lit("v"), F.col("page_id").cast("string")), F.col("page_id") % 4
+    # 0 has all three, 1 the last two, 2 the last one, 3 another kind
+    have = [(k == 0, ".mp4"), (k <= 1, ".MP4"), (k <= 2, ".mkv"), (k == 3, ".avi")]
+    man = None
+    for cond, ext in have:
+        part = p.where(cond).select(F.concat(base, F.lit(ext)).alias("path"))
+        man = part if man is None else man.unionByName(part)
+    return J.resolve_by_extension(p, man, base, [".mp4", ".MP4", ".mkv"]).select("page_id", "media_path")
+
+
+@query(
+    "j10_folder_extension",
+    """SELECT 'd' || (page_id % 50)::VARCHAR AS folder, CASE WHEN page_id % 50 % 5 <> 0 THEN '.png' END AS ext,
+  page_id % 50 % 5 = 0 AS bad FROM pages GROUP BY page_id % 50 HAVING count(*) > 1""",
+)
+def j10_folder(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", (F.col("page_id") % 50).alias("d"))
+    p = p.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("d"))).where("n > 1")
+    odd = (F.col("d") % 5 == 0) & (F.floor(F.col("page_id") / 50) % 2 == 0)
+    ext = F.when(odd, ".jpg").otherwise(".png")
+    man = p.select(F.concat(F.lit("d"), F.col("d").cast("string"), F.lit("/f"), F.col("page_id").cast("string"), ext).alias("path"))
+    return J.folder_extension(man).select("folder", "ext", F.col("error").isNotNull().alias("bad"))
+
+
 PROMPT_SQL = """CASE p_partkey % 4
   WHEN 0 THEN 'OCR tokens: a b Question: ' || p_name || ' Short answer:'
   WHEN 1 THEN 'Reference OCR token: x' || chr(10) || p_name || chr(10) || 'Answer:'
@@ -312,7 +344,16 @@ def j16(spark, sf):
 @query("j17_resume_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j17(spark, sf):
     d = table(spark, sf, "documents")
-    return d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    return J.resume(d, table(spark, sf, "labels"), ["doc_id"]).select("doc_id")
+
+
+@query(
+    "j17_resume_by_columns",
+    """SELECT episode, step FROM fx_steps s WHERE NOT EXISTS (SELECT 1 FROM fx_steps d WHERE d.step % 3 = 0 AND d.episode = s.episode AND d.step = s.step)""",
+)
+def j17_columns(spark, sf):
+    s = fx_steps(spark, sf).select("episode", "step")
+    return J.resume(s, s.where("step % 3 = 0"), ["episode", "step"])
 
 
 @query(

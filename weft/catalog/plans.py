@@ -158,6 +158,16 @@ def f29(spark, sf):
     return m.select("media_id", MP.square_pad("width", "height").alias("p")).select("media_id", "p.side", F.col("p.left").cast("bigint").alias("left"), F.col("p.top").cast("bigint").alias("top"))
 
 
+@query(
+    "f29_short_side_resize",
+    """SELECT media_id, CASE WHEN least(width, height) <= 336 THEN width WHEN height < width THEN floor(336 * width::DOUBLE / height) ELSE 336 END::BIGINT AS w,
+  CASE WHEN least(width, height) <= 336 THEN height WHEN height < width THEN 336 ELSE floor(336 * height::DOUBLE / width) END::BIGINT AS h FROM fx_media""",
+)
+def f29_resize(spark, sf):
+    m = fx_media(spark, sf)
+    return m.select("media_id", MP.short_side_resize("width", "height").alias("p")).select("media_id", F.col("p.width").alias("w"), F.col("p.height").alias("h"))
+
+
 @query(
     "f30_frame_indices",
     """SELECT media_id,

@@ -306,10 +306,12 @@ p AS (SELECT conv_id, ids, list_filter(range(len(ids)), lambda i: ids[i + 1] = 7
 r AS (SELECT conv_id, ids, pos, rk, len(pos) // 2 AS q, len(pos) % 2 AS rm FROM p, range(2) x(rk) WHERE len(pos) >= 2),
 s AS (SELECT conv_id, rk, ids, CASE WHEN rk = 0 THEN 0 ELSE pos[rk * q + least(rk, rm) + 1] END AS st,
   CASE WHEN rk = 1 THEN len(ids) ELSE pos[(rk + 1) * q + least(rk + 1, rm) + 1] END AS en FROM r)
-SELECT conv_id, rk AS rank, {arr_sql('ids[st + 1:en]')} AS local_ids FROM s""",
+SELECT conv_id, rk AS rank, {arr_sql('ids[st + 1:en]')} AS local_ids,
+  CASE WHEN rk = 0 THEN 0 ELSE st + 5 * len(list_filter(ids[1:st], lambda y: y = 7)) END AS pos_start,
+  en + 5 * len(list_filter(ids[1:en], lambda y: y = 7)) AS pos_end FROM s""",
 )
 def w09(spark, sf):
     t = fx_turns(spark, sf).withColumn("tok", token_ids(F.col("value")))
     g = t.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tok"))), lambda x: x["tok"])).alias("ids"))
-    out = R.split_at_media(g, "ids", image_token=7, sp=2).filter(F.col("error").isNull())
-    return out.select("conv_id", F.col("rank").cast("bigint").alias("rank"), arr(F.col("local_ids")).alias("local_ids"))
+    out = R.split_at_media(g, "ids", image_token=7, sp=2, image_len=5).filter(F.col("error").isNull())
+    return out.select("conv_id", F.col("rank").cast("bigint").alias("rank"), arr(F.col("local_ids")).alias("local_ids"), "pos_start", "pos_end")

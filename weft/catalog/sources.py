@@ -28,11 +28,23 @@ def s01(spark, sf):
     return S.read_records(spark, f"{root}/arrays", schema).unionByName(S.read_records(spark, f"{root}/lines", schema))
 
 
-@query("s02_read_write_any", "SELECT doc_id::VARCHAR AS doc_id, quality::VARCHAR AS quality FROM labels")
+@query(
+    "s02_read_write_any",
+    "SELECT ext, doc_id::VARCHAR AS doc_id, quality::VARCHAR AS quality FROM labels, (VALUES ('csv'), ('jsonl'), ('parquet'), ('txt')) v(ext)",
+)
 def s02(spark, sf):
     root = S.shared_path(spark, "s02")
-    S.write_any(table(spark, sf, "labels").select("doc_id", "quality"), f"{root}/labels.csv")
-    return S.read_any(spark, f"{root}/labels.csv").select("doc_id", "quality")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    out = None
+    for ext in ("csv", "jsonl", "parquet", "txt"):
+        path = f"{root}/labels.{ext}"
+        S.write_any(lab.select(F.concat_ws(" ", "doc_id", "quality").alias("value")) if ext == "txt" else lab, path)
+        back = S.read_any(spark, path)
+        if ext == "txt":
+            back = back.select(F.split("value", " ")[0].alias("doc_id"), F.split("value", " ")[1].alias("quality"))
+        back = back.select(F.lit(ext).alias("ext"), F.col("doc_id").cast("string"), F.col("quality").cast("string"))
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @query(
@@ -175,6 +187,20 @@ def s21(spark, sf):
     return S.read_json_folder(spark, f"{root}/*", "doc_id", "doc_id bigint, quality int").select("doc_id", F.col("quality").cast("int").alias("quality"))
 
 
+@query("s21_append_json_folder", "SELECT doc_id, quality FROM labels")
+def s21_append(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    root = S.shared_path(spark, "s21l")
+    lists = lab.filter("doc_id % 8 <> 0").groupBy(F.floor(F.col("doc_id") / 50).alias("g")).agg(F.collect_list(F.struct("doc_id", "quality")).alias("l"))
+    name = lambda x: F.concat(F.lit(x), F.col("g").cast("string"), F.lit(".json"))
+    S.write_files(lists.select(name("list").alias("name"), F.to_json("l").alias("content")), root, "name", "content")
+    ones = lab.filter("doc_id % 8 = 0").withColumn("g", F.col("doc_id"))
+    S.write_files(ones.select(name("one").alias("name"), F.to_json(F.struct("doc_id", "quality")).alias("content")), root, "name", "content")
+    bad = lab.filter("doc_id % 40 = 0").withColumn("g", F.col("doc_id"))
+    S.write_files(bad.select(name("bad").alias("name"), F.lit("[{").alias("content")), root, "name", "content")
+    return S.append_json_folder(spark, root, "doc_id bigint, quality int")
+
+
 @query("s22_read_results", "SELECT count(*) AS n FROM labels")
 def s22(spark, sf):
     root = S.shared_path(spark, "s22")

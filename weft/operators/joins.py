@@ -215,6 +215,33 @@ def resolve_media(df: DataFrame, manifest: DataFrame, stem: Column) -> DataFrame
     )
 
 
+def resolve_by_extension(df: DataFrame, manifest: DataFrame, stem: Column, extensions: Sequence[str]) -> DataFrame:
+    """J10, fixed extension order: the first of ``stem + extension`` that exists; samples
+    without any go. The order stands in the table of extensions, a literal registry."""
+    ranked = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ext")) for i, e in enumerate(extensions)]))
+    tried = df.withColumn("stem", stem).select("*", ranked.alias("_wf_e")).withColumn("media_path", F.concat("stem", "_wf_e.ext"))
+    known = manifest.select(F.col("path").alias("media_path")).distinct()
+    found = tried.join(known, "media_path").groupBy("stem").agg(F.min_by("media_path", "_wf_e.rank").alias("media_path"))
+    return df.withColumn("stem", stem).join(found, "stem")
+
+
+def folder_extension(manifest: DataFrame, path: str = "path") -> DataFrame:
+    """J10, folder rule: (folder, ext, error): the one extension of a folder's files; a
+    folder with several is an error."""
+    parts = manifest.select(
+        F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(path, r"(\.[^./]*)$", 1).alias("ext")
+    )
+    found = parts.groupBy("folder").agg(F.min("ext").alias("ext"), F.count_distinct("ext").alias("_wf_n"))
+    error = F.when(F.col("_wf_n") > 1, F.lit("several extensions in the folder"))
+    return found.select("folder", F.when(F.col("_wf_n") == 1, F.col("ext")).alias("ext"), error.alias("error"))
+
+
+def resume(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Work that is not done yet: by id, by file name, by several columns (frames and
+    depth), by task. Null keys are never done."""
+    return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """J12 helper: one row per key, the one with the largest ``order`` (last wins);
     a ``max_by`` aggregate, so a hot key is combined map-side."""

@@ -285,8 +285,7 @@ def with_system(df: DataFrame, prompts: Sequence[str] | str, seed: int = 42, key
 def render_chat(turns: Column | str, style: str = "vicuna_v1") -> Column:
     """Chat text in the TWO / LLAMA_3 / MPT / PLAIN styles of ``TEMPLATES``.
 
-    The first turn's image tags are moved to the front (``<image>\\n`` + stripped text)
-    when the sample has an image, as the template does for media messages.
+    Image tags stay where they are; M02 brings them to the front of a turn.
     """
     tpl = TEMPLATES[style]
     t = _c(turns)

@@ -52,6 +52,15 @@ def square_pad(width: Column | str, height: Column | str) -> Column:
     return F.struct(side.alias("side"), F.floor((side - w) / 2).alias("left"), F.floor((side - h) / 2).alias("top"))
 
 
+def short_side_resize(width: Column | str, height: Column | str, limit: int = 336) -> Column:
+    """struct(width, height) after shrinking so that the shorter side is ``limit``; an
+    image whose shorter side is within the limit stays as it is."""
+    w, h = _c(width), _c(height)
+    short = F.least(w, h)
+    side = lambda x: F.when(short <= limit, x).when(x == short, F.lit(limit)).otherwise(F.floor(limit * x / short)).cast("bigint")
+    return F.struct(side(w).alias("width"), side(h).alias("height"))
+
+
 def frame_indices(frame_count: Column | str, num_frames: int, rounded: bool = False) -> Column:
     """``linspace(0, frame_count - 1, num_frames)`` cast to int (truncation) or
     rounded half-even; the last index is exactly frame_count - 1."""

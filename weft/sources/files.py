@@ -106,17 +106,16 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFr
 
 def read_caption_dir(spark: SparkSession, root: str) -> DataFrame:
     """Extracted-archive folder: ``stem.txt`` captions next to ``stem.jpg`` media;
-    rows are stems having both (binaryFile, pivot on the extension)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    f = f.select(
-        F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"),
-        F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"),
-        "content",
-    )
-    p = f.groupBy("stem").pivot("ext", ["txt", "jpg"]).agg(F.first("content"))
-    return p.filter(F.col("txt").isNotNull() & F.col("jpg").isNotNull()).select(
-        "stem", F.decode(F.col("txt"), "UTF-8").alias("caption"), F.col("jpg").alias("media_bytes")
-    )
+    rows are stems that have both in the same folder. Captions and media meet by their
+    paths, so equal stems of two folders stay apart and media move once."""
+
+    def paths(ext: str) -> DataFrame:
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ext}").load(root)
+        folder, stem = F.regexp_extract("path", r"^(.*)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+        return f.select(folder.alias("folder"), stem.alias("stem"), "content")
+
+    captions = paths("txt").select("folder", "stem", F.decode(F.col("content"), "UTF-8").alias("caption"))
+    return paths("jpg").withColumnRenamed("content", "media_bytes").join(captions, ["folder", "stem"]).select("stem", "caption", "media_bytes")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -202,6 +201,12 @@ def read_json_folder(spark: SparkSession, folder: str, key: str, schema: str) ->
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), "_wf_file").alias("_r")).select(key, "_r.*")
 
 
+def append_json_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """S21, list form: all records of a folder's JSON files one after the other; a file
+    holds a list of records or one record, and an unreadable file is skipped."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(folder)
+
+
 def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Every JSON file under a folder tree."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import glob as _glob
 import gzip
+import hashlib
 import io
 import json
 import re
@@ -150,17 +151,30 @@ def write_tar_shards(df: DataFrame, shard: str, key: str, members: dict[str, str
 
 def build_shard_index(spark: SparkSession, pattern: str) -> DataFrame:
     """Per archive: url, distinct sample keys, byte size and md5, sorted by url;
-    unreadable archives are left out. Sizes and digests come from ``binaryFile``."""
+    unreadable archives are left out. Sizes come from the listing; a digest is taken block
+    by block, so an archive never stands in one value."""
     register(spark)
-    files = spark.read.format("binaryFile").load(pattern).select(
-        F.col("path").alias("url_full"), F.col("length").alias("filesize"), F.md5("content").alias("md5sum")
-    )
+    listed = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("url_full"), F.col("length").alias("filesize"))
+
+    def digest(batches):
+        for pdf in batches:
+            yield pdf.assign(md5sum=[_md5(local_path(p)) for p in pdf["url_full"]])
+
+    files = listed.mapInPandas(digest, "url_full string, filesize long, md5sum string")
     rows = spark.read.format("tarshards").load(pattern)
     keys = rows.groupBy("__shard__").agg(F.countDistinct("__key__").alias("nsamples"))
     files = files.withColumn("url", F.regexp_replace("url_full", "^file:", ""))
     return files.join(keys, files.url == keys.__shard__).select("url", "nsamples", "filesize", "md5sum").orderBy("url")
 
 
+def _md5(path: str, block: int = 1 << 20) -> str:
+    found = hashlib.md5()
+    with open(path, "rb") as fh:
+        while data := fh.read(block):
+            found.update(data)
+    return found.hexdigest()
+
+
 def human_size(c) -> F.Column:
     """1234 -> 1.2k, 1234567 -> 1.2M, ... with one decimal."""
     x = c.cast("double")
