@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from weft.functions.actions import compare_action, indel_ratio, parse_action
 

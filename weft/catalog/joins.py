@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.catalog import query
-from weft.fixtures import conv_samples, fx_answers, fx_boxes, fx_fetch, fx_lines, fx_members, fx_recap, fx_spans, fx_steps, table
+from weft.fixtures import conv_samples, fx_boxes, fx_fetch, fx_lines, fx_members, fx_recap, fx_spans, fx_steps, table
 from weft.functions.boxes import iou_plus1
 from weft.functions.text import question_from_prompt
 from weft.ids import positions

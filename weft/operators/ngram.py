@@ -9,8 +9,6 @@ ROUGE-L's longest common subsequence runs in an Arrow-batched pandas UDF per row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -13,7 +13,6 @@ import glob as _glob
 import gzip
 import hashlib
 import io
-import json
 import re
 import tarfile
 
