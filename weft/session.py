@@ -67,6 +67,6 @@ def ship_package(spark: SparkSession) -> None:
     if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    made = tempfile.mkdtemp(prefix="weft-ship-")  # the driver's own; Spark copies the archive to the executors
+    made = os.path.realpath(tempfile.mkdtemp(prefix="weft-ship-"))  # the driver's own; Spark sends the archive to the executors
     sc.addPyFile(shutil.make_archive(f"{made}/weft", "zip", os.path.dirname(here), "weft"))
     _SHIPPED.add(sc.applicationId)
