@@ -58,8 +58,8 @@ def f17(spark, sf):
 QT = "CASE WHEN question_id % 3 = 0 THEN 'free_form' ELSE 'multi_choice' END"
 AT = "CASE WHEN question_id % 3 <> 0 THEN 'text' WHEN question_id % 2 = 0 THEN 'integer' ELSE 'float' END"
 F_RESP = """CASE WHEN question_id % 3 <> 0 THEN (CASE question_id % 4 WHEN 0 THEN gt WHEN 1 THEN '(c) guess' WHEN 2 THEN 'B' ELSE 'zz ' || pred END)
-  WHEN question_id % 2 = 0 THEN CASE WHEN question_id % 9 = 0 THEN 'x' || n::VARCHAR ELSE n::VARCHAR END
-  ELSE CASE WHEN question_id % 7 = 0 THEN 'The answer is "' || n::VARCHAR || '.25".' ELSE n::VARCHAR || '.5' END END"""
+  WHEN question_id % 2 = 0 THEN CASE WHEN question_id % 9 = 0 THEN 'x' || CAST(n AS STRING) ELSE CAST(n AS STRING) END
+  ELSE CASE WHEN question_id % 7 = 0 THEN 'The answer is "' || CAST(n AS STRING) || '.25".' ELSE CAST(n AS STRING) || '.5' END END"""
 
 
 def _frame(spark, sf):
@@ -110,3 +110,26 @@ def g23(spark, sf):
     d = _frame(spark, sf).join(fx_answers(spark, sf).select("question_id", "pred"), "question_id")
     d = d.withColumn("skills", F.split("gt", " ")).withColumnRenamed("qt", "qt")
     return facet_breakdown(d, F.col("pred") == F.col("gt"), ["qt", "category"], ["skills"])
+
+
+F21_TEXT = """CASE question_id % 10 WHEN 0 THEN 'the largest ' || pred WHEN 1 THEN 'Twenty ' || pred WHEN 2 THEN CAST(n AS STRING) WHEN 3 THEN ' ' || CAST(n AS STRING) || '.00'
+  WHEN 4 THEN '-' || CAST(n AS STRING) || '.5' WHEN 5 THEN 'yes' WHEN 6 THEN 'Yes, ' || pred WHEN 7 THEN pred WHEN 8 THEN 'rates of ' || pred ELSE '.' END"""
+
+
+@query(
+    "f21_text_predicates",
+    """SELECT question_id, question_id % 10 IN (2, 3, 4) AS digit, question_id % 10 IN (1, 2, 3, 4) AS number_word, question_id % 10 = 0 AS quantity,
+  question_id % 10 = 5 AS bool_word, question_id % 10 IN (2, 3) AS int_string, question_id % 10 IN (3, 4) AS float_string FROM fx_answers""",
+)
+def f21(spark, sf):
+    # each form of text has known answers
+    a = fx_answers(spark, sf).withColumn("t", F.expr(F21_TEXT))
+    return a.select(
+        "question_id",
+        C.has_digit("t").alias("digit"),
+        C.has_number_word("t").alias("number_word"),
+        C.has_quantity_word("t").alias("quantity"),
+        C.is_bool_word("t").alias("bool_word"),
+        C.is_int_string("t").alias("int_string"),
+        C.is_float_string("t").alias("float_string"),
+    )

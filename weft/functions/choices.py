@@ -103,14 +103,51 @@ def normalise_extraction(extraction: Column | str, choices: Column | str, questi
     )
 
 
+# Words that name a quantity. "fewestmore" is one entry, as two strings run
+# together there.
+QUANTITY_WORDS = (
+    "most least fewestmore less fewer largest smallest greatest larger smaller greater highest lowest higher lower "
+    "increase decrease minimum maximum max min mean average median total sum add subtract difference quotient gap "
+    "half double twice triple square cube root approximate approximation triangle rectangle circle square cube "
+    "sphere cylinder cone pyramid multiply divide percentage percent ratio proportion fraction rate"
+).split()
+# Single words that read as a number.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand lakh crore million billion"
+).split()
+BOOL_WORDS = ["Yes", "No", "True", "False", "yes", "no", "true", "false", "YES", "NO", "TRUE", "FALSE"]
+
+
+def _any_word(text: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0), F.array(*[F.lit(w) for w in words]))
+
+
 def has_digit(c: Column | str) -> Column:
     """F21 predicates: digits present."""
-    return _c(c).rlike(r"\d")
+    return _c(c).rlike(r"[0-9]")
+
+
+def has_number_word(c: Column | str) -> Column:
+    """a word that reads as a number (in any case), or a digit."""
+    return _any_word(F.lower(_c(c)), NUMBER_WORDS) | has_digit(c)
+
+
+def has_quantity_word(c: Column | str, keep: list[str] | None = None) -> Column:
+    """a quantity word, as it stands, or one of the caller's own."""
+    return _any_word(_c(c), [*QUANTITY_WORDS, *(keep or [])])
+
+
+def is_bool_word(c: Column | str) -> Column:
+    """exactly one of the yes/no words."""
+    return _c(c).isin(BOOL_WORDS)
 
 
 def is_int_string(c: Column | str) -> Column:
-    return _c(c).rlike(r"^-?\d+$")
+    """an integer, with spaces around and ``.000`` after it at most."""
+    return F.regexp_replace(F.trim(_c(c)), r"\.0+$", "").rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$")
 
 
 def is_float_string(c: Column | str) -> Column:
-    return _c(c).rlike(r"^-?\d*\.\d+$")
+    """a number with a point."""
+    return _c(c).contains(".") & _c(c).rlike(r"^\s*[+-]?([0-9]+(_[0-9]+)*\.([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?\s*$")
