@@ -110,3 +110,18 @@ def test_registry(spark):
         X.metric_table(df, "p", "t", ["nothing"])
     with pytest.raises(ValueError, match="already"):
         X.METRICS.register("exact")(None)
+
+
+@pytest.mark.parametrize(
+    ("ids", "want"),
+    [
+        ([9, 1, 1, 5, 2, 2, 6, 7, 1, 1, 8, 2, 2, 4], [-100] * 6 + [6, 7] + [-100] * 5 + [4]),  # two rounds
+        ([2, 2, 6, 1, 1, 8], [-100, -100, 6, -100, -100, -100]),  # an answer first, a question last
+        ([9, 1, 1, 5], [-100] * 4),  # no answer marker
+        ([9, 2, 2, 5], [-100] * 4),  # no question marker
+        ([], []),
+    ],
+)
+def test_marker_tokens(spark, ids, want):
+    df = spark.createDataFrame([(ids,)], "ids array<int>")
+    assert df.select(R.mask_by_marker_tokens("ids", [2, 2], [1, 1])).first()[0] == want

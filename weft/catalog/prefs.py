@@ -87,6 +87,30 @@ def r04(spark, sf):
     return t.select("conv_id", "turn", arr(R.mask_by_markers("ids", instruction=3, response=5)).alias("labels"))
 
 
+@query(
+    "r04_marker_tokens",
+    f"""WITH t AS (SELECT conv_id, flatten(list({tok_sql()} ORDER BY turn)) AS ids FROM fx_turns GROUP BY conv_id),
+p AS (SELECT conv_id, i, ids[i] AS x, ids[i] = 2 AND ids[i + 1] = 3 AS res, ids[i] = 3 AND ids[i + 1] = 2 AS ins, len(ids) AS n FROM t, range(1, len(ids) + 1) r(i)),
+r AS (SELECT conv_id, i + 1 AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k, count(*) OVER (PARTITION BY conv_id) AS nr FROM p WHERE res),
+h0 AS (SELECT conv_id, i AS go FROM p WHERE ins),
+h1 AS (SELECT conv_id, go FROM h0 UNION ALL
+  SELECT conv_id, 1 FROM (SELECT conv_id, min(go) AS go FROM h0 GROUP BY conv_id) f JOIN (SELECT conv_id, min(stop) AS stop FROM r GROUP BY conv_id) q USING (conv_id) WHERE f.go > q.stop + 1),
+h AS (SELECT conv_id, go, row_number() OVER (PARTITION BY conv_id ORDER BY go) AS k, count(*) OVER (PARTITION BY conv_id) AS nh FROM h1),
+m AS (SELECT p.conv_id, p.i, p.x,
+   NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = p.conv_id) OR NOT EXISTS (SELECT 1 FROM h0 WHERE h0.conv_id = p.conv_id)
+   OR EXISTS (SELECT 1 FROM r JOIN h USING (conv_id, k) WHERE r.conv_id = p.conv_id AND p.i <= r.stop AND (k = 1 OR p.i >= h.go))
+   OR p.i >= (SELECT max(go) FROM h WHERE h.conv_id = p.conv_id AND nh > coalesce((SELECT max(nr) FROM r WHERE r.conv_id = p.conv_id), 0)) AS hidden,
+   p.i <= coalesce((SELECT max(stop) FROM r WHERE r.conv_id = p.conv_id), p.n) AS before FROM p)
+SELECT conv_id, string_agg((CASE WHEN coalesce(hidden, false) THEN -100 ELSE x END)::VARCHAR, ',' ORDER BY i) AS labels,
+  string_agg((CASE WHEN before THEN -100 ELSE x END)::VARCHAR, ',' ORDER BY i) AS last FROM m GROUP BY conv_id""",
+)
+def r04_tokens(spark, sf):
+    t = fx_turns(spark, sf).select("conv_id", F.struct("turn", token_ids(F.col("value")).alias("w")).alias("t"))
+    g = t.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["w"])).alias("ids"))
+    both, last = R.mask_by_marker_tokens("ids", [2, 3], [3, 2]), R.mask_by_marker_tokens("ids", [2, 3])
+    return g.select("conv_id", arr(both).alias("labels"), arr(last).alias("last"))
+
+
 @query(
     "r06_mask_interleaved",
     f"""WITH t AS (SELECT conv_id, turn, {tok_sql()} AS ids FROM fx_turns),
