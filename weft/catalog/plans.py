@@ -181,6 +181,20 @@ def f30(spark, sf):
     return m.select("media_id", j(MP.frame_indices("frame_count", 8)).alias("frames"), j(MP.frame_indices("frame_count", 8, rounded=True)).alias("rounded"))
 
 
+@query(
+    "f30_frames_by_rate",
+    """WITH m AS (SELECT media_id, fps, frame_count AS fc, frame_count::DOUBLE / fps AS d FROM fx_media),
+n AS (SELECT *, CASE WHEN fc = 0 THEN 0 WHEN d >= 4 THEN CASE WHEN fc <= 1 THEN 0 WHEN fc < 8 THEN fc ELSE 8 END
+   WHEN floor(d * 2) = 0 THEN 0 ELSE greatest(floor(d * 2), 2) END::BIGINT AS n FROM m),
+f AS (SELECT DISTINCT media_id, CASE WHEN i = n - 1 THEN fc - 1 ELSE trunc(i * ((fc - 1) / (n - 1))) END::BIGINT AS frame FROM n, range(0, n) r(i))
+SELECT media_id, coalesce(string_agg(frame::VARCHAR, ',' ORDER BY frame), '') AS frames FROM m LEFT JOIN f USING (media_id) GROUP BY media_id""",
+)
+def f30_rate(spark, sf):
+    m = fx_media(spark, sf)
+    frames = MP.frames_by_rate("frame_count", "fps", 8, 2.0)
+    return m.select("media_id", F.array_join(F.transform(frames, lambda x: x.cast("string")), ",").alias("frames"))
+
+
 @query(
     "f28_multiscale_tile_plan",
     f"""WITH m AS (SELECT media_id, width::DOUBLE / height AS a, (width * height)::DOUBLE AS area FROM fx_media),

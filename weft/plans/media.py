@@ -74,6 +74,31 @@ def frame_indices(frame_count: Column | str, num_frames: int, rounded: bool = Fa
     return F.transform(F.sequence(F.lit(0), F.lit(num_frames - 1)), at)
 
 
+def frames_by_rate(frame_count: Column | str, fps: Column | str, num_frames: int, max_fps: float) -> Column:
+    """F30 with a frame rate: the frames to read, ascending and once each.
+
+    A video that lasts ``num_frames / max_fps`` seconds or more gives ``num_frames`` frames
+    at even distances (all of its frames if it has fewer); a shorter one gives as many as
+    ``max_fps`` allows, but for one frame the first and last. None without frames, without a
+    rate, or for less than one frame's time.
+    """
+    fc, rate = _c(frame_count).cast("bigint"), _c(fps).cast("double")
+    duration = F.try_divide(fc.cast("double"), rate)
+    none = F.array().cast("array<bigint>")
+
+    def spread(n: Column) -> Column:
+        last = (fc - 1).cast("double")
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == n - 1, last).otherwise(i * (last / (n - 1))).cast("bigint")))
+
+    wanted = F.floor(duration * max_fps)
+    long = F.when(fc >= num_frames, spread(F.lit(num_frames))).otherwise(F.sequence(F.lit(0).cast("bigint"), fc - 1))
+    short = F.when(wanted >= 1, spread(F.greatest(wanted, F.lit(2)).cast("int")))
+    # one frame is no video for the even distances, unless one is all that is asked for
+    long = F.when((fc <= 1) & (fc < num_frames), none).otherwise(long)
+    found = F.when(duration >= num_frames / max_fps, long).otherwise(short)
+    return F.when((fc > 0) & (rate > 0), F.coalesce(found, none)).otherwise(none)
+
+
 def multiscale_tile_plan(width: Column | str, height: Column | str, scales: tuple[int, ...] = (384, 768, 1152), max_num: int = 12,
                          image_size: int = 384) -> Column:
     """square tiles for every scale but the last ((scale // first)^2 each), then a
