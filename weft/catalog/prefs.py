@@ -78,6 +78,29 @@ def _state_mask_sql(on_tok: int, off_tok: int) -> str:
    AND coalesce(list_last(list_filter(ids[1:i - 1], lambda y: y = {on_tok} OR y = {off_tok})), -1) = {on_tok} THEN x ELSE -100 END)"""
 
 
+@query(
+    "r02_preference_row",
+    f"""WITH t AS (SELECT conv_id, coalesce(max(CASE WHEN turn = 0 THEN {tok_sql()} END), []) AS p,
+   coalesce(max(CASE WHEN turn = 1 THEN {tok_sql()} END), []) AS c, coalesce(max(CASE WHEN turn = 2 THEN {tok_sql()} END), []) AS r
+   FROM fx_turns GROUP BY conv_id),
+q AS (SELECT conv_id, [1] || p AS cp, [1] || CASE conv_id % 3 WHEN 0 THEN p[1:len(p) - 1] WHEN 1 THEN p[1:len(p) - 1] || [99] ELSE p END AS rp, c || [2] AS c, r || [2] AS r FROM t),
+l AS (SELECT *, greatest(len(c), len(r)) AS n FROM q),
+a AS (SELECT conv_id, c, r, n, CASE WHEN len(cp) + n > 64 AND len(cp) > 24 THEN cp[len(cp) - 23:len(cp)] ELSE cp END AS cp,
+  CASE WHEN len(rp) + n > 64 AND len(rp) > 24 THEN rp[len(rp) - 23:len(rp)] ELSE rp END AS rp FROM l)
+SELECT conv_id, {arr_sql("cp || CASE WHEN len(cp) + n > 64 THEN c[1:40] ELSE c END")} AS chosen_ids,
+  {arr_sql("rp || CASE WHEN len(rp) + n > 64 THEN r[1:40] ELSE r END")} AS rejected_ids,
+  {arr_sql("list_transform(rp, lambda x: -100) || CASE WHEN len(rp) + n > 64 THEN r[1:40] ELSE r END")} AS rejected_labels FROM a""",
+)
+def r02_row(spark, sf):
+    s = conv_samples(spark, sf)
+    tk = lambda i: F.coalesce(token_ids(F.get(F.col("turns"), i)["value"]), F.array().cast("array<int>"))
+    s = s.select("conv_id", tk(0).alias("p"), tk(1).alias("c"), tk(2).alias("r"))
+    short = F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))
+    other = F.when(F.col("conv_id") % 3 == 0, short).when(F.col("conv_id") % 3 == 1, F.concat(short, F.array(F.lit(99)))).otherwise(F.col("p"))
+    x = s.select("conv_id", R.preference_row(F.col("p"), F.col("c"), other, F.col("r"), 1, 2, 64, 24).alias("x"))
+    return x.select("conv_id", *[arr(F.col(f"x.{n}")).alias(n) for n in ("chosen_ids", "rejected_ids", "rejected_labels")])
+
+
 @query(
     "r04_mask_by_markers",
     f"SELECT conv_id, turn, {arr_sql(_state_mask_sql(5, 3))} AS labels FROM (SELECT conv_id, turn, {tok_sql()} AS ids FROM fx_turns)",
