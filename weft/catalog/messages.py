@@ -213,6 +213,16 @@ for _style in ("vicuna_v1", "llama_3", "hermes-2"):
     query(f"m12_render_chat_{_style.replace('-', '_')}", _render_sql(_style))(_mk(_style))
 
 
+@query(
+    "m12_render_chat_plain",
+    rf"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<image>' || chr(10) || regexp_replace(replace(value, '<image>', ''), '^\s+|\s+$', '', 'g')
+  ELSE value END || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END AS piece FROM fx_turns)
+SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS text FROM t GROUP BY conv_id""",
+)
+def m12_plain(spark, sf):
+    return conv_samples(spark, sf).select("conv_id", M.render_chat("turns", "plain", media_first=True).alias("text"))
+
+
 @query(
     "m14_to_chatml",
     f"""WITH ok AS (SELECT conv_id FROM fx_turns GROUP BY conv_id HAVING bool_and(role IN ('human', 'gpt')))

@@ -282,13 +282,18 @@ def with_system(df: DataFrame, prompts: Sequence[str] | str, seed: int = 42, key
     return df.withColumn("turns", F.concat(sys_turn, F.col("turns")).cast(TURNS))
 
 
-def render_chat(turns: Column | str, style: str = "vicuna_v1") -> Column:
+def render_chat(turns: Column | str, style: str = "vicuna_v1", media_first: bool = False) -> Column:
     """Chat text in the TWO / LLAMA_3 / MPT / PLAIN styles of ``TEMPLATES``.
 
-    Image tags stay where they are; M02 brings them to the front of a turn.
+    With ``media_first`` the image tags of the first turn become one tag in a line before
+    its stripped text, as for a sample with media; otherwise tags stay where they are.
     """
     tpl = TEMPLATES[style]
     t = _c(turns)
+    if media_first:
+        bare = lambda x: strip_ws(F.replace(x["value"], F.lit(IMAGE_TOKEN), F.lit("")))
+        front = lambda x, i: F.when(i == 0, F.concat(F.lit(IMAGE_TOKEN + "\n"), bare(x))).otherwise(x["value"])
+        t = F.transform(t, lambda x, i: x.withField("value", front(x, i)))
     n = F.size(t)
     r0, r1 = tpl["roles"]
     sep, sep2 = tpl["sep"], tpl["sep2"]
