@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Callable
 
 import ahocorasick
@@ -36,6 +37,7 @@ MARK = "▁"  # the vocabulary's sign for a space
 CACHE_PAIRS = 1_000_000
 
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+_SHIFT = 24  # a pair of ids as one number
 _OTHER = -1  # last token of a prefix that ends in a character outside the vocabulary
 
 
@@ -59,7 +61,7 @@ class PieceTable:
         for p in self.tokens:
             self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.units = Memo(lambda units: map(self.unit_ids, units))
 
     def merge(self, text: str, last: dict | None = None) -> list[str]:
@@ -101,7 +103,7 @@ class PieceTable:
         that met at the border at some time would have merged if their joined piece came
         before the merge that took one of them away (of equal pieces the left one does).
         """
-        key = (left, right)
+        key = left << _SHIFT | right
         found = self.pairs.get(key)
         if found is not None:
             return found
@@ -134,7 +136,7 @@ class PieceTable:
                 table[end] = token
                 continue
             left = table[at]
-            if left != _OTHER and (fits := known((left, token))) is not True and (fits is False or not compatible(left, token)):
+            if left != _OTHER and (fits := known(left << _SHIFT | token)) is not True and (fits is False or not compatible(left, token)):
                 continue
             table[end] = token
         return table
@@ -161,7 +163,7 @@ class PieceTable:
             alone = ids[0] == self.ids[MARK]
             run = self.merge(MARK * (marks if alone else marks - 1))
             ids = [self.ids[p] for p in run] + ids[alone:]
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids with begin and end as little-endian unsigned 32-bit integers."""
