@@ -1,20 +1,23 @@
 """Personal data by patterns, and information-theoretic sanitisation of what reveals it (operator 6).
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each distinct value
-is a protected entity. Around every match the words of a window are its context. Over the
-whole corpus, ``n(e, t)`` counts the different contexts of entity ``e`` that hold term
-``t`` (copies of a context count once), ``n(e)`` the contexts of ``e``, ``n(t)`` the documents
-with ``t`` and ``N`` all documents. The disclosure of ``e`` by ``t`` is their pointwise mutual
-information as a share of the information content of ``e``:
+is a protected entity. ``n(e, t)`` is how many different texts hold entity ``e`` and term ``t``
+outside of the patterns' matches, ``n(e)`` how many hold ``e``, ``n(t)`` the documents with
+``t`` and ``N`` all documents. The disclosure of ``e`` by ``t`` is their pointwise mutual information as a share of
+the information content of ``e``:
 
     log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
 
-It is 1 for a term that occurs with this entity only. Terms seen in at least
-``MIN_CONTEXTS`` contexts of an entity are removed beside it where the disclosure reaches
-``REMOVE_FROM``, and generalised (to a word, name or number sign) from ``GENERALISE_FROM``.
+It is 1 for a term that occurs with this entity only. Terms of at least ``MIN_CONTEXTS``
+texts of an entity count. In every text of the entity, wherever
+they stand, terms are removed where the disclosure reaches ``REMOVE_FROM``, and generalised
+(to a word, name or number sign) from ``GENERALISE_FROM``.
 
-Document counts are taken for those terms only that some entity shares: a Bloom filter of
-fixed size goes to the tasks, and what it lets through in error drops out in the join.
+Texts are counted for those terms only that some entity shares: a Bloom filter of fixed
+size goes to the tasks, and what it lets through in error drops out in the join.
+
+``find`` and ``disclosing`` are the earlier estimate, from windows of ``WINDOW_WORDS`` words and
+at least ``MIN_CONTEXTS`` of them; no query uses it.
 
 Defined results: null counts as an empty text, which has no spans; repeated rows have equal
 spans each and count as documents each; an empty table gives an empty result; columns
@@ -32,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weft.llm.batches import durable, map_texts, small_batches, text_runs
 
@@ -202,27 +206,108 @@ def disclosing(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame
     return scored.where(F.col("disclosure") >= GENERALISE_FROM)
 
 
-def _with_terms(found: DataFrame, reveals: DataFrame) -> DataFrame:
-    """``found`` with the revealing terms' spans among its ``_spans``."""
-    words = (
-        found.select("_row", F.explode("_near").alias("c"))
-        .select("_row", "c.entity", F.explode("c.words").alias("w"))
-        .select("_row", "entity", "w.term", "w.start", "w.end")
-    )
+def find_entities(df: DataFrame, keep=("doc_id",), text: str = "text", texts: bool = True) -> DataFrame:
+    """``keep`` columns, ``_spans`` of the patterns, ``_entities`` in them and the text's hash; with ``texts``, ``_text`` where there is a span."""
+    names = ("start", "kind", "end")
+
+    def run(batch):
+        spans = [base_spans(t) for t in batch]
+        out = [
+            [[dict(zip(names, s)) for s in x] for x in spans],
+            [sorted({entity(t, s) for s in x}) for t, x in zip(batch, spans)],
+            [_text_hash(t) for t in batch],
+        ]
+        return out + ([[t if x else None for t, x in zip(batch, spans)]] if texts else [])
+
+    fields = "_spans array<struct<start:int,kind:int,end:int>>, _entities array<string>, _hash long"
+    return map_texts(df, lambda: run, fields + (", _text string" if texts else ""), keep=keep, text=text)
+
+
+def _text_hash(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42))
+
+
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that no span touches; ``spans`` are in order."""
+    at, reach = 0, 0  # reach: the furthest end of the spans that begin before the word's end
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if m.start() >= reach:
+            yield m[0].lower(), m.start(), m.end()
+
+
+def _document_terms(found: DataFrame, text: str) -> DataFrame:
+    """(_hash, term) of the different texts of ``found``."""
+
+    def run(batches):
+        for rb in batches:
+            for part in text_runs(rb, 1):
+                for h, t, spans in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    terms = sorted({w[0] for w in free_words(t, [(x["start"], x["kind"], x["end"]) for x in spans])})
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["_hash", "term"])
+
+    small_batches(found.sparkSession)
+    return found.select("_hash", F.col(text).alias("_t"), "_spans").dropDuplicates(["_hash"]).mapInArrow(run, "_hash long, term string")
+
+
+def revealing(df: DataFrame, found: DataFrame, text: str = "text", found_text: str = "_text") -> DataFrame:
+    """(_hash, _terms) of the texts of ``found`` in which terms reveal an entity; a term comes with the kind of its span."""
+    present = found.select("_hash", F.explode("_entities").alias("entity")).distinct()
+    # entities of the same texts have equal counts with every term: one of them stands for all
+    signature = [F.bit_xor(F.xxhash64("_hash", F.lit(k))).alias(f"_s{k}") for k in (1, 2)]
+    counted = present.groupBy("entity").agg(F.count("*").alias("n_entity"), *signature)
+    classes = counted.groupBy("n_entity", "_s1", "_s2").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
+    members = durable(present.join(classes, "entity"))
+    terms = _document_terms(found, found_text)
+    counts, total = document_counts(df, terms.select("term").distinct(), text), float(df.count())
+    most = members.agg(F.max("n_entity")).first()[0] or 1
+    # no term of more texts can reach the threshold with any entity
+    counts = counts.where(F.col("n") <= most * (total / most) ** (1 - GENERALISE_FROM) + 1)
+    held = durable(terms.join(counts, "term"))
+    log_content = F.log(F.lit(total) / F.col("n_entity"))
+
+    def disclosure(n_pair):
+        bits = F.log((n_pair) * F.lit(total) / (F.col("n_entity") * F.col("n")))
+        return F.when(log_content > 0, bits / log_content).otherwise(F.lit(0.0))
+
+    possible = members.join(held, "_hash").where(disclosure(F.least("n_entity", "n")) >= GENERALISE_FROM)
+    pairs = possible.groupBy("entity", "term", "n_entity", "n").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= MIN_CONTEXTS)
+    scored = durable(pairs.select("entity", "term", disclosure(F.col("n_pair")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE_FROM))
     kind = F.when(F.col("disclosure") >= REMOVE_FROM, F.lit(KINDS.index("term"))).otherwise(F.lit(KINDS.index("general")))
-    hits = words.join(reveals, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max(kind).alias("kind"))
-    # at most the window's words for each match of the row's own text
-    added = hits.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_added"))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    merged = F.array_sort(F.concat("_spans", F.coalesce("_added", none)))
-    return found.drop("_near").join(added, "_row", "left").withColumn("_spans", merged).drop("_row", "_added")
+    hits = possible.select("_hash", "entity", "term").join(scored, ["entity", "term"]).groupBy("_hash", "term").agg(F.max(kind).alias("kind"))
+    # at most the text's own words
+    return hits.groupBy("_hash").agg(F.collect_list(F.struct("term", "kind")).alias("_terms"))
+
+
+def all_spans(text: str, spans: list[dict], terms: list[dict] | None) -> list[tuple[int, int, int]]:
+    """The patterns' spans and those of ``terms`` wherever they stand in the text, in order."""
+    own = [(x["start"], x["kind"], x["end"]) for x in spans]
+    if not terms:
+        return own
+    kinds = {x["term"]: x["kind"] for x in terms}
+    return sorted(own + [(a, kinds[t], b) for t, a, b in free_words(text, own) if t in kinds])
 
 
 def spans(df: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns and ``_spans``: (start, kind, end) of patterns and revealing terms, in order."""
-    found = durable(find(df, keep=keep, text=text).withColumn("_row", F.monotonically_increasing_id()))
-    reveals = durable(disclosing(df, found, text))
-    return _with_terms(found, reveals)
+    marked = durable(find_entities(df, keep=keep, text=text))
+    found = marked.where(F.size("_spans") > 0)
+    kept = [c for c in found.columns if c not in ("_spans", "_entities", "_hash", "_text")]
+    with_terms = found.join(revealing(df, found, text), "_hash", "left").select(*kept, "_text", "_spans", "_terms")
+    place = len(kept)
+    out = with_terms.select(*kept, "_spans").schema
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for rb in batches:
+            for part in text_runs(rb, place):
+                texts, own, terms = (part.column(place + i).to_pylist() for i in range(3))
+                every = [[{"start": a, "kind": k, "end": b} for a, k, b in all_spans(*x)] for x in zip(texts, own, terms)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(place)), pa.array(every, arrow.field(place).type)], schema=arrow)
+
+    return marked.where(F.size("_spans") == 0).select(*kept, "_spans").union(with_terms.mapInArrow(run, out))
 
 
 def spans_text(spans: Column) -> Column:
@@ -264,21 +349,21 @@ def sanitise(df: DataFrame, text: str = "text", length: str = "n_chars") -> Data
     """
     columns = df.columns
     size = columns.index(length) if length in columns else None
-    marked = find(df.withColumn("_text", F.col(text)), keep=columns, text="_text")
+    marked = find_entities(df.withColumn("_source", F.col(text)), keep=columns, text="_source", texts=False)
     # only rows with a match are kept for the joins; the others pass as they are
-    found = durable(marked.where(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()))
-    reveals = durable(disclosing(df, found, text))
+    found = durable(marked.where(F.size("_spans") > 0))
     place = columns.index(text)
 
     def run(batches):
         for rb in batches:
-            texts, spans = rb.column(place).to_pylist(), rb.column(len(columns)).to_pylist()
-            new = [redact(t, [(x["start"], x["kind"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
-            arrays = [pa.array(new, rb.column(i).type) if i == place else rb.column(i) for i in range(len(columns))]
-            if size is not None:
-                arrays[size] = pa.array([len(t) for t in new], rb.column(size).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            for part in text_runs(rb, place):
+                texts, own, terms = part.column(place).to_pylist(), part.column(len(columns)).to_pylist(), part.column(len(columns) + 1).to_pylist()
+                new = [redact(t, all_spans(t, x, y)) for t, x, y in zip(texts, own, terms)]
+                arrays = [pa.array(new, part.column(i).type) if i == place else part.column(i) for i in range(len(columns))]
+                if size is not None:
+                    arrays[size] = pa.array([len(t) for t in new], part.column(size).type)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     small_batches(df.sparkSession)
-    hidden = _with_terms(found, reveals).select(*columns, "_spans").mapInArrow(run, df.schema)
+    hidden = found.join(revealing(df, found, text, found_text=text), "_hash", "left").select(*columns, "_spans", "_terms").mapInArrow(run, df.schema)
     return marked.where(F.size("_spans") == 0).select(*columns).union(hidden)
