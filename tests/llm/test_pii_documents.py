@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from weft.llm import pii
 
 PLAIN = [f"the line {i} is here now again and please call about today" for i in range(60)]
@@ -20,3 +22,21 @@ def test_terms_are_marked_wherever_they_stand_in_the_entitys_documents(spark):
     assert not any("zorblax" in t for t in got) and got[2].endswith("now [removed] again [removed]") and got[3:] == PLAIN
     spans = {r["doc_id"]: r["spans"] for r in pii.digest_documents(frame(spark, texts)).collect()}
     assert spans[0].endswith(f"term:{len(far)}:{len(far) + 7}") and spans[3] == ""
+
+
+def test_copies_of_the_disclosing_documents_change_nothing(spark):
+    own = ["zorblax the line bob@site.org now", "here bob@site.org again zorblax and now"]
+    few, many = own + PLAIN, own * 50 + PLAIN
+    assert clean(spark, few)[:2] == ["[removed] the line [email] now", "here [email] again [removed] and now"]
+    assert clean(spark, many) == clean(spark, few)[:2] * 50 + PLAIN
+
+
+def test_counts_of_different_texts(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.randint(0, 4))) for _ in range(400)] + [None, None]
+    df = frame(spark, texts)
+    terms = spark.createDataFrame([(c,) for c in "abcdz"], "term string")
+    counts, total = pii.distinct_document_counts(df, terms)
+    different = {t or "" for t in texts}
+    assert total == len(different)
+    assert {r["term"]: r["n"] for r in counts.collect()} == {c: sum(c in t.split() for t in different) for c in "abcd"}

@@ -1,9 +1,10 @@
 """Personal data by patterns, and information-theoretic sanitisation of what reveals it (operator 6).
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each distinct value
-is a protected entity. ``n(e, t)`` is how many different texts hold entity ``e`` and term ``t``
-outside of the patterns' matches, ``n(e)`` how many hold ``e``, ``n(t)`` the documents with
-``t`` and ``N`` all documents. The disclosure of ``e`` by ``t`` is their pointwise mutual information as a share of
+is a protected entity. All four numbers are counted over the different texts of the corpus
+(copies of a text count once): ``n(e, t)`` is how many hold entity ``e`` and term ``t`` outside
+of the patterns' matches, ``n(e)`` how many hold ``e``, ``n(t)`` how many hold ``t``, and ``N`` all
+of them. The disclosure of ``e`` by ``t`` is their pointwise mutual information as a share of
 the information content of ``e``:
 
     log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
@@ -45,6 +46,8 @@ MIN_CONTEXTS = 2
 REMOVE_FROM = 0.8
 GENERALISE_FROM = 0.6
 BLOOM_BITS = 1 << 20
+#: Bits of the filter of texts that have copies.
+COPY_BITS = 1 << 22
 #: Distinct terms that a counting task holds before it passes them on.
 TASK_TERMS = 200_000
 
@@ -191,6 +194,96 @@ def document_counts(df: DataFrame, terms: DataFrame, text: str = "text") -> Data
     return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def distinct_document_counts(df: DataFrame, terms: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
+    """(term, n): the different texts that hold each of ``terms``, over all of ``df``; and the number of all different texts.
+
+    Texts without a copy are counted where they stand. Those that may have one, by a filter
+    of fixed size, are brought together by their hash and counted once.
+    """
+    bits = np.zeros(BLOOM_BITS, dtype=bool)
+    places = terms.select(F.pmod(F.xxhash64("term"), F.lit(BLOOM_BITS)).alias("p")).distinct().collect()  # at most BLOOM_BITS
+    bits[[r["p"] for r in places]] = True
+    place = F.pmod("_key", F.lit(COPY_BITS))
+    hashes = df.select(_text_key(text).alias("_key")).groupBy("_key").agg(F.count("*").alias("k"))
+    by_place = hashes.groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    words = by_place.groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") > 1, F.expr("shiftleft(1L, cast(p % 32 as int))")).otherwise(F.lit(0))).alias("b"))
+    filled = np.zeros(COPY_BITS // 32, dtype="<u4")
+    total = 0.0
+    for r in words.collect():  # at most COPY_BITS / 32
+        filled[r["w"]] = r["b"]
+        total += r["n"]
+    sent = df.sparkSession.sparkContext.broadcast((np.packbits(bits).tobytes(), filled.tobytes()))
+
+    def counter():
+        bloom = np.unpackbits(np.frombuffer(sent.value[0], dtype=np.uint8)).astype(bool)
+        counts: Counter = Counter()
+
+        def flush():
+            out = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
+            counts.clear()
+            return out
+
+        def add(texts):
+            documents = [set(_WORD.findall(t.lower())) for t in texts if t]
+            distinct = list(set().union(*documents))
+            at = np.fromiter((_signed(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)) for w in distinct), dtype=np.int64, count=len(distinct)) % BLOOM_BITS
+            wanted = {distinct[i] for i in np.flatnonzero(bloom[at])}
+            if wanted:
+                for words in documents:
+                    counts.update(words & wanted)
+
+        return counts, add, flush
+
+    names = ["term", "n", "_key", "_copied"]
+
+    def single(batches):
+        counts, add, flush = counter()
+        copied = np.frombuffer(sent.value[1], dtype="<u4")
+
+        def counted():
+            terms, n = flush()
+            return pa.RecordBatch.from_arrays([terms, n, pa.nulls(len(terms), pa.int64()), pa.nulls(len(terms), pa.string())], names=names)
+
+        seen: set[int] = set()  # one number for each text of the task that may have copies
+        for rb in batches:
+            for part in text_runs(rb, 1):
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                p = keys % COPY_BITS
+                may = (copied[p // 32] >> (p % 32).astype(np.uint32) & 1).astype(bool)
+                add(part.column(1).filter(pa.array(~may)).to_pylist())
+                fresh = []
+                for i in np.flatnonzero(may).tolist():
+                    if (k := int(keys[i])) not in seen:
+                        seen.add(k)
+                        fresh.append(i)
+                if fresh:
+                    few = part.take(pa.array(fresh))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), pa.string()), pa.nulls(len(fresh), pa.int64()), few.column(0), few.column(1)], names=names)
+                if len(counts) > TASK_TERMS:
+                    yield counted()
+        yield counted()
+
+    def once(batches):
+        counts, add, flush = counter()
+        for rb in batches:
+            for part in text_runs(rb, 0):
+                add(part.column(0).to_pylist())
+                if len(counts) > TASK_TERMS:
+                    yield pa.RecordBatch.from_arrays(list(flush()), names=names[:2])
+        yield pa.RecordBatch.from_arrays(list(flush()), names=names[:2])
+
+    small_batches(df.sparkSession)
+    rows = df.select(_text_key(text).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    first = durable(rows.mapInArrow(single, "term string, n long, _key long, _copied string"))
+    copies = first.where(F.col("_key").isNotNull()).select("_key", "_copied").dropDuplicates(["_key"])
+    counted = first.where(F.col("_key").isNull()).select("term", "n").union(copies.select("_copied").mapInArrow(once, "term string, n long"))
+    return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")), total
+
+
 def disclosing(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity; ``found`` has the rows with a match."""
     total = float(df.count())
@@ -261,7 +354,7 @@ def revealing(df: DataFrame, found: DataFrame, text: str = "text", found_text: s
     classes = counted.groupBy("n_entity", "_s1", "_s2").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
     members = durable(present.join(classes, "entity"))
     terms = _document_terms(found, found_text)
-    counts, total = document_counts(df, terms.select("term").distinct(), text), float(df.count())
+    counts, total = distinct_document_counts(df, terms.select("term").distinct(), text)
     most = members.agg(F.max("n_entity")).first()[0] or 1
     # no term of more texts can reach the threshold with any entity
     counts = counts.where(F.col("n") <= most * (total / most) ** (1 - GENERALISE_FROM) + 1)
