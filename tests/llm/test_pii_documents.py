@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import defaultdict
 
 from weft.llm import pii
 
@@ -40,3 +43,46 @@ def test_counts_of_different_texts(spark):
     different = {t or "" for t in texts}
     assert total == len(different)
     assert {r["term"]: r["n"] for r in counts.collect()} == {c: sum(c in t.split() for t in different) for c in "abcd"}
+
+
+def test_one_document_is_evidence_in_a_large_enough_corpus(spark):
+    plain = [f"{t} {i}" for i in range(10) for t in PLAIN]
+    got = clean(spark, ["the line bob@site.org is zorblax now", *plain])
+    assert got[0] == "the line [email] is [word] now" and got[1:] == plain
+
+
+def test_disclosure_equals_plain_counts_over_different_texts(spark):
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(4000)]
+    texts = []
+    for _ in range(700):
+        t = rng.choices(words, k=rng.randint(1, 12))
+        if rng.random() < 0.1:
+            for k in rng.choices(range(25), k=rng.randint(1, 3)):
+                t += [f"p{k}@site.org", f"w{5000 + k}"]
+        rng.shuffle(t)
+        texts += [" ".join(t)] * rng.choice([1, 1, 1, 4])
+    different = sorted(set(texts))
+    mails = {t: set(re.findall(r"p\d+@site.org", t)) for t in different}
+    n_e, n_t, n_pair = defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in different:
+        for e in mails[t]:
+            n_e[e] += 1
+        for w in set(re.findall(r"\w+", t)):
+            n_t[w] += 1
+            for e in mails[t]:
+                n_pair[e, w] += 1
+    n = len(different)
+
+    def kind(t, w):
+        best = max((math.log((n_pair[e, w] - pii.DISCOUNT) * n / (n_e[e] * n_t[w])) / math.log(n / n_e[e]) for e in mails[t]), default=0)
+        return "term" if best >= pii.REMOVE_FROM else "general" if best >= pii.GENERALISE_FROM else None
+
+    rows = pii.digest_documents(frame(spark, texts)).collect()
+    kinds = set()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        want = [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(r"(?<!\S)w\d+", t) if (k := kind(t, m[0]))]
+        assert [s for s in r["spans"].split(",") if s[:4] in ("term", "gene")] == want
+        kinds |= {s.split(":")[0] for s in want}
+    assert kinds == {"term", "general"}

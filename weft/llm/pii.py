@@ -5,12 +5,12 @@ is a protected entity. All four numbers are counted over the different texts of
 (copies of a text count once): ``n(e, t)`` is how many hold entity ``e`` and term ``t`` outside
 of the patterns' matches, ``n(e)`` how many hold ``e``, ``n(t)`` how many hold ``t``, and ``N`` all
 of them. The disclosure of ``e`` by ``t`` is their pointwise mutual information as a share of
-the information content of ``e``:
+the information content of ``e``, with ``DISCOUNT`` taken off the texts they share:
 
-    log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
+    log((n(e,t) - DISCOUNT) N / (n(e) n(t))) / log(N / n(e))
 
-It is 1 for a term that occurs with this entity only. Terms of at least ``MIN_CONTEXTS``
-texts of an entity count. In every text of the entity, wherever
+It comes near 1 for a term that occurs with this entity only. One shared text is evidence
+too, weak in a small corpus and stronger as N grows. In every text of the entity, wherever
 they stand, terms are removed where the disclosure reaches ``REMOVE_FROM``, and generalised
 (to a word, name or number sign) from ``GENERALISE_FROM``.
 
@@ -43,10 +43,13 @@ from weft.llm.batches import durable, map_texts, small_batches, text_runs
 KINDS = ("email", "ip", "card", "phone", "general", "term")
 WINDOW_WORDS = 6  # on each side of a match
 MIN_CONTEXTS = 2
+#: Taken off the texts that an entity and a term share: one shared text is weak evidence.
+DISCOUNT = 0.9
 REMOVE_FROM = 0.8
 GENERALISE_FROM = 0.6
 BLOOM_BITS = 1 << 20
-#: Bits of the filter of texts that have copies.
+#: Bits of the filters of the terms to count and of the texts that have copies.
+TERM_BITS = 1 << 23
 COPY_BITS = 1 << 22
 #: Distinct terms that a counting task holds before it passes them on.
 TASK_TERMS = 200_000
@@ -204,86 +207,76 @@ def distinct_document_counts(df: DataFrame, terms: DataFrame, text: str = "text"
     Texts without a copy are counted where they stand. Those that may have one, by a filter
     of fixed size, are brought together by their hash and counted once.
     """
-    bits = np.zeros(BLOOM_BITS, dtype=bool)
-    places = terms.select(F.pmod(F.xxhash64("term"), F.lit(BLOOM_BITS)).alias("p")).distinct().collect()  # at most BLOOM_BITS
-    bits[[r["p"] for r in places]] = True
-    place = F.pmod("_key", F.lit(COPY_BITS))
+    wanted_bits, _ = _filter_bits(terms.select(F.xxhash64("term").alias("_key")).distinct(), TERM_BITS)
     hashes = df.select(_text_key(text).alias("_key")).groupBy("_key").agg(F.count("*").alias("k"))
-    by_place = hashes.groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.max("k").alias("k"))
-    words = by_place.groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") > 1, F.expr("shiftleft(1L, cast(p % 32 as int))")).otherwise(F.lit(0))).alias("b"))
-    filled = np.zeros(COPY_BITS // 32, dtype="<u4")
-    total = 0.0
-    for r in words.collect():  # at most COPY_BITS / 32
-        filled[r["w"]] = r["b"]
-        total += r["n"]
-    sent = df.sparkSession.sparkContext.broadcast((np.packbits(bits).tobytes(), filled.tobytes()))
+    copied_bits, total = _filter_bits(hashes, COPY_BITS, F.col("k") > 1)
+    sent = df.sparkSession.sparkContext.broadcast((wanted_bits.tobytes(), copied_bits.tobytes()))
+
+    def copied(keys):
+        p = keys % COPY_BITS
+        return (np.frombuffer(sent.value[1], dtype="<u4")[p // 32] >> (p % 32).astype(np.uint32) & 1).astype(bool)
 
-    def counter():
-        bloom = np.unpackbits(np.frombuffer(sent.value[0], dtype=np.uint8)).astype(bool)
+    def count(batches, texts_of, column):
+        bits = np.frombuffer(sent.value[0], dtype="<u4")
         counts: Counter = Counter()
 
         def flush():
-            out = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
             counts.clear()
             return out
 
-        def add(texts):
-            documents = [set(_WORD.findall(t.lower())) for t in texts if t]
-            distinct = list(set().union(*documents))
-            at = np.fromiter((_signed(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)) for w in distinct), dtype=np.int64, count=len(distinct)) % BLOOM_BITS
-            wanted = {distinct[i] for i in np.flatnonzero(bloom[at])}
-            if wanted:
-                for words in documents:
-                    counts.update(words & wanted)
-
-        return counts, add, flush
-
-    names = ["term", "n", "_key", "_copied"]
+        for rb in batches:
+            for part in text_runs(rb, column):
+                documents = [set(_WORD.findall(t.lower())) for t in texts_of(part) if t]
+                distinct = list(set().union(*documents))
+                p = np.fromiter((_text_hash(w) for w in distinct), dtype=np.int64, count=len(distinct)) % TERM_BITS
+                wanted = {distinct[i] for i in np.flatnonzero(bits[p // 32] >> (p % 32).astype(np.uint32) & 1)}
+                if wanted:
+                    for words in documents:
+                        counts.update(words & wanted)
+                if len(counts) > TASK_TERMS:
+                    yield flush()
+        yield flush()
 
     def single(batches):
-        counts, add, flush = counter()
-        copied = np.frombuffer(sent.value[1], dtype="<u4")
-
-        def counted():
-            terms, n = flush()
-            return pa.RecordBatch.from_arrays([terms, n, pa.nulls(len(terms), pa.int64()), pa.nulls(len(terms), pa.string())], names=names)
+        yield from count(batches, lambda part: part.column(1).filter(pa.array(~copied(part.column(0).to_numpy()))).to_pylist(), 1)
 
+    def may_repeat(batches):
         seen: set[int] = set()  # one number for each text of the task that may have copies
         for rb in batches:
-            for part in text_runs(rb, 1):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                p = keys % COPY_BITS
-                may = (copied[p // 32] >> (p % 32).astype(np.uint32) & 1).astype(bool)
-                add(part.column(1).filter(pa.array(~may)).to_pylist())
-                fresh = []
-                for i in np.flatnonzero(may).tolist():
-                    if (k := int(keys[i])) not in seen:
-                        seen.add(k)
-                        fresh.append(i)
-                if fresh:
-                    few = part.take(pa.array(fresh))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), pa.string()), pa.nulls(len(fresh), pa.int64()), few.column(0), few.column(1)], names=names)
-                if len(counts) > TASK_TERMS:
-                    yield counted()
-        yield counted()
+            keys = rb.column(0).to_numpy()
+            fresh = []
+            for i in np.flatnonzero(copied(keys)).tolist():
+                if (k := int(keys[i])) not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            if fresh:
+                yield rb.take(pa.array(fresh))
 
     def once(batches):
-        counts, add, flush = counter()
-        for rb in batches:
-            for part in text_runs(rb, 0):
-                add(part.column(0).to_pylist())
-                if len(counts) > TASK_TERMS:
-                    yield pa.RecordBatch.from_arrays(list(flush()), names=names[:2])
-        yield pa.RecordBatch.from_arrays(list(flush()), names=names[:2])
+        yield from count(batches, lambda part: part.column(1).to_pylist(), 1)
 
     small_batches(df.sparkSession)
     rows = df.select(_text_key(text).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    first = durable(rows.mapInArrow(single, "term string, n long, _key long, _copied string"))
-    copies = first.where(F.col("_key").isNotNull()).select("_key", "_copied").dropDuplicates(["_key"])
-    counted = first.where(F.col("_key").isNull()).select("term", "n").union(copies.select("_copied").mapInArrow(once, "term string, n long"))
+    copies = rows.mapInArrow(may_repeat, "_key long, text string").dropDuplicates(["_key"])
+    fields = "term string, n long"
+    counted = rows.mapInArrow(single, fields).union(copies.mapInArrow(once, fields))
     return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")), total
 
 
+def _filter_bits(keys: DataFrame, bits: int, chosen: Column | None = None) -> tuple[np.ndarray, float]:
+    """A filter of ``bits`` bits, in words of 32, of the ``chosen`` different hashes ``_key``; and the number of all of them."""
+    place = F.pmod("_key", F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(pmod(_key, 32) as int))")
+    words = keys.groupBy(F.floor(place / 32).alias("w")).agg(F.count("*").alias("n"), F.bit_or(bit if chosen is None else F.when(chosen, bit).otherwise(F.lit(0))).alias("b"))
+    out = np.zeros(bits // 32, dtype="<u4")
+    total = 0.0
+    for r in words.collect():  # at most bits / 32
+        out[r["w"]] = r["b"]
+        total += r["n"]
+    return out, total
+
+
 def disclosing(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity; ``found`` has the rows with a match."""
     total = float(df.count())
@@ -362,11 +355,11 @@ def revealing(df: DataFrame, found: DataFrame, text: str = "text", found_text: s
     log_content = F.log(F.lit(total) / F.col("n_entity"))
 
     def disclosure(n_pair):
-        bits = F.log((n_pair) * F.lit(total) / (F.col("n_entity") * F.col("n")))
+        bits = F.log((n_pair - DISCOUNT) * F.lit(total) / (F.col("n_entity") * F.col("n")))
         return F.when(log_content > 0, bits / log_content).otherwise(F.lit(0.0))
 
     possible = members.join(held, "_hash").where(disclosure(F.least("n_entity", "n")) >= GENERALISE_FROM)
-    pairs = possible.groupBy("entity", "term", "n_entity", "n").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= MIN_CONTEXTS)
+    pairs = possible.groupBy("entity", "term", "n_entity", "n").agg(F.count("*").alias("n_pair"))
     scored = durable(pairs.select("entity", "term", disclosure(F.col("n_pair")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE_FROM))
     kind = F.when(F.col("disclosure") >= REMOVE_FROM, F.lit(KINDS.index("term"))).otherwise(F.lit(KINDS.index("general")))
     hits = possible.select("_hash", "entity", "term").join(scored, ["entity", "term"]).groupBy("_hash", "term").agg(F.max(kind).alias("kind"))
