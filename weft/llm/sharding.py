@@ -1,7 +1,7 @@
 """K-d tree shards of near equal bytes (operator 4).
 
-Rows are points in the space of their metadata: language, source and the logarithm of the
-size. A node of the tree is to become so many shards of the target bytes. It is split
+Rows are points in the space of their metadata: language and source, each by the rank of the
+whole string among its different values, and the logarithm of the size. A node of the tree is to become so many shards of the target bytes. It is split
 along the dimension in which its rows spread widest (as a part of the spread of all rows),
 at the weighted median: the place in the order of that dimension where the running sum of
 bytes passes the share of the shards on the left. Rows with equal values are ordered by
@@ -18,29 +18,33 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.ids import prefix_sum
+from weft.ids import positions, prefix_sum
 from weft.llm.batches import durable
 
 SHARDS = 24
 ROW_BYTES = 8  # a row's size beside its text
-_PREFIX = 6  # bytes of a string that place it in its dimension
+FEW_VALUES = 1000  # different strings whose ranks go to all tasks; more are joined by shuffling
 
 
-def text_place(col: Column) -> Column:
-    """A number in the order of the strings' first bytes; null is -1."""
-    head = F.substring(F.hex(F.encode(col, "UTF-8")), 1, 2 * _PREFIX)
-    return F.coalesce(F.conv(F.rpad(head, 2 * _PREFIX, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the rank of the whole string ``name`` among its different values; null is -1."""
+    values = positions(rows.select(name).where(F.col(name).isNotNull()).distinct(), [name], name=f"{name}_place")
+    if len(values.take(FEW_VALUES + 1)) <= FEW_VALUES:
+        values = F.broadcast(values)
+    return rows.join(values, name, "left").withColumn(f"{name}_place", F.coalesce(F.col(f"{name}_place").cast("double"), F.lit(-1.0)))
 
 
 def points(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, size, text_crc32, the dimensions ``_d`` and a number ``_row`` of each row."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
-    dims = F.array(text_place(F.col("lang")), text_place(F.col("source")), F.log2(size.cast("double")))
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return df.select(F.col(f"`{id_col}`"), size.alias("size"), crc.alias("text_crc32"), dims.alias("_d")).withColumn("_row", F.monotonically_increasing_id())
+    metadata = [F.col(c).cast("string").alias(f"_{c}") for c in ("lang", "source")]
+    rows = df.select(F.col(f"`{id_col}`"), size.alias("size"), crc.alias("text_crc32"), *metadata).withColumn("_row", F.monotonically_increasing_id())
+    dims = F.array("_lang_place", "_source_place", F.log2(F.col("size").cast("double")))
+    return _ranked(_ranked(durable(rows), "_lang"), "_source").select(f"`{id_col}`", "size", "text_crc32", dims.alias("_d"), "_row")
 
 
 def _spreads(rows: DataFrame, dims: int, *group: str) -> DataFrame:
