@@ -118,11 +118,13 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, blocks: int | None
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, keep=()
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, keep=(), root: bool = False
 ) -> DataFrame:
     """id, the ``keep`` columns, ``fingerprint`` (16 hex digits) and ``component_id``.
 
-    ``component_id`` is the smallest id that links of at most ``distance`` bits reach.
+    ``component_id`` is the smallest id that links of at most ``distance`` bits reach. With
+    ``root``, ``_fp`` and the component's least fingerprint ``_root`` stay too: components of
+    one id with several texts may share their ``component_id``.
     """
     rows = durable(with_fingerprint(df, keep=(id_col, *[c for c in keep if c != id_col]), text=text, words=words))
     classes = rows.groupBy("_fp").agg(F.min(id_col).alias("_low"))
@@ -130,19 +132,28 @@ def near_duplicates(
     # the least id of each component of fingerprints
     named = classes.join(roots, classes["_fp"] == roots["node"], "left").select("_fp", "_low", F.coalesce("root", "_fp").alias("_root"))
     low = named.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    label = named.select("_fp", "_root").join(low, "_root").select("_fp", "component_id")
-    return rows.join(label, "_fp").withColumn("fingerprint", hex16(F.col("_fp"))).drop("_fp")
+    label = named.select("_fp", "_root").join(low, "_root")
+    return rows.join(label.select("_fp", "component_id", *(["_root"] if root else [])), "_fp").withColumn("fingerprint", hex16(F.col("_fp"))).drop(*([] if root else ["_fp"]))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document of each group: the one with the smallest id.
+    """``df`` with one row of each group: the smallest id, of its texts the one with the least fingerprint.
 
-    Rows that share an id are one document, of which one row stays. A row without an id
-    can't be named as the copy of another, so it stays.
+    Rows that share an id with texts of different groups stay, one for each group. A row
+    without an id can't be named as the copy of another, so it stays.
     """
-    marked = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text)
-    kept = marked.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.join(kept, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col]).union(df.where(F.col(id_col).isNull()))
+    columns = df.columns
+    some = df.where(F.col(id_col).isNotNull())
+    marked = near_duplicates(some, id_col, text, root=True).where(F.col(id_col) == F.col("component_id"))
+    kept = marked.groupBy("_root").agg(F.min(id_col).alias("_id"), F.min("_fp").alias("_kept"))
+    named = [f"_{i}" for i in range(len(columns))]  # so that no column falls together with a result
+    own, words = named[columns.index(id_col)], named[columns.index(text)]
+    rows = with_fingerprint(some.toDF(*named), keep=named, text=words)
+    rows = rows.join(kept, (rows[own] == kept["_id"]) & (rows["_fp"] == kept["_kept"]), "left_semi")
+    # equal ids and fingerprints: the least text, then the least hash of the row
+    tie = F.xxhash64(*[f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = rows.groupBy(own, "_fp").agg(F.min_by(F.struct(*named), F.struct(words, tie)).alias("_one"))
+    return one.select(*[F.col(f"_one.{n}").alias(c) for n, c in zip(named, columns)]).union(df.where(F.col(id_col).isNull()))
 
 
 def hex16(fp: Column) -> Column:
