@@ -33,7 +33,7 @@ def t01(spark, sf):
 )
 def t02(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
-    root = S.land(e, S.work_dir(spark, "t02-in"), by="event_type")
+    root = S.land(e, S.work_dir(spark, "t02-in"), by="event_type", whole=False)
     return S.stream_moments(spark, root, e.schema, "value")
 
 
@@ -64,6 +64,6 @@ def t04(spark, sf):
     s = fx_spans(spark, sf).select("qid", "category", (F.col("qid") % 7).cast("double").alias("score"))
     dup = s.filter(F.col("qid") % 3 == 0)
     both = s.withColumn("wave", F.lit(0)).unionByName(dup.withColumn("wave", F.lit(1)))
-    root = S.land(both, S.work_dir(spark, "t04-in"), by="wave")
+    root = S.land(both, S.work_dir(spark, "t04-in"), by="wave", whole=False)
     schema = both.schema
     return S.stream_incremental_eval(spark, root, schema, "qid", "score", "category")

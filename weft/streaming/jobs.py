@@ -24,10 +24,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(df: DataFrame, root: str, by: str | None = None) -> str:
-    """Write ``df`` as parquet files a stream can pick up (one file per ``by`` value
-    when given, i.e. one shard per source)."""
-    w = df.repartition(by).sortWithinPartitions(by) if by else df
+def land(df: DataFrame, root: str, by: str | None = None, whole: bool = True) -> str:
+    """Write ``df`` as parquet files a stream can pick up. With ``by`` each value has files of
+    its own: a single one if ``whole`` (one shard per source, written by one task), else one
+    from each task that holds rows of it, without an exchange."""
+    w = df.repartition(by) if by and whole else df
+    w = w.sortWithinPartitions(by) if by else w
     (w.write.partitionBy(by) if by else w.write).mode("overwrite").parquet(root)
     return root
 
