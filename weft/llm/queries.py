@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weft.llm import embed_dedup, langid, pii, quality_model, quality_rules, sharding, toxicity
+from weft.llm import collocations, embed_dedup, langid, pii, quality_model, quality_rules, sharding, toxicity, whitening
+from weft.llm.best_fit import pack_whole
 from weft.llm.packing import pack
 from weft.llm.pieces import digest_texts
 from weft.llm.simhash import near_duplicates
@@ -81,6 +82,21 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_whole(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
