@@ -102,3 +102,13 @@ def test_fences_follow_each_source(spark):
 def test_plan_has_no_python(spark):
     plan = rules.judged(table(spark, MEDIUM, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_runs_of_blanks_take_linear_time(spark):
+    """A million blanks before, between and behind words; by pattern a run of 80,000 took over a minute."""
+    import time
+
+    text = " " * 1_000_000 + "a" + "\t" * 1_000_000 + "b c" + "\n" * 1_000_000
+    start = time.time()
+    [row] = rules.judged(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).collect()
+    assert row["n_words"] == 3 and time.time() - start < 60
