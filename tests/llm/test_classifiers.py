@@ -119,3 +119,11 @@ def test_threshold_of_a_language_follows_its_rows():
     y = np.repeat([0, 1, 0, 1], 400)
     overall, by_lang = toxicity.calibrate(scores, y, ["a"] * 800 + ["b"] * 800)
     assert by_lang["a"] < 0.5 < 0.69 < by_lang["b"]
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", ("good text here " if i % 2 else "bad words there ") * 5, "en") for i in range(60)], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 1 - i % 2) for i in range(60)], "doc_id string, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality_model.keep_good(docs, labels).collect()}
+    assert kept and all(int(i[1:]) % 2 for i in kept)
+    assert toxicity.scored_documents(docs, labels).count() == 60

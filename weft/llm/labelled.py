@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Documents of each class that a classifier is fitted on, at most.
 FIT_PER_CLASS = 2_500
@@ -40,7 +41,7 @@ def fit_sample(documents: DataFrame, labels: DataFrame, target: str, extra=(), p
     picked = {r["doc_id"]: r["y"] for r in picked.collect()}  # at most 2 * per_class ids
     if not picked:
         return []
-    chosen = documents.sparkSession.createDataFrame(sorted(picked.items()), "doc_id long, y int")
+    chosen = documents.sparkSession.createDataFrame(sorted(picked.items()), T.StructType([ids.schema["doc_id"], T.StructField("y", T.IntegerType())]))
     rows = (
         usable.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))
         .groupBy("doc_id", "y")
