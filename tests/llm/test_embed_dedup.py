@@ -10,7 +10,6 @@ from tests.llm.test_simhash import brute_components
 from weft.llm import embed_dedup
 from weft.llm.queries import op8_embedding_dedup, table
 
-CHECK = "/root/testdata/check_s"
 
 
 def brute(rows):
@@ -54,10 +53,12 @@ def test_query_on_whole_table(spark):
 
 
 def test_recall_on_near_copies(spark):
-    """Of all pairs with cosine >= 0.98, found by brute force, at least 0.9 are linked, and no other pair is."""
-    rows = [(r["vec_id"], r["label"], r["embedding"]) for r in table(spark, CHECK, "embeddings").collect()]
+    """Of all pairs with cosine >= 0.98, found by brute force, at least 0.99 are linked, and no other pair is."""
+    rng = np.random.default_rng(12)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(v for _ in range(6) for v in near_copies(rng, 400))]
     want = {i: n for i, (n, _) in brute(rows).items()}
-    got = {r["vec_id"]: r["n_links"] for r in op8_embedding_dedup(spark, CHECK).collect()}
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
     assert sum(want.values()) > 10000
     assert sum(got.values()) >= 0.99 * sum(want.values())
     assert all(got[i] <= want[i] for i in want)
