@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -34,6 +36,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def spare_memory() -> None:
+    """Give what earlier tasks of this worker have freed, models and batches, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], Sequence]],
@@ -63,6 +75,7 @@ def map_texts(
     empty = b"" if binary else ""
 
     def run(batches):
+        spare_memory()
         fn = make()
         for rb in batches:
             for part in text_runs(rb, place):
