@@ -45,10 +45,15 @@ def test_counts_of_different_texts(spark):
     assert {r["term"]: r["n"] for r in counts.collect()} == {c: sum(c in t.split() for t in different) for c in "abcd"}
 
 
-def test_one_document_is_evidence_in_a_large_enough_corpus(spark):
-    plain = [f"{t} {i}" for i in range(10) for t in PLAIN]
-    got = clean(spark, ["the line bob@site.org is zorblax now", *plain])
-    assert got[0] == "the line [email] is [word] now" and got[1:] == plain
+def test_words_of_a_single_text_stay(spark):
+    """Unrelated once-only words beside an address, in corpora of two sizes; terms that two texts share with one go."""
+    for plain in (PLAIN, [f"{t} {i}" for i in range(40) for t in PLAIN]):
+        chance = [f"the line p{k}@site.org is rare{k}a now rare{k}b" for k in range(100)]
+        planted = [f"call {x} about q{k}@site.org and {w}" for k in range(20) for x, w in ((f"name{k}", f"town{k}"), (f"name{k}", "today"))]
+        got = clean(spark, [*chance, *planted, *plain])
+        assert got[:100] == [f"the line [email] is rare{k}a now rare{k}b" for k in range(100)]
+        assert [t for t in got[100:140]] == [f"call [removed] about [email] and {w}" for k in range(20) for w in (f"town{k}", "today")]
+        assert got[140:] == plain
 
 
 def test_disclosure_equals_plain_counts_over_different_texts(spark):
@@ -60,6 +65,8 @@ def test_disclosure_equals_plain_counts_over_different_texts(spark):
         if rng.random() < 0.1:
             for k in rng.choices(range(25), k=rng.randint(1, 3)):
                 t += [f"p{k}@site.org", f"w{5000 + k}"]
+        if rng.random() < 0.03:
+            t.append(f"w{5000 + rng.randrange(25)}")
         rng.shuffle(t)
         texts += [" ".join(t)] * rng.choice([1, 1, 1, 4])
     different = sorted(set(texts))
@@ -74,8 +81,13 @@ def test_disclosure_equals_plain_counts_over_different_texts(spark):
                 n_pair[e, w] += 1
     n = len(different)
 
+    def bound(hits, tries):
+        share, z2 = hits / tries, pii.Z**2
+        return (share + z2 / (2 * tries) - pii.Z * math.sqrt(share * (1 - share) / tries + z2 / (4 * tries * tries))) / (1 + z2 / tries)
+
     def kind(t, w):
-        best = max((math.log((n_pair[e, w] - pii.DISCOUNT) * n / (n_e[e] * n_t[w])) / math.log(n / n_e[e]) for e in mails[t]), default=0)
+        bounds = {e: bound(n_pair[e, w], n_t[w]) for e in mails[t]}
+        best = max((p for e, p in bounds.items() if math.log(p * n / n_e[e]) >= pii.SHARE * math.log(n / n_e[e])), default=0)
         return "term" if best >= pii.REMOVE_FROM else "general" if best >= pii.GENERALISE_FROM else None
 
     rows = pii.digest_documents(frame(spark, texts)).collect()

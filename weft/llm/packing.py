@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.batches import durable, small_batches, text_runs
+from weft.llm.batches import durable, small_batches, spare_memory, text_runs
 from weft.llm.memo import Memo
 
 WINDOW = 2048
@@ -97,7 +97,7 @@ def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
             get = parts_memo.getter(cut)
             return (b"".join(map(get, c)) for c in cut)
 
-        _MEMOS[path] = Memo(word_ids)
+        _MEMOS[path] = Memo(word_ids, 64 << 20)
 
     def encode(texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
@@ -178,6 +178,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
     kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches):
+        spare_memory()
         encode = word_id_bytes(tokenizer_path)
         part = TaskContext.get().partitionId()
         packer, seq, open_ids = LevelPacker(window), 0, {}

@@ -4,25 +4,25 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers; each disti
 is a protected entity. All four numbers are counted over the different texts of the corpus
 (copies of a text count once): ``n(e, t)`` is how many hold entity ``e`` and term ``t`` outside
 of the patterns' matches, ``n(e)`` how many hold ``e``, ``n(t)`` how many hold ``t``, and ``N`` all
-of them. The disclosure of ``e`` by ``t`` is their pointwise mutual information as a share of
-the information content of ``e``, with ``DISCOUNT`` taken off the texts they share:
+of them. What a reader of ``t`` learns of ``e`` is estimated with care for small numbers: of
+the share ``n(e, t) / n(t)`` the lower bound ``p`` of its confidence interval (Wilson's, one-sided
+95 %) counts. A term discloses an entity if it gives away ``SHARE`` of the entity's
+information content,
 
-    log((n(e,t) - DISCOUNT) N / (n(e) n(t))) / log(N / n(e))
+    log(p N / n(e)) / log(N / n(e)),
 
-It comes near 1 for a term that occurs with this entity only. One shared text is evidence
-too, weak in a small corpus and stronger as N grows. In every text of the entity, wherever
-they stand, terms are removed where the disclosure reaches ``REMOVE_FROM``, and generalised
-(to a word, name or number sign) from ``GENERALISE_FROM``.
+and leaves few bits of it open: in every text of the entity, wherever they stand, terms are
+removed where ``p`` reaches ``REMOVE_FROM``, and generalised (to a word, name or number sign)
+from ``GENERALISE_FROM``. A term that stands in a single text, like most rare words beside an
+address, has a bound of 0.27 in a corpus of any size, and stays.
 
 Texts are counted for those terms only that some entity shares: a Bloom filter of fixed
 size goes to the tasks, and what it lets through in error drops out in the join.
 
-``find`` and ``disclosing`` are the earlier estimate, from windows of ``WINDOW_WORDS`` words and
-at least ``MIN_CONTEXTS`` of them; no query uses it.
-
 Defined results: null counts as an empty text, which has no spans; repeated rows have equal
-spans each and count as documents each; an empty table gives an empty result; columns
-other than the id and text are not read.
+spans each; an empty table gives an empty result; a very long text is read whole; ties
+between kinds of a term go to removal; columns other than the id and text are not read, and
+:func:`sanitise` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,16 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from weft.llm.batches import durable, map_texts, small_batches, text_runs
+from weft.llm.batches import durable, map_texts, small_batches, spare_memory, text_runs
 
 KINDS = ("email", "ip", "card", "phone", "general", "term")
-WINDOW_WORDS = 6  # on each side of a match
-MIN_CONTEXTS = 2
-#: Taken off the texts that an entity and a term share: one shared text is weak evidence.
-DISCOUNT = 0.9
-REMOVE_FROM = 0.8
-GENERALISE_FROM = 0.6
-BLOOM_BITS = 1 << 20
+#: Quantile of the normal distribution for the one-sided confidence bound of 95 %.
+Z = 1.645
+#: Share of an entity's information content that a disclosing term gives away at least.
+SHARE = 0.6
+#: Bounds of the share of a term's texts that hold the entity.
+REMOVE_FROM = 0.4
+GENERALISE_FROM = 0.3
 #: Bits of the filters of the terms to count and of the texts that have copies.
 TERM_BITS = 1 << 23
 COPY_BITS = 1 << 22
@@ -113,90 +113,10 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _digits(value)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each match its entity, the hash of its context, and the context's words with their places."""
-    out = []
-    for span in spans:
-        start, _, end = span
-        # a word beside the window's edge counts from where it begins
-        before = _last_words(text, start)
-        after = []
-        for m in _WORD.finditer(text, end):
-            after.append((m[0].lower(), m.start(), m.end()))
-            if len(after) == WINDOW_WORDS:
-                break
-        words = [w for w in before + after if not any(s[0] < w[2] and w[1] < s[2] for s in spans)]
-        key = " ".join(w[0] for w in words)
-        # the context goes with it as a hash only
-        out.append({"entity": entity(text, span), "context": _signed(xxhash.xxh64_intdigest(key)), "words": [{"term": t, "start": a, "end": b} for t, a, b in words]})
-    return out
-
-
-def _last_words(text: str, end: int) -> list[tuple[str, int, int]]:
-    reach = 16 * WINDOW_WORDS
-    while True:
-        a = max(0, end - reach)
-        while a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_"):
-            a -= 1  # to the beginning of a word
-        words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, a, end)]
-        if len(words) >= WINDOW_WORDS or a == 0:
-            return words[-WINDOW_WORDS:]
-        reach *= 4
-
-
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-_FOUND = "_spans array<struct<start:int,kind:int,end:int>>, _near array<struct<entity:string,context:long,words:array<struct<term:string,start:int,end:int>>>>"
-
-
-def find(df: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, ``_spans`` of the patterns and ``_near``, what stands around each match."""
-    names = ("start", "kind", "end")
-
-    def run(texts):
-        spans = [base_spans(t) for t in texts]
-        near = [contexts(t, s) if s else [] for t, s in zip(texts, spans)]
-        return [[[dict(zip(names, s)) for s in x] for x in spans], near]
-
-    return map_texts(df, lambda: run, _FOUND, keep=keep, text=text)
-
-
-def document_counts(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): the documents that hold each of ``terms``, over all of ``df``."""
-    bits = np.zeros(BLOOM_BITS, dtype=bool)
-    places = terms.select(F.pmod(F.xxhash64("term"), F.lit(BLOOM_BITS)).alias("p")).distinct().collect()  # at most BLOOM_BITS
-    bits[[r["p"] for r in places]] = True
-    sent = df.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-    def run(batches):
-        bloom = np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8)).astype(bool)
-        counts: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-            counts.clear()
-            return out
-
-        for rb in batches:
-            for part in text_runs(rb, 0):
-                documents = [set(_WORD.findall(t.lower())) for t in part.column(0).to_pylist() if t]
-                distinct = list(set().union(*documents))
-                at = np.fromiter((_signed(xxhash.xxh64_intdigest(w, 42)) for w in distinct), dtype=np.int64, count=len(distinct)) % BLOOM_BITS
-                wanted = {distinct[i] for i in np.flatnonzero(bloom[at])}
-                if wanted:
-                    for words in documents:
-                        counts.update(words & wanted)
-                if len(counts) > TASK_TERMS:
-                    yield flush()
-        yield flush()
-
-    small_batches(df.sparkSession)
-    counted = df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term string, n long")
-    return counted.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
-
-
 def _text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
@@ -277,21 +197,6 @@ def _filter_bits(keys: DataFrame, bits: int, chosen: Column | None = None) -> tu
     return out, total
 
 
-def disclosing(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity; ``found`` has the rows with a match."""
-    total = float(df.count())
-    seen = found.select(F.explode("_near").alias("c")).select("c.entity", "c.context", "c.words")
-    terms = seen.select("entity", "context", F.explode(F.expr("transform(words, w -> w.term)")).alias("term")).distinct()
-    pairs = durable(terms.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= MIN_CONTEXTS))
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counts = document_counts(df, pairs.select("term").distinct(), text)
-    bits = F.log(F.col("n_pair") * F.lit(total) / (F.col("n_entity") * F.col("n")))
-    content = F.log(F.lit(total) / F.col("n_entity"))
-    share = F.when(content > 0, bits / content).otherwise(F.lit(0.0))
-    scored = pairs.join(entities, "entity").join(counts, "term").select("entity", "term", share.alias("disclosure"))
-    return scored.where(F.col("disclosure") >= GENERALISE_FROM)
-
-
 def find_entities(df: DataFrame, keep=("doc_id",), text: str = "text", texts: bool = True) -> DataFrame:
     """``keep`` columns, ``_spans`` of the patterns, ``_entities`` in them and the text's hash; with ``texts``, ``_text`` where there is a span."""
     names = ("start", "kind", "end")
@@ -338,6 +243,13 @@ def _document_terms(found: DataFrame, text: str) -> DataFrame:
     return found.select("_hash", F.col(text).alias("_t"), "_spans").dropDuplicates(["_hash"]).mapInArrow(run, "_hash long, term string")
 
 
+def lower_bound(hits: Column, tries: Column) -> Column:
+    """Wilson's lower confidence bound of a share."""
+    share, z2 = hits / tries, Z * Z
+    spread = F.sqrt(share * (1 - share) / tries + z2 / (4 * tries * tries))
+    return (share + z2 / (2 * tries) - Z * spread) / (1 + z2 / tries)
+
+
 def revealing(df: DataFrame, found: DataFrame, text: str = "text", found_text: str = "_text") -> DataFrame:
     """(_hash, _terms) of the texts of ``found`` in which terms reveal an entity; a term comes with the kind of its span."""
     present = found.select("_hash", F.explode("_entities").alias("entity")).distinct()
@@ -349,18 +261,18 @@ def revealing(df: DataFrame, found: DataFrame, text: str = "text", found_text: s
     terms = _document_terms(found, found_text)
     counts, total = distinct_document_counts(df, terms.select("term").distinct(), text)
     most = members.agg(F.max("n_entity")).first()[0] or 1
-    # no term of more texts can reach the threshold with any entity
-    counts = counts.where(F.col("n") <= most * (total / most) ** (1 - GENERALISE_FROM) + 1)
+    # a term of more texts, or of one, can't reach the threshold with any entity
+    counts = counts.where((F.col("n") > 1) & (F.col("n") <= most / GENERALISE_FROM))
     held = durable(terms.join(counts, "term"))
-    log_content = F.log(F.lit(total) / F.col("n_entity"))
+    content = F.log(F.lit(total) / F.col("n_entity"))
 
-    def disclosure(n_pair):
-        bits = F.log((n_pair - DISCOUNT) * F.lit(total) / (F.col("n_entity") * F.col("n")))
-        return F.when(log_content > 0, bits / log_content).otherwise(F.lit(0.0))
+    def discloses(bound: Column) -> Column:
+        return (bound >= GENERALISE_FROM) & (content > 0) & (F.log(bound * F.lit(total) / F.col("n_entity")) >= SHARE * content)
 
-    possible = members.join(held, "_hash").where(disclosure(F.least("n_entity", "n")) >= GENERALISE_FROM)
+    possible = members.join(held, "_hash").where(discloses(lower_bound(F.least("n_entity", "n"), F.col("n"))))
     pairs = possible.groupBy("entity", "term", "n_entity", "n").agg(F.count("*").alias("n_pair"))
-    scored = durable(pairs.select("entity", "term", disclosure(F.col("n_pair")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE_FROM))
+    pairs = pairs.withColumn("disclosure", lower_bound(F.col("n_pair"), F.col("n")))
+    scored = durable(pairs.where(discloses(F.col("disclosure"))).select("entity", "term", "disclosure"))
     kind = F.when(F.col("disclosure") >= REMOVE_FROM, F.lit(KINDS.index("term"))).otherwise(F.lit(KINDS.index("general")))
     hits = possible.select("_hash", "entity", "term").join(scored, ["entity", "term"]).groupBy("_hash", "term").agg(F.max(kind).alias("kind"))
     # at most the text's own words
@@ -434,22 +346,25 @@ def sanitise(df: DataFrame, text: str = "text", length: str = "n_chars") -> Data
     Where a text changes, a column named ``length`` gets its new number of characters.
     """
     columns = df.columns
+    named = [f"_{i}" for i in range(len(columns))]  # so that no column falls together with a result
+    rows, words = df.toDF(*named), named[columns.index(text)]
     size = columns.index(length) if length in columns else None
-    marked = find_entities(df.withColumn("_source", F.col(text)), keep=columns, text="_source", texts=False)
+    marked = find_entities(rows, keep=named, text=words, texts=False)
     # only rows with a match are kept for the joins; the others pass as they are
     found = durable(marked.where(F.size("_spans") > 0))
     place = columns.index(text)
 
     def run(batches):
+        spare_memory()
         for rb in batches:
             for part in text_runs(rb, place):
-                texts, own, terms = part.column(place).to_pylist(), part.column(len(columns)).to_pylist(), part.column(len(columns) + 1).to_pylist()
+                texts, own, terms = part.column(place).to_pylist(), part.column(len(named)).to_pylist(), part.column(len(named) + 1).to_pylist()
                 new = [redact(t, all_spans(t, x, y)) for t, x, y in zip(texts, own, terms)]
-                arrays = [pa.array(new, part.column(i).type) if i == place else part.column(i) for i in range(len(columns))]
+                arrays = [pa.array(new, part.column(i).type) if i == place else part.column(i) for i in range(len(named))]
                 if size is not None:
                     arrays[size] = pa.array([len(t) for t in new], part.column(size).type)
-                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                yield pa.RecordBatch.from_arrays(arrays, names=named)
 
     small_batches(df.sparkSession)
-    hidden = found.join(revealing(df, found, text, found_text=text), "_hash", "left").select(*columns, "_spans", "_terms").mapInArrow(run, df.schema)
-    return marked.where(F.size("_spans") == 0).select(*columns).union(hidden)
+    hidden = found.join(revealing(rows, found, words, found_text=words), "_hash", "left").select(*named, "_spans", "_terms").mapInArrow(run, rows.schema)
+    return marked.where(F.size("_spans") == 0).select(*named).union(hidden).toDF(*columns)
