@@ -27,6 +27,19 @@ def test_overlap_join_matches_brute_force(spark):
     b = [(k, rnd.randint(0, 2), float(x), float(x + rnd.randint(0, 25))) for k in range(150) for x in [rnd.randint(0, 90)]]
     da = spark.createDataFrame(a, "ia int, g int, lo_a double, hi_a double")
     db = spark.createDataFrame(b, "ib int, g int, lo_b double, hi_b double")
-    got = {(r.ia, r.ib) for r in overlap_join(da, db, "lo_a", "hi_a", "lo_b", "hi_b", keys=["g"], bucket=10.0).collect()}
+    got = {(r.ia, r.ib) for r in overlap_join(da, db, "lo_a", "hi_a", "lo_b", "hi_b", keys=["g"]).collect()}
     want = {(ia, ib) for ia, g, la, ha in a for ib, g2, lb, hb in b if g == g2 and max(la, lb) < min(ha, hb)}
     assert got == want
+
+
+def test_work_of_a_hot_key_follows_the_pairs(spark):
+    """One key with long and short ranges of any kind; ranges that meet nothing make no row."""
+    rnd = random.Random(5)
+    spans = lambda n, base: [(base + k, x, x + rnd.choice([0.0, 0.5, 3.0, 400.0])) for k in range(n) for x in [float(rnd.randint(0, 500))]]
+    a, b = spans(120, 0) + [(900, None, 3.0), (901, 5.0, 1.0)], spans(120, 1000) + [(1900, 0.0, 500.0)]
+    da = spark.createDataFrame(a, "ia int, lo_a double, hi_a double")
+    db = spark.createDataFrame(b, "ib int, lo_b double, hi_b double")
+    rows = overlap_join(da, db, "lo_a", "hi_a", "lo_b", "hi_b").collect()
+    want = sorted((ia, ib, max(la, lb), min(ha, hb)) for ia, la, ha in a for ib, lb, hb in b if la is not None and la < ha and lb < hb and max(la, lb) < min(ha, hb))
+    assert sorted((r.ia, r.ib, r.lo, r.hi) for r in rows) == want
+    assert overlap_join(da.limit(0), db, "lo_a", "hi_a", "lo_b", "hi_b").collect() == []

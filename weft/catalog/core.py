@@ -78,3 +78,9 @@ SELECT dataset, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars,
        sum(1 + {words_sql('text')} + 128)::BIGINT AS n_tokens
 FROM parts GROUP BY dataset""",
 )(mixture_report)
+
+
+@query("s03_row_ids", "SELECT doc_id, row_number() OVER () - 1 AS row_id FROM documents")
+def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers by the files' own metadata, against the order in which the table stands in them."""
+    return read_with_row_id(spark, f"{sf_dir}/documents.parquet").select("doc_id", "row_id")

@@ -12,6 +12,7 @@ from weft.functions.text import question_from_prompt
 from weft.ids import positions
 from weft.operators import joins as J
 from weft.plans.mixture import drop_positions, repeat_rows
+from weft.sources import files as S
 
 H = "('0x' || substr(md5('{seed}|' || {k}), 1, 8))::BIGINT"
 
@@ -29,6 +30,24 @@ def j01(spark, sf):
     return J.semi_with_count_check(ann, img, ["sample_id"], "n_ann", "n_img").select("sample_id", "n_ann")
 
 
+@query(
+    "j01_org_idx",
+    """WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS org_idx, doc_id % 3 AS n FROM documents)
+SELECT source, org_idx, doc_id FROM a WHERE org_idx % 5 <> 0""",
+)
+def j01_org_idx(spark, sf):
+    """Annotations in one file a source, and images by file and line: a line without images goes, the others keep its number."""
+    d = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") % 3).alias("n_ann"))
+    root = S.shared_path(spark, "j01")
+    lines = d.select("source", "doc_id", F.to_json(F.struct("doc_id", "n_ann")).alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(root)
+    read = S.read_numbered_lines(spark, root).withColumn("source", F.regexp_extract("file", "source=([^/]*)", 1))
+    ann = read.select("source", F.col("line").alias("org_idx"), F.from_json("value", "doc_id bigint, n_ann bigint").alias("a")).select("source", "org_idx", "a.*")
+    per_source = positions(d, ["doc_id"], partition=["source"], name="org_idx")
+    img = per_source.where("org_idx % 5 <> 0").select("source", "org_idx", F.col("n_ann").alias("n_img"))
+    return J.semi_with_count_check(ann, img, ["source", "org_idx"], "n_ann", "n_img").select("source", "org_idx", "doc_id")
+
+
 @query(
     "j02_attach_payloads",
     """SELECT l_orderkey AS sample_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i,
@@ -394,7 +413,7 @@ def j21(spark, sf):
     sp = fx_spans(spark, sf)
     a = sp.select("vid", "qid", "s", "e")
     b = sp.select("vid", F.col("qid").alias("other"), "ps", "pe")
-    return J.overlap_join(a, b, "s", "e", "ps", "pe", keys=["vid"], bucket=10.0).select("vid", "qid", "other", "lo", "hi")
+    return J.overlap_join(a, b, "s", "e", "ps", "pe", keys=["vid"]).select("vid", "qid", "other", "lo", "hi")
 
 
 @query(

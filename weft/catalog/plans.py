@@ -125,6 +125,50 @@ def w17(spark, sf):
     return O.pack_greedy(t, "sample", "batch", "n_tokens", "n_images", max_len=512, max_images=4, tokens_per_image=16)
 
 
+def _pack_media_sql(sp: int, multiple: int, max_len: int) -> str:
+    """Samples one by one, with the state of the pack that is open; then dummies by pack."""
+
+    def paid(im: str, length: str) -> str:
+        return f"CASE WHEN {im} < {sp} AND {length} < {max_len} THEN least({sp} - {im}, CAST(ceil(({max_len} - {length}) / 18.0) AS BIGINT)) ELSE 0 END"
+
+    return f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS sample, conv_id // 8 AS batch, {words_sql('value')} AS n_tokens,
+   len(string_split(value, '<image>')) - 1 + (conv_id + turn) % 3 AS im FROM fx_turns),
+l AS (SELECT *, n_tokens + im * 15 AS raw, CAST(ceil((n_tokens + im * 15) / {multiple}.0) AS BIGINT) * {multiple} AS n, max(im) OVER (PARTITION BY batch) AS most FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY raw DESC, sample) AS i FROM l WHERE n <= {max_len}),
+r AS (SELECT sample, batch, i, 0::BIGINT AS turn, 0::BIGINT AS "offset", n, n AS len, im, im AS own, 0::BIGINT AS longest FROM o WHERE i = 1
+  UNION ALL SELECT sample, batch, i, turn + (NOT fits)::BIGINT, CASE WHEN fits THEN len ELSE 0 END, n, CASE WHEN fits THEN len + n ELSE n END,
+      CASE WHEN fits THEN im + own ELSE own END, own, CASE WHEN fits OR im + paid < {sp} THEN longest ELSE greatest(longest, len + paid * 18) END FROM
+    (SELECT o.sample, o.batch, o.i, o.n, o.im AS own, r.turn, r.len, r.im, r.longest, {paid('r.im', 'r.len')} AS paid,
+       r.len + o.n <= {max_len} AND (r.im < {sp} OR (r.im + o.im <= o.most AND r.len + o.n <= r.longest)) AS fits
+     FROM r JOIN o ON o.batch = r.batch AND o.i = r.i + 1) x),
+p AS (SELECT batch, turn, sum(n)::BIGINT AS len, sum(own)::BIGINT AS im FROM r GROUP BY batch, turn),
+q AS (SELECT *, {paid('im', 'len')} AS paid FROM p),
+k AS (SELECT *, im + paid >= {sp} AS kept, (sum((im + paid >= {sp})::BIGINT) OVER (PARTITION BY batch ORDER BY turn) - 1)::BIGINT AS pack FROM q)
+SELECT batch, CASE WHEN kept THEN 'sample' ELSE 'dropped' END AS kind, CASE WHEN kept THEN pack ELSE -1 END AS pack, sample, "offset", n AS seqlen, own AS images
+FROM r JOIN k USING (batch, turn)
+UNION ALL SELECT batch, 'dummy', pack, NULL, len + d * 18, 18, 1 FROM k, range(0, paid) x(d) WHERE kept
+UNION ALL SELECT batch, 'too_long', -1, sample, 0, n, im FROM l WHERE n > {max_len}"""
+
+
+def _media_turns(spark, sf):
+    return fx_turns(spark, sf).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample"),
+        F.floor(F.col("conv_id") / 8).alias("batch"),  # the turns of eight conversations are collated
+        word_count(F.col("value")).cast("bigint").alias("n_tokens"),
+        (F.size(F.split("value", "<image>", -1)) - 1 + (F.col("conv_id") + F.col("turn")) % 3).cast("bigint").alias("n_images"),
+    )
+
+
+@query("w17_pack_media", _pack_media_sql(2, 2, 160))
+def w17_media(spark, sf):
+    return O.pack_media(_media_turns(spark, sf), "sample", "batch", "n_tokens", "n_images", 160, tokens_per_image=16, sp=2, ring="ring_varlen")
+
+
+@query("w17_pack_media_zigzag", _pack_media_sql(4, 8, 256))
+def w17_zigzag(spark, sf):
+    return O.pack_media(_media_turns(spark, sf), "sample", "batch", "n_tokens", "n_images", 256, tokens_per_image=16, sp=4, ring="zigzag_ring_varlen")
+
+
 def _ratios_sql(lo: int = 1, hi: int = 12) -> str:
     rows = ", ".join(f"({i}, {j}, {k})" for k, (i, j) in enumerate(MP.target_ratios(lo, hi)))
     return f"(VALUES {rows}) r(i, j, ord)"

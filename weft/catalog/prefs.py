@@ -246,10 +246,12 @@ def r10(spark, sf):
 
 @query(
     "r10_whitened_advantages",
-    """WITH t AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 60 THEN x::DOUBLE ELSE 0.0 END) AS v,
+    """WITH RECURSIVE t AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 60 THEN x::DOUBLE ELSE 0.0 END) AS v,
    list_transform(embedding, lambda x, i: CASE WHEN i <= 60 THEN -abs(x)::DOUBLE ELSE 0.0 END) AS r FROM embeddings),
-d AS (SELECT vec_id, list_transform(r, lambda x, i: x + 0.99 * coalesce(v[i + 1], 0.0) - v[i]) AS delta FROM t),
-a AS (SELECT vec_id, i, list_sum(list_transform(delta[i:], lambda x, j: pow(0.99 * 0.95, j - 1) * x)) AS adv FROM d, range(1, 65) r(i)),
+d AS (SELECT vec_id, UNNEST(list_transform(r, lambda x, i: x + 0.99 * coalesce(v[i + 1], 0.0) - v[i])) AS delta, UNNEST(range(1, len(r) + 1)) AS i FROM t),
+n AS (SELECT max(i) AS n FROM d),
+a AS (SELECT vec_id, i, delta AS adv FROM d, n WHERE i = n
+  UNION ALL SELECT d.vec_id, d.i, d.delta + 0.99 * 0.95 * a.adv FROM a JOIN d ON d.vec_id = a.vec_id AND d.i = a.i - 1),
 m AS (SELECT avg(adv) AS mean, var_samp(adv) AS var FROM a WHERE i <= 60)
 SELECT vec_id, (adv - mean) / sqrt(var + 1e-8) AS white0 FROM a, m WHERE i = 1""",
 )

@@ -4,6 +4,8 @@ reads them back through the operator."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from weft.catalog import query
@@ -11,6 +13,7 @@ from weft.fixtures import fx_answers, fx_members, fx_scored, fx_turns, table
 from weft.ids import positions
 from weft.sources import files as S
 from weft.sources import tarshards as TS
+from weft.sources.labels import LabelStore
 
 H1 = "('0x' || substr(md5('1|' || CAST({k} AS VARCHAR)), 1, 8))::BIGINT"
 
@@ -175,6 +178,27 @@ def s19(spark, sf):
     return S.upsert_labels(lab, new, "doc_id").select("doc_id", "quality", "toxic")
 
 
+@query(
+    "s19_label_store",
+    """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 9 WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels)
+SELECT 'map' AS form, * FROM s UNION ALL SELECT 'list', NULL, quality, toxic FROM s UNION ALL SELECT 'first', * FROM labels""",
+)
+def s19_store(spark, sf):
+    """Three saves over one another; the last version comes back from its map and its list, the first by number."""
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    store, copy = (LabelStore(spark, S.shared_path(spark, f"s19-{k}"), "quality bigint, toxic bigint") for k in ("store", "copy"))
+    first = store.upsert(lab, "doc_id")
+    store.upsert(lab.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")), "doc_id")
+    store.upsert(lab.where("doc_id % 6 = 0").withColumn("quality", F.lit(9)), "doc_id")
+    saved = S.shared_path(spark, "s19-saved")
+    store.save(saved)
+    copy.load(saved)
+    rows = lambda form, df: df.select(F.lit(form).alias("form"), F.col("key").cast("bigint").alias("doc_id"), "instance.*")
+    instances = spark.read.schema("quality bigint, toxic bigint").json(f"{saved}/instances")
+    as_list = instances.select(F.lit("list").alias("form"), F.lit(None).cast("bigint").alias("doc_id"), "quality", "toxic")
+    return rows("map", copy.rows()).union(as_list).union(rows("first", store.rows(first)))
+
+
 @query(
     "s21_read_json_folder",
     "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels",
@@ -253,3 +277,48 @@ def s11(spark, sf):
     descs = j.select("desc_id", F.to_json(desc).alias("json"))
     out = TS.resolve_index(descs)
     return out.select(F.col("desc_id").cast("int").alias("desc_id"), "url", "nsamples", "weight", "name", "dataset")
+
+
+@query(
+    "s11_index_closure",
+    """WITH s AS (SELECT shard || '.tar' AS f, count(*) AS n, CAST(substr(shard, 4) AS INT) AS num FROM fx_members GROUP BY shard)
+SELECT num % 5 AS desc_id, CASE num % 3 WHEN 0 THEN 'http://host/top/' || f WHEN 1 THEN 'http://host/one/data/' || f ELSE 'http://host/two/' || f END AS url, n AS nsamples,
+  CASE num % 3 WHEN 0 THEN 2.0 ELSE 0.5 END AS weight, CASE num % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'one' ELSE 'two' END AS dataset,
+  CASE num % 3 WHEN 1 THEN 'http://host/one/' || num % 5 || '.json' WHEN 2 THEN 'http://host/two/' || num % 5 || '.json' END AS source_url, NULL::VARCHAR AS error
+FROM s WHERE num % 5 < 4
+UNION ALL SELECT d, NULL, NULL, NULL, NULL, NULL, 'No shards found' FROM (SELECT unnest([4, 5, 6]) AS d)
+UNION ALL SELECT 5, NULL, NULL, NULL, NULL, NULL, 'descriptors refer to each other: http://host/a.json'
+UNION ALL SELECT 6, NULL, NULL, NULL, NULL, NULL, 'descriptor not fetched: http://host/lost.json'
+UNION ALL SELECT d, NULL, NULL, NULL, NULL, NULL, 'No shards found' FROM range(4) r(d) WHERE d NOT IN (SELECT num % 5 FROM s)""",
+)
+def s11_closure(spark, sf):
+    """Descriptors of three levels whose references and shards go up by ``..``; one is empty, one refers in a circle, one to nothing."""
+    m = fx_members(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("num", F.substring("shard", 4, 9).cast("int"))
+    file, level = F.concat("shard", F.lit(".tar")), F.col("num") % 3
+    url = F.when(level == 0, F.concat(F.lit("x/../"), file)).when(level == 1, F.concat(F.lit("data/./"), file)).otherwise(F.concat(F.lit("../two/"), file))
+    lists = m.where("num % 5 < 4").groupBy((F.col("num") % 5).alias("d")).agg(
+        *[F.array_sort(F.collect_list(F.when(level == k, F.struct(url.alias("url"), F.col("n").alias("nsamples"))))).alias(f"l{k}") for k in range(3)]
+    )
+    lists = lists.withColumn("l3", F.array().cast("array<struct<url:string,nsamples:bigint>>"))
+    lists = spark.range(7).select(F.col("id").cast("int").alias("d")).join(lists, "d", "left")
+    none = F.array().cast("array<struct<url:string,nsamples:bigint>>")
+    inline_type = "array<struct<source_url:string,weight:double,name:string,base:string,shardlist:array<struct<url:string,nsamples:bigint>>>>"
+    own = F.col("d") < 4
+    link = lambda x: F.array(F.struct(x.alias("source_url"), F.lit(0.5).alias("weight"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("base"), none.alias("shardlist")))
+    there = lambda up: F.concat(F.lit(up), F.col("d").cast("string"), F.lit(".json"))
+
+    def desc(name, k, links, **fields):
+        more = [F.lit(v).alias(n) for n, v in fields.items()]
+        return F.to_json(F.struct(F.lit(1).alias("wids_version"), F.lit(name).alias("name"), *more, F.coalesce(f"l{k}", none).alias("shardlist"), links.alias("datasets")))
+
+    first = link(F.when(own, there("http://host/top/../one/")).when(F.col("d") == 5, F.lit("http://host/a.json")).otherwise(F.lit("http://host/lost.json")))
+    inline = F.array(F.struct(F.lit(None).cast("string").alias("source_url"), F.lit(2.0).alias("weight"), F.lit("top").alias("name"), F.lit("http://host/top").alias("base"), F.coalesce("l0", none).alias("shardlist")))
+    links = F.when(F.col("d") == 4, F.array().cast(inline_type)).otherwise(F.concat(inline, first))
+    roots = lists.select(F.col("d").alias("desc_id"), desc("root", 3, links).alias("json"))
+    second = link(there("../two/"))
+    known = lists.where(own).select(there("http://host/one/").alias("url"), desc("one", 1, second).alias("json")).union(
+        lists.where(own).select(there("http://host/two/").alias("url"), desc("two", 2, F.array().cast(inline_type)).alias("json"))
+    )
+    circle = spark.createDataFrame([(f"http://host/{a}.json", json.dumps({"wids_version": 1, "shardlist": [], "datasets": [{"source_url": f"http://host/{b}.json"}]})) for a, b in ("ab", "ba")], "url string, json string")
+    out = TS.resolve_index(roots, fetched=known.union(circle), mark=True)
+    return out.select("desc_id", "url", "nsamples", "weight", "dataset", "source_url", "error")

@@ -8,6 +8,7 @@ from weft.catalog import query
 from weft.fixtures import conv_samples, fx_answers, fx_members, fx_scored, fx_steps, fx_turns, table
 from weft.ids import positions
 from weft.operators import windows as W
+from weft.plans.buffers import restarting_buffers
 
 H = "('0x' || substr(md5('{seed}|' || {k}), 1, 8))::BIGINT"
 SCORED_ROWS = "(SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_id, count(*) OVER () AS n FROM fx_scored)"
@@ -129,16 +130,31 @@ def w15_rank(spark, sf):
 TOKENS_SQL = r"list_transform(list_filter(regexp_split_to_array(value, '\s+'), lambda w: w <> ''), lambda w: length(w))"
 
 
+#: The buffers, replayed text by text: a buffer takes texts until it holds 3000 characters.
+BUFFERS_SQL = """o AS (SELECT *, length(value) AS chars, row_number() OVER (ORDER BY conv_id, turn) AS i FROM fx_turns),
+r AS (SELECT i, 0::BIGINT AS buffer, chars AS held FROM o WHERE i = 1
+  UNION ALL SELECT o.i, r.buffer + (r.held >= 3000)::BIGINT, CASE WHEN r.held >= 3000 THEN 0 ELSE r.held END + o.chars FROM r JOIN o ON o.i = r.i + 1)"""
+
+
+def _buffered_turns(spark, sf):
+    t = fx_turns(spark, sf).withColumn("chars", F.length("value"))
+    return restarting_buffers(t, "chars", ["conv_id", "turn"], 3000)
+
+
+@query("w18_buffers", f"WITH RECURSIVE {BUFFERS_SQL} SELECT conv_id, turn, buffer FROM r JOIN o USING (i)")
+def w18_buffers(spark, sf):
+    return _buffered_turns(spark, sf).select("conv_id", "turn", "buffer")
+
+
 @query(
     "w18_pack_constant",
-    f"""WITH p AS (SELECT *, (sum(length(value)) OVER (ORDER BY conv_id, turn) - length(value)) // 3000 AS buffer FROM fx_turns),
-t AS (SELECT buffer, flatten(list({TOKENS_SQL} || [0] ORDER BY conv_id, turn)) AS toks FROM p GROUP BY buffer)
-SELECT buffer::BIGINT AS buffer, c AS chunk, array_to_string(toks[c * 16 + 1 : c * 16 + 16], ',') AS ids
+    f"""WITH RECURSIVE {BUFFERS_SQL},
+t AS (SELECT buffer, flatten(list({TOKENS_SQL} || [0] ORDER BY conv_id, turn)) AS toks FROM r JOIN o USING (i) GROUP BY buffer)
+SELECT buffer, c AS chunk, array_to_string(toks[c * 16 + 1 : c * 16 + 16], ',') AS ids
 FROM t, range(0, len(toks) // 16) r(c)""",
 )
 def w18(spark, sf):
-    t = fx_turns(spark, sf).withColumn("tokens", W.token_ids(F.col("value")))
-    t = W.char_buffers(t.withColumn("chars", F.length("value")), "chars", ["conv_id", "turn"], 3000)
+    t = _buffered_turns(spark, sf).withColumn("tokens", W.token_ids(F.col("value")))
     out = W.pack_constant(t.withColumn("place", F.struct("conv_id", "turn")), "tokens", "buffer", "place", 16)
     return out.select("buffer", "chunk", F.array_join("input_ids", ",").alias("ids"))
 

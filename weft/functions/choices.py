@@ -27,8 +27,7 @@ def parse_choice(response: Column | str, letters: Column, answers: Column | None
     keyed-hash pick replaces the random choice."""
     r = _c(response)
     for ch in STRIP_CHARS:
-        esc = "\\" + ch if ch in ".?" else ch
-        r = F.regexp_replace(r, f"^{esc}+|{esc}+$", "")
+        r = F.btrim(r, F.lit(ch))
     resp = F.concat(F.lit(" "), r, F.lit(" "))
     idx = F.sequence(F.lit(0), F.size(letters) - 1)
     brack = F.filter(idx, lambda i: F.instr(resp, F.concat(F.lit("("), letters[i], F.lit(")"))) > 0)
@@ -67,7 +66,10 @@ def extract_answer(response: Column | str, question_type: Column | str, answer_t
     choice; an integer or float that parses; ``The answer is "..."``; otherwise null
     (the external extractor slot, X08, takes those rows)."""
     r, qt, at, ch = _c(response), _c(question_type), _c(answer_type), _c(choices)
-    as_int = F.when(r.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(r).cast("bigint").cast("string"))
+    whole = r"^\s*([-+]?)0*(\d+)\s*$"  # of any length, so it stays text
+    digits = F.regexp_extract(r, whole, 2)
+    minus = (F.regexp_extract(r, whole, 1) == "-") & (digits != "0")
+    as_int = F.when(r.rlike(whole), F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), digits))
     as_float = F.trim(r).try_cast("double").cast("string")
     quoted = F.regexp_extract(r, r'The answer is "(.*)"\.', 1)
     return (
@@ -79,11 +81,22 @@ def extract_answer(response: Column | str, question_type: Column | str, answer_t
     )
 
 
+def _whole_number(f: Column) -> Column:
+    """The digits of a double without its fraction, exact up to 124 bits; null beyond and for NaN."""
+    small, half = F.abs(f) < 2.0**62, 2.0**62
+    high = F.when(small, F.lit(0.0)).otherwise(F.floor(F.abs(f) / half).cast("double"))
+    low = F.when(small, F.floor(F.abs(f))).otherwise(F.abs(f) - high * half)  # exact, as powers of two are
+    digits = high.cast("bigint").cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("bigint").cast("decimal(19,0)")
+    signed = F.when(f < 0, -digits).otherwise(digits).cast("string")
+    return F.when(~F.isnan(f) & (F.abs(f) < 2.0**124), signed)
+
+
 def normalise_extraction(extraction: Column | str, choices: Column | str, question_type: Column | str, answer_type: Column | str,
                          precision: Column | str) -> Column:
     """multi-choice: ``(X)`` -> X, a letter -> its choice text, else the most
-    similar choice (K05); integer: str(int(float(x))); float: rounded to ``precision``
-    (decimal half-even); list/text: unchanged; unparsable -> null."""
+    similar choice (K05); integer: str(int(float(x))), null from 2**124 on and for what is
+    no number; float: rounded to ``precision`` (decimal half-even); list/text: unchanged;
+    unparsable -> null."""
     from weft.operators.windows import most_similar
 
     e, ch = F.trim(_c(extraction)), _c(choices)
@@ -93,7 +106,7 @@ def normalise_extraction(extraction: Column | str, choices: Column | str, questi
     pos = F.array_position(letters, e2)
     mc = F.when(pos > 0, F.element_at(ch, pos.cast("int"))).otherwise(most_similar(e2, ch))
     f = _c(extraction).try_cast("double")
-    as_int = F.when(f.isNotNull(), f.cast("bigint").cast("string"))
+    as_int = _whole_number(f)
     as_float = F.when(f.isNotNull(), F.bround(f, _c(precision).cast("int")).cast("string"))
     return (
         F.when(_c(question_type) == "multi_choice", mc)
@@ -105,17 +118,20 @@ def normalise_extraction(extraction: Column | str, choices: Column | str, questi
 
 # Words that name a quantity. "fewestmore" is one entry, as two strings run
 # together there.
-QUANTITY_WORDS = (
-    "most least fewestmore less fewer largest smallest greatest larger smaller greater highest lowest higher lower "
-    "increase decrease minimum maximum max min mean average median total sum add subtract difference quotient gap "
-    "half double twice triple square cube root approximate approximation triangle rectangle circle square cube "
-    "sphere cylinder cone pyramid multiply divide percentage percent ratio proportion fraction rate"
-).split()
+QUANTITY_WORDS = [
+    "most", "least", "fewestmore", "less", "fewer", "largest", "smallest", "greatest", "larger", "smaller", "greater",
+    "highest", "lowest", "higher", "lower", "increase", "decrease", "minimum", "maximum", "max", "min", "mean",
+    "average", "median", "total", "sum", "add", "subtract", "difference", "quotient", "gap", "half", "double", "twice",
+    "triple", "square", "cube", "root", "approximate", "approximation", "triangle", "rectangle", "circle", "square",
+    "cube", "sphere", "cylinder", "cone", "pyramid", "multiply", "divide", "percentage", "percent", "ratio",
+    "proportion", "fraction", "rate",
+]
 # Single words that read as a number.
-NUMBER_WORDS = (
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
-    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand lakh crore million billion"
-).split()
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
+    "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty",
+    "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "lakh", "crore", "million", "billion",
+]
 BOOL_WORDS = ["Yes", "No", "True", "False", "yes", "no", "true", "false", "YES", "NO", "TRUE", "FALSE"]
 
 

@@ -105,6 +105,7 @@ def multi_image_texts_samples(df: DataFrame, dataset: str, id_col: str, texts: s
     return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=images))
 
 
+# The questions about an artwork.
 ART_FIRST = "<image>\nYou are given an image of an artwork. Please answer the following questions briefly. What is the name of the painting?"
 ART_QUESTIONS = [("author", "Who is the author of the painting?"), ("genre", "What is the genre of the painting?"),
                  ("style", "What is the style of the painting?")]
@@ -187,6 +188,7 @@ def generic_samples(df: DataFrame, dataset: str, id_col: str, media_key: str = "
     return df.select(*to_sample(dataset, F.col(id_col), F.col(id_col), turns, images=F.array(fname)))
 
 
+# Fixed value: the instruction to read a text.
 OCR_READ_PROMPT = "<image>\nPlease read the text in this image."
 
 
@@ -471,6 +473,7 @@ def ocr_full_image_samples(df: DataFrame, dataset: str, key: str, lines: str = "
     return out.select(*to_sample(dataset, F.col(key), F.col(key), turns), F.col("_wf_mode").alias("mode"))
 
 
+# Fixed value: the question behind a supervised caption.
 CAPTION_QUESTION = "Elaborate on the visual and narrative elements of the video in detail."
 
 

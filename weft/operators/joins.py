@@ -7,9 +7,9 @@ registries and one-row aggregates.
 Non-equi joins never compare all pairs:
 
 * prefix matching (J15) explodes the bounded set of prefixes of each id and equi-joins;
-* point-in-interval and interval-overlap (J16, J20, J21) equi-join on a bucket of the
-  range key (:func:`range_join`), so each point meets only intervals that share its
-  bucket.
+* interval overlap (J21) equi-joins on places in the order of borders;
+* point-in-interval (J16, J20) equi-joins on a bucket of the range key
+  (:func:`range_join`), so each point meets only intervals that share its bucket.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.ids import keyed_hash
+from weft.ids import keyed_hash, prefix_sum
 from weft.schema import IMAGE_TOKEN, TURNS
+from weft.session import ensure_checkpoint_dir
 
 
 def _c(c: Column | str) -> Column:
@@ -29,7 +30,8 @@ def _c(c: Column | str) -> Column:
 
 def semi_with_count_check(annotations: DataFrame, images: DataFrame, keys: Sequence[str], n_ann: str, n_img: str) -> DataFrame:
     """Keep annotations whose key has images; the image count must agree with the
-    annotation's image list (the job fails otherwise). Image rows are brought to one per
+    annotation's image list (the job fails otherwise). A key may be the shard and the line
+    that :func:`weft.sources.files.read_numbered_lines` gives, which is ``org_idx`` then. Image rows are brought to one per
     key first, so a repeated key neither repeats annotations nor hides another count."""
     per_key = images.groupBy(*keys).agg(F.min(n_img).alias("_wf_lo"), F.max(n_img).alias("_wf_hi"))
     joined = annotations.join(per_key, list(keys))
@@ -163,23 +165,59 @@ def range_join(
     return pt.join(iv, k + ["_wf_b"]).filter((F.col(t) >= F.col(start)) & cond_end).drop("_wf_b")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, keys: Sequence[str] = (),
-                 bucket: float = 1.0) -> DataFrame:
-    """Pairs of half-open ranges that intersect, with the intersection
-    ``[greatest(lo), least(hi))``; both sides are bucketed, pairs are deduplicated by
-    taking the bucket of the intersection start only."""
-    k = list(keys)
+#: Places of a run that one row stands for before they are laid out one by one.
+RUN = 4096
+
+
+def _places(spans: DataFrame, points: DataFrame, keys: list[str], strictly_after: bool) -> DataFrame:
+    """(id, point): the points within each span of (keys, id, lo, hi), by one range sort of borders.
 
-    def ex(df, lo, hi):
-        return df.withColumn(
-            "_wf_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket).cast("bigint"), F.floor((F.col(hi) - 1e-9) / bucket).cast("bigint")))
-        )
+    Points (keys, point, at) are numbered in order; a span's points are a run of numbers,
+    from those before its start (and at it, if ``strictly_after``) to those before its end.
+    Runs are laid out and meet the points by number, so there is a row for each pair of the
+    result and no other, and pairs of one key are spread like any.
+    """
+    start = F.lit(2 if strictly_after else 0)
+    blank = F.lit(None).cast("bigint")
+    events = [
+        points.select(*keys, F.col("at"), F.lit(1).alias("_wf_kind"), F.lit(1).alias("_wf_one"), blank.alias("id"), "point"),
+        spans.select(*keys, F.col("lo").alias("at"), start.alias("_wf_kind"), F.lit(0).alias("_wf_one"), "id", blank.alias("point")),
+        spans.select(*keys, F.col("hi").alias("at"), F.lit(0).alias("_wf_kind"), F.lit(0).alias("_wf_one"), "id", blank.alias("point")),
+    ]
+    order = [*keys, "at", "_wf_kind", F.coalesce("id", "point")]
+    below = prefix_sum(events[0].union(events[1]).union(events[2]), order, F.col("_wf_one").cast("bigint"), name="_wf_below")
+    # the lower of a span's two numbers is that of its start; both are the same where it holds no point
+    runs = below.where("id is not null").groupBy("id").agg(F.min("_wf_below").alias("first"), F.max("_wf_below").alias("last")).where("first < last")
+    blocks = runs.select("id", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / RUN), F.floor((F.col("last") - 1) / RUN))).alias("_wf_b"))
+    lo, hi = F.greatest(F.col("first"), F.col("_wf_b") * RUN), F.least(F.col("last"), (F.col("_wf_b") + 1) * RUN)
+    numbers = blocks.select("id", F.explode(F.sequence(lo, hi - 1)).alias("_wf_below"))
+    return numbers.join(below.where("point is not null").select("point", (F.col("_wf_below") - 1).alias("_wf_below")), "_wf_below").select("id", "point")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of half-open ranges that intersect, with the intersection
+    ``[greatest(lo), least(hi))``.
 
-    j = ex(a, a_lo, a_hi).join(ex(b, b_lo, b_hi), k + ["_wf_b"])
-    lo = F.greatest(F.col(a_lo), F.col(b_lo))
-    hi = F.least(F.col(a_hi), F.col(b_hi))
-    j = j.filter((lo < hi) & (F.floor(lo / bucket).cast("bigint") == F.col("_wf_b")))
-    return j.withColumn("lo", lo).withColumn("hi", hi).drop("_wf_b")
+    Of two ranges that intersect, either ``b`` starts within ``a`` or ``a`` starts later
+    within ``b``, so all pairs are found as starts in spans, each once. Work follows the
+    number of ranges and of pairs, whatever their lengths and however many share a key.
+    Empty ranges, and those with a null border or key, intersect nothing.
+    """
+    k = list(keys)
+    ensure_checkpoint_dir(a.sparkSession)
+
+    def numbered(df: DataFrame, name: str, lo: str, hi: str) -> tuple[DataFrame, DataFrame]:
+        solid = df.where(F.col(lo) < F.col(hi)).dropna(subset=k) if k else df.where(F.col(lo) < F.col(hi))
+        rows = solid.withColumn(name, F.monotonically_increasing_id()).checkpoint()  # the numbers must stay
+        return rows, rows.select(*k, F.col(name).alias("id"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+
+    rows_a, spans_a = numbered(a, "_wf_a", a_lo, a_hi)
+    rows_b, spans_b = numbered(b, "_wf_b", b_lo, b_hi)
+    points = lambda spans: spans.select(*k, F.col("id").alias("point"), F.col("lo").alias("at"))
+    first = _places(spans_a, points(spans_b), k, False).select(F.col("id").alias("_wf_a"), F.col("point").alias("_wf_b"))
+    second = _places(spans_b, points(spans_a), k, True).select(F.col("point").alias("_wf_a"), F.col("id").alias("_wf_b"))
+    j = first.union(second).join(rows_a, "_wf_a").join(rows_b.drop(*k), "_wf_b").drop("_wf_a", "_wf_b")
+    return j.withColumns({"lo": F.greatest(F.col(a_lo), F.col(b_lo)), "hi": F.least(F.col(a_hi), F.col(b_hi))})
 
 
 def index_to_shard(indices: DataFrame, shards: DataFrame, index: str = "index", order: str = "url", n: str = "nsamples") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.ids import keyed_hash, positions, positions_by_key, prefix_sum, prefix_sums
+from weft.operators.selection import select_top
 
 
 def _one_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -146,36 +147,56 @@ def token_ids(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.length(w))
 
 
-def pack_constant(df: DataFrame, tokens: str, buffer: str, order: str, seq_len: int, sep: int = 0, seed: int = 42) -> DataFrame:
-    """Per buffer, token lists (each followed by ``sep``) are concatenated in
-    ``order`` (unique in the buffer) and cut into ``seq_len`` examples; the short tail is
-    dropped; examples are shuffled by keyed hash (``shuffle_key``).
+def _cut_lists(lists: DataFrame, own: str, buffer: str, order: str, seq_len: int) -> DataFrame:
+    """(buffer, chunk, input_ids): the lists ``own`` of a buffer, one after the other in
+    ``order``, cut into pieces of ``seq_len``; the last piece may be shorter.
 
     A running sum of the token counts gives each list its offset, and each list is cut at
     the borders of the examples it reaches into. Only one example's pieces ever meet in a
-    group, however large the buffer. :func:`char_buffers` makes buffers over samples.
+    group, however large the buffer.
     """
-    own = F.concat(F.col(tokens), F.array(F.lit(sep)))
-    size = F.size(tokens) + 1
-    at = prefix_sum(df.select(buffer, order, size.alias("_wf_n")), [order], F.col("_wf_n").cast("bigint"), [buffer], "_wf_at", inclusive=False)
-    placed = df.select(buffer, order, own.alias("_wf_own")).join(at, [buffer, order])
+    sizes = lists.select(buffer, order, F.size(own).cast("bigint").alias("_wf_n"))
+    at = prefix_sum(sizes, [order], "_wf_n", [buffer], "_wf_at", inclusive=False)
+    placed = lists.select(buffer, order, own).join(at, [buffer, order]).where(F.col("_wf_n") > 0)
     first, last = F.floor(F.col("_wf_at") / seq_len), F.floor((F.col("_wf_at") + F.col("_wf_n") - 1) / seq_len)
-    cut = placed.select(buffer, "_wf_at", "_wf_own", F.explode(F.sequence(first, last)).alias("chunk"))
+    cut = placed.select(buffer, "_wf_at", own, F.explode(F.sequence(first, last)).alias("chunk"))
     lo = F.greatest(F.col("chunk") * seq_len - F.col("_wf_at"), F.lit(0)).cast("int")
-    hi = F.least((F.col("chunk") + 1) * seq_len - F.col("_wf_at"), F.size("_wf_own")).cast("int")
-    pieces = cut.select(buffer, F.col("chunk").cast("bigint").alias("chunk"), "_wf_at", F.slice("_wf_own", lo + 1, hi - lo).alias("_wf_p"))
+    hi = F.least((F.col("chunk") + 1) * seq_len - F.col("_wf_at"), F.size(own)).cast("int")
+    pieces = cut.select(buffer, F.col("chunk").cast("bigint").alias("chunk"), "_wf_at", F.slice(own, lo + 1, hi - lo).alias("_wf_p"))
     whole = pieces.groupBy(buffer, "chunk").agg(F.array_sort(F.collect_list(F.struct("_wf_at", "_wf_p"))).alias("_wf_l"))
-    out = whole.select(buffer, "chunk", F.flatten(F.transform("_wf_l", lambda x: x["_wf_p"])).alias("input_ids"))
+    return whole.select(buffer, "chunk", F.flatten(F.transform("_wf_l", lambda x: x["_wf_p"])).alias("input_ids"))
+
+
+def pack_constant(df: DataFrame, tokens: str, buffer: str, order: str, seq_len: int, sep: int = 0, seed: int = 42) -> DataFrame:
+    """Per buffer, token lists (each followed by ``sep``) are concatenated in
+    ``order`` (unique in the buffer) and cut into ``seq_len`` examples; the short tail is
+    dropped; examples are shuffled by keyed hash (``shuffle_key``).
+    :func:`weft.plans.buffers.restarting_buffers` makes buffers over samples.
+    """
+    lists = df.select(buffer, order, F.concat(F.col(tokens), F.array(F.lit(sep))).alias("_wf_own"))
+    out = _cut_lists(lists, "_wf_own", buffer, order, seq_len)
     return out.filter(F.size("input_ids") == seq_len).withColumn("shuffle_key", keyed_hash(seed, F.col(buffer), F.col("chunk")))
 
 
-def char_buffers(df: DataFrame, chars: str, order: Sequence[str], size: int, name: str = "buffer") -> DataFrame:
-    """W18 buffers over samples: a text belongs to the buffer of ``size`` characters in which
-    it begins, in ``order`` (a unique key). The reference starts its count anew after the text
-    that overfills a buffer, a rule that needs the whole order in one place; here the borders
-    lie at multiples of ``size``, so buffers have the same mean size."""
-    narrow = prefix_sum(df.select(*order, chars), list(order), F.col(chars).cast("bigint"), name="_wf_at", inclusive=False)
-    return df.join(narrow.select(*order, F.floor(F.col("_wf_at") / size).alias(name)), list(order))
+def pack_onward(df: DataFrame, carried: DataFrame, tokens: str, buffer: str, order: str, seq_len: int, sep: int = 0) -> DataFrame:
+    """Constant-length packing that goes on where it stopped.
+
+    ``carried`` has for a buffer the tokens left over (``tail``) and the number of the next
+    example (``next``). Each buffer of ``df`` is packed as in :func:`pack_constant`, after
+    its tail. Returns (buffer, chunk, input_ids) of whole examples and of one shorter last
+    piece (maybe empty) for each buffer, which is its new tail and has its next number.
+    """
+    own = F.concat(F.col(tokens), F.array(F.lit(sep).cast("int")))
+    new = df.select(buffer, F.struct(F.lit(1).alias("late"), F.col(order).alias("place")).alias("_wf_place"), own.cast("array<int>").alias("_wf_own"))
+    tails = carried.join(df.groupBy(buffer).agg(F.min(order).alias("_wf_first")), buffer)
+    old = tails.select(buffer, F.struct(F.lit(0).alias("late"), F.col("_wf_first").alias("place")).alias("_wf_place"), F.col("tail").alias("_wf_own"))
+    cut = _cut_lists(old.union(new), "_wf_own", buffer, "_wf_place", seq_len)
+    # a buffer that ends with a whole example has an empty tail behind it
+    ends = cut.groupBy(buffer).agg(F.max(F.struct("chunk", F.size("input_ids").alias("n"))).alias("end")).where(F.col("end.n") == seq_len)
+    empty = ends.select(buffer, (F.col("end.chunk") + 1).alias("chunk"), F.array().cast("array<int>").alias("input_ids"))
+    start = tails.select(buffer, F.col("next").alias("_wf_next"))
+    numbered = cut.union(empty).join(start, buffer, "left")
+    return numbered.select(buffer, (F.col("chunk") + F.coalesce("_wf_next", F.lit(0))).alias("chunk"), "input_ids")
 
 
 def chunk_tokens(df: DataFrame, tokens: str, key: str, seq_len: int, seed: int = 42, pad: int | None = None) -> DataFrame:
@@ -196,9 +217,7 @@ def pack_padded(df: DataFrame, tokens: str, batch: str, order: str, seq_len: int
     """A batch's texts joined by ``sep`` (between texts), cut into ``seq_len``
     rows, the last row right-padded."""
     g = df.groupBy(batch).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, tokens))), lambda x: x[tokens]).alias("_wf_l"))
-    joined = F.aggregate(
-        F.slice("_wf_l", 2, 1 << 30), F.col("_wf_l")[0], lambda acc, x: F.concat(acc, F.array(F.lit(sep)), x)
-    )
+    joined = F.flatten(F.transform("_wf_l", lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(sep)), x)).otherwise(x)))
     g = g.select(batch, joined.alias("_wf_all"))
     return chunk_tokens(g, "_wf_all", batch, seq_len, pad=pad).drop("shuffle_key")
 
@@ -214,12 +233,10 @@ def retention(df: DataFrame, size: str, mtime: str, key: str, max_bytes: int, ma
 
 def top_fraction(df: DataFrame, part: str, score: str, key: str, fraction: float, keep: Column | None = None) -> DataFrame:
     """Per part, rows ranked by score (desc, then key) and kept while
-    rank < int(fraction * rows of the part **before** ``keep`` is applied)."""
-    counts = df.groupBy(part).agg(F.count(F.lit(1)).alias("_wf_total"))
-    d = df.filter(keep) if keep is not None else df
-    ranked = positions(d, [F.col(score).desc(), F.col(key)], partition=[part], name="_wf_rank")
-    j = ranked.join(counts, part)
-    return j.filter(F.col("_wf_rank") < F.floor(F.col("_wf_total") * fraction)).drop("_wf_rank", "_wf_total")
+    rank < int(fraction * rows of the part **before** ``keep`` is applied). The cut is found
+    by :func:`select_top`; rows away from it are neither sorted nor moved."""
+    counts = df.groupBy(part).agg(F.floor(F.count(F.lit(1)) * fraction).alias("n"))
+    return select_top(df.filter(keep) if keep is not None else df, part, score, key, counts)
 
 
 def best_of_n(df: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:

@@ -190,3 +190,80 @@ def pack_greedy(df: DataFrame, key: str, group: str, n_tokens: str, n_images: st
     dt = dict(df.dtypes)
     schema = f"{key} {dt[key]}, {group} {dt[group]}, pack bigint, offset bigint, seqlen bigint"
     return df.select(key, group, n_tokens, n_images).groupBy(group).applyInPandas(plan, schema)
+
+
+#: Padding of a sample's length for a kind of ring attention, in multiples of the sequence-parallel degree.
+RING_MULTIPLE = {None: 0, "ring_varlen": 1, "zigzag_ring_varlen": 2}
+
+
+class _MediaPacks:
+    """Packs of one collate group: samples as the rule admits them, then a debt of media paid in dummies."""
+
+    def __init__(self, max_len: int, max_images: int, sp: int, dummy_len: int):
+        self.max_len, self.max_images, self.sp, self.dummy_len = max_len, max_images, sp, dummy_len
+        self.kept = self.longest = 0  # packs kept so far, and the length of the longest of them
+        self.tokens = self.images = 0
+        self.open: list[tuple] = []  # (sample, offset, length, images) of the pack in the making
+        self.rows: list[tuple] = []
+
+    def add(self, sample, length: int, images: int) -> None:
+        indebted = self.images < self.sp
+        apt = indebted or (self.images + images <= self.max_images and self.tokens + length <= self.longest)
+        if self.open and not (apt and self.tokens + length <= self.max_len):
+            self.close()
+        self.open.append((sample, self.tokens, length, images))
+        self.tokens, self.images = self.tokens + length, self.images + images
+
+    def close(self) -> None:
+        """Pay the debt in dummies while the pack is short of its full length; a pack still in debt is dropped."""
+        debt, room = max(self.sp - self.images, 0), max(self.max_len - self.tokens, 0)
+        paid = min(debt, -(-room // self.dummy_len))
+        dummies = [(None, self.tokens + k * self.dummy_len, self.dummy_len, 1) for k in range(paid)]
+        if paid == debt:
+            self.rows += [("dummy" if r[0] is None else "sample", self.kept, *r) for r in self.open + dummies]
+            self.longest = max(self.longest, self.tokens + paid * self.dummy_len)
+            self.kept += 1
+        else:
+            self.rows += [("dropped", -1, *r) for r in self.open]
+        self.open, self.tokens, self.images = [], 0, 0
+
+
+def pack_media(df: DataFrame, key: str, group: str, n_tokens: str, n_images: str, max_len: int, tokens_per_image: int = 1, sp: int = 1,
+               ring: str | None = None, max_images: int | None = None) -> DataFrame:
+    """W17 whole: packs of a collate group in which every pack has at least ``sp`` media.
+
+    Samples come by expanded length (a medium counts ``tokens_per_image``), longest first and
+    then by key. With a ``ring`` kind, each is padded to a multiple of ``sp`` (or of twice
+    that). A pack admits samples while it has fewer than ``sp`` media, and then those that
+    keep it within ``max_images`` (the most of any sample of the group, unless given) and
+    within the longest pack so far; never beyond ``max_len``. A pack short of media is filled
+    with dummies (begin, medium, end) while it is shorter than ``max_len``; if it is still
+    short, it is dropped.
+
+    Columns: group, kind (``sample``, ``dummy``, ``dropped`` or ``too_long``), pack (numbered
+    among those kept; -1 without one), key (null for a dummy), offset, seqlen (padded) and
+    images. A sample that is longer than ``max_len`` is returned, marked, and packed nowhere.
+    """
+    if ring not in RING_MULTIPLE:
+        raise ValueError(f"ring must be one of {sorted(k for k in RING_MULTIPLE if k)}")
+    multiple = max(1, RING_MULTIPLE[ring] * sp)
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        length = (pdf[n_tokens] + pdf[n_images] * (tokens_per_image - 1)).astype(np.int64)
+        pdf = pdf.assign(_wf_len=length).sort_values(["_wf_len", key], ascending=[False, True])
+        most = int(pdf[n_images].max()) if max_images is None else max_images
+        packs = _MediaPacks(max_len, most, sp, tokens_per_image + 2)
+        for sample, n, images in zip(pdf[key].tolist(), (-(-pdf["_wf_len"] // multiple) * multiple).tolist(), pdf[n_images].tolist()):
+            if n > max_len:
+                packs.rows.append(("too_long", -1, sample, 0, n, images))
+            else:
+                packs.add(sample, n, images)
+        if packs.open:
+            packs.close()
+        out = pd.DataFrame(packs.rows, columns=["kind", "pack", key, "offset", "seqlen", "images"])
+        out[key] = out[key].astype(object)
+        return out.assign(**{group: pdf[group].iloc[0]})[[group, "kind", "pack", key, "offset", "seqlen", "images"]]
+
+    dt = dict(df.dtypes)
+    schema = f"{group} {dt[group]}, kind string, pack bigint, {key} {dt[key]}, offset bigint, seqlen bigint, images bigint"
+    return df.select(key, group, n_tokens, n_images).groupBy(group).applyInPandas(plan, schema)

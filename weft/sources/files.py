@@ -11,22 +11,43 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.ids import keyed_hash, positions
+from weft.sources import jsonparts
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON-array files, with a JSON-lines fallback decided per file: a file whose
-    text starts with ``[`` is parsed as an array, any other file line by line. Each
-    file is one bounded row of text; records are exploded back into rows."""
-    raw = spark.read.option("wholetext", "true").text(path)
-    body = F.regexp_replace("value", r"^\s+", "")
-    arr = F.from_json(F.col("value"), f"array<struct<{schema}>>")
-    lines = F.transform(F.filter(F.split(F.col("value"), "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, f"struct<{schema}>"))
-    recs = F.when(body.startswith("["), arr).otherwise(lines)
-    return raw.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    text starts with ``[`` is an array, any other is read line by line. Both are read by
+    byte ranges, an array with the states that :mod:`weft.sources.jsonparts` carries over.
+    Elements that are no objects, and empty lines, are left out."""
+    ranges = jsonparts.ranges(spark, path)
+    signs = jsonparts.first_signs(ranges)
+    arrays, lines = [f for f, c in signs.items() if c == "["], [f for f, c in signs.items() if c not in ("[", "")]
+    texts = spark.createDataFrame([], "text string")
+    if arrays:
+        texts = jsonparts.elements(spark, arrays, ranges).where(F.ltrim("text").startswith("{")).select("text")
+    if lines:
+        texts = texts.union(spark.read.text(lines).where(F.trim("value") != ""))
+    return texts.select(F.from_json("text", f"struct<{schema}>").alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): text lines with their 0-based number in their file.
+
+    Lines are numbered where they are read, by byte range; the ranges of a file add up by
+    a table of one row a range, like the driver's own list of splits. No line is sorted.
+    """
+    scan = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_wf_block"), F.monotonically_increasing_id().alias("_wf_mid"), "value"
+    )
+    ranges = scan.groupBy("file", "_wf_block").agg(F.count(F.lit(1)).alias("_wf_n"), F.min("_wf_mid").alias("_wf_first"))
+    earlier = Window.partitionBy("file").orderBy("_wf_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("file", "_wf_block", "_wf_first", F.coalesce(F.sum("_wf_n").over(earlier), F.lit(0)).alias("_wf_start"))
+    numbered = scan.join(F.broadcast(starts), ["file", "_wf_block"])
+    return numbered.select("file", (F.col("_wf_start") + F.col("_wf_mid") - F.col("_wf_first")).alias("line"), "value")
 
 
 # Longest matching extension wins (fixed values: the supported suffixes).
@@ -97,10 +118,11 @@ def read_sidecars(spark: SparkSession, media: DataFrame, folder: str, schema: st
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """A JSON object keyed by id -> one row per (key, value). The object is read
-    per file (wholetext) and exploded; nothing passes through the driver."""
-    raw = spark.read.option("wholetext", "true").text(path)
-    return raw.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
+    """A JSON object keyed by id -> one row per (key, value). A file is read by byte
+    ranges; each member is parsed by itself, so a key that stands twice gives two rows."""
+    member = F.concat(F.lit("{"), F.col("text"), F.lit("}"))
+    parsed = F.from_json(member, f"map<string,{value_schema}>")
+    return jsonparts.elements(spark, path).select(F.explode(parsed).alias("key", "value"))
 
 
 def read_caption_dir(spark: SparkSession, root: str) -> DataFrame:

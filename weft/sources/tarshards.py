@@ -16,7 +16,7 @@ import io
 import re
 import tarfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -200,39 +200,117 @@ def index_info(index: DataFrame) -> DataFrame:
 __all__ = ["TarShardSource", "register", "write_tar_shards", "build_shard_index", "index_info", "split_name", "human_size", "json"]
 
 
-SHARDS = "array<struct<url:string,nsamples:bigint>>"
-DESC_SCHEMA = (
-    f"struct<wids_version:int,name:string,weight:double,base:string,shardlist:{SHARDS},"
-    f"datasets:array<struct<name:string,weight:double,base:string,shardlist:{SHARDS}>>>"
-)
+SHARDS = "array<struct<url:string,nsamples:bigint,weight:double,name:string>>"
+COMPONENT = f"struct<name:string,weight:double,base:string,source_url:string,shardlist:{SHARDS}>"
+DESC_SCHEMA = f"struct<wids_version:int,name:string,weight:double,base:string,shardlist:{SHARDS},datasets:array<{COMPONENT}>>"
+
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
+
+
+def _folded(path: Column) -> Column:
+    """A path without ``.``, ``..`` and empty parts; what leads above the root of an absolute path is dropped."""
+    absolute = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    none = F.array().cast("array<string>")
 
+    def step(acc: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")) != "..")
+        kept = F.when((x == "..") & absolute, acc).otherwise(F.concat(acc, F.array(x)))
+        return F.when(up, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(kept)
 
-def rebase(url, base):
-    """An absolute URL is kept; a host-absolute path takes the base's scheme
-    and host; a relative path is appended to the base directory (no ``..`` folding)."""
+    out = F.array_join(F.aggregate(parts, none, step), "/")
+    out = F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), out)
+    return F.when(out == "", F.lit(".")).otherwise(out)
+
+
+def rebase(url: Column, base: Column) -> Column:
+    """A URL with a scheme is kept; a path from the root takes the scheme and host
+    of the base; a relative path is appended to the folder that the base names, and ``.``
+    and ``..`` are folded. Without a base the URL stays as it is."""
     host = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)
-    joined = F.concat(F.regexp_replace(base, r"/+$", ""), F.lit("/"), url)
+    folder = F.substr(base, F.length(host) + 1)
+    path, rest = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"([?#].*)$", 1)
+    joined = F.concat(folder, F.when(folder.endswith("/"), F.lit("")).otherwise(F.lit("/")), path)
     return (
         F.when(base.isNull(), url)
-        .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), url)
+        .when(url.rlike(_SCHEME), url)
         .when(url.startswith("/"), F.concat(host, url))
-        .otherwise(joined)
+        .otherwise(F.concat(host, _folded(joined), rest))
+    )
+
+
+def url_folder(url: Column) -> Column:
+    """The folder part of a URL; query and fragment stay behind."""
+    return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"^(.*)/[^/]*$", 1)
+
+
+def _checked(descs: DataFrame, desc_id: str, json_col: str) -> DataFrame:
+    d = descs.select(F.col(desc_id).alias("_wf_root"), F.from_json(json_col, DESC_SCHEMA).alias("d"))
+    return d.withColumn("d", F.when(F.col("d.wids_version") == 1, F.col("d")).otherwise(F.raise_error(F.lit("Unknown wids_version")).cast(DESC_SCHEMA)))
+
+
+def _rows(components: DataFrame) -> DataFrame:
+    """One row per shard of (root, base, weight, name, dataset, source, shardlist); a shard's own weight and name stay."""
+    s = components.select("_wf_root", "base", "weight", "name", "dataset", "source", F.explode("shardlist").alias("s"))
+    return s.select(
+        "_wf_root", rebase(F.col("s.url"), F.col("base")).alias("url"), F.col("s.nsamples").alias("nsamples"), F.coalesce("s.weight", "weight").alias("weight"),
+        F.coalesce("s.name", "name").alias("name"), "dataset", F.col("source").alias("source_url"),
     )
 
 
-def resolve_index(descs: DataFrame, desc_id: str = "desc_id", json_col: str = "json") -> DataFrame:
+def resolve_index(descs: DataFrame, desc_id: str = "desc_id", json_col: str = "json", fetched: DataFrame | None = None, mark: bool = False) -> DataFrame:
     """One row per shard of each descriptor: top-level shards rebased on the
     descriptor base and given its weight and name; each component's shards rebased on
-    the component base, given the component weight and its name as ``dataset``. An
-    unknown ``wids_version`` fails the job. (Remote ``source_url`` components are
-    fetched elsewhere; pass them inline.)"""
-    d = descs.select(desc_id, F.from_json(json_col, DESC_SCHEMA).alias("d"))
-    d = d.withColumn("d", F.when(F.col("d.wids_version") == 1, F.col("d")).otherwise(F.raise_error(F.lit("Unknown wids_version")).cast(DESC_SCHEMA)))
-    top = d.select(desc_id, F.col("d.base").alias("base"), F.col("d.weight").alias("weight"), F.col("d.name").alias("name"),
-                   F.explode("d.shardlist").alias("s"))
-    top = top.select(desc_id, rebase(F.col("s.url"), F.col("base")).alias("url"), F.col("s.nsamples").alias("nsamples"), "weight", "name",
-                     F.lit(None).cast("string").alias("dataset"))
-    comp = d.select(desc_id, F.explode("d.datasets").alias("c")).select(desc_id, "c.base", "c.weight", "c.name", F.explode("c.shardlist").alias("s"))
-    comp = comp.select(desc_id, rebase(F.col("s.url"), F.col("base")).alias("url"), F.col("s.nsamples").alias("nsamples"), "weight",
-                       F.lit(None).cast("string").alias("name"), F.col("name").alias("dataset"))
-    return top.unionByName(comp)
+    the component base, given the component weight and its name as ``dataset``.
+
+    A component with a ``source_url`` stands for the descriptor of that URL in ``fetched``
+    (``url``, ``json``; reading them is the caller's part). Its shards have the weight of the
+    reference, and the folder of the URL as a base unless it names one. Its own components
+    are resolved in turn until none is left, each level by a join of all roots at once;
+    a weight that a nested reference lacks is that of the outer one.
+
+    References that come back to a URL of their own path, a URL that was not fetched, and a
+    descriptor without any shard fail the job. With ``mark`` they are rows with an ``error``
+    and no URL instead. An unknown ``wids_version`` always fails it.
+    """
+    text = F.lit(None).cast("string")
+    d = _checked(descs, desc_id, json_col)
+    shards = _rows(d.select("_wf_root", "d.base", "d.weight", "d.name", text.alias("dataset"), text.alias("source"), F.col("d.shardlist").alias("shardlist")))
+    start = {"outer": F.lit(None).cast("double"), "within": text, "trail": F.array().cast("array<string>")}
+    nested = d.select("_wf_root", F.explode("d.datasets").alias("c"), *[v.alias(k) for k, v in start.items()])
+    known = None
+    if fetched is not None:
+        known = _checked(fetched.select("url", "json"), "url", "json").select(F.col("_wf_root").alias("at"), "d", F.lit(True).alias("known"))
+    faults = None
+    weight = F.coalesce("c.weight", "outer").alias("weight")
+    while True:
+        inline = nested.where(F.col("c.source_url").isNull())
+        base = F.coalesce("c.base", "within").alias("base")
+        shards = shards.union(_rows(inline.select("_wf_root", base, weight, text.alias("name"), F.col("c.name").alias("dataset"), text.alias("source"), "c.shardlist")))
+        linked = nested.where(F.col("c.source_url").isNotNull()).withColumn("at", rebase(F.col("c.source_url"), F.col("within")))
+        if linked.isEmpty():
+            break
+        if known is None:
+            raise ValueError("descriptors refer to others; pass those as fetched")
+        reached = linked.join(known, "at", "left")
+        fault = F.when(F.array_contains("trail", F.col("at")), F.concat(F.lit("descriptors refer to each other: "), "at")).when(
+            F.col("known").isNull(), F.concat(F.lit("descriptor not fetched: "), "at")
+        )
+        reached = reached.withColumn("fault", fault if mark else F.when(fault.isNotNull(), F.raise_error(fault).cast("string")))
+        base = F.coalesce("d.base", url_folder(F.col("at"))).alias("base")
+        columns = ["d.name", F.col("at").alias("source"), F.col("d.shardlist").alias("shardlist"), F.col("d.datasets").alias("datasets"), "trail", "fault"]
+        reached = reached.select("_wf_root", base, weight, *columns).checkpoint()  # read by the rows and by the next level
+        faulty = reached.where("fault is not null").select("_wf_root", "fault")
+        faults = faulty if faults is None else faults.union(faulty)
+        reached = reached.where("fault is null")
+        shards = shards.union(_rows(reached.select("_wf_root", "base", "weight", text.alias("name"), F.col("name").alias("dataset"), "source", "shardlist")))
+        nested = reached.select("_wf_root", F.explode("datasets").alias("c"), F.col("weight").alias("outer"), F.col("base").alias("within"), F.concat("trail", F.array("source")).alias("trail"))
+    counted = d.select("_wf_root").join(shards.groupBy("_wf_root").agg(F.count(F.lit(1)).alias("n")), "_wf_root", "left")
+    none = counted.where(F.col("n").isNull()).select("_wf_root", F.lit("No shards found").alias("fault"))
+    if mark:
+        none = none if faults is None else none.union(faults)
+        out = shards.withColumn("error", text).unionByName(none.withColumnRenamed("fault", "error"), allowMissingColumns=True)
+    else:
+        failing = none.select("_wf_root", F.raise_error("fault").cast("string").alias("url"))
+        out = shards.unionByName(failing, allowMissingColumns=True)
+    return out.withColumnRenamed("_wf_root", desc_id)
