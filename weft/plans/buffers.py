@@ -80,6 +80,8 @@ def _path(hops: DataFrame) -> DataFrame:
     the table spans as many, so rounds grow with the logarithm of the number of blocks.
     """
     reached, size = hops.where("i = 1").select("i"), 1
+    # a hop past the last text ends the path; its place is no text, though its number may lie in the last block
+    hops = hops.join(hops.select(F.col("i").alias("leaves")), "leaves", "left_semi").select("i", "leaves")
     while True:
         further = reached.join(hops, "i").select(F.col("leaves").alias("i"))
         reached = _durable(reached.union(further).distinct())
