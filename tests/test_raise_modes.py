@@ -53,3 +53,17 @@ def test_urls(spark):
              ("a.tar", None, "a.tar"), ("../a.tar", "x/y", "x/a.tar"), ("../../../a.tar", "x/y", "../a.tar")]
     df = spark.createDataFrame(cases, "url string, base string, want string")
     assert [r[0] for r in df.select(TS.rebase(F.col("url"), F.col("base"))).collect()] == [c[2] for c in cases]
+
+
+def test_spellings_of_a_url_are_folded(spark):
+    cases = [
+        ("http://host/top/../one/0.json", "http://host/one/0.json"),
+        ("http://host/../a/./b.json?x=../y", "http://host/a/b.json?x=../y"),
+        ("s3://bucket/a//b.json", "s3://bucket/a//b.json"),
+        ("http://host", "http://host"),
+        ("a/../b.json", "b.json"),
+        ("..a/b..json", "..a/b..json"),
+        (None, None),
+    ]
+    df = spark.createDataFrame(cases, "url string, folded string")
+    assert [r[0] for r in df.select(TS.folded_url(df["url"])).collect()] == [c[1] for c in cases]

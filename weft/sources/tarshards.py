@@ -239,6 +239,14 @@ def rebase(url: Column, base: Column) -> Column:
     )
 
 
+def folded_url(url: Column) -> Column:
+    """The URL with ``.`` and ``..`` folded in its path, so that all spellings of it compare equal; other URLs as they stand."""
+    host = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(F.substr(url, F.length(host) + 1), r"^([^?#]*)", 1)
+    rest = F.substr(url, F.length(host) + F.length(path) + 1)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(host, _folded(path), rest)).otherwise(url)
+
+
 def url_folder(url: Column) -> Column:
     """The folder part of a URL; query and fragment stay behind."""
     return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"^(.*)/[^/]*$", 1)
@@ -280,14 +288,14 @@ def resolve_index(descs: DataFrame, desc_id: str = "desc_id", json_col: str = "j
     nested = d.select("_wf_root", F.explode("d.datasets").alias("c"), *[v.alias(k) for k, v in start.items()])
     known = None
     if fetched is not None:
-        known = _checked(fetched.select("url", "json"), "url", "json").select(F.col("_wf_root").alias("at"), "d", F.lit(True).alias("known"))
+        known = _checked(fetched.select(folded_url(F.col("url")).alias("url"), "json"), "url", "json").select(F.col("_wf_root").alias("at"), "d", F.lit(True).alias("known"))
     faults = None
     weight = F.coalesce("c.weight", "outer").alias("weight")
     while True:
         inline = nested.where(F.col("c.source_url").isNull())
         base = F.coalesce("c.base", "within").alias("base")
         shards = shards.union(_rows(inline.select("_wf_root", base, weight, text.alias("name"), F.col("c.name").alias("dataset"), text.alias("source"), "c.shardlist")))
-        linked = nested.where(F.col("c.source_url").isNotNull()).withColumn("at", rebase(F.col("c.source_url"), F.col("within")))
+        linked = nested.where(F.col("c.source_url").isNotNull()).withColumn("at", folded_url(rebase(F.col("c.source_url"), F.col("within"))))
         if linked.isEmpty():
             break
         if known is None:
