@@ -319,6 +319,6 @@ def resolve_index(descs: DataFrame, desc_id: str = "desc_id", json_col: str = "j
         none = none if faults is None else none.union(faults)
         out = shards.withColumn("error", text).unionByName(none.withColumnRenamed("fault", "error"), allowMissingColumns=True)
     else:
-        failing = none.select("_wf_root", F.raise_error("fault").cast("string").alias("url"))
+        failing = none.select("_wf_root", F.raise_error(F.col("fault")).cast("string").alias("url"))
         out = shards.unionByName(failing, allowMissingColumns=True)
     return out.withColumnRenamed("_wf_root", desc_id)
