@@ -70,6 +70,16 @@ def test_rounds_settle_the_first_scores(spark, top):
     assert _found(co.collocations(df, top=top, least=4)) == _plain(rows, top, 4)
 
 
+@pytest.mark.parametrize("bits", [64])
+def test_false_members_of_filters_change_nothing(spark, monkeypatch, bits):
+    """A word let through before its own round is scored once."""
+    rng = random.Random(bits)
+    rows = [(rng.choice("xy"), " ".join(rng.choices(["w%d" % i for i in range(40)], [1 / (i + 1) for i in range(40)], k=30))) for _ in range(120)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    monkeypatch.setattr(co, "MAX_BITS", bits)
+    assert _found(co.collocations(df, top=30, least=3)) == _plain(rows, 30, 3)
+
+
 def test_edge_rows(spark):
     rows = [(None, None), ("x", ""), ("x", " \t "), ("x", "..!"), ("und", "A b\tc d"), (None, "a b c\x0bd"), ("x", "É\xa0é É\xa0é. \x1cq \x1cq z"), ("y", "lone")]
     rows += [("long", "p q " * 60_000), ("long", "p q."), ("x", "q z"), ("x", "q z"), (None, "a b c d e f g"), ("und", "a b c d e f g")]

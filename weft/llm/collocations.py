@@ -15,7 +15,8 @@ The texts are read once and kept as numbered words in the shared folder, in chun
 language. Counts of a chunk leave its task as one row per different phrase, and are summed
 by phrase. What tasks must know of the frontier is sent as a Bloom filter, sized from the
 number of prefixes up to ``MAX_BITS``: a false member costs a count, never a result, as
-every phrase that is counted at all is counted wherever it stands.
+every phrase that is counted at all is counted wherever it stands, and as only phrases of
+words that the round opens are candidates in it.
 
 Defined results: null and empty texts have no words; rows without a language count as
 ``und``; repeated rows count each; a very long text is read whole, in runs of pieces of
@@ -380,7 +381,9 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", top: int
                 break
             prefixes = filter_of(level)
         counts = durable(counts.union(tree).distinct())
-        candidates = tree.withColumnRenamed("f", "a")
+        # words that the filter lets through in error have their own round
+        own = fresh.select("lang", F.col("phrase").alias("_first"))
+        candidates = tree.withColumns({"a": F.col("f"), "_first": F.substring_index("phrase", " ", 1)}).join(own, ["lang", "_first"], "left_semi").select("lang", "phrase", "a")
         if scored is not None:
             candidates = _reaching(candidates, counts, langs)
         candidates = durable(candidates)
