@@ -125,3 +125,19 @@ def test_registry(spark):
 def test_marker_tokens(spark, ids, want):
     df = spark.createDataFrame([(ids,)], "ids array<int>")
     assert df.select(R.mask_by_marker_tokens("ids", [2, 2], [1, 1])).first()[0] == want
+
+
+def test_caption_folders_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from weft.sources.files import read_caption_dir
+
+    def refuse(*_, **__):
+        raise AssertionError("the driver lists the folder")
+
+    for name, data in (("a.txt", "one"), ("a.jpg", "1"), ("b.txt", "x"), ("c.jpg", "y"), (".h.txt", "z"), (".h.jpg", "z"), ("p/q.r/a.b.txt", "deep"), ("p/q.r/a.b.jpg", ""), ("p/_s/a.txt", "no"), ("p/_s/a.jpg", "no")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    monkeypatch.setattr(DataFrameReader, "load", refuse)
+    rows = read_caption_dir(spark, str(tmp_path)).collect()
+    assert sorted((r["stem"], r["caption"], bytes(r["media_bytes"])) for r in rows) == [("a", "one", b"1"), ("a.b", "deep", b"")]

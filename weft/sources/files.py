@@ -11,12 +11,17 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.ids import keyed_hash, positions
+from weft.session import ensure_checkpoint_dir
 from weft.sources import jsonparts
 
+#: Bytes of files that a task reads before it passes them on.
+_BATCH_BYTES = 8_000_000
+
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON-array files, with a JSON-lines fallback decided per file: a file whose
@@ -125,18 +130,67 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFr
     return jsonparts.elements(spark, path).select(F.explode(parsed).alias("key", "value"))
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, name) of all files below a mounted folder, listed by tasks, a level of folders at a
+    time, so the driver holds no list of files. Hidden names are left out, as Spark's readers do."""
+    from weft.sources.tarshards import local_path
+
+    def run(batches):
+        for pdf in batches:
+            for folder in pdf["folder"]:
+                rows = []
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        if not _hidden(e.name):
+                            rows.append((folder, e.name, e.is_dir()))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=["folder", "name", "is_dir"])
+                            rows = []
+                yield pd.DataFrame(rows, columns=["folder", "name", "is_dir"])
+
+    ensure_checkpoint_dir(spark)
+    top = local_path(root).rstrip("/") or "/"
+    level, files = spark.createDataFrame([(top,)], "folder string"), None
+    while True:
+        found = level.mapInPandas(run, "folder string, name string, is_dir boolean").checkpoint()
+        here = found.where("not is_dir").select("folder", "name")
+        files = here if files is None else files.union(here)
+        level = found.where("is_dir").select(F.concat(F.regexp_replace("folder", "/$", ""), F.lit("/"), "name").alias("folder"))
+        if level.isEmpty():
+            return files
+        level = level.repartition("folder")
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
 def read_caption_dir(spark: SparkSession, root: str) -> DataFrame:
     """Extracted-archive folder: ``stem.txt`` captions next to ``stem.jpg`` media;
     rows are stems that have both in the same folder. Captions and media meet by their
-    paths, so equal stems of two folders stay apart and media move once."""
-
-    def paths(ext: str) -> DataFrame:
-        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ext}").load(root)
-        folder, stem = F.regexp_extract("path", r"^(.*)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-        return f.select(folder.alias("folder"), stem.alias("stem"), "content")
-
-    captions = paths("txt").select("folder", "stem", F.decode(F.col("content"), "UTF-8").alias("caption"))
-    return paths("jpg").withColumnRenamed("content", "media_bytes").join(captions, ["folder", "stem"]).select("stem", "caption", "media_bytes")
+    names, before a file is read, so equal stems of two folders stay apart."""
+    names = list_files(spark, root).select("folder", F.regexp_extract("name", r"^(.+)\.[^.]+$", 1).alias("stem"), F.substring_index("name", ".", -1).alias("ext"))
+    has = [F.max(F.col("ext") == e).alias(e) for e in ("txt", "jpg")]
+    pairs = names.where(F.col("ext").isin("txt", "jpg") & (F.col("stem") != "")).groupBy("folder", "stem").agg(*has).where("txt and jpg")
+
+    def content(path: str) -> bytes:
+        with open(path, "rb") as fh:
+            return fh.read()
+
+    def run(batches):
+        for pdf in batches:
+            rows, size = [], 0
+            for folder, stem in zip(pdf["folder"], pdf["stem"]):
+                caption, media = (content(f"{folder}/{stem}.{e}") for e in ("txt", "jpg"))
+                rows.append((stem, caption, media))
+                size += len(caption) + len(media)
+                if size > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["stem", "caption", "media_bytes"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["stem", "caption", "media_bytes"])
+
+    read = pairs.select("folder", "stem").mapInPandas(run, "stem string, caption binary, media_bytes binary")
+    return read.select("stem", F.decode("caption", "UTF-8").alias("caption"), "media_bytes")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -261,7 +315,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return work_dir(spark, name)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("os", "annotations")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("os", "pd", "annotations")]
 
 
 def write_files(df: DataFrame, root: str, name: str, content: str) -> None:
