@@ -127,6 +127,26 @@ def test_marker_tokens(spark, ids, want):
     assert df.select(R.mask_by_marker_tokens("ids", [2, 2], [1, 1])).first()[0] == want
 
 
+def test_members_of_a_shard_are_not_held(spark, tmp_path, monkeypatch):
+    import tarfile
+
+    from weft.sources import tarshards as TS
+
+    most = []
+    seen = tarfile.TarFile.next
+
+    def watched(self):
+        most.append(len(self.members))
+        return seen(self)
+
+    df = spark.createDataFrame([(s, f"{i:04d}", "t" * i, str(i)) for s in ("a", "b") for i in range(40)], "shard string, key string, text string, n string")
+    TS.write_tar_shards(df, "shard", "key", {"txt": "text", "cls": "n"}, str(tmp_path))
+    monkeypatch.setattr(tarfile.TarFile, "next", watched)
+    rows = list(TS.TarShardReader({"path": f"{tmp_path}/a.tar"}).read(TS._TarPartition(f"{tmp_path}/a.tar")))
+    assert [(r[1], r[3], r[4]) for r in rows] == [(f"{i:04d}", "t" * i, str(i)) for i in range(40)]
+    assert max(most) <= 1
+
+
 def test_caption_folders_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrameReader
 

@@ -69,7 +69,8 @@ class TarShardReader(DataSourceReader):
             return
         cur, fields, idx = None, {}, 0
         with tf:
-            for m in tf:
+            while (m := tf.next()) is not None:
+                tf.members.clear()  # else the headers of the whole archive are kept
                 if not m.isfile():
                     continue
                 kv = split_name(m.name)
@@ -117,6 +118,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarShardSource)
 
 
+#: Rows of an Arrow batch, at most: whole members pass through.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def write_tar_shards(df: DataFrame, shard: str, key: str, members: dict[str, str], root: str) -> None:
     """Write one tar per ``shard`` value from a DataFrame (each task writes the shards
     it holds, rows sorted by key). ``members`` maps extension -> string column."""
@@ -127,24 +138,29 @@ def write_tar_shards(df: DataFrame, shard: str, key: str, members: dict[str, str
     def write(it):
         import os
 
-        open_tars: dict[str, tarfile.TarFile] = {}
+        name, out, begun = None, None, set()
+        os.makedirs(root, exist_ok=True)
         for pdf in it:
             for row in pdf.sort_values([shard, key]).itertuples(index=False):
                 sh = str(getattr(row, shard))
-                if sh not in open_tars:
-                    os.makedirs(root, exist_ok=True)
-                    open_tars[sh] = tarfile.open(f"{root}/{sh}.tar", "w")
+                if sh != name:  # rows come by shard, so one archive is open at a time
+                    if out is not None:
+                        out.close()
+                    name, out = sh, tarfile.open(f"{root}/{sh}.tar", "a" if sh in begun else "w")
+                    begun.add(sh)
                 for ext, col in zip(exts, members.values()):
                     data = str(getattr(row, col)).encode("utf-8")
                     info = tarfile.TarInfo(f"{getattr(row, key)}.{ext}")
                     info.size = len(data)
-                    open_tars[sh].addfile(info, io.BytesIO(data))
-        for t in open_tars.values():
-            t.close()
+                    out.addfile(info, io.BytesIO(data))
+                    out.members.clear()  # else the headers of the whole archive are kept
+        if out is not None:
+            out.close()
         yield from ()
 
     import pandas as pd  # noqa: F401
 
+    _small_batches(df.sparkSession)
     df.select(*cols).repartition(shard).sortWithinPartitions(shard, key).mapInPandas(write, "x int").collect()
 
 
@@ -153,6 +169,7 @@ def build_shard_index(spark: SparkSession, pattern: str) -> DataFrame:
     unreadable archives are left out. Sizes come from the listing; a digest is taken block
     by block, so an archive never stands in one value."""
     register(spark)
+    _small_batches(spark)
     listed = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("url_full"), F.col("length").alias("filesize"))
 
     def digest(batches):
