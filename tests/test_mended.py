@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +164,28 @@ def test_caption_folders_are_not_listed_by_the_driver(spark, tmp_path, monkeypat
     monkeypatch.setattr(DataFrameReader, "load", refuse)
     rows = read_caption_dir(spark, str(tmp_path)).collect()
     assert sorted((r["stem"], r["caption"], bytes(r["media_bytes"])) for r in rows) == [("a", "one", b"1"), ("a.b", "deep", b"")]
+
+
+def test_bleu_of_odd_rows(spark):
+    """Repeated ids, null ids and texts, ids of one side only; n-grams leave no task as rows."""
+    cands = [(1, "a b c d e a b"), (1, "a b a b a b"), (2, None), (3, "x y"), (None, "a b c"), (None, "q"), (5, ""), (6, "u\tv\nw  v")]
+    refs = [(1, 0, "a b c d x"), (1, 0, "a b"), (1, 1, "e a b a"), (2, 0, "a"), (3, 0, None), (4, 0, "z z"), (5, 0, "a b"), (6, 1, "u v w"), (6, 0, "v\x0bw v")]
+    c, r = spark.createDataFrame(cands, "id long, text string"), spark.createDataFrame(refs, "id long, ref_idx int, text string")
+    assert "Generate" not in NG.bleu(c, r)._jdf.queryExecution().toString()
+    row = NG.bleu(c, r).first()
+    # clipped matches, n-grams and lengths by hand: longest candidate of an id, closest reference
+    grams = lambda t, n: Counter(zip(*[t.split()[i:] for i in range(n)]))
+    ids = {i for i, t in cands if t is not None}
+    tl = {i: max(len(t.split()) for k, t in cands if k == i and t is not None) for i in ids}
+    rl = {i: [len(t.split()) for k, _, t in refs if k == i and t is not None] for i in ids}
+    test, ref = sum(tl.values()), sum(min((abs(x - tl[i]), x) for x in rl[i])[1] for i in ids if rl[i])
+    prod = 1.0
+    for n in range(1, 5):
+        right = 0
+        for i in ids - {None}:
+            own = sum((grams(t, n) for k, t in cands if k == i and t is not None), Counter())
+            sides = [sum((grams(t, n) for k, s, t in refs if (k, s) == (i, side) and t is not None), Counter()) for side in (0, 1)]
+            right += sum(min(v, max(s[g] for s in sides)) for g, v in own.items())
+        prod *= (right + 1e-15) / (sum(max(x - n + 1, 0) for x in tl.values()) + 1e-9)
+        ratio = (test + 1e-15) / (ref + 1e-9)
+        assert row[f"bleu_{n}"] == pytest.approx(prod ** (1 / n) * (math.exp(1 - 1 / ratio) if ratio < 1 else 1.0), rel=1e-9)

@@ -70,3 +70,14 @@ def ship_package(spark: SparkSession) -> None:
     made = os.path.realpath(tempfile.mkdtemp(prefix="weft-ship-"))  # the driver's own; Spark sends the archive to the executors
     sc.addPyFile(shutil.make_archive(f"{made}/weft", "zip", os.path.dirname(here), "weft"))
     _SHIPPED.add(sc.applicationId)
+
+
+#: Rows of an Arrow batch, at most, where whole texts pass through.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)

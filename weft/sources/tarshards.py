@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weft.session import small_batches
+
 SCHEMA = (
     "__shard__ string, __key__ string, __index__ long, txt string, cls string, json string, "
     "media map<string,binary>"
@@ -118,16 +120,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarShardSource)
 
 
-#: Rows of an Arrow batch, at most: whole members pass through.
-BATCH_ROWS = 1_000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def write_tar_shards(df: DataFrame, shard: str, key: str, members: dict[str, str], root: str) -> None:
     """Write one tar per ``shard`` value from a DataFrame (each task writes the shards
     it holds, rows sorted by key). ``members`` maps extension -> string column."""
@@ -160,7 +152,7 @@ def write_tar_shards(df: DataFrame, shard: str, key: str, members: dict[str, str
 
     import pandas as pd  # noqa: F401
 
-    _small_batches(df.sparkSession)
+    small_batches(df.sparkSession)
     df.select(*cols).repartition(shard).sortWithinPartitions(shard, key).mapInPandas(write, "x int").collect()
 
 
@@ -169,7 +161,7 @@ def build_shard_index(spark: SparkSession, pattern: str) -> DataFrame:
     unreadable archives are left out. Sizes come from the listing; a digest is taken block
     by block, so an archive never stands in one value."""
     register(spark)
-    _small_batches(spark)
+    small_batches(spark)
     listed = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("url_full"), F.col("length").alias("filesize"))
 
     def digest(batches):
