@@ -189,3 +189,18 @@ def test_bleu_of_odd_rows(spark):
         prod *= (right + 1e-15) / (sum(max(x - n + 1, 0) for x in tl.values()) + 1e-9)
         ratio = (test + 1e-15) / (ref + 1e-9)
         assert row[f"bleu_{n}"] == pytest.approx(prod ** (1 / n) * (math.exp(1 - 1 / ratio) if ratio < 1 else 1.0), rel=1e-9)
+
+
+@pytest.mark.parametrize("few", [50_000, 1])
+def test_parts_are_not_brought_together_to_find_their_cut(spark, monkeypatch, few):
+    from weft.operators import selection as SE
+
+    monkeypatch.setattr(SE, "FEW_PARTS", few)
+    rows = [(i, "ab"[i % 10 == 0], float(i * 7919 % 50)) for i in range(400)] + [(1000, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, part string, score double")
+    wanted = spark.createDataFrame([("a", 100), ("b", 7), ("c", 3), (None, 2)], "part string, n long")
+    got = SE.select_top(df, "part", "score", "id", wanted)
+    want = {p: sorted((r for r in rows if r[1] == p), key=lambda r: (-r[2], r[0]))[:n] for p, n in (("a", 100), ("b", 7))}
+    assert sorted(r["id"] for r in got.collect()) == sorted(r[0] for x in want.values() for r in x)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (few > 1)

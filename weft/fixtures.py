@@ -36,8 +36,10 @@ def fx_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lines are nearly unique: dealt by their key first, they are sorted once, in parts of an input split
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_orderkey", "l_linenumber").agg(
+    n = max(spark.sparkContext.defaultParallelism, 4 * li.rdd.getNumPartitions())
+    return li.repartition(n, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("l_partkey"),
         F.min("l_suppkey").alias("l_suppkey"),
         F.max("l_quantity").alias("l_quantity"),

@@ -18,6 +18,8 @@ from weft.session import ensure_checkpoint_dir
 BINS = 1024
 #: Undecided rows of a part that are put in order rather than refined.
 FEW = 10_000
+#: Parts whose cuts are sent to all tasks.
+FEW_PARTS = 50_000
 
 # Scores that have no place in a bin come in Spark's order: NaN over all numbers, null under all.
 _NAN, _TOP, _FINITE, _BOTTOM, _NULL = 4, 3, 2, 1, 0
@@ -49,22 +51,28 @@ def select_top(df: DataFrame, part: str, score: str, key: str, wanted: DataFrame
     rows = df.withColumns({"_wf_score": value, "_wf_kind": _kind(value)})
     narrow = rows.select(part, "_wf_score", "_wf_kind")
     # the cut's kind, its interval of scores, the rows still to be taken there and those there are
-    state = wanted.where("n > 0").select(part, F.col("n").cast("bigint").alias("_wf_need"))
-    state = _refine(narrow.join(state, part), part, F.col("_wf_kind"), [])
+    state = wanted.where("n > 0").select(part, F.col("n").cast("bigint").alias("_wf_need")).checkpoint()
+    state = _refine(narrow.join(_sent(state), part), part, F.col("_wf_kind"), [])
     while not state.where((F.col("_wf_rows") > FEW) & (F.col("_wf_high") > F.col("_wf_low")) & (F.col("_wf_need") < F.col("_wf_rows"))).isEmpty():
-        inside = narrow.join(state.drop("_wf_rows"), part).where(_undecided())
+        inside = narrow.join(_sent(state.drop("_wf_rows")), part).where(_undecided())
         slot = _bin(F.col("_wf_score"), F.col("_wf_low"), F.col("_wf_high"))
         state = _refine(inside, part, slot, ["_wf_cut"])
     sure = (F.col("_wf_kind") > F.col("_wf_cut")) | ((F.col("_wf_kind") == F.col("_wf_cut")) & F.coalesce(F.col("_wf_score") > F.col("_wf_high"), F.lit(False)))
     # a cut that takes all undecided rows needs no order
     whole = F.col("_wf_need") >= F.col("_wf_rows")
-    placed = rows.join(state, part)
+    placed = rows.join(_sent(state), part)
     certain = placed.where((sure & ~_undecided()) | (_undecided() & whole)).select(*df.columns)
     open_ = placed.where(_undecided() & ~whole).select(*df.columns, "_wf_need", "_wf_score")
     ranked = positions(open_, [F.col("_wf_score").desc(), F.col(key)], partition=[part], name="_wf_rank")
     return certain.union(ranked.where(F.col("_wf_rank") < F.col("_wf_need")).select(*df.columns))
 
 
+def _sent(state: DataFrame) -> DataFrame:
+    """The side of one row a part, sent to the tasks where parts are few: rows stay where they are
+    then, and a part need not come together in one task. Many parts spread by themselves."""
+    return F.broadcast(state) if state.limit(FEW_PARTS + 1).count() <= FEW_PARTS else state
+
+
 def _undecided() -> Column:
     within = F.col("_wf_score").between(F.col("_wf_low"), F.col("_wf_high"))
     return (F.col("_wf_kind") == F.col("_wf_cut")) & ((F.col("_wf_cut") != _FINITE) | within)
