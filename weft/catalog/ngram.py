@@ -32,9 +32,24 @@ def doc_pairs(spark, sf):
         .join(b, F.col("item_id") == F.col("doc_id") % F.col("_nb"))
         .select(F.col("doc_id").alias("id"), F.lit(0).alias("ref_idx"), "text")
     )
-    nxt = d.select((F.col("doc_id") - 1).alias("id"), F.lit(1).alias("ref_idx"), "text")
-    r1 = nxt.join(d.select(F.col("doc_id").alias("id")), "id")
-    return cands, r0.unionByName(r1)
+    return cands, r0.unionByName(next_texts(d))
+
+
+FEW = 100_000  # rows of two numbers that are sent to all tasks, at most
+
+
+def next_texts(d):
+    """(id, ref_idx, text): each text for every row of the id before its own. Ids are matched first;
+    texts are dealt by id only if many of them are not matched exactly once."""
+    nxt = d.where(F.col("doc_id").isNotNull()).select((F.col("doc_id") - 1).alias("id"), F.lit(1).alias("ref_idx"), "text")
+    rows = d.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.coalesce(F.col("_n"), F.lit(0))
+    odd = nxt.select("id").distinct().join(rows, "id", "left").select("id", times.alias("_n")).where("_n <> 1").checkpoint()
+    few = odd.limit(FEW + 1).count() <= FEW
+    matched = nxt.join(F.broadcast(odd) if few else odd, "id", "left").withColumn("_n", F.coalesce(F.col("_n"), F.lit(1)).cast("int"))
+    once = matched.where("_n = 1").select("id", "ref_idx", "text")
+    more = matched.where("_n > 1").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("id", "ref_idx", "text")
+    return once.unionByName(more)
 
 
 @query(
