@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
+from weft.llm import packing
 from weft.llm.packing import LevelPacker, pack, pour, word_id_bytes
 from weft.llm.queries import op10_packing, table, tokenizer_file
 
@@ -105,3 +106,46 @@ def test_random_strings_have_the_library_ids():
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20000)]
     for text, got in zip(texts, word_id_bytes(PATH)(texts)):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_plain_texts_are_encoded_by_rank(monkeypatch):
+    """New words of plain texts cost no pass through tables of words."""
+    import random
+
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(3)
+    parts = [*"abcxyzABCZ'.,!%|=019 \n\t\rßéÉ–…×»", "'s", "'LL", "the", "tion", "ing ", "...", "''re"]
+    parts += [c for c in map(chr, range(0xC0, 0x250)) if packing._PLAIN.fullmatch(c)]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(5000)] + ["x" * 1000, "x" * 1000 + " " + "." * 1000]
+    assert all(packing._PLAIN.fullmatch(t) for t in texts) and not packing._PLAIN.fullmatch("x" * 1001)
+    got = word_id_bytes(PATH)(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    by_rank, memo = packing._ENCODERS[PATH]
+    assert by_rank is not None
+    held = len(memo.young) + len(memo.old)
+    word_id_bytes(PATH)([f"qxz{i}{'abc'[i % 3] * 9} of" for i in range(1000)])
+    assert len(memo.young) + len(memo.old) == held
+    monkeypatch.setattr(packing, "CHUNK_CHARS", 7)  # long texts are cut at spaces
+    assert word_id_bytes(PATH)(texts) == got
+
+
+def test_every_token_is_its_own_encoding():
+    """Encoding by rank is the rule of the merges as each token comes out of the merges of its own parts."""
+    import json
+
+    model = json.loads(Tokenizer.from_file(PATH).to_str())["model"]
+    rank = {tuple(m): k for k, m in enumerate(model["merges"])}
+    end, wrong = model["end_of_word_suffix"], []
+    for a, b in model["merges"]:
+        core = (a + b).removesuffix(end)
+        parts = list(core)
+        if core != a + b:
+            parts[-1] += end
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda k: (rank.get((parts[k], parts[k + 1]), len(rank)), k))
+            if (parts[k], parts[k + 1]) not in rank:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if parts != [a + b]:
+            wrong.append((a, b))
+    assert not wrong

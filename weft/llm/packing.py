@@ -15,6 +15,7 @@ not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -27,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.batches import durable, small_batches, spare_memory, text_runs
+from weft.llm.batches import CHUNK_CHARS, durable, small_batches, spare_memory, text_runs
 from weft.llm.memo import Memo
 
 WINDOW = 2048
 _ID_BYTES = 4
-_MEMOS: dict[str, Memo] = {}  # a worker's, by tokenizer file
+_ENCODERS: dict[str, tuple] = {}  # a worker's, by tokenizer file
 
 
 #: ASCII letters, or anything else; and a word between marks of ASCII punctuation.
@@ -43,6 +44,17 @@ _LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ƿǄ-ɏ]+")
 _SPELLING = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 _MARKS = r"[!-&(-/:-@\[-`{-~]*"
 _CORE = re.compile(f"({_MARKS})(.*?)({_MARKS})", re.DOTALL)
+#: Marks, neither letters nor numbers nor white space, that the tokenizer leaves as they are.
+_SIGNS = "!-/:-@\\[-`{-~¡-©«¬\xad®-±´¶-¸»¿×÷‐-‧‰-⁞"
+_RUN = f"[0-9{_SIGNS}{_LATIN_WORD.pattern[1:-2]}]{{0,1000}}"
+#: Texts that are encoded by rank: printable ASCII, Latin letters and signs, without very long runs,
+#: as the time of those grows with their square.
+_PLAIN = re.compile(f"(?:{_RUN}[ \t\n\r])*+{_RUN}")
+#: Where the tokenizer's first step takes marks off the letters: a digit, an ending, a run of signs.
+_CUT = re.compile(f"[0-9{_SIGNS}](?:(?<=[0-9])|(?<=')(?:s|t|re|ve|m|ll|d)|[{_SIGNS}]*)")
+#: The steps before the model for which ``_CUT`` and lowering do the same on plain texts.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_FIRST_STEP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_parts(word: str) -> list[str]:
@@ -62,15 +74,63 @@ def tokenizer_parts(word: str) -> list[str]:
     return [word]
 
 
+def _by_rank(tokenizer) -> Callable[[str], bytes] | None:
+    """``fn(text)`` giving the ids of a plain text by the order of the vocabulary's numbers.
+
+    A space stands for the end of a word: a byte and the space behind it are joined first,
+    as the vocabulary has numbers for these pairs below those of all merges. None if the
+    tokenizer has other steps before its model, or merges pairs in another order than that
+    of their numbers.
+    """
+    import tiktoken
+
+    told = json.loads(tokenizer.to_str())
+    model, steps = told["model"], (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    end = model.get("end_of_word_suffix")
+    first = {"type": "Split", "pattern": {"Regex": _FIRST_STEP}, "behavior": "Removed", "invert": True}
+    if (told["normalizer"] or {}).get("normalizers") != _NORMALIZERS or len(steps) != 2 or steps[0] != first:
+        return None
+    if (steps[1].get("type"), steps[1].get("use_regex"), steps[1].get("add_prefix_space")) != ("ByteLevel", False, False) or model["type"] != "BPE":
+        return None
+    if not end or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t["content"] for t in told["added_tokens"]}
+    byte_of = {k: b for b, k in _SPELLING.items()}
+    ranks = {}
+    for t, n in vocab.items():
+        if t not in special:
+            core = t.removesuffix(end) or t
+            ranks[core.translate(byte_of).encode("latin-1") + b" " * (core != t)] = n
+    ends = [ranks.get(bytes([b, 32]), len(vocab)) for b in range(256)]
+    if merged != sorted(merged) or max(ends) >= min(merged) or len(ranks) != len(vocab.keys() - special):
+        return None
+    encode = tiktoken.Encoding("ranks", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def id_bytes(text: str) -> bytes:
+        text = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        out, start = [], 0
+        while start < len(text):  # a long text goes in stretches, cut at a space
+            end = text.find(" ", start + CHUNK_CHARS) + 1 or len(text)
+            ids = encode(_CUT.sub(r" \g<0> ", text[start:end]) + " ")
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+            start = end
+        return b"".join(out)
+
+    return id_bytes
+
+
 def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
     """``fn(texts)`` giving each text's ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins characters across a space or a line
-    end, so a text's ids are those of its space-separated words, one after the other.
+    Plain texts are encoded by rank, which is the same rule and twice as fast. For the
+    others: the tokenizer drops white space and never joins characters across a space or a
+    line end, so a text's ids are those of its space-separated words, one after the other.
     Each distinct part of a word goes through the tokenizer once, as long as the worker
     remembers it.
     """
-    if path not in _MEMOS:
+    if path not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -97,12 +157,17 @@ def word_id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
             get = parts_memo.getter(cut)
             return (b"".join(map(get, c)) for c in cut)
 
-        _MEMOS[path] = Memo(word_ids, 64 << 20)
+        _ENCODERS[path] = _by_rank(tokenizer), Memo(word_ids, 64 << 20)
+    by_rank, memo = _ENCODERS[path]
+
+    def plain(text: str) -> bool:
+        # special tokens begin with these signs
+        return by_rank is not None and "<|" not in text and bool(_PLAIN.fullmatch(text))
 
     def encode(texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        get = _MEMOS[path].getter(words)
-        return [b"".join(map(get, w)) for w in words]
+        words = [None if plain(t) else t.replace("\n", " ").split(" ") for t in texts]
+        get = memo.getter([w for w in words if w])
+        return [by_rank(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
     return encode
 
